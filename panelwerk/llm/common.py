@@ -64,9 +64,3 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches by rows, so that a Python worker holds few long texts at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

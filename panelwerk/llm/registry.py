@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import byte_bpe, fingerprints, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op3_line_quality_rules": quality_rules.op3_line_quality_rules,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_winnowing_fingerprints": fingerprints.op10_winnowing_fingerprints,
 }
 
 ORACLE_SQL = {
