@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
 from .common import table
-from .word_tokens import chunk_counter, chunks, vocabulary_path, whole_tokens
+from .word_tokens import chunk_counter, count_texts, vocabulary_path, whole_tokens
 
 #: Above so many tokens a text is over the limit.
 LIMIT = 2048
@@ -33,7 +33,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", c
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         kept = chunk_counter(path, whole.value)
         for batch in texts:
-            yield pd.Series([sum(map(kept.__getitem__, chunks(t))) for t in batch], dtype="int64")
+            yield pd.Series(count_texts(kept, batch), dtype="int64")
 
     python_workers(docs.sparkSession)
     return docs.withColumn(column, count(F.coalesce(F.col(text), F.lit(""))))

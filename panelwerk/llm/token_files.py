@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
 from .common import shared_dir, table
-from .word_tokens import chunk_encoder, encode_text, library, vocabulary_path
+from .word_tokens import chunk_encoder, encode_texts, library, vocabulary_path
 
 END_ID = 2
 SAMPLE = 256
@@ -124,10 +124,10 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
 
     @F.pandas_udf("n_tokens long, ids binary")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        kept = chunk_encoder(path)
+        kept, end = chunk_encoder(path, kind), np.array([end_id], kind).tobytes()
         for batch in texts:
-            ids = [np.append(encode_text(kept, t), np.uint32(end_id)) for t in batch]
-            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": [x.astype(kind).tobytes() for x in ids]})
+            ids = [x + end for x in encode_texts(kept, batch)]
+            yield pd.DataFrame({"n_tokens": [len(x) // len(end) for x in ids], "ids": ids})
 
     python_workers(docs.sparkSession)
     made = docs.select("doc_id", encode(F.coalesce("text", F.lit(""))).alias("e"))

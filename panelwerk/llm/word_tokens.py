@@ -8,7 +8,10 @@ change, so they too stay inside one chunk and are matched by the library.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -16,9 +19,8 @@ from tokenizers import Tokenizer
 
 #: The default vocabulary file; a path to another of the same kind may be given.
 WORD_BPE = "word_bpe_49k.json"
-#: Chunks that a worker remembers; beyond it starts anew. Chunks longer than MAX_KEPT characters are never kept.
-KEPT = 300_000
-MAX_KEPT = 64
+#: Chunks that a worker remembers; beyond that it starts anew (a batch's own chunks are held in any case).
+KEPT = 500_000
 
 
 def chunks(text: str) -> list[str]:
@@ -27,20 +29,20 @@ def chunks(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """What ``make`` returned for a chunk, remembered within a bound."""
+    """What was made for a piece of text, remembered within a bound; a batch's new pieces are made together."""
 
-    def __init__(self, make):
-        super().__init__({"": make("")})
+    def __init__(self, make: Callable[[list[str]], Iterable]):
+        super().__init__()
         self.make = make
 
-    def __missing__(self, chunk: str):
-        made = self.make(chunk)
-        if len(chunk) <= MAX_KEPT:
-            if len(self) >= KEPT:
-                self.clear()
-                self[""] = self.make("")
-            self[chunk] = made
-        return made
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Have every one of ``pieces`` ready."""
+        wanted = set(pieces)
+        if len(self) + len(wanted) > KEPT:
+            self.clear()
+        new = [p for p in wanted if p not in self]
+        if new:
+            self.update(zip(new, self.make(new), strict=True))
 
 
 @cache
@@ -52,17 +54,79 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def chunk_encoder(path: str) -> Kept:
-    """Chunk to ids (a tuple)."""
-    encode = library(path).encode
-    return Kept(lambda chunk: tuple(encode(chunk, add_special_tokens=False).ids))
+def ids_together(tokenizer: Tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces that the tokenizer never joins across a space, by one call, and where each piece's ids end."""
+    made = tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+    starts = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
+    at = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+    owner = np.searchsorted(starts, at, side="right") - 1
+    return np.array(made.ids, dtype=np.uint32), np.cumsum(np.bincount(owner, minlength=len(pieces)))
 
 
-def encode_text(kept: Kept, text: str | None) -> np.ndarray:
-    ids: list[int] = []
-    for part in map(kept.__getitem__, chunks(text or "")):
-        ids += part
-    return np.array(ids, dtype=np.uint32)
+def encode_texts(kept: Kept, texts: Iterable[str]) -> list[bytes]:
+    """The ids of each text, in the bytes that ``kept`` makes for a chunk."""
+    parts = [chunks(t) for t in texts]
+    kept.learn(chain.from_iterable(parts))
+    return [b"".join(map(kept.__getitem__, p)) for p in parts]
+
+
+#: A chunk that is one run of Latin-1 letters and then, perhaps, one of ASCII marks: these are its pre-tokens. (No apostrophe:
+#: it may start a pre-token with letters.)
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@[-`{-~]*)").fullmatch
+
+
+class PreTokens:
+    """Ids of single pre-tokens, many by one call: each of them ends with a token that closes a word."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.closes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.closes[[i for piece, i in tokenizer.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
+
+    def __call__(self, pres: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each pre-token's ids end."""
+        made = self.tokenizer.encode_batch_fast([" ".join(pres)], add_special_tokens=False)[0]
+        ids = np.array(made.ids, dtype=np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(pres):
+            raise ValueError("not single pre-tokens")
+        return ids, ends
+
+
+def parted(pieces: list[str]) -> tuple[dict[str, tuple[str, str]], list[str]]:
+    """Simple chunks with their two pre-tokens (either may be empty), and the other chunks."""
+    simple, other = {}, []
+    for p in pieces:
+        m = SIMPLE(p)
+        if m:
+            simple[p] = (m[1].lower(), m[2])
+        else:
+            other.append(p)
+    return simple, other
+
+
+def chunk_encoder(path: str, kind: str = "<u4") -> Kept:
+    """Chunk to ids, as bytes of ``kind``."""
+    tokenizer = library(path)
+    width = np.dtype(kind).itemsize
+    encode = PreTokens(tokenizer)
+
+    def cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        data = ids.astype(kind).tobytes()
+        return [data[width * a : width * b] for a, b in pairwise([0, *ends.tolist()])]
+
+    pres = Kept(lambda new: cut(*encode(new)))
+
+    def make(pieces: list[str]) -> Iterator[bytes]:
+        simple, other = parted(pieces)
+        pres.learn(p for p in chain.from_iterable(simple.values()) if p)
+        pres[""] = b""
+        made = {c: pres[a] + pres[b] for c, (a, b) in simple.items()}
+        if other:
+            made.update(zip(other, cut(*ids_together(tokenizer, other)), strict=True))
+        return map(made.__getitem__, pieces)
+
+    return Kept(make)
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -96,19 +160,25 @@ def byte_characters() -> dict[int, str]:
 
 
 def chunk_counter(path: str, whole: frozenset[str]) -> Kept:
-    """Chunk to its number of tokens: pre-tokens proven whole count 1, the rest are merged by the library."""
+    """Chunk to its number of tokens: pre-tokens proven whole count 1, only the rest are merged."""
     tokenizer = library(path)
-    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    normalize, split, encode = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer[0].pre_tokenize_str, tokenizer.encode
-
-    def count(chunk: str) -> int:
-        if chunk in whole:
-            return 1
-        if any(s in chunk for s in specials):
-            return len(encode(chunk, add_special_tokens=False).ids)
-        total = 0
-        for pre, _ in split(normalize(chunk)):
-            total += 1 if pre in whole else len(encode(pre, add_special_tokens=False).ids)
-        return total
-
-    return Kept(count)
+    encode = PreTokens(tokenizer)
+    merged = Kept(lambda new: np.diff(encode(new)[1], prepend=0).tolist())
+
+    def make(pieces: list[str]) -> Iterator[int]:
+        simple, other = parted(pieces)
+        merged.learn(p for p in chain.from_iterable(simple.values()) if p and p not in whole)
+        merged[""] = 0
+        size = lambda pre: 1 if pre in whole else merged[pre]
+        made = {c: size(a) + size(b) for c, (a, b) in simple.items()}
+        if other:
+            made.update(zip(other, np.diff(ids_together(tokenizer, other)[1], prepend=0).tolist(), strict=True))
+        return map(made.__getitem__, pieces)
+
+    return Kept(make)
+
+
+def count_texts(kept: Kept, texts: Iterable[str]) -> list[int]:
+    parts = [chunks(t) for t in texts]
+    kept.learn(chain.from_iterable(parts))
+    return [sum(map(kept.__getitem__, p)) for p in parts]
