@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encodes and decodes one text at a time; ids are the ranks."""
+    """Encodes texts, a batch at a time, and decodes ids; ids are the ranks."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
@@ -76,30 +77,30 @@ class ByteBpe:
         self.by_piece = np.array([-1, *sorted(self.ranks.values())], dtype=np.int64)
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes(self.ranks))
+        self.whole = {b: np.array([r], "<u4").tobytes() for b, r in self.ranks.items()}
         self.latin = {b: c for b, c in byte_characters().items()}
         self.find = regex.compile(pattern).findall
-        self.kept = Kept(self._merge)
-
-    def _merge(self, pre: str) -> tuple[int, ...]:
-        raw = pre.encode()
-        if raw in self.ranks:
-            return (self.ranks[raw],)
-        if not raw:
-            return ()
-        pieces = self.model.encode(raw.decode("latin-1").translate(self.latin))
-        ids = self.by_piece[pieces]
-        if (ids < 0).any():
-            raise ValueError("the vocabulary lacks a byte")
-        return tuple(ids.tolist())
-
-    def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        for part in map(self.kept.__getitem__, self.find(text)):
-            ids += part
-        return np.array(ids, dtype="<u4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        self.kept = Kept(self._make)
+
+    def _make(self, pres: list[str]) -> list[bytes]:
+        made = [self.whole.get(raw := p.encode()) or raw for p in pres]
+        rest = [k for k, p in enumerate(pres) if p.encode() not in self.whole]
+        pieces = self.model.encode([made[k].decode("latin-1").translate(self.latin) for k in rest], num_threads=1) if rest else []
+        for k, found in zip(rest, pieces, strict=True):
+            ids = self.by_piece[found]
+            if (ids < 0).any():
+                raise ValueError("the vocabulary lacks a byte")
+            made[k] = ids.astype("<u4").tobytes()
+        return made
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
+        parts = [self.find(t) for t in texts]
+        self.kept.learn(chain.from_iterable(parts))
+        return [b"".join(map(self.kept.__getitem__, p)) for p in parts]
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @cache
@@ -115,8 +116,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = coder(path, pattern)
         for batch in texts:
-            ids = [bpe.encode(t) for t in batch]
-            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+            ids = bpe.encode(batch)
+            yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
 
     python_workers(docs.sparkSession)
     return docs.withColumn("bpe", encode(F.coalesce(F.col(text), F.lit(""))))
