@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import report_queries  # noqa: F401
+from . import report_queries, text_queries  # noqa: F401
 from .book import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
