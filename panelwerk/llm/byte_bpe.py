@@ -97,7 +97,7 @@ class ByteBpe:
         """The ids of each text, 4 bytes each."""
         parts = [self.find(t) for t in texts]
         self.kept.learn(chain.from_iterable(parts))
-        return [b"".join(map(self.kept.__getitem__, p)) for p in parts]
+        return [b"".join(map(self.kept.get, p)) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

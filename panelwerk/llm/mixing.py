@@ -177,9 +177,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     rows = placed(sized, targets, ["doc_id", "_hash"])
     parts = mix(rows, block_plan(targets)).groupBy("sid", "start", "epoch")
     parts = parts.agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"))
-    parts = parts.join(rows.where("size > 0").select("sid", "start", "size", F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")), ["sid", "start"])
-    mixed = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("_words"), s["first"].cast("int") + 1, s["n"].cast("int")))), " ")
-    mixed = mixed.withColumn("_words", F.when(F.col("taken") < F.col("size"), words(F.col("text"))))
-    mixed = mixed.withColumn("text", F.when(F.col("taken") < F.col("size"), some).otherwise(F.col("text")))
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = rows.where("size > 0").select("sid", "start", "size", "doc_id", "_hash")
+    parts = parts.join(own, ["sid", "start"])
+    parts = parts.select(*(F.col(c).alias("_own_" + c.strip("_")) for c in ("doc_id", "_hash", "size", "taken", "spans")))
+    mixed = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("_own_doc_id")) & (F.col("_hash") == F.col("_own_hash")))
+    part = F.col("_own_taken") < F.col("_own_size")
+    mixed = mixed.withColumn("_own_words", F.when(part, words(F.col("text"))))
+    taken = F.transform("_own_spans", lambda s: F.slice(F.col("_own_words"), s["first"].cast("int") + 1, s["n"].cast("int")))
+    mixed = mixed.withColumn("text", F.when(part, F.array_join(F.flatten(taken), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.select(*docs.columns)

@@ -28,21 +28,21 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-class Kept(dict):
+class Kept:
     """What was made for a piece of text, remembered within a bound; a batch's new pieces are made together."""
 
     def __init__(self, make: Callable[[list[str]], Iterable]):
-        super().__init__()
-        self.make = make
+        self.known: dict = {}
+        self.make, self.get = make, self.known.__getitem__
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Have every one of ``pieces`` ready."""
         wanted = set(pieces)
-        if len(self) + len(wanted) > KEPT:
-            self.clear()
-        new = [p for p in wanted if p not in self]
+        if len(self.known) + len(wanted) > KEPT:
+            self.known.clear()
+        new = list(wanted.difference(self.known))
         if new:
-            self.update(zip(new, self.make(new), strict=True))
+            self.known.update(zip(new, self.make(new), strict=True))
 
 
 @cache
@@ -67,7 +67,7 @@ def encode_texts(kept: Kept, texts: Iterable[str]) -> list[bytes]:
     """The ids of each text, in the bytes that ``kept`` makes for a chunk."""
     parts = [chunks(t) for t in texts]
     kept.learn(chain.from_iterable(parts))
-    return [b"".join(map(kept.__getitem__, p)) for p in parts]
+    return [b"".join(map(kept.get, p)) for p in parts]
 
 
 #: A chunk that is one run of Latin-1 letters and then, perhaps, one of ASCII marks: these are its pre-tokens. (No apostrophe:
@@ -120,8 +120,9 @@ def chunk_encoder(path: str, kind: str = "<u4") -> Kept:
     def make(pieces: list[str]) -> Iterator[bytes]:
         simple, other = parted(pieces)
         pres.learn(p for p in chain.from_iterable(simple.values()) if p)
-        pres[""] = b""
-        made = {c: pres[a] + pres[b] for c, (a, b) in simple.items()}
+        pres.known[""] = b""
+        known = pres.known
+        made = {c: known[a] + known[b] for c, (a, b) in simple.items()}
         if other:
             made.update(zip(other, cut(*ids_together(tokenizer, other)), strict=True))
         return map(made.__getitem__, pieces)
@@ -168,8 +169,8 @@ def chunk_counter(path: str, whole: frozenset[str]) -> Kept:
     def make(pieces: list[str]) -> Iterator[int]:
         simple, other = parted(pieces)
         merged.learn(p for p in chain.from_iterable(simple.values()) if p and p not in whole)
-        merged[""] = 0
-        size = lambda pre: 1 if pre in whole else merged[pre]
+        merged.known[""] = 0
+        size = lambda pre: 1 if pre in whole else merged.known[pre]
         made = {c: size(a) + size(b) for c, (a, b) in simple.items()}
         if other:
             made.update(zip(other, np.diff(ids_together(tokenizer, other)[1], prepend=0).tolist(), strict=True))
@@ -181,4 +182,4 @@ def chunk_counter(path: str, whole: frozenset[str]) -> Kept:
 def count_texts(kept: Kept, texts: Iterable[str]) -> list[int]:
     parts = [chunks(t) for t in texts]
     kept.learn(chain.from_iterable(parts))
-    return [sum(map(kept.__getitem__, p)) for p in parts]
+    return [sum(map(kept.get, p)) for p in parts]
