@@ -137,7 +137,10 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
-    return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start) :]}"
+    return f"WITH {ctes} {body}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
