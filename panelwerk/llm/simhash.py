@@ -3,8 +3,8 @@
 Two fingerprints that differ in at most R = 4 bits have a value within R / 2 = 2 bits of both. So every distinct fingerprint
 emits all 2,081 values within two bits of it, the values are shuffled, and fingerprints that meet at a value are verified
 and linked. All that meet at one value are within 4 bits of each other, so each is linked to the least of them only: a value's
-group makes one link less than it has members, never all pairs, and no connection is lost. Connected components of the links
-are found by alternating large-star and small-star rounds.
+group makes one link less than it has members, never all pairs, and no connection is lost. A bucket of values keeps a spanning
+forest of its links. Connected components of all are found by alternating large-star and small-star rounds.
 
 What moves is bounded at every step: equal fingerprints are one before anything is emitted; at most 2,081 distinct ones can
 meet at a value; the values are dealt in PASSES rounds (by a linear syndrome, so that each round makes only its own), and
@@ -32,8 +32,8 @@ from ..plans.session import python_workers
 from .common import checkpointed, settings, shared_dir, table
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
-#: Rounds in which the values are dealt (a power of two), entries of a bucket, and fingerprints expanded at once.
-PASSES, BUCKET_ENTRIES, EXPANDED = 8, 1_000_000, 4096
+#: Rounds in which the values are dealt (a power of two), entries of a bucket, fewest buckets, and fingerprints expanded at once.
+PASSES, BUCKET_ENTRIES, LEAST_BUCKETS, EXPANDED = 8, 1_000_000, 24, 4096
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,6 +82,23 @@ def syndromes(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links (a, b) connect: each member of a group with the group's least, once."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[other], nodes[label[other]]
+
+
 def _met(fps: DataFrame, turn: int, buckets: int) -> DataFrame:
     """(a, b): links of the fingerprints that meet at a value whose syndrome is ``turn``."""
     masks = ball_masks()
@@ -128,8 +145,8 @@ def _met(fps: DataFrame, turn: int, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         least = np.repeat(np.minimum.reduceat(fp, first), np.diff(np.append(first, len(fp))))
         near = (fp != least) & (np.bitwise_count(fp ^ least) <= RADIUS)
-        pairs = np.unique(np.stack([fp[near], least[near]], axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64)})
+        a, b = forest(fp[near], least[near])
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     packed = fps.select("fp").mapInPandas(emit, "bucket long, entries binary")
     return packed.groupBy("bucket").applyInPandas(meet, "a long, b long")
@@ -140,7 +157,7 @@ def links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     entries = fps.count() * len(ball_masks()) // PASSES
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
+    buckets = max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES))
     # each round's shuffle files go when the round has been written
     with settings(spark, conf={"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         for turn in range(PASSES):
