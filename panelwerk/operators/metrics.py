@@ -21,15 +21,16 @@ def chrf(pairs: DataFrame, keys: list[str], order: int = 6, beta: float = 2.0) -
 
     def grams(side: str) -> DataFrame:
         bare = F.replace(side, F.lit(" "), F.lit(""))
-        rows = pairs.select(*ids, bare.alias("t"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n"))
-        rows = rows.where(F.length("t") >= F.col("n"))
-        starts = F.explode(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1))
-        return rows.select(*ids, "n", "t", starts.alias("i")).select(*ids, "n", F.substring("t", F.col("i"), F.col("n")).alias("g")).groupBy(*ids, "n", "g").agg(F.count("*").alias(side))
-
-    both = grams("hypothesis").join(grams("reference"), [*ids, "n", "g"], "full").na.fill(0, ["hypothesis", "reference"])
-    per_order = both.groupBy(*keys, "n").agg(F.sum(F.least("hypothesis", "reference")).alias("m"), F.sum("hypothesis").alias("h"), F.sum("reference").alias("r"))
-    means = per_order.groupBy(*keys).agg(F.avg(F.when(F.col("h") > 0, F.col("m") / F.col("h"))).alias("p"), F.avg(F.when(F.col("r") > 0, F.col("m") / F.col("r"))).alias("q"))
-    p, q, b = F.coalesce("p", F.lit(0.0)), F.coalesce("q", F.lit(0.0)), beta**2
+        rows = pairs.select(*ids, bare.alias("_t"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("_n")).where(F.length("_t") >= F.col("_n"))
+        rows = rows.select(*ids, "_n", "_t", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1)).alias("_i"))
+        return rows.groupBy(*ids, "_n", F.substring("_t", F.col("_i"), F.col("_n")).alias("_g")).agg(F.count("*").alias("_" + side))
+
+    both = grams("hypothesis").join(grams("reference"), [*ids, "_n", "_g"], "full").na.fill(0, ["_hypothesis", "_reference"])
+    found = F.sum(F.least("_hypothesis", "_reference")).alias("_m")
+    per_order = both.groupBy(*keys, "_n").agg(found, F.sum("_hypothesis").alias("_h"), F.sum("_reference").alias("_r"))
+    mean = lambda side: F.coalesce(F.avg(F.when(F.col(side) > 0, F.col("_m") / F.col(side))), F.lit(0.0))
+    means = per_order.groupBy(*keys).agg(mean("_h").alias("_p"), mean("_r").alias("_q"))
+    p, q, b = F.col("_p"), F.col("_q"), beta**2
     return means.select(*keys, F.when(p + q > 0, 100 * (1 + b) * p * q / F.nullif(b * p + q, F.lit(0.0))).otherwise(0.0).alias("chrf"))
 
 

@@ -9,11 +9,11 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, os.environ.get("PYTHONPATH")) if p)
 
 
-@pytest.fixture(scope="session")
-def spark():
+def pytest_configure(config):
+    """One session for all tests, there before they are collected, so that they may name columns at their top."""
     from pyspark.sql import SparkSession
 
-    session = (
+    config.spark = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +22,10 @@ def spark():
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    config.spark.sparkContext.setLogLevel("ERROR")
+
+
+@pytest.fixture(scope="session")
+def spark(pytestconfig):
+    yield pytestconfig.spark
+    pytestconfig.spark.stop()

@@ -1,0 +1,58 @@
+"""Streams over files against their batch twins."""
+
+from pyspark.sql import functions as F
+
+from panelwerk.operators import memory as M
+from panelwerk.streaming import activity as A
+
+SF = "/root/testdata/sf0.001"
+
+
+def stream(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drain(df, mode, name):
+    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_sessions(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select(F.concat(F.lit("w"), F.col("user_id") % 5).alias("worker_id"), "ts")
+    events.orderBy("ts").coalesce(1).write.parquet(f"{tmp_path}/e")
+    live = A.worker_liveness(A.timed(stream(spark, f"{tmp_path}/e", events.schema)), 1800)
+    found = {tuple(r) for r in drain(live, "append", "live").collect()}
+    batch = A.sessions_by_gaps(events, "worker_id", 1800).select("worker_id", "start", "end", "events")
+    want = {tuple(r) for r in batch.collect()}
+    assert found <= want and len(want) - len(found) <= 5  # the last span of each worker is still open
+
+
+def test_progress_and_claims(spark, tmp_path):
+    rows = [(1, 10, 5, 100), (1, 40, 50, 100), (2, 20, 1, 10), (1, 30, 20, 100)]
+    samples = spark.createDataFrame(rows, "job_id int, s int, progress int, total int").withColumn("ts", F.timestamp_seconds("s"))
+    samples.drop("s").coalesce(1).write.parquet(f"{tmp_path}/s")
+    schema = samples.drop("s").schema
+    got = {r.job_id: r.progress for r in drain(A.job_progress(stream(spark, f"{tmp_path}/s", schema)), "complete", "progress").collect()}
+    assert got == {1: 50, 2: 1}
+    claims = A.claim_jobs(stream(spark, f"{tmp_path}/s", schema).withWatermark("ts", "1 hour"))
+    assert drain(claims, "append", "claims").count() == 2
+
+
+def test_answers_stream_as_in_batch(spark, tmp_path):
+    rows = [(1, "speech", "```\nCIAO\n```"), (2, "sfx", "una casa nuova"), (3, "sfx", "BANG" * 9), (4, "other", "123")]
+    raw = spark.createDataFrame(rows, "block_id int, kind string, answer string")
+    raw.write.parquet(f"{tmp_path}/r")
+    live = {tuple(r) for r in drain(A.clean_answers(stream(spark, f"{tmp_path}/r", raw.schema)), "append", "answers").collect()}
+    assert live == {tuple(r) for r in A.clean_answers(raw).collect()}
+    assert (2, "other", "una casa nuova", True) in live and (4, "other", "", False) in live
+
+
+def test_memory_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b", "X", 1), (1, "A  B", "Y", 2), (1, "c", " ", 3)], "series_id long, text string, translation string, ord int")
+    write = A.memory_sink(f"{tmp_path}/m", M.upsert_memory)
+    write(rows, 0)
+    write(spark.createDataFrame([(1, "a b", "Z", 9), (2, "a b", "Q", 1)], rows.schema), 1)
+    write(spark.createDataFrame([(1, "a b", "Z", 9), (2, "a b", "Q", 1)], rows.schema), 1)  # again
+    found = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/m/batch=1").collect()}
+    assert found == {(1, "A B", "Z"), (2, "A B", "Q")}
