@@ -182,9 +182,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     parts = parts.select(*(F.col(c).alias("_own_" + c.strip("_")) for c in ("doc_id", "_hash", "size", "taken", "spans")))
     mixed = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("_own_doc_id")) & (F.col("_hash") == F.col("_own_hash")))
     part = F.col("_own_taken") < F.col("_own_size")
-    mixed = mixed.withColumn("_own_words", F.when(part, words(F.col("text"))))
-    taken = F.transform("_own_spans", lambda s: F.slice(F.col("_own_words"), s["first"].cast("int") + 1, s["n"].cast("int")))
-    mixed = mixed.withColumn("text", F.when(part, F.array_join(F.flatten(taken), " ")).otherwise(F.col("text")))
+    piece = lambda w, s: F.slice(w, s["first"].cast("int") + 1, s["n"].cast("int"))
+    some = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform("_own_spans", lambda s: piece(w, s))), " "))
+    mixed = mixed.withColumn("text", F.when(part, some).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(*docs.columns)
