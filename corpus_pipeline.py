@@ -26,9 +26,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.line_quality(docs).where("lq_kept")
-    cleaned = F.when(F.col("lq_n_lines_removed") > 0, F.col("lq_text")).otherwise(F.col("text"))
-    return judged.withColumn("text", cleaned).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return quality_rules.cleaned_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,18 @@ def line_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     return judged.withColumn("lq_kept", ~F.col("lq_base_failed") & (lost <= MAX_LOST * F.col("lq_word_chars")))
 
 
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """The kept rows of ``docs`` (doc_id, text, n_chars and others) without their failing lines.
+
+    Rejected rows leave by a generator: a filter would be pushed below the projections and repeat all their expressions.
+    """
+    judged = line_quality(docs)
+    cleaned = judged.withColumn("text", F.when(F.col("lq_n_lines_removed") > 0, F.col("lq_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(F.inline(F.when(F.col("lq_kept"), F.array(F.struct(*docs.columns))))).select(*docs.columns)
+
+
 def op3_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     named = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "kept_chars"]
