@@ -208,3 +208,34 @@ def build_requests(t: Tables):
     terms = t.blocks.where("kind = 'title' AND translation <> ''").select("page_id", F.col("text").alias("source"), F.col("translation").alias("target")).distinct()
     before = t.blocks.where("translation_status = 'approved'").select("page_id", (-F.col("position")).alias("back"), F.col("text").alias("source"), F.col("translation").alias("target"))
     return C.build_requests(asked, terms, before, _RULES)
+
+
+@query(
+    """SELECT s.album_id, s.position, s.page_id, r.page_id AS reference_page FROM sheets s JOIN sheets r ON r.album_id = s.album_id AND s.kind = 'original' AND r.kind = 'reference'
+ AND r.position = s.position + s.album_id % 3 - 1"""
+)
+def paired_pages(t: Tables):
+    offsets = t.albums.select("album_id", (F.col("album_id") % 3 - 1).alias("offset"))
+    return G.paired_pages(t.sheets.where("kind = 'original'"), t.sheets.where("kind = 'reference'"), offsets, ["album_id"])
+
+
+@query()
+def edition_pairs(t: Tables):
+    """Texts of aligned blocks, with what is left on either side."""
+    keys = ["album_id", "position"]
+    source, target = _editions(t)
+    target = target.withColumn("position", F.col("position") - 2)
+    texts = t.blocks.select(F.col("block_id").alias("i"), "text")
+    left = source.select(*keys, "i").join(texts, "i")
+    right = target.select(*keys, "j").join(texts.withColumnRenamed("i", "j"), "j")
+    pairs = G.edition_pairs(G.align_boxes(source, target, keys), left, right, keys)
+    nested = G.export_pairs(pairs, left, right, keys)
+    return nested.select(*keys, *(F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("pairs", "source_only", "target_only")))
+
+
+@query()
+def apply_translations(t: Tables):
+    chains = C.resolve_chains(t.links)
+    blocks = t.links.select("page_id", "block_id", "text", F.lit("").alias("translation"), F.lit("none").alias("translation_status"))
+    answers = chains.where("part = 0").join(blocks, ["page_id", "block_id"]).select("head", F.upper("text").alias("text"), F.lit("n").alias("note"))
+    return C.apply_translations(blocks, chains, answers)

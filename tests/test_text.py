@@ -137,3 +137,12 @@ def test_outlines(spark):
     good = [[0.0, 0.0], [0.0, 5.0], [0.0, 10.0], [8.0, 10.0], [8.0, 5.0], [8.0, 0.0]]
     rows = [(good,), (good[:4],), (None,), ([*good[:3], *reversed(good[3:])],), ([[0.0, 0.0], [0.0, 5.0], [0.0, 6.0], [8.0, 6.0], [8.0, 5.0], [8.0, 0.0]],)]
     assert values(spark, rows, V.usable_outline(A, F.lit(10.0), F.lit(10.0)), "a array<array<double>>") == [True, False, False, False, False]
+
+
+def test_apply_translations(spark):
+    rows = [(1, 1, "uno due", "", "none"), (1, 2, "tre", "", "none"), (1, 3, "*x* y", "OLD", "approved"), (1, 4, "*a* b", "", "none")]
+    blocks = spark.createDataFrame(rows, "page_id int, block_id int, text string, translation string, translation_status string")
+    chains = spark.createDataFrame([(1, 1, 1, 0), (1, 1, 2, 1), (1, 3, 3, 0), (1, 4, 4, 0)], "page_id int, head int, block_id int, part int")
+    answers = spark.createDataFrame([(1, "JEDAN DVA ‖ TRI", "n"), (3, "NEW", "m"), (4, "A *B* C*", None)], "head int, text string, note string")
+    found = {r.block_id: (r.translation, r.translation_status, r.note) for r in C.apply_translations(blocks, chains, answers).collect()}
+    assert found == {1: ("JEDAN DVA", "draft", "n"), 2: ("TRI", "draft", None), 3: ("OLD", "approved", None), 4: ("A B C", "draft", None)}
