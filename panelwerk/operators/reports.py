@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Codes and their labels (fixed values).
 DIALOGUE = ("speech", "thought", "caption")
 REDRAWN = ("title", "other", "sfx")
@@ -69,7 +71,7 @@ def glossary_counts(glossary: DataFrame, needle: str) -> DataFrame:
 
 def needs_redraw(blocks: DataFrame) -> DataFrame:
     """Blocks with ``redraw`` (a sign, title or sound whose letters and digits change) and ``lettered``."""
-    bare = lambda c: F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]", "")
+    bare = lambda c: F.regexp_replace(T.upper(F.col(c)), r"[^\p{L}\p{N}]", "")
     redraw = F.col("kind").isin(*REDRAWN) & (F.trim("text") != "") & (F.trim("translation") != "") & (bare("text") != bare("translation"))
     return blocks.withColumn("redraw", redraw).withColumn("lettered", F.col("kind").isin(*DIALOGUE) | F.col("redraw"))
 

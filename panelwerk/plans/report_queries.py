@@ -53,11 +53,17 @@ r AS (SELECT block_id, kind, kind IN ('title', 'other', 'sfx') AND trim(text) <>
 SELECT block_id, redraw, kind IN ('speech', 'thought', 'caption') OR redraw AS lettered FROM r"""
 )
 def needs_redraw(t: Tables):
-    """The other engine keeps ß in upper case: such rows are left to the unit test."""
+    """Rows without ß, the part that SQL can check: the other engine keeps ß in upper case. ``needs_redraw_all`` has all rows."""
     plain = t.blocks.where(~F.concat("text", "translation").contains("ß"))
     return R.needs_redraw(plain).select("block_id", "redraw", "lettered")
 
 
+@query()
+def needs_redraw_all(t: Tables):
+    """The verdict on every block."""
+    return R.needs_redraw(t.blocks).select("block_id", "redraw", "lettered")
+
+
 @query("SELECT page_id, count(*) AS unread FROM blocks WHERE source = 'auto' AND ocr_model IS NULL GROUP BY page_id")
 def unread_blocks(t: Tables):
     return R.unread_blocks(t.blocks).groupBy("page_id").agg(F.count("*").alias("unread"))

@@ -7,6 +7,7 @@ import pytest
 
 from panelwerk.functions.text import ACCENTS
 from panelwerk.operators import metrics as X
+from panelwerk.operators import reports as R
 from panelwerk.plans import registry
 from panelwerk.plans.book import Tables
 
@@ -52,3 +53,21 @@ def test_error_rates_count_every_turn(spark):
     assert any(not (h + r).isascii() for _, h, r in pairs)
     found = registry.QUERIES["cer_all_turns"](spark, SF).collect()
     assert {r.role: (r.errors, r.length, r.cer) for r in found} == by_role(pairs)
+
+
+def drawn(kind, text, translation):
+    bare = lambda x: re.sub(r"[\W_]", "", x.replace("ß", "ss").upper())
+    redraw = kind in ("title", "other", "sfx") and bool(text.strip(" ") and translation.strip(" ")) and bare(text) != bare(translation)
+    return redraw, redraw or kind in ("speech", "thought", "caption")
+
+
+def test_redraw_of_sharp_s(spark):
+    rows = [(1, "other", "Straße", "STRASSE"), (2, "other", "Straße", "Strafe"), (3, "speech", "Straße", "x"), (4, "sfx", "SPASS!", "Spaß"), (5, "title", "ß", "")]
+    found = R.needs_redraw(spark.createDataFrame(rows, "block_id int, kind string, text string, translation string")).collect()
+    assert {r.block_id: (r.redraw, r.lettered) for r in found} == {k: drawn(*rest) for k, *rest in rows}
+
+
+def test_redraw_of_every_block(spark):
+    want = {r.block_id: drawn(r.kind, r.text, r.translation) for r in Tables(spark, SF).blocks.collect()}
+    found = registry.QUERIES["needs_redraw_all"](spark, SF).collect()
+    assert len(found) == len(want) and {r.block_id: (r.redraw, r.lettered) for r in found} == want
