@@ -9,7 +9,12 @@ node is worth its log-odds plus what its children are worth, or nothing if it is
 Training takes a bounded sample (TRAIN_PAGES, chosen by a hash) of the pages. Their article elements tell which blocks are
 main text; these blocks are set again into made-up layouts (semantic tags or plain divisions with class names, menus, notices,
 adverts, forms, side columns, related lists, reader comments, footers), whose truth is known. The model is some dozens of
-small trees, whatever the input. Extraction is one scan without a shuffle.
+small trees, whatever the input. Extraction is one scan without a shuffle. Where no article or main element is sampled, dense runs of
+text (long, in sentences, with few links, outside menus and the like) stand for the main text of a page, or else its longest run.
+
+Text after the end of the body belongs to the body. Text outside all block-level elements gets a node of its own below the root, one for each run, and is kept or dropped by its odds.
+Elements that hold no text of the page are skipped up to their end tag; a self-closed one ends at once. Without an end tag, script and
+style reach to the end of the page, as in HTML; a title, form field or option reaches to the next tag; others hold nothing.
 
 Defined results: a null, empty or text-free page gives an empty text of 0 characters; repeated pages are extracted row by row;
 without pages nothing is trained and nothing returned; extra columns are kept by ``extract_text``. Pages are never cut. White space is
@@ -22,6 +27,7 @@ import html
 import random
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -33,6 +39,8 @@ from .common import table
 
 #: Expected number of pages trained on, at most; made-up layouts of each.
 TRAIN_PAGES, LAYOUTS = 300, 5
+#: Made-up layouts of all pages together, at least, where main text is told by density.
+DENSE_LAYOUTS = 300
 TREES, DEPTH, BINS, RATE, LEAF_L2, LEAF_MIN = 40, 4, 32, 0.25, 1.0, 20
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
@@ -41,6 +49,10 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements by kind (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select option object canvas".split())
+#: Of these, those with plain text inside, which do not nest, and those whose text goes up to the next tag where the end tag is missing.
+CODE, PLAIN, LABEL = ("script", "style"), frozenset("script style noscript textarea title iframe".split()), ("textarea", "title", "select", "option")
+NESTED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)(template|svg|select|object|canvas)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S | re.I)
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input picture button output meter progress audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -52,6 +64,22 @@ BAD = frozenset("ad ads advert advertisement banner nav menu navbar sidebar side
 INHERITED = 6  # kinds from 0 to 5 that are handed down
 
 
+def _ends(source: str, at: int) -> dict[int, int]:
+    """Where each nesting element without text from ``at`` on ends, by the end of its start tag; those without an end tag are left out."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in NESTED.finditer(source, at):
+        if m[3] is None:
+            continue
+        held = opened.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not CLOSED.search(m[4]):
+                held.append(m.end())
+        elif held:
+            found[held.pop()] = m.end()
+    return found
+
+
 class Page:
     """Block-level nodes of a page in document order, and its runs of text, each in one node."""
 
@@ -67,13 +95,53 @@ class Page:
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements and their block node
         texts: list[str] = []
         at, end, in_link = 0, len(source), 0
+        ends: dict[int, int] | None = None
+        unclosed: set[str] = set()  # tags without an end tag in the rest of the page
+
+        def add(tag: str, parent: int, good: int = 0, bad: int = 0, truth: int = 0, links: int = 0, fields: int = 0) -> int:
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
+            self.tag.append(tag)
+            self.kind.append(KIND.get(tag, len(KINDS)))
+            self.good.append(good)
+            self.bad.append(bad)
+            self.truth.append(truth)
+            self.links.append(links)
+            self.fields.append(fields)
+            return len(self.parent) - 1
 
         def flush() -> None:
             if texts:
                 text = " ".join(html.unescape("".join(texts)).split())
                 texts.clear()
                 if text:
-                    self.runs.append((stack[-1][1], text))
+                    node = stack[-1][1]
+                    if not node:  # a node of its own, with what the root holds so far
+                        node = add("#text", 0, links=self.links[0], fields=self.fields[0])
+                        self.links[0] = self.fields[0] = 0
+                    self.runs.append((node, text))
+
+        def after(tag: str, attributes: str, at: int) -> int:
+            """Where the page goes on after an element without text whose start tag ends at ``at``."""
+            nonlocal ends
+            if CLOSED.search(attributes):
+                return at
+            if tag in PLAIN:
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if close:
+                    return close.end()
+                unclosed.add(tag)
+                if tag in CODE:
+                    return end
+            elif tag != "option":
+                if ends is None:
+                    ends = _ends(source, m.start())
+                if at in ends:
+                    return ends[at]
+            if tag in LABEL:
+                following = TAG.search(source, at)
+                return following.start() if following else end
+            return at
 
         def pop_to(k: int) -> None:
             nonlocal in_link
@@ -98,12 +166,14 @@ class Page:
             if m[1]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
+                        if tag in ("html", "body"):  # text after these belongs to the body, as in HTML
+                            flush()
+                            k = k + 1 if tag == "body" else len(stack)
                         pop_to(k)
                         break
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = close.end() if close else end
+                at = after(tag, m[3], at)
                 self.fields[stack[-1][1]] += tag in ("select", "textarea")
                 continue
             if tag == "br":
@@ -123,18 +193,9 @@ class Page:
             flush()
             if tag in VOID:
                 continue
-            node = len(self.parent)
             tokens = [t.lower() for a in ATTRIBUTE.finditer(m[3]) for t in TOKEN.findall(a[2] or a[3] or a[4] or "")]
-            self.parent.append(stack[-1][1])
-            self.depth.append(self.depth[stack[-1][1]] + 1)
-            self.tag.append(tag)
-            self.kind.append(KIND.get(tag, len(KINDS)))
-            self.good.append(sum(t in GOOD for t in tokens))
-            self.bad.append(sum(t in BAD for t in tokens))
-            self.truth.append(int('data-truth="1"' in m[3]))
-            self.links.append(0)
-            self.fields.append(0)
-            stack.append((tag, node))
+            good, bad = sum(t in GOOD for t in tokens), sum(t in BAD for t in tokens)
+            stack.append((tag, add(tag, stack[-1][1], good, bad, int('data-truth="1"' in m[3]))))
         flush()
 
     @staticmethod
@@ -261,19 +322,32 @@ def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
 
 def main_text(page: Page, odds: np.ndarray) -> str:
     keep = decode(page.parent, odds)
-    return "\n".join(text for node, text in page.runs if node and keep[node])
+    return "\n".join(text for node, text in page.runs if keep[node])
 
 
 # -- training
 
 
-def _layout(page: Page, rng: random.Random) -> str | None:
-    """The page's main blocks (those below an article or main element) in a made-up layout, marked with the truth."""
+def _dense(page: Page) -> list[bool]:
+    """Which runs look like main text: words in sentences, few links, outside menus and the like; or else the longest."""
+    aside, words = [False] * len(page.parent), [0] * len(page.parent)
+    for i in range(1, len(page.parent)):
+        aside[i] = aside[page.parent[i]] or 0 < page.kind[i] < INHERITED or page.bad[i] > page.good[i]
+    for n, t in page.runs:
+        words[n] += t.count(" ") + 1
+    found = [not aside[n] and t.count(" ") > 6 and any(c in t for c in ".?!。？！") and 4 * page.links[n] <= words[n] for n, t in page.runs]
+    longest = max((len(t) for _, t in page.runs), default=0)
+    return found if any(found) else [len(t) == longest for _, t in page.runs]
+
+
+def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
+    """The page's main blocks (those below an article or main element, or the dense ones) in a made-up layout, marked with the truth."""
     inside = [False] * len(page.parent)
     for i in range(1, len(page.parent)):
         inside[i] = inside[page.parent[i]] or page.kind[i] == 0
-    main = [(page.tag[n], html.escape(t)) for n, t in page.runs if inside[n]]
-    other = [html.escape(t) for n, t in page.runs if n and not inside[n]]
+    chosen = _dense(page) if dense else [inside[n] for n, _ in page.runs]
+    main = [(page.tag[n], html.escape(t)) for (n, t), yes in zip(page.runs, chosen, strict=True) if yes]
+    other = [html.escape(t) for (_, t), yes in zip(page.runs, chosen, strict=True) if not yes]
     if not main:
         return None
     words = " ".join(t for _, t in main).split() or ["x"]
@@ -326,7 +400,7 @@ def _layout(page: Page, rng: random.Random) -> str | None:
     return f"<html><head><title>x</title></head><body{mark}>{pick('notice', 'header', 'nav', 'ad', 'form')}{inner}{pick('share', 'comments', 'aside', 'ad', 'form', 'notice')}{pick('footer', 'footer')}</body></html>"
 
 
-def _examples(source: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _examples(source: str, seed: int, layouts: int = LAYOUTS, dense: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     page = Page(source)
     if page.runs and 0 in page.kind:
         inside, holds = [False] * len(page.parent), np.zeros(len(page.parent), np.int8)
@@ -337,8 +411,8 @@ def _examples(source: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
             holds[page.parent[i]] |= holds[i]
         yield node_features(page)[1:], holds[1:]
     rng = random.Random(seed)
-    for _ in range(LAYOUTS):
-        made = _layout(page, rng)
+    for _ in range(layouts):
+        made = _layout(page, rng, dense)
         if made:
             other = Page(made)
             truth = np.array(other.truth, np.int8)
@@ -350,14 +424,17 @@ def _examples(source: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:
     """Trees from about ``rows`` pages at most; None without any main text to learn from."""
     known = pages.where("html IS NOT NULL").select("page_id")
-    share = min(1.0, rows / max(1, known.count()))
+    n = known.count()
+    share = min(1.0, rows / max(1, n))
     turn = F.shiftrightunsigned(F.xxhash64(F.lit("training pages"), "page_id"), 33)
     sample = pages.where("html IS NOT NULL").withColumn("turn", turn).where(F.col("turn") < F.lit(int(share * (1 << 31))))
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    few = -(-DENSE_LAYOUTS // max(1, min(n, rows)))  # layouts of each page where a small sample has to give enough nodes
+
+    def make(batches: Iterator[pd.DataFrame], dense: bool = False) -> Iterator[pd.DataFrame]:
         for b in batches:
             for turn, source in zip(b.turn, b.html, strict=True):
-                for x, y in _examples(source, int(turn)):
+                for x, y in _examples(source, int(turn), max(LAYOUTS, few) if dense else LAYOUTS, dense):
                     yield pd.DataFrame({"turn": [int(turn)], "x": [x.tobytes()], "y": [y.tobytes()]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -372,9 +449,12 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:
         yield pd.DataFrame({"part": ["cuts", "features", "bins", "values", "base"], "data": [np.asarray(v, float).tobytes() for v in (t.cuts, t.features, t.bins, t.values, t.base)]})
 
     python_workers(pages.sparkSession)
-    made = sample.select("turn", "html").mapInPandas(make, "turn long, x binary, y binary")
-    got = {r.part: np.frombuffer(r.data) for r in made.repartition(1).mapInPandas(learn, "part string, data binary").collect()}  # of a fixed size
-    if not got:
+    for dense in (False, True):
+        made = sample.select("turn", "html").mapInPandas(partial(make, dense=dense), "turn long, x binary, y binary")
+        got = {r.part: np.frombuffer(r.data) for r in made.repartition(1).mapInPandas(learn, "part string, data binary").collect()}  # of a fixed size
+        if got:
+            break
+    else:
         return None
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     return Trees(got["cuts"].reshape(-1, BINS - 1), got["features"].astype(int).reshape(-1, inner), got["bins"].astype(int).reshape(-1, inner), got["values"].reshape(-1, leaves), float(got["base"][0]))
