@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from panelwerk.functions.text import ACCENTS
+from panelwerk.operators import chains as C
 from panelwerk.operators import metrics as X
 from panelwerk.operators import reports as R
 from panelwerk.plans import registry
@@ -71,3 +72,10 @@ def test_redraw_of_every_block(spark):
     want = {r.block_id: drawn(r.kind, r.text, r.translation) for r in Tables(spark, SF).blocks.collect()}
     found = registry.QUERIES["needs_redraw_all"](spark, SF).collect()
     assert len(found) == len(want) and {r.block_id: (r.redraw, r.lettered) for r in found} == want
+
+
+def test_links_in_a_cycle(spark):
+    links = {1: 2, 2: 1, 3: 4, 4: 5, 5: 3, 6: 7, 7: 8, 8: None, 9: 9, 10: 99, 11: 13, 12: 13, 13: 12, 14: 15, 15: 16, 16: 14, 17: 14, 99: None}
+    blocks = spark.createDataFrame([(1 + (k == 99), k, k, v) for k, v in links.items()], "page_id int, block_id int, position int, continues_id int")
+    want = {1: "cycle", 2: "cycle", 3: "cycle", 4: "cycle", 5: "cycle", 9: "self", 10: "other page", 12: "taken", 14: "cycle", 15: "cycle", 16: "cycle", 17: "taken"}
+    assert sorted(map(tuple, C.invalid_links(blocks).collect())) == sorted(want.items())
