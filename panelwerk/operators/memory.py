@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chains import resolve_chains
 
 
 def relevant_glossary(texts: DataFrame, glossary: DataFrame, key: str) -> DataFrame:
@@ -59,20 +60,33 @@ def previous_page_context(sheets: DataFrame, blocks: DataFrame, n: int = 12) ->
 def translation_plan(blocks: DataFrame, memory: DataFrame, overwrite: bool = False) -> DataFrame:
     """How each block with text is to be translated: ``kept``, by the sound ``glossary``, from ``memory`` or by the ``model``.
 
-    ``blocks``: with series_id. Only untranslated blocks are eligible, with ``overwrite`` drafts too.
+    ``blocks``: with series_id; with continues_id, chains of blocks with text go to the model as one, if any of their blocks is
+    eligible: each row has its chain's ``head``, its ``part`` in it and the chain's route. Only untranslated blocks are eligible,
+    with ``overwrite`` drafts too.
     """
     rows = blocks.withColumn("flat", T.flatten(F.col("text"))).where("flat <> ''")
     eligible = F.col("translation_status").isin(*(["none", "draft"] if overwrite else ["none"]))
+    if "continues_id" in blocks.columns:
+        chain = Window.partitionBy("page_id", "head")
+        rows = rows.join(resolve_chains(rows), ["page_id", "block_id"])
+        rows = rows.withColumns({"eligible": F.bool_or(eligible).over(chain), "chained": F.count("*").over(chain) > 1})
+    else:
+        rows = rows.withColumns({"head": F.col("block_id"), "part": F.lit(0), "eligible": eligible, "chained": F.lit(False)})
+    found = memory_lookup(rows, memory).withColumn("remembered", F.when(~F.col("chained"), F.col("remembered")))
     route = (
-        F.when(~eligible, "kept").when(F.col("kind") == "sfx", "glossary").when(F.col("remembered").isNotNull(), "memory").otherwise("model")
+        F.when(~F.col("eligible"), "kept")
+        .when(F.col("chained"), "model")
+        .when(F.col("kind") == "sfx", "glossary")
+        .when(F.col("remembered").isNotNull(), "memory")
+        .otherwise("model")
     )
-    return memory_lookup(rows, memory).withColumn("route", route)
+    return found.withColumn("route", route).drop("eligible", "chained")
 
 
 def translation_totals(plan: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Per album, over its original pages that are not skipped: pages, blocks by route and those whose memory is too long."""
+    """Per album, over its original pages that are not skipped: pages, chains by route (a block alone is one) and those whose memory is too long."""
     pages = sheets.where("kind = 'original' AND NOT skip").select("page_id", "album_id")
-    rows = pages.join(plan.select("page_id", "route", "flat", "remembered"), "page_id", "left")
+    rows = pages.join(plan.where("part = 0").select("page_id", "route", "flat", "remembered"), "page_id", "left")
     by = lambda r: F.count_if(F.col("route") == r)
     long = T.is_too_long(F.col("flat"), F.col("remembered"))
     return rows.groupBy("album_id").agg(

@@ -135,6 +135,22 @@ def translation_totals(t: Tables):
     return M.translation_totals(_plan(t), t.sheets)
 
 
+def _chained_plan(t: Tables):
+    """The plan of blocks of which every third one of a page continues in the next."""
+    linked = _with_series(t).withColumn("continues_id", F.when(F.col("position") % 3 == 1, F.col("block_id") + 1))
+    return M.translation_plan(linked, M.latest_memory(_approved(t)))
+
+
+@query()
+def translation_plan_of_chains(t: Tables):
+    return _chained_plan(t).select("block_id", "head", "part", "route", "remembered")
+
+
+@query()
+def translation_totals_of_chains(t: Tables):
+    return M.translation_totals(_chained_plan(t), t.sheets)
+
+
 @query(
     f"""WITH {_FLAT_BLOCKS}, r AS (SELECT page_id, position, flat, translation, row_number() OVER (PARTITION BY page_id ORDER BY position DESC) AS back FROM f
  WHERE trim(flat) <> '' AND trim(translation) <> '')

@@ -7,6 +7,7 @@ import pytest
 
 from panelwerk.functions.text import ACCENTS
 from panelwerk.operators import chains as C
+from panelwerk.operators import memory as M
 from panelwerk.operators import metrics as X
 from panelwerk.operators import reports as R
 from panelwerk.plans import registry
@@ -79,3 +80,22 @@ def test_links_in_a_cycle(spark):
     blocks = spark.createDataFrame([(1 + (k == 99), k, k, v) for k, v in links.items()], "page_id int, block_id int, position int, continues_id int")
     want = {1: "cycle", 2: "cycle", 3: "cycle", 4: "cycle", 5: "cycle", 9: "self", 10: "other page", 12: "taken", 14: "cycle", 15: "cycle", 16: "cycle", 17: "taken"}
     assert sorted(map(tuple, C.invalid_links(blocks).collect())) == sorted(want.items())
+
+
+def test_chains_are_planned_as_one(spark):
+    rows = [
+        (1, 1, 1, "speech", "known", "none", 2), (1, 2, 2, "sfx", "bang", "none", None), (1, 3, 3, "speech", "known", "none", None), (1, 4, 4, "sfx", "bang", "none", None),
+        (1, 5, 5, "speech", "a", "edited", 6), (1, 6, 6, "speech", "known", "none", None), (1, 7, 7, "speech", "a", "edited", 8), (1, 8, 8, "speech", "b", "approved", None),
+        (1, 9, 9, "speech", "known", "none", 10), (1, 10, 10, "speech", " ", "none", None), (1, 11, 11, "speech", "new", "none", 99),
+    ]
+    blocks = spark.createDataFrame([(1, *r) for r in rows], "series_id int, page_id int, block_id int, position int, kind string, text string, translation_status string, continues_id int")
+    memory = spark.createDataFrame([(1, "KNOWN", "ZNANO")], "series_id int, source string, target string")
+    plan = M.translation_plan(blocks, memory)
+    found = {r.block_id: (r.head, r.route, r.remembered) for r in plan.collect()}
+    assert found == {
+        1: (1, "model", None), 2: (1, "model", None), 3: (3, "memory", "ZNANO"), 4: (4, "glossary", None), 5: (5, "model", None), 6: (5, "model", None),
+        7: (7, "kept", None), 8: (7, "kept", None), 9: (9, "memory", "ZNANO"), 11: (11, "model", None),
+    }
+    sheets = spark.createDataFrame([(1, 1, "original", False)], "page_id int, album_id int, kind string, skip boolean")
+    totals = M.translation_totals(plan, sheets).first()
+    assert (totals.translated, totals.from_memory, totals.by_glossary, totals.by_model) == (6, 2, 1, 3)
