@@ -7,6 +7,7 @@ import pytest
 
 from panelwerk.functions.text import ACCENTS
 from panelwerk.operators import chains as C
+from panelwerk.operators import history as H
 from panelwerk.operators import memory as M
 from panelwerk.operators import metrics as X
 from panelwerk.operators import reports as R
@@ -99,3 +100,17 @@ def test_chains_are_planned_as_one(spark):
     sheets = spark.createDataFrame([(1, 1, "original", False)], "page_id int, album_id int, kind string, skip boolean")
     totals = M.translation_totals(plan, sheets).first()
     assert (totals.translated, totals.from_memory, totals.by_glossary, totals.by_model) == (6, 2, 1, 3)
+
+
+def test_pages_are_restored_with_all_columns_and_patches(spark):
+    fields = "page_id int, block_id int, position int, text string, source string, ocr_model string, updated_at string"
+    rows = [(1, 1, 1, "a", "auto", "m", "t1"), (1, 2, 2, "b", "manual", None, "t2"), (2, 3, 1, "c", "auto", "m", "t3")]
+    blocks, patches = spark.createDataFrame(rows, fields), spark.createDataFrame([(1, 7, 1), (2, 8, 3)], "page_id int, patch_id int, block_id int")
+    pages = spark.createDataFrame([(1,), (3,)], "page_id int")
+    past = spark.createDataFrame([(1, "redo", 4, "x"), (1, "undo", 2, "x")], "page_id int, kind string, position int, action string")
+    after = H.snapshot_pages(blocks, past, pages, "clear", patches)
+    damaged = spark.createDataFrame([(1, 1, 5, "", "manual", "n", "t9"), rows[2], (3, 4, 1, "d", "auto", "m", "t4")], fields)
+    assert sorted(map(tuple, H.restore_pages(after, damaged).collect())) == rows
+    marred = spark.createDataFrame([(1, 9, 1), (2, 8, 3), (3, 5, 4)], "page_id int, patch_id int, block_id int")
+    assert sorted(map(tuple, H.restore_patches(after, marred).collect())) == [(1, 7, 1), (2, 8, 3)]
+    assert {(r.page_id, r.kind, r.position) for r in after.collect()} == {(1, "undo", 2), (1, "undo", 3), (3, "undo", 1)}
