@@ -1,16 +1,18 @@
 """Document fingerprints by winnowing, DataFrame functions only.
 
-Words are hashed, k-gram hashes are rolled over them (each word's hash rotated by its place in the gram, all of them
-xor-ed), the minimum of every window of w grams is chosen, the rightmost where several are equal, and its position is kept.
-Any run of w + k - 1 words that two texts share is found in both fingerprints.
-
-Grams are of words, not of characters: character grams need about six times the steps in Spark's array functions, more
-than the time allowed.
-
-Defined results: words are cut at ASCII white space; fewer than k words make one gram of all of them; null, empty and
-blank texts have an empty fingerprint, like any other such text (likeness 1) and unlike all others (0). A gram is kept as
-the upper 39 bits of its hash; positions above 2**25 - 1 are kept as that. Documents with equal ids follow each other in the
-order of a hash of their text; a null id comes first. Extra columns are ignored.
+A text's characters (code points) are hashed in runs of THIRD, and k-gram hashes are rolled from them: a gram of
+k = 3 * THIRD characters combines the hashes of its three thirds, each of which serves three neighbouring grams. The
+minimum of every window of w grams is chosen, the rightmost where several are equal, and its position is kept. Any run of
+w + k - 1 characters that two texts share is found in both fingerprints, whatever the script.
+
+Windows compare grams by the upper 33 bits of their hashes with the position in the lower 31 bits of the same number, which
+hold any position of a Spark string; equal grams have equal hashes, so the guarantee holds. The fingerprint then keeps the
+whole 64-bit hash of each chosen gram and its position.
+
+Defined results: a text of fewer than k characters is one gram of all of it; null and empty texts have an empty fingerprint,
+like any other such text (likeness 1) and unlike all others (0). Documents with equal ids follow each other in the order of
+a hash of their text; null ids come first; repeated rows follow each other; an empty table gives no rows. Extra columns are
+left out, whatever their names. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -18,64 +20,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, words
-
-#: Words in a gram, grams in a window.
-K, WINDOW = 5, 4
-POSITION_BITS = 25
-LAST = (1 << POSITION_BITS) - 1
-#: Rows of a bucket when documents are put in order, and the most buckets (their bounds are held by every task).
-BUCKET_ROWS, MAX_BUCKETS = 4000, 10_000
+from .common import buckets_in_order, let, table
 
+#: Characters of a third of a gram, grams in a window.
+THIRD, WINDOW = 3, 4
+#: Positions lie in the lower bits of what windows compare.
+LAST = (1 << 31) - 1
+#: Bytes of text in a bucket when documents are put in order.
+BUCKET_BYTES = 64 << 20
 
-def _rotated(x: Column, n: int) -> Column:
-    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else x
 
-
-def winnowed(text: Column, k: int = K, w: int = WINDOW) -> Column:
-    """The chosen grams in order, each packed as hash (upper bits) and LAST - position (lower bits)."""
+def winnowed(text: Column, third: int = THIRD, w: int = WINDOW) -> Column:
+    """The fingerprint of a text (not null): its chosen grams in order, as (hash, position) structs."""
     if w & (w - 1) or w < 2:
         raise ValueError("the window must be a power of two")
+    k = 3 * third
+    gram = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + third), F.get(t, i + 2 * third))
 
-    def grams(h: Column) -> Column:
-        size = F.size(h)
-        few = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: _rotated(a, 1).bitwiseXOR(x)))
-
-        def rolled(x: Column, i: Column) -> Column:
-            gram = _rotated(x, k - 1)
-            for j in range(1, k):
-                gram = gram.bitwiseXOR(_rotated(F.get(h, i + j), k - 1 - j))
-            return gram
-
-        full = F.transform(F.slice(h, 1, F.greatest(size - (k - 1), F.lit(0))), rolled)
-        return F.when(size == 0, F.array().cast("array<long>")).when(size < k, few).otherwise(full)
-
-    def packed(g: Column) -> Column:
-        place = lambda i: F.greatest(F.lit(LAST) - i, F.lit(0)).cast("long")
-        return F.transform(g, lambda x, i: F.shiftleft(F.shiftright(x, POSITION_BITS), POSITION_BITS).bitwiseOR(place(i)))
+    def packed(t: Column) -> Column:
+        starts = F.slice(t, 1, F.size(t) - (k - 1))
+        comparable = lambda h, i: h.bitwiseAND(F.lit(~LAST)).bitwiseOR(F.lit(LAST).cast("long") - i)
+        return F.transform(starts, lambda x, i: comparable(F.xxhash64(x, F.get(t, i + third), F.get(t, i + 2 * third)), i))
 
     def minima(p: Column, step: int) -> Column:
+        """The minimum of each window, from those of its halves."""
         if step == w:
             return p
         return let(F.transform(p, lambda x, i: F.least(x, F.get(p, i + step))), lambda q: minima(q, 2 * step))
 
-    hashes = F.transform(words(text), lambda x: F.xxhash64(x))
-    chosen = lambda p: F.slice(minima(p, 1), 1, F.greatest(F.size(p) - (w - 1), F.least(F.size(p), F.lit(1))))
-    return let(hashes, lambda h: let(grams(h), lambda g: let(packed(g), lambda p: F.array_distinct(chosen(p)))))
+    def chosen(t: Column, p: Column) -> Column:
+        windows = F.greatest(F.size(p) - (w - 1), F.lit(1))
+        places = F.transform(F.array_distinct(F.slice(minima(p, 1), 1, windows)), lambda x: (F.lit(LAST).cast("long") - x.bitwiseAND(F.lit(LAST).cast("long"))).cast("int"))
+        return F.transform(places, lambda i: F.struct(gram(t, i).alias("hash"), i.alias("position")))
 
+    def runs(c: Column) -> Column:
+        return F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + j) for j in range(1, third))))
 
-def selections(packed: Column) -> Column:
-    """Packed grams as (hash, position) structs."""
-    return F.transform(
-        packed,
-        lambda x: F.struct(
-            F.shiftright(x, POSITION_BITS).alias("hash"), (F.lit(LAST) - x.bitwiseAND(F.lit(LAST).cast("long"))).alias("position")
-        ),
-    )
+    whole = F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).alias("position")))
+    long = let(F.split(text, ""), lambda c: let(runs(c), lambda t: let(packed(t), lambda p: chosen(t, p))))
+    return F.when(F.length(text) >= k, long).when(F.length(text) > 0, whole).otherwise(F.array().cast("array<struct<hash: bigint, position: int>>"))
 
 
-def hashes_of(packed: Column) -> Column:
-    return F.array_distinct(F.transform(packed, lambda x: F.shiftright(x, POSITION_BITS)))
+def hashes_of(fingerprint: Column) -> Column:
+    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,53 +76,31 @@ def likeness(a: Column, b: Column) -> Column:
     return let(common, of)
 
 
-def digest(packed: Column) -> Column:
+def digest(fingerprint: Column) -> Column:
     """16 hexadecimal digits of the whole fingerprint, positions included."""
-    return F.lower(F.lpad(F.hex(F.xxhash64(packed)), 16, "0"))
-
-
-def _bounds(docs: DataFrame, order: str) -> list[int]:
-    """Values that cut the documents, in ascending order, into buckets of about BUCKET_ROWS rows."""
-    n = docs.count()
-    buckets = min(MAX_BUCKETS, -(-n // BUCKET_ROWS))
-    if buckets < 2:
-        return []
-    shares = [k / buckets for k in range(1, buckets)]
-    cut = docs.agg(F.percentile_approx(order, shares, max(10_000, 10 * buckets)).alias("cut")).first()["cut"]
-    return sorted(set(cut or []))
-
-
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below a value (null: 0), looked up in two steps of about a square root each."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, round(len(bounds) ** 0.5))
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    outer = F.lit([r[0] for r in rows])
-    row = F.size(F.filter(outer, lambda b: b <= value)) - 1
-    inner = F.size(F.filter(F.get(F.lit(rows), row), lambda b: b <= value))
-    return F.when(value.isNull() | (row < 0), 0).otherwise(row * width + inner)
+    return F.lower(F.lpad(F.hex(F.xxhash64(fingerprint)), 16, "0"))
 
 
 def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's (order, text, packed) and the next_text and next_packed of the next in ascending order (after the last: the first).
+    """Each document's (order, text, marks) and the next_text and next_marks of the next in ascending order (after the last: the first).
 
-    Documents are dealt to buckets of neighbouring ids; within a bucket a window finds the next. A copy of each bucket's
-    first document is also dealt to the bucket before it, where it follows the last, so that one shuffle of the texts is enough.
+    ``marks`` is the fingerprint. Documents are dealt to buckets of neighbouring ids, and the first of each bucket also to the
+    bucket before it, where it follows the last; so one shuffle of the texts is enough. Fingerprints are made after it.
     """
     base = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumns({"bucket": _bucket(F.col("id"), _bounds(base, "id")), "tie": F.xxhash64("text")})
-    turn = Window.orderBy("bucket")  # a row for each bucket, MAX_BUCKETS at most
-    before = F.coalesce(F.lag("bucket").over(turn), F.last("bucket").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    first = base.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("first"))
-    first = first.select(before.alias("before"), F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie"))
-    heads = base.join(F.broadcast(first), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
-    heads = heads.dropDuplicates(["before"]).select(F.col("before").alias("bucket"), "id", "tie", "text", F.lit(True).alias("head"))
-    own = base.select("bucket", "id", "tie", "text", F.lit(False).alias("head"))
-    both = own.withColumn("packed", winnowed(F.col("text"))).unionByName(heads.withColumn("packed", winnowed(F.col("text"))))
+    dealt = buckets_in_order(base.withColumn("tie", F.xxhash64("text")), "id", "tie", "text", BUCKET_BYTES)
+    if dealt is None:
+        return base.where("false").select(F.col("id").alias(order), "text", winnowed(F.col("text")).alias("marks"), F.col("text").alias("next_text"), winnowed(F.col("text")).alias("next_marks"))
+    rows, buckets = dealt
+    before = F.pmod(F.col("bucket") - 1, F.lit(buckets))
+    place = lambda bucket, head: F.struct(bucket.alias("bucket"), F.lit(head).alias("head"))
+    own = place(F.col("bucket"), False)
+    places = F.when(F.col("first"), F.array(own, place(before, True))).otherwise(F.array(own))
+    rows = rows.select("id", "tie", "text", F.inline(places)).repartition(buckets, "bucket")
+    rows = rows.withColumn("marks", winnowed(F.col("text")))
     near = Window.partitionBy("bucket").orderBy("head", F.asc_nulls_first("id"), "tie")
-    both = both.withColumns({"next_text": F.lead("text").over(near), "next_packed": F.lead("packed").over(near)})
-    return both.where(~F.col("head")).select(F.col("id").alias(order), "text", "packed", "next_text", "next_packed")
+    rows = rows.withColumns({"next_text": F.lead("text").over(near), "next_marks": F.lead("marks").over(near)})
+    return rows.where(~F.col("head")).select(F.col("id").alias(order), "text", "marks", "next_text", "next_marks")
 
 
 def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,13 +109,8 @@ def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
     docs = docs.withColumn("edited", edited).drop("text", "next_text")
-    docs = docs.withColumns({"edited_packed": winnowed(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).drop("edited")
-    own, other, following = (hashes_of(F.col(c)) for c in ("packed", "edited_packed", "next_packed"))
-    return docs.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        digest(F.col("packed")).alias("fingerprint"),
-        digest(F.col("edited_packed")).alias("edited_fingerprint"),
-        let(own, lambda a: F.struct(let(other, lambda b: likeness(a, b)).alias("e"), let(following, lambda b: likeness(a, b)).alias("n"))).alias("near"),
-    ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near.e").alias("near_edited"), F.col("near.n").alias("near_next"))
+    docs = docs.withColumns({"edited_marks": winnowed(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).drop("edited")
+    own, other, following = (hashes_of(F.col(c)) for c in ("marks", "edited_marks", "next_marks"))
+    near = let(own, lambda a: F.struct(let(other, lambda b: likeness(a, b)).alias("e"), let(following, lambda b: likeness(a, b)).alias("n")))
+    rows = docs.select("doc_id", "n_chars", "edited_sha256", digest(F.col("marks")).alias("fingerprint"), digest(F.col("edited_marks")).alias("edited_fingerprint"), near.alias("near"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near.e").alias("near_edited"), F.col("near.n").alias("near_next"))

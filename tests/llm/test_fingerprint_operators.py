@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelwerk.llm import fingerprints, mixing, simhash, url_filter
 
@@ -79,21 +80,24 @@ def test_near_duplicates_with_nulls_and_repeats(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def brute_winnow(words, hashes, k=fingerprints.K, w=fingerprints.WINDOW):
-    rot = lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1) if n else x
-    signed = lambda v: v - 2**64 if v >> 63 else v
-    if not words:
-        return []
+def chained(*parts):
+    """Spark's xxhash64 of several values: each one's hash seeds the next."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else (p % 2**64).to_bytes(8, "little"), h)
+    return h - 2**64 if h >> 63 else h
+
+
+def brute_winnow(text, third=fingerprints.THIRD, w=fingerprints.WINDOW):
+    k = 3 * third
+    if len(text) < k:
+        return [(chained(text), 0)] if text else []
     grams = []
-    for i in range(max(1, len(words) - k + 1)):
-        part, g = words[i : i + k], 0
-        for x in part:
-            g = rot(g, 1) ^ (hashes[x] % 2**64)
-        grams.append(signed(g) >> fingerprints.POSITION_BITS)
+    for i in range(len(text) - k + 1):
+        grams.append(chained(*(chained(*text[i + j : i + j + third]) for j in range(0, k, third))))
     chosen = []
     for i in range(max(1, len(grams) - w + 1)):
-        window = range(i, min(i + w, len(grams)))
-        best = min(window, key=lambda p: (grams[p], -p))
+        best = min(range(i, min(i + w, len(grams))), key=lambda p: (grams[p] >> 31, -p))
         if (grams[best], best) not in chosen:
             chosen.append((grams[best], best))
     return chosen
@@ -101,47 +105,78 @@ def brute_winnow(words, hashes, k=fingerprints.K, w=fingerprints.WINDOW):
 
 def test_winnowing_is_the_brute_force_one(spark):
     draw = random.Random(2)
-    texts = [None, "", "  ", "a", "a b c d", "a b c d e", "a a a a a a a a a a a a", " ".join(draw.choice("abcdef") for _ in range(300)), "é\t日本\n語 x y z q"]
+    texts = ["", "  ", "a", "12345678", "123456789", "a" * 40, "ab" * 30, "é\t日本\n語 x y z q", "日本語の文章には空白がない" * 9, "\U0001f600b" * 20]
+    texts += ["".join(draw.choice("abcdef ") for _ in range(draw.randint(1, 400))) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    from pyspark.sql import functions as F
+    for third, w in ((3, 4), (2, 8)):
+        rows = docs.select("text", fingerprints.winnowed(F.col("text"), third, w).alias("s")).collect()
+        for r in rows:
+            assert [(x["hash"], x["position"]) for x in r.s] == brute_winnow(r.text, third, w), r.text
+
 
-    rows = docs.select("i", "text", fingerprints.selections(fingerprints.winnowed(F.col("text"))).alias("s")).collect()
-    names = sorted({w for t in texts for w in WORD.findall(t or "")})
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in names], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
-    for r in rows:
-        assert [(x["hash"], x["position"]) for x in r.s] == brute_winnow(WORD.findall(r.text or ""), hashes), r.text
+def test_shared_runs_are_found_in_long_texts(spark):
+    draw = random.Random(3)
+    noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    run = noise(3 * fingerprints.THIRD + fingerprints.WINDOW - 1)  # the least length that is guaranteed
+    a, b = noise(300_000) + run + noise(50), noise(31) + run + noise(9)
+    rows = spark.createDataFrame([(0, a), (1, b)], "i int, text string").select("i", fingerprints.winnowed(F.col("text")).alias("s")).orderBy("i").collect()
+    at = [{x["hash"]: x["position"] for x in r.s} for r in rows]
+    assert any(300_000 <= at[0][h] and 31 <= at[1][h] and at[0][h] - 300_000 == at[1][h] - 31 for h in at[0].keys() & at[1].keys())
+    assert max(at[0].values()) > 299_000
 
 
 def test_next_document_follows_across_buckets(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
-    ids = [None, *range(0, 200, 7), 14, 5000]
-    docs = spark.createDataFrame([(i, f"text {i} number {k}", 1) for k, i in enumerate(ids)], "doc_id long, text string, bucket int")
-    rows = fingerprints.with_next(docs).collect()
-    assert len(rows) == len(ids)
-    follows = {r.text: r.next_text for r in rows}
-    assert sorted(follows.values()) == sorted(follows)  # one cycle over all
-    seen, at = [], next(t for t in follows if t.startswith("text None"))
-    for _ in ids:
-        seen.append(at)
-        at = follows[at]
-    order = [-1 if t.split()[1] == "None" else int(t.split()[1]) for t in seen]
-    assert order == sorted(order) and at == seen[0]
+    ids = [None, *range(0, 2000, 7), 14, 5000]
+    docs = spark.createDataFrame([(i, f"text {i} number {k}", 1, 2) for k, i in enumerate(ids)], "doc_id long, text string, bucket int, marks int")
+    for size in (64, fingerprints.BUCKET_BYTES):
+        monkeypatch.setattr(fingerprints, "BUCKET_BYTES", size)
+        rows = fingerprints.with_next(docs).collect()
+        assert len(rows) == len(ids)
+        follows = {r.text: r.next_text for r in rows}
+        assert sorted(follows.values()) == sorted(follows)  # one cycle over all
+        seen, at = [], next(t for t in follows if t.startswith("text None"))
+        for _ in ids:
+            seen.append(at)
+            at = follows[at]
+        order = [-1 if t.split()[1] == "None" else int(t.split()[1]) for t in seen]
+        assert order == sorted(order) and at == seen[0]
     assert fingerprints.with_next(docs.limit(0)).count() == 0
     assert [r.next_text for r in fingerprints.with_next(docs.limit(1)).collect()] == [docs.first().text]
 
 
-def test_op10_values(spark, tmp_path):
-    texts = ["a b c d e f g h", "", None, "x y z", "a b c d e f g h"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {r.doc_id: r for r in fingerprints.op10_winnowing_fingerprints(spark, str(tmp_path)).collect()}
+def test_op10_is_brute_force(spark, tmp_path):
+    draw = random.Random(8)
+    texts = ["a b c d e f g h", "", None, "x y z", "a b c d e f g h", "日本語の文章" * 40, " ".join(draw.choice(["one", "two", "three"]) for _ in range(700))]
+    texts += [" ".join(draw.choice("red blue green grey pink teal".split()) for _ in range(draw.randint(1, 60))) for _ in range(60)]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in fingerprints.op10_winnowing_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
     import hashlib
 
-    for i, t in enumerate(texts):
-        t, following = t or "", texts[(i + 1) % 5] or ""
+    def like(a, b):
+        a, b = ({h for h, _ in brute_winnow(x)} for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    marks = {}
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", texts[(k + 1) % len(texts)] or ""
         q = len(t) // 4
-        assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - q] + following[:q]).encode()).hexdigest()
-    assert rows[0].fingerprint == rows[4].fingerprint != rows[3].fingerprint
-    assert rows[4].near_next == 1.0 and rows[1].near_next == 1.0 and rows[0].near_next == 0.0
+        edited = t[: len(t) - q] + following[:q]
+        r = found[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(r.near_edited - like(t, edited)) < 1e-12 and abs(r.near_next - like(t, following)) < 1e-12
+        for text, mark in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
+            assert marks.setdefault(text, mark) == mark
+    assert len(set(marks.values())) == len({tuple(brute_winnow(t)) for t in marks})
+
+
+def test_repeated_rows_and_short_texts_keep_their_likeness(spark, tmp_path):
+    rows = [(5, "the same words again")] * 30 + [(k, f"a text of some eight or nine words, number {k}") for k in range(10, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = fingerprints.op10_winnowing_fingerprints(spark, str(tmp_path)).collect()
+    assert len(found) == 80 and sum(r.near_next == 1.0 for r in found) >= 29
+    assert sum(r.near_edited for r in found) / 80 > 0.4
 
 
 def water_level(sizes, weights):
@@ -194,8 +229,6 @@ def test_targets_and_mix(spark, seed):
 
 
 def test_permutations_are_permutations(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 100, 257):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("p")).collect()
         assert sorted(r.p for r in rows) == list(range(n))
