@@ -53,6 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that the library wrote and needs no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings (``_`` for ``.`` is not guessed: pass a dict) for the jobs run inside."""
@@ -93,19 +99,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def buckets_in_order(rows: DataFrame, key: str, tie: str, text: str, bucket_bytes: int) -> tuple[DataFrame, int] | None:
-    """(``rows`` with ``bucket`` and ``first``, number of buckets); None without rows.
+def buckets_in_order(rows: DataFrame, key: str, tie: str, text: str, bucket_bytes: int, a_core: int) -> tuple[DataFrame, int]:
+    """(``rows`` with ``bucket`` and ``first``, number of buckets).
 
     Buckets 0, 1, ... are ranges of (key, tie) in ascending order, null keys first. Each begins with a row of the table, so
-    none is empty; ``first`` marks rows equal to that. Their number follows from the bytes of ``text`` and the cluster's cores. A
-    long key or one of many equal keys is cut by ``tie`` (a long). Only bounds reach the driver and the tasks: about DRAWN rows, and
+    none is empty; ``first`` marks rows equal to that. Their number follows from the bytes of ``text`` and the cluster's cores
+    (``a_core`` for each, at least). A run of equal keys is cut by ``tie`` (a long). Only bounds reach the driver and the tasks: about DRAWN rows, and
     one, for every ``bucket_bytes``.
     """
     keyed = rows.withColumn("_at", F.struct(F.col(key).isNotNull().alias("a"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("b"), F.col(tie).alias("c")))
     size = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"), F.min("_at").alias("least")).first()
     if not size["n"]:
-        return None
-    wanted = max(-(-(size["bytes"] or 0) // bucket_bytes), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+        return rows.withColumns({"bucket": F.lit(0), "first": F.lit(True)}), 1
+    wanted = max(-(-(size["bytes"] or 0) // bucket_bytes), a_core * rows.sparkSession.sparkContext.defaultParallelism)
     share = min(1.0, max(1000, DRAWN * wanted) / size["n"])
     drawn = sorted(tuple(r["_at"]) for r in keyed.where(F.rand(7) < share).select("_at").collect())
     step = max(1.0, len(drawn) / wanted)

@@ -23,24 +23,23 @@ from pyspark.sql import functions as F
 from .common import buckets_in_order, let, table
 
 #: Characters of a third of a gram, grams in a window.
-THIRD, WINDOW = 3, 4
+THIRD, WINDOW = 3, 8
 #: Positions lie in the lower bits of what windows compare.
 LAST = (1 << 31) - 1
-#: Bytes of text in a bucket when documents are put in order.
-BUCKET_BYTES = 64 << 20
+#: Bytes of text in a bucket when documents are put in order, about; there are some buckets for each core in any case.
+BUCKET_BYTES, BUCKETS_A_CORE = 64 << 20, 16
 
 
 def winnowed(text: Column, third: int = THIRD, w: int = WINDOW) -> Column:
-    """The fingerprint of a text (not null): its chosen grams in order, as (hash, position) structs."""
+    """The fingerprint of a text (not null): a struct of the chosen grams' ``hashes`` and ``positions``, in order."""
     if w & (w - 1) or w < 2:
         raise ValueError("the window must be a power of two")
     k = 3 * third
-    gram = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + third), F.get(t, i + 2 * third))
+    thirds = lambda t, i: (F.get(t, i + third), F.get(t, i + 2 * third))
 
     def packed(t: Column) -> Column:
-        starts = F.slice(t, 1, F.size(t) - (k - 1))
         comparable = lambda h, i: h.bitwiseAND(F.lit(~LAST)).bitwiseOR(F.lit(LAST).cast("long") - i)
-        return F.transform(starts, lambda x, i: comparable(F.xxhash64(x, F.get(t, i + third), F.get(t, i + 2 * third)), i))
+        return F.transform(F.slice(t, 1, F.size(t) - (k - 1)), lambda x, i: comparable(F.xxhash64(x, *thirds(t, i)), i))
 
     def minima(p: Column, step: int) -> Column:
         """The minimum of each window, from those of its halves."""
@@ -50,19 +49,36 @@ def winnowed(text: Column, third: int = THIRD, w: int = WINDOW) -> Column:
 
     def chosen(t: Column, p: Column) -> Column:
         windows = F.greatest(F.size(p) - (w - 1), F.lit(1))
-        places = F.transform(F.array_distinct(F.slice(minima(p, 1), 1, windows)), lambda x: (F.lit(LAST).cast("long") - x.bitwiseAND(F.lit(LAST).cast("long"))).cast("int"))
-        return F.transform(places, lambda i: F.struct(gram(t, i).alias("hash"), i.alias("position")))
+        places = F.transform(F.array_distinct(F.slice(minima(p, 1), 1, windows)), lambda x: LAST - x.bitwiseAND(F.lit(LAST).cast("long")).cast("int"))
+        return let(places, lambda at: F.struct(F.transform(at, lambda i: F.xxhash64(F.get(t, i), *thirds(t, i))).alias("hashes"), at.alias("positions")))
 
     def runs(c: Column) -> Column:
         return F.transform(c, lambda x, i: F.xxhash64(x, *(F.get(c, i + j) for j in range(1, third))))
 
-    whole = F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).alias("position")))
+    none = F.struct(F.array().cast("array<long>").alias("hashes"), F.array().cast("array<int>").alias("positions"))
+    whole = F.struct(F.array(F.xxhash64(text)).alias("hashes"), F.array(F.lit(0)).alias("positions"))
     long = let(F.split(text, ""), lambda c: let(runs(c), lambda t: let(packed(t), lambda p: chosen(t, p))))
-    return F.when(F.length(text) >= k, long).when(F.length(text) > 0, whole).otherwise(F.array().cast("array<struct<hash: bigint, position: int>>"))
+    return F.when(F.length(text) >= k, long).when(F.length(text) > 0, whole).otherwise(none)
 
 
-def hashes_of(fingerprint: Column) -> Column:
-    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
+def changed_at_end(marks: Column, kept: Column, text: Column, third: int = THIRD, w: int = WINDOW) -> Column:
+    """The fingerprint of ``text``, whose first ``kept`` characters are those of a text with fingerprint ``marks``.
+
+    What all windows inside the kept characters decide stays; only the windows behind are made anew. Where kept characters fill
+    no window, all is made anew.
+    """
+    stay = kept - (3 * third + w - 2)  # positions below this lie in windows of kept characters only
+    begin = F.when(stay > 0, F.greatest(stay - (w - 1), F.lit(0))).otherwise(0)
+
+    def joined(new: Column, first: Column, begin: Column) -> Column:
+        before = F.size(F.filter(marks["positions"], lambda p: p < first))
+        behind = F.size(F.filter(new["positions"], lambda p: p + begin < first))
+        rest = lambda c: F.slice(new[c], behind + 1, F.greatest(F.size(new[c]) - behind, F.lit(0)))
+        places = F.transform(rest("positions"), lambda p: p + begin)
+        return F.struct(F.concat(F.slice(marks["hashes"], 1, before), rest("hashes")).alias("hashes"), F.concat(F.slice(marks["positions"], 1, before), places).alias("positions"))
+
+    tail = F.substring(text, begin + 1, F.length(text))
+    return let(winnowed(tail, third, w), lambda new: F.when(stay > 0, joined(new, stay, begin)).otherwise(new))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,41 +92,45 @@ def likeness(a: Column, b: Column) -> Column:
     return let(common, of)
 
 
-def digest(fingerprint: Column) -> Column:
+def digest(marks: Column) -> Column:
     """16 hexadecimal digits of the whole fingerprint, positions included."""
-    return F.lower(F.lpad(F.hex(F.xxhash64(fingerprint)), 16, "0"))
+    return F.lower(F.lpad(F.hex(F.xxhash64(marks)), 16, "0"))
 
 
 def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's (order, text, marks) and the next_text and next_marks of the next in ascending order (after the last: the first).
+    """(order, text, marks, next_text, next_hashes): each document, its fingerprint, and the text and hashes of the next one.
 
-    ``marks`` is the fingerprint. Documents are dealt to buckets of neighbouring ids, and the first of each bucket also to the
-    bucket before it, where it follows the last; so one shuffle of the texts is enough. Fingerprints are made after it.
+    The next is that in ascending order; after the last comes the first. Documents are dealt to buckets of neighbouring ids, and
+    the first of each bucket also to the bucket before it, where it follows the last; so one shuffle of the texts is enough.
+    Fingerprints are made after the texts are sorted, so neither the shuffle nor the sort carries them.
     """
     base = docs.select(F.col(order).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = buckets_in_order(base.withColumn("tie", F.xxhash64("text")), "id", "tie", "text", BUCKET_BYTES)
-    if dealt is None:
-        return base.where("false").select(F.col("id").alias(order), "text", winnowed(F.col("text")).alias("marks"), F.col("text").alias("next_text"), winnowed(F.col("text")).alias("next_marks"))
-    rows, buckets = dealt
-    before = F.pmod(F.col("bucket") - 1, F.lit(buckets))
+    rows, buckets = buckets_in_order(base.withColumn("tie", F.xxhash64("text")), "id", "tie", "text", BUCKET_BYTES, BUCKETS_A_CORE)
     place = lambda bucket, head: F.struct(bucket.alias("bucket"), F.lit(head).alias("head"))
-    own = place(F.col("bucket"), False)
-    places = F.when(F.col("first"), F.array(own, place(before, True))).otherwise(F.array(own))
-    rows = rows.select("id", "tie", "text", F.inline(places)).repartition(buckets, "bucket")
-    rows = rows.withColumn("marks", winnowed(F.col("text")))
+    own, before = place(F.col("bucket"), False), place(F.pmod(F.col("bucket") - 1, F.lit(buckets)), True)
+    rows = rows.select("id", "tie", "text", F.inline(F.when(F.col("first"), F.array(own, before)).otherwise(F.array(own)))).repartition(buckets, "bucket")
     near = Window.partitionBy("bucket").orderBy("head", F.asc_nulls_first("id"), "tie")
-    rows = rows.withColumns({"next_text": F.lead("text").over(near), "next_marks": F.lead("marks").over(near)})
-    return rows.where(~F.col("head")).select(F.col("id").alias(order), "text", "marks", "next_text", "next_marks")
+    rows = rows.withColumn("next_text", F.lead("text").over(near)).withColumn("marks", winnowed(F.col("text")))
+    rows = rows.withColumn("next_hashes", F.lead("marks.hashes").over(near))
+    return rows.where(~F.col("head")).select(F.col("id").alias(order), "text", "marks", "next_text", "next_hashes")
 
 
 def op10_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
+    docs = docs.withColumn("stays", F.col("n_chars").cast("int") - cut)
+    edited = F.concat(F.substring("text", F.lit(1), F.col("stays")), F.substring("next_text", F.lit(1), cut))
     docs = docs.withColumn("edited", edited).drop("text", "next_text")
-    docs = docs.withColumns({"edited_marks": winnowed(F.col("edited")), "edited_sha256": F.sha2("edited", 256)}).drop("edited")
-    own, other, following = (hashes_of(F.col(c)) for c in ("marks", "edited_marks", "next_marks"))
-    near = let(own, lambda a: F.struct(let(other, lambda b: likeness(a, b)).alias("e"), let(following, lambda b: likeness(a, b)).alias("n")))
-    rows = docs.select("doc_id", "n_chars", "edited_sha256", digest(F.col("marks")).alias("fingerprint"), digest(F.col("edited_marks")).alias("edited_fingerprint"), near.alias("near"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near.e").alias("near_edited"), F.col("near.n").alias("near_next"))
+    docs = docs.withColumns({"edited_marks": changed_at_end(F.col("marks"), F.col("stays"), F.col("edited")), "edited_sha256": F.sha2("edited", 256)})
+    docs = docs.withColumn("hashes", F.array_distinct("marks.hashes"))
+    near = lambda other: let(F.array_distinct(other), lambda b: likeness(F.col("hashes"), b))
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        digest(F.col("marks")).alias("fingerprint"),
+        digest(F.col("edited_marks")).alias("edited_fingerprint"),
+        near(F.col("edited_marks.hashes")).alias("near_edited"),
+        near(F.col("next_hashes")).alias("near_next"),
+    )
