@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -10,14 +11,27 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch sent to Python, about; one row is a batch at least.
+BATCH_BYTES = 32 << 20
+
+
 def python_workers(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers find this package where the driver has it, and bound their Arrow batches by rows.
+    """Let Python workers find this package where the driver has it, and bound their Arrow batches by rows and bytes.
 
-    On a cluster the package is installed or sent with ``--py-files``; then the added path does no harm.
+    The bounds are settings of the session, read when a plan runs, so they stay; they are only ever lowered. On a cluster the package is
+    installed or sent with ``--py-files``; then the added path does no harm.
     """
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(value: str) -> int:
+    """A size as Spark writes it, as a number."""
+    found = re.fullmatch(r"(-?[0-9]+)([kmg]?)b?", value.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
