@@ -1,33 +1,35 @@
 """Mixing sources to target weights, DataFrame functions only.
 
-A source's words, document after document in a fixed order, are cut into blocks of one length (a source too small for
-MIN_BLOCKS blocks takes a shorter one). Targets are given in words and turned into numbers of blocks. For every output
-shard of SHARD_SLOTS slots the counts of the sources are drawn from a multinomial distribution; where the draws of all
-shards together give a source more blocks than its target, its last slots go to the sources that got fewer, so that totals are
-met. The k-th slot of a source takes its block perm(k mod n) in epoch k / n, perm being a pseudorandom permutation of its
-n block numbers that is computed, not stored (swap-or-not rounds). Blocks are joined by their number.
-
-Nothing gathers a source in one place: offsets are sums over buckets of rows first and over rows inside a bucket then, slots
-are drawn independently, and (source, block) keys have a few rows each. A target is at most twice its source, so a block
-is taken twice at most. Everything follows from hashes of ids and a seed: reruns agree.
+A source's words, document after document in a fixed order, are cut into blocks of BLOCK words, the last of which may be short.
+Targets are given in words; a source gets as many slots as its target needs, and its last slot takes only the words that are
+left to take, so a source's words come to its target, whole words. For every output shard of SHARD_SLOTS slots the counts of the
+sources are drawn from a multinomial distribution; where the draws of all shards together give a source more slots than it
+needs, its last ones go to the sources that got fewer. The k-th slot of a source takes its block perm(k mod n) in epoch k / n,
+perm being a pseudorandom permutation of its n block numbers that is computed, not stored (swap-or-not rounds). Blocks are
+joined by their number.
+
+Nothing gathers a source in one place: offsets are sums over buckets of rows first and over rows inside a bucket then, with
+about as many buckets as a bucket has rows, slots are drawn independently, and (source, block) keys have a few rows each. A
+target is at most twice its source, so a block is taken twice at most. Everything follows from hashes of ids and texts and a
+seed: reruns agree.
 
 Defined results: null and blank texts have size 0 and are taken 0 times; a null source is a source of its own, the last; repeated
 rows are mixed as documents of their own (``mix_documents``, which must join texts again, takes rows of equal id and text as
-one); an empty table gives no rows; extra columns are left out (``mix_documents``: kept).
+one); an empty table gives no rows; extra columns are left out (``mix_documents``: kept, whatever their names). A document taken in part keeps the white space inside its spans; spans
+that are not neighbours are set apart by a line break.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, let, table, words
+from .common import SPACE, WORD, checkpointed, free_name, let, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, MIN_BLOCKS, SHARD_SLOTS, ROUNDS, SEED = 64, 128, 1 << 14, 16, 42
-#: Rows of a bucket when offsets are summed.
-BUCKET_ROWS = 10_000
-
+BLOCK, SHARD_SLOTS, ROUNDS, SEED = 1024, 1 << 14, 16, 42
 
 
 def _before(order: list, *keys: str):
@@ -62,17 +64,28 @@ _ENDS = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def block_plan(targets: DataFrame) -> DataFrame:
-    """``targets`` with the block length, the number of blocks and the number of slots of each source that has words."""
-    length = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.col("source_size") / MIN_BLOCKS)))
-    plan = targets.where("source_size > 0").withColumn("length", length.cast("long"))
-    plan = plan.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
-    slots = F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long")
-    return plan.withColumn("slots", F.least(slots, MOST * F.col("n_blocks")))
+    """``targets`` with the number of blocks and of slots of each source that has words, and the words that its last slot takes.
+
+    Whole epochs come first. In the one that is taken in part, the short block stands at a slot that the permutation tells: up
+    to there slots have BLOCK words each, after it BLOCK - short are lacking.
+    """
+    plan = targets.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
+    plan = plan.withColumn("take", F.least(F.floor(F.col("target") + 1e-6).cast("long"), MOST * F.col("source_size")))
+    plan = plan.withColumn("epochs", F.floor(F.try_divide("take", "source_size")).cast("long"))
+    lacking = F.col("n_blocks") * BLOCK - F.col("source_size")
+    short_at = permuted(F.col("n_blocks") - 1, F.col("n_blocks"), F.col("sid"), F.col("epochs"), inverse=True)
+    plan = plan.withColumns({"rest": F.col("take") - F.col("epochs") * F.col("source_size"), "lacking": lacking, "short_at": short_at})
+    behind = F.col("rest") > F.col("short_at") * BLOCK
+    plan = plan.withColumn("reach", F.col("rest") + F.when(behind, F.col("lacking")).otherwise(0))
+    more = F.ceil(F.col("reach") / BLOCK).cast("long")
+    left = F.col("reach") - (more - 1) * BLOCK - F.when(more - 1 == F.col("short_at"), F.col("lacking")).otherwise(0)
+    plan = plan.withColumns({"slots": F.col("epochs") * F.col("n_blocks") + more, "last_words": F.when(more > 0, left).otherwise(BLOCK)})
+    return plan.drop("take", "epochs", "rest", "lacking", "short_at", "reach")
 
 
 def placed(sized: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """``sized`` with its source's columns and ``start``: the words of the same source before the document."""
-    buckets = max(1, -(-sized.count() // BUCKET_ROWS))
+    buckets = max(1, math.isqrt(sized.count()))
     rows = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys, "size"), F.lit(buckets)))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
@@ -83,11 +96,11 @@ def placed(sized: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("start", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
 
 
-def permuted(index: Column, n: Column, *salt: Column, rounds: int = ROUNDS) -> Column:
-    """``index`` under a pseudorandom permutation of 0 .. n - 1.
+def permuted(index: Column, n: Column, *salt: Column, rounds: int = ROUNDS, inverse: bool = False) -> Column:
+    """``index`` under a pseudorandom permutation of 0 .. n - 1, or under its inverse.
 
     Each round pairs x with key - x (mod n) and swaps a pair or not by a hash of its larger member: its own inverse,
-    so a permutation for any n.
+    so a permutation for any n, and the rounds in the other order give the inverse.
     """
 
     def turn(x: Column, r: Column) -> Column:
@@ -95,7 +108,8 @@ def permuted(index: Column, n: Column, *salt: Column, rounds: int = ROUNDS) -> C
         swap = lambda other: F.when(F.xxhash64(r, *salt, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
         return let(F.pmod(key - x, n), swap)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), turn)
+    order = (rounds, 1) if inverse else (1, rounds)
+    return F.aggregate(F.sequence(*map(F.lit, order)), index.cast("long"), turn)
 
 
 def draw_slots(plan: DataFrame) -> DataFrame:
@@ -139,52 +153,71 @@ def mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
     ``docs``: rows of ``placed``; a document is known by (sid, start), and gives its words first .. first + n - 1.
     """
-    blocks = plan.select("sid", "length", "n_blocks")
-    pieces = docs.where("size > 0").select("sid", "start", "size").join(blocks.drop("n_blocks"), "sid")
-    at = F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))
-    pieces = pieces.withColumn("block", F.explode(at))
-    low = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * F.col("length") - F.col("start"), F.col("size"))
-    pieces = pieces.select("sid", "start", "block", low.alias("first"), (high - low).alias("n"))
-    slots = draw_slots(plan).join(blocks.drop("length"), "sid").withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks")))
+    pieces = docs.where("size > 0").select("sid", "start", "size")
+    pieces = pieces.withColumn("block", F.explode(F.sequence(F.expr(f"start DIV {BLOCK}"), F.expr(f"(start + size - 1) DIV {BLOCK}"))))
+    low = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
+    high = F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size"))
+    inside = F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0))
+    pieces = pieces.select("sid", "start", "block", low.alias("first"), (high - low).alias("n"), inside.alias("inside"))
+    slots = draw_slots(plan).join(plan.select("sid", "n_blocks", "slots", "last_words"), "sid").withColumn("epoch", F.expr("k DIV n_blocks"))
     slots = slots.withColumn("block", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), F.col("epoch")))
-    return slots.select("shard", "slot", "epoch", "sid", "block").join(pieces, ["sid", "block"]).drop("block")
+    words = F.when(F.col("k") == F.col("slots") - 1, F.col("last_words")).otherwise(BLOCK)
+    filled = slots.select("shard", "slot", "epoch", "sid", "block", words.alias("words")).join(pieces, ["sid", "block"])
+    filled = filled.withColumn("n", F.least(F.col("n"), F.col("words") - F.col("inside"))).where("n > 0")
+    return filled.select("shard", "slot", "epoch", "sid", "start", "first", "n")
 
 
-def _sized(docs: DataFrame, *more: Column | str) -> DataFrame:
+def _sized(docs: DataFrame, hash_name: str = "_hash") -> DataFrame:
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return checkpointed(docs.select("doc_id", "source", size.alias("size"), *more))
+    return checkpointed(docs.select("doc_id", "source", size.alias("size"), F.col(hash_name).alias("_hash")))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = _sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = _sized(docs.withColumn("_hash", F.xxhash64("text")))
     targets = checkpointed(source_targets(sized))
-    docs = placed(sized, targets, ["doc_id"])
+    docs = placed(sized, targets, ["doc_id", "_hash"])
     taken = mix(docs, block_plan(targets)).groupBy("sid", "start").agg(F.sum("n").alias("taken"))
     taken = taken.withColumn("some", F.lit(True))
     docs = docs.withColumn("some", F.col("size") > 0).join(taken, ["sid", "start", "some"], "left")
     return docs.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _spans(text: Column, spans: Column) -> Column:
+    """The words of a text in ``spans`` (first, n; in order) with the white space between them."""
+
+    def cut(words: Column) -> Column:
+        def add(done: Column, s: Column) -> Column:
+            piece = F.array_join(F.slice(words, s["first"].cast("int") + 1, s["n"].cast("int")), "")
+            apart = F.concat(F.regexp_replace(done["text"], SPACE + r"\z", ""), F.lit("\n"))
+            before = F.when((done["end"] == s["first"]) | (done["end"] == 0), done["text"]).otherwise(apart)
+            return F.struct(F.concat(before, piece).alias("text"), (s["first"] + s["n"]).alias("end"))
+
+        begin = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("end"))
+        return F.regexp_replace(F.aggregate(spans, begin, add)["text"], SPACE + r"\z", "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"({WORD}{SPACE[:-1]}*)"), 1), cut)
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus as documents: a row for each document and epoch that takes any of it, with the words taken."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    sized = _sized(keyed.select("doc_id", "source", "text", "_hash"), "_hash")
+    hashed = free_name(docs, "_hash")
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    sized = _sized(keyed, hashed)
     if not sized.groupBy("doc_id", "_hash").count().where("count > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "_hash"])
+        keyed = keyed.dropDuplicates(["doc_id", hashed])
         sized = checkpointed(sized.dropDuplicates(["doc_id", "_hash"]))
     targets = checkpointed(source_targets(sized))
     rows = placed(sized, targets, ["doc_id", "_hash"])
     parts = mix(rows, block_plan(targets)).groupBy("sid", "start", "epoch")
     parts = parts.agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"))
     own = rows.where("size > 0").select("sid", "start", "size", "doc_id", "_hash")
-    parts = parts.join(own, ["sid", "start"])
-    parts = parts.select(*(F.col(c).alias("_own_" + c.strip("_")) for c in ("doc_id", "_hash", "size", "taken", "spans")))
-    mixed = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("_own_doc_id")) & (F.col("_hash") == F.col("_own_hash")))
-    part = F.col("_own_taken") < F.col("_own_size")
-    piece = lambda w, s: F.slice(w, s["first"].cast("int") + 1, s["n"].cast("int"))
-    some = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform("_own_spans", lambda s: piece(w, s))), " "))
-    mixed = mixed.withColumn("text", F.when(part, some).otherwise(F.col("text")))
+    named = {c: free_name(keyed, "_own_" + c.strip("_")) for c in ("doc_id", "_hash", "size", "taken", "spans")}
+    parts = parts.join(own, ["sid", "start"]).select(*(F.col(c).alias(n) for c, n in named.items()))
+    mine = {c: F.col(n) for c, n in named.items()}
+    mixed = keyed.join(parts, F.col("doc_id").eqNullSafe(mine["doc_id"]) & (F.col(hashed) == mine["_hash"]))
+    text = F.when(mine["taken"] < mine["size"], _spans(F.col("text"), mine["spans"])).otherwise(F.col("text"))
+    mixed = mixed.withColumn("text", text)
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(*docs.columns)
