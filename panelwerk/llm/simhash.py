@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import checkpointed, settings, shared_dir, table
+from .common import checkpointed, drop_folder, free_name, settings, shared_dir, table
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
 #: Rounds in which the values are dealt (a power of two), entries of a bucket, fewest buckets, and fingerprints expanded at once.
 PASSES, BUCKET_ENTRIES, LEAST_BUCKETS, EXPANDED = 8, 1_000_000, 24, 4096
+#: A fingerprint is hot if more than one row in so many has it.
+HOT = 1000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,10 +154,12 @@ def _met(fps: DataFrame, turn: int, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) with a other than b: enough pairs within RADIUS bits to connect all distinct fingerprints that are so linked."""
+def links(fps: DataFrame, folder: str) -> DataFrame:
+    """(a, b) with a other than b: enough pairs within RADIUS bits to connect all distinct fingerprints that are so linked.
+
+    The rounds are written into ``folder``, from which the pairs are read.
+    """
     spark = fps.sparkSession
-    folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     entries = fps.count() * len(ball_masks()) // PASSES
     buckets = max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES))
     # each round's shuffle files go when the round has been written
@@ -193,16 +197,29 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: list[str] | None = None, text: str = "text") -> DataFrame:
-    """(doc_id, *key, fp, component_id) for every row of ``docs``."""
-    extra = key or []
+    """(doc_id, *key, fp, root, component_id) for every row of ``docs``; ``root`` tells components apart.
+
+    Fingerprints that more than one row in HOT has are few, HOT at most, and so their rows find their component by a broadcast;
+    only the other rows are dealt by fingerprint.
+    """
+    spark, extra = docs.sparkSession, key or []
     rows = checkpointed(fingerprinted(docs.select("doc_id", *extra, text), text).drop(text))
-    by_fp = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(by_fp)).withColumnRenamed("node", "fp")
+    by_fp = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    found = components(links(by_fp, folder)).withColumnRenamed("node", "fp")
+    drop_folder(spark, folder)
     linked = found.join(by_fp, "fp")
     per_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(per_root, "root").select("fp", "component_id", F.lit(True).alias("linked"))
-    per_fp = by_fp.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(per_fp, "fp").select("doc_id", *extra, "fp", "component_id")
+    named = found.join(per_root, "root")
+    per_fp = by_fp.join(named, "fp", "left")
+    of_fp = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least"))
+    per_fp = checkpointed(per_fp.select("fp", "n", F.coalesce("root", "fp").alias("root"), of_fp.alias("component_id")))
+    total = per_fp.agg(F.sum("n")).first()[0] or 0
+    hot = per_fp.where(F.col("n") * HOT > total).drop("n")
+    cold = per_fp.where(F.col("n") * HOT <= total).drop("n")
+    copies = rows.join(F.broadcast(hot), "fp")  # HOT rows at most
+    others = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")
+    return copies.unionByName(others).select("doc_id", *extra, "fp", "root", "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,20 +228,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the least doc_id (null first if alone), then the least text hash."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = checkpointed(near_duplicates(keyed, ["_hash"]))
-    # a component of null ids only is told apart by its fingerprint
-    group = [F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))).alias("g")]
-    counted = found.groupBy(*group, "doc_id", "_hash").count()
-    best = counted.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_hash", "count")).alias("best"))
-    best = best.select("g", F.col("best.doc_id").alias("best_id"), F.col("best._hash").alias("best_hash"))
-    judged = counted.join(best, "g").withColumn("best", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("_hash") == F.col("best_hash")))
-    same = lambda other: F.expr(f"_hash = {other}_hash AND doc_id <=> {other}_id")
-    lost = judged.where("NOT best").select(F.col("doc_id").alias("lost_id"), F.col("_hash").alias("lost_hash")).distinct()
-    kept = keyed.join(lost, same("lost"), "left_anti")
-    again = checkpointed(judged.where("best AND count > 1").select(F.col("doc_id").alias("again_id"), F.col("_hash").alias("again_hash")).distinct())
-    if again.isEmpty():
-        return kept.drop("_hash")
-    repeated = kept.join(again, same("again"), "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return kept.join(again, same("again"), "left_anti").unionByName(repeated).drop("_hash")
+    """``docs`` with one row of each component: the least doc_id (where all are null: a null one), then the least text hash.
+
+    Whether a row has its component's least id is told by the row alone; only those that have it are grouped.
+    """
+    hashed = free_name(docs, "_hash")
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    found = near_duplicates(keyed, [hashed]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = checkpointed(found.groupBy("root", "doc_id", F.col(hashed).alias("_hash")).agg(F.count("*").alias("n")))
+    best = counted.groupBy("root").agg(F.min(F.struct("_hash", "doc_id")).alias("b"), F.min_by("n", F.struct("_hash", "doc_id")).alias("n"))
+    best = checkpointed(best.select(F.col("b.doc_id").alias("best_id"), F.col("b._hash").alias("best_hash"), "n"))
+    same = lambda df: keyed["doc_id"].eqNullSafe(df["best_id"]) & keyed[hashed].eqNullSafe(df["best_hash"])
+    single, repeated = best.where("n = 1"), best.where("n > 1")
+    kept = keyed.join(single, same(single), "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", hashed]))
+    return kept.select(*docs.columns)
