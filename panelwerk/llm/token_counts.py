@@ -1,11 +1,11 @@
 """Token counts with a whole-token shortcut.
 
 Which vocabulary strings are one token on their own is proven once, on the driver, by the library itself
-(``word_tokens.whole_tokens``). Texts are then counted where they lie, in one scan without a shuffle: pre-tokens in the
-proven set count 1, only the rest are merged.
+(``word_tokens.whole_tokens``). Texts are then counted where they lie, in one scan without a shuffle: pre-tokens of any
+script in the proven set count 1, only the rest are merged.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted one by one; extra columns are
-left out. Texts are never cut.
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted one by one; extra columns are kept by
+``token_counts``, one named like the count under another name. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import table
+from .common import set_aside, table
 from .word_tokens import chunk_counter, count_texts, vocabulary_path, whole_tokens
 
 #: Above so many tokens a text is over the limit.
@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", c
             yield pd.Series(count_texts(kept, batch), dtype="int64")
 
     python_workers(docs.sparkSession)
-    return docs.withColumn(column, count(F.coalesce(F.col(text), F.lit(""))))
+    return set_aside(docs, column).withColumn(column, count(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,20 @@ A shard holds the documents of a range of ids in ascending order. Its layout, li
     | ids, each of 2 bytes if the vocabulary allows, else of 4
 
 An Elias-Fano part is u64 count | u64 low bits | u64 bytes of the upper part | low bits, packed | upper bits (unary gaps) | a u64
-for every SAMPLE-th value: the bit where it stands in the upper part. ``select`` starts at a sample and scans the bits of at most
-SAMPLE values, so a boundary is found in near-minimal space without a table of 64-bit offsets.
-
-Files are written under a new name and then moved, so that a task that runs again (or twice) after an executor is lost
-leaves one whole file. Defined results: null texts are written as the end id alone; documents with equal ids follow each
-other in the order of their ids' bytes; a null doc_id comes first; an empty table makes no file and no rows.
+for every SAMPLE-th value: the bit where it stands in the upper part. ``select`` starts at a sample and counts the bits of at most
+SAMPLE values, word by word, so a boundary is found in near-minimal space without a table of 64-bit offsets. Reading takes
+every boundary by ``select``.
+
+Texts are dealt to shards of neighbouring ids by one shuffle and encoded by the task that writes their shard. Files are
+written under a new name and then moved, so that a task that runs again (or twice) after an executor is lost leaves one whole
+file. Defined results: null texts are written as the end id alone; documents with equal ids follow each other in the order
+of a hash of their text; a null doc_id comes first; repeated rows are written one by one; an empty table makes no file and no
+rows; extra columns are left out. Texts are never cut.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -29,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import shared_dir, table
+from .common import buckets_in_order, shared_dir, table
 from .word_tokens import chunk_encoder, encode_texts, library, vocabulary_path
 
 END_ID = 2
 SAMPLE = 256
-#: Documents in a shard, about, the most shards (their bounds are held by every task), and the bytes after which a shard
-#: goes on in another file.
-SHARD_DOCS, MAX_SHARDS, FILE_BYTES = 1500, 10_000, 1 << 26
+#: Bytes of text in a shard, about (there are some shards for each core in any case), and bytes of ids after which a shard goes on in
+#: another file.
+SHARD_BYTES, SHARDS_A_CORE, FILE_BYTES = 64 << 20, 8, 1 << 26
 HEAD = struct.Struct("<4sIIIQQqQ")
 PART = struct.Struct("<QQQ")
 
@@ -72,19 +76,17 @@ class EliasFano:
         if not 0 <= k < self.n:
             raise IndexError(k)
         at, rest = int(self.samples[k // SAMPLE]), k % SAMPLE
-        if rest:
-            byte, seen = at // 8, -(self.uppers[at // 8] & ((1 << at % 8) - 1)).bit_count()
-            while seen + (here := self.uppers[byte].bit_count()) <= rest:
-                seen, byte = seen + here, byte + 1
-            bits, at = self.uppers[byte], 8 * byte - 1
-            while seen <= rest:
-                at += 1
-                seen += bits >> at % 8 & 1
-        lows = 0
-        for j in range(self.low):
-            i = k * self.low + j
-            lows |= (self.lows[i // 8] >> i % 8 & 1) << j
-        return (at - k) << self.low | lows
+        byte, skip = at // 8, at % 8
+        word = int.from_bytes(self.uppers[byte : byte + 8], "little") >> skip << skip
+        while (ones := word.bit_count()) <= rest:
+            rest, byte = rest - ones, byte + 8
+            word = int.from_bytes(self.uppers[byte : byte + 8], "little")
+        for _ in range(rest):
+            word &= word - 1
+        high = 8 * byte + (word & -word).bit_length() - 1 - k
+        first = k * self.low
+        lows = int.from_bytes(self.lows[first // 8 : (first + self.low + 7) // 8], "little") >> first % 8
+        return high << self.low | lows & ((1 << self.low) - 1)
 
     def values(self) -> np.ndarray:
         """All values at once."""
@@ -117,57 +119,24 @@ def shard_bytes(doc_ids: list[int | None], lengths: list[int], blobs: list[bytes
     return [head, elias_fano(ids), elias_fano(ends), *blobs]
 
 
-def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids): each text's ids with the end id, as bytes of the width that the vocabulary needs."""
-    path = path or vocabulary_path()
-    kind = "<u2" if id_width(path) == 2 else "<u4"
-
-    @F.pandas_udf("n_tokens long, ids binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        kept, end = chunk_encoder(path, kind), np.array([end_id], kind).tobytes()
-        for batch in texts:
-            ids = [x + end for x in encode_texts(kept, batch)]
-            yield pd.DataFrame({"n_tokens": [len(x) // len(end) for x in ids], "ids": ids})
-
-    python_workers(docs.sparkSession)
-    made = docs.select("doc_id", encode(F.coalesce("text", F.lit(""))).alias("e"))
-    return made.select("doc_id", "e.n_tokens", "e.ids")
-
-
 def id_width(path: str) -> int:
     return 2 if library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def _cuts(docs: DataFrame) -> list[int]:
-    n = docs.count()
-    shards = min(MAX_SHARDS, -(-n // SHARD_DOCS))
-    if shards < 2:
-        return []
-    shares = [k / shards for k in range(1, shards)]
-    return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * shards)).alias("c")).first()["c"] or []))
-
-
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the shards of ``docs`` into ``folder`` and return their manifest: (shard, part, file, n_docs, n_tokens)."""
     path = path or vocabulary_path()
     width = id_width(path)
     spark = docs.sparkSession
-    cuts = np.array(_cuts(docs.select("doc_id")), dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        found = np.zeros(len(ids), dtype=np.int32)
-        found[known.to_numpy()] = np.searchsorted(cuts, ids[known].astype("int64").to_numpy(), side="right")
-        return pd.Series(found)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
+        kept, end = chunk_encoder(path, f"<u{width}"), end_id.to_bytes(width, "little")
         shard, part, held, ids, lengths, blobs = None, 0, 0, [], [], []
 
         def close() -> pd.DataFrame:
-            name = f"{root}/shard-{shard:05d}-{part:05d}.eftk"
+            name = f"{root}/shard-{shard:07d}-{part:05d}.eftk"
             new = f"{root}/.{uuid.uuid4().hex}"
             with system.open_output_stream(new) as out:
                 for piece in shard_bytes(ids, lengths, blobs, width):
@@ -176,31 +145,43 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             return pd.DataFrame({"shard": [shard], "part": [part], "file": [name], "n_docs": [len(ids)], "n_tokens": [sum(lengths)]})
 
         for batch in batches:
-            for s, i, n, b in zip(batch.shard, batch.doc_id.astype("object"), batch.n_tokens, batch.ids, strict=True):
+            for s, i, b in zip(batch.bucket, batch.doc_id.astype("object"), encode_texts(kept, batch.text), strict=True):
                 if shard is not None and (s != shard or held >= FILE_BYTES):
                     yield close()
                     part = part + 1 if s == shard else 0
                     held, ids, lengths, blobs = 0, [], [], []
+                b += end
                 shard, held = s, held + len(b)
                 ids.append(None if pd.isna(i) else int(i))
-                lengths.append(int(n))
+                lengths.append(len(b) // width)
                 blobs.append(b)
         if shard is not None:
             yield close()
 
-    rows = encoded(docs, path, end_id).withColumn("shard", shard_of("doc_id"))
-    dealt = rows.repartition(max(1, min(len(cuts) + 1, MAX_SHARDS)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
-    manifest = dealt.mapInPandas(write, "shard int, part int, file string, n_docs long, n_tokens long")
+    python_workers(spark)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, shards = buckets_in_order(base.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", "text", SHARD_BYTES, SHARDS_A_CORE)
+    dealt = rows.repartitionById(shards, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "tie")
+    manifest = dealt.select("bucket", "doc_id", "text").mapInPandas(write, "shard int, part int, file string, n_docs long, n_tokens long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def numbered(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with ``first``: the ids in all files before. Shards are summed in runs, and runs by a window of one row for each."""
+    size = max(1, math.isqrt(manifest.agg(F.max("shard")).first()[0] or 0))
+    runs = manifest.groupBy(F.expr(f"shard DIV {size}").alias("run")).agg(F.sum("n_tokens").alias("all"))
+    before = lambda of: of.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", F.coalesce(F.sum("all").over(before(Window.orderBy("run"))), F.lit(0)).alias("base"))  # as many rows as the root of the shards
+    placed = manifest.withColumn("run", F.expr(f"shard DIV {size}"))
+    placed = placed.withColumn("inner", F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("run").orderBy("shard", "part"))), F.lit(0)))
+    return placed.join(runs, "run").withColumn("first", (F.col("base") + F.col("inner")).cast("long")).drop("run", "base", "inner")
+
+
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read the shards back: (doc_id, start, n_tokens, ids_crc32), positions over all shards."""
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, MAX_SHARDS at most
-    placed = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
-    n = placed.sparkSession.sparkContext.defaultParallelism
-    placed = placed.repartition(max(n, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Read the shards back: (doc_id, start, n_tokens, ids_crc32), positions over all shards, boundaries by ``select``."""
+    spark = manifest.sparkSession
+    placed = numbered(manifest).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = pafs.FileSystem.from_uri(folder)
@@ -209,7 +190,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_stream(name) as got:
                     nulls, least, ids, ends, tokens = open_shard(got.read())
                 doc_ids = np.concatenate([np.zeros(nulls, np.int64), ids.values() + least])
-                at = ends.values()
+                at = np.array([ends.select(k) for k in range(ends.n)], np.int64)
                 crcs = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 out = pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": first + at[:-1], "n_tokens": np.diff(at), "ids_crc32": crcs})
                 out.loc[out.index < nulls, "doc_id"] = pd.NA

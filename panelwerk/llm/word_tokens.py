@@ -105,8 +105,9 @@ def parted(pieces: list[str]) -> tuple[dict[str, tuple[str, str]], list[str]]:
     return simple, other
 
 
+@cache
 def chunk_encoder(path: str, kind: str = "<u4") -> Kept:
-    """Chunk to ids, as bytes of ``kind``."""
+    """Chunk to ids, as bytes of ``kind``; a worker keeps it from task to task."""
     tokenizer = library(path)
     width = np.dtype(kind).itemsize
     encode = PreTokens(tokenizer)
@@ -131,23 +132,14 @@ def chunk_encoder(path: str, kind: str = "<u4") -> Kept:
 
 
 def whole_tokens(path: str) -> frozenset[str]:
-    """Offline proof: the strings that are one token on their own.
+    """Offline proof: the pre-tokens, in the vocabulary's byte characters, that are one token on their own.
 
-    Every vocabulary entry that ends a word is decoded to its text; it is kept only if the library encodes that text, alone,
-    as exactly this one token. A pre-token that is in the set counts 1 without any merge.
+    Every vocabulary entry that ends a word is tried: it is kept only if the library's model makes exactly this one token of the
+    string without the word's end. A pre-token that is in the set counts 1 without any merge.
     """
-    tokenizer = library(path)
-    by_char = {c: b for b, c in byte_characters().items()}
-    proven = set()
-    found = []
-    for piece, i in tokenizer.get_vocab(with_added_tokens=False).items():
-        if piece.endswith("</w>") and all(c in by_char for c in piece[:-4]):
-            found.append((bytes(by_char[c] for c in piece[:-4]).decode("utf-8", "replace"), i))
-    encoded = tokenizer.encode_batch([text for text, _ in found], add_special_tokens=False)
-    for (text, i), e in zip(found, encoded, strict=True):
-        if e.ids == [i]:
-            proven.add(text)
-    return frozenset(proven)
+    model = library(path).model
+    ends = [(piece[:-4], i) for piece, i in library(path).get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]
+    return frozenset(text for text, i in ends if text and [t.id for t in model.tokenize(text)] == [i])
 
 
 def byte_characters() -> dict[int, str]:
@@ -160,20 +152,40 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_CHARACTERS = byte_characters()
+
+
+def byte_string(text: str) -> str:
+    """A text as the vocabulary writes its UTF-8 bytes."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_CHARACTERS)
+
+
 def chunk_counter(path: str, whole: frozenset[str]) -> Kept:
-    """Chunk to its number of tokens: pre-tokens proven whole count 1, only the rest are merged."""
+    """Chunk to its number of tokens: pre-tokens proven whole count 1, only the rest are merged.
+
+    Simple chunks are cut into their pre-tokens here, all others by the library's normaliser and pre-tokenizer. Only a chunk that
+    holds a special string is left to the library as it is.
+    """
     tokenizer = library(path)
     encode = PreTokens(tokenizer)
-    merged = Kept(lambda new: np.diff(encode(new)[1], prepend=0).tolist())
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    latin = Kept(lambda new: np.diff(encode(new)[1], prepend=0).tolist())
+    bytewise = Kept(lambda new: [len(tokenizer.model.tokenize(p)) for p in new])
 
     def make(pieces: list[str]) -> Iterator[int]:
         simple, other = parted(pieces)
-        merged.learn(p for p in chain.from_iterable(simple.values()) if p and p not in whole)
-        merged.known[""] = 0
-        size = lambda pre: 1 if pre in whole else merged.known[pre]
+        is_whole = {p: not p or byte_string(p) in whole for p in set(chain.from_iterable(simple.values()))}
+        latin.learn(p for p, yes in is_whole.items() if not yes)
+        size = lambda pre: bool(pre) if is_whole[pre] else latin.known[pre]
         made = {c: size(a) + size(b) for c, (a, b) in simple.items()}
-        if other:
-            made.update(zip(other, np.diff(ids_together(tokenizer, other)[1], prepend=0).tolist(), strict=True))
+        cut = {}
+        for c in other:
+            if any(s in c for s in special):
+                made[c] = len(tokenizer.encode(c, add_special_tokens=False).ids)
+            else:
+                cut[c] = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))]
+        bytewise.learn(p for p in chain.from_iterable(cut.values()) if p not in whole)
+        made.update((c, sum(1 if p in whole else bytewise.known[p] for p in pres)) for c, pres in cut.items())
         return map(made.__getitem__, pieces)
 
     return Kept(make)

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelwerk.llm import byte_bpe, token_counts, token_files
@@ -72,15 +73,17 @@ def test_elias_fano_round_trip(n, top):
         part.select(n)
 
 
-def test_token_files_read_back_what_was_written(spark, docs, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_files, "SHARD_DOCS", 4)
+@pytest.mark.parametrize(("files", "shards"), [(40, 1), (1 << 26, 8)])
+def test_token_files_read_back_what_was_written(spark, docs, tmp_path, monkeypatch, files, shards):
+    monkeypatch.setattr(token_files, "FILE_BYTES", files)
+    monkeypatch.setattr(token_files, "SHARDS_A_CORE", shards)
     folder = f"file://{tmp_path}/files"
-    manifest = token_files.write_token_files(docs.select("doc_id", "text"), folder)
-    assert manifest.count() > 2
+    manifest = token_files.write_token_files(docs.withColumn("bucket", F.lit(1)), folder)
+    assert manifest.count() > 2 and (manifest.where("part > 0").count() > 0) == (files < 100)
     rows = sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(vocabulary_path())
     ids = [(-1 if d is None else d, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in ((r.doc_id, r.text) for r in docs.collect())]
-    ids.sort(key=lambda x: x[0])
+    ids.sort(key=lambda x: (x[0], x[1]))
     start = 0
     for row, (doc_id, own) in zip(rows, ids, strict=True):
         data = np.array(own, "<u4").tobytes()
@@ -88,6 +91,56 @@ def test_token_files_read_back_what_was_written(spark, docs, tmp_path, monkeypat
         start += len(own)
 
 
+def test_files_are_numbered_over_all_shards(spark):
+    sizes = [(s, p, (7 * s + p) % 5 + 1) for s in range(50) if s % 9 for p in range(1 + s % 3)]
+    manifest = spark.createDataFrame([(s, p, f"{s}-{p}", 1, n) for s, p, n in sizes], "shard int, part int, file string, n_docs long, n_tokens long")
+    found = {r.file: r.first for r in token_files.numbered(manifest).collect()}
+    so_far = 0
+    for s, p, n in sizes:
+        assert found[f"{s}-{p}"] == so_far
+        so_far += n
+
+
+def table_of(spark, tmp_path, docs, name="documents"):
+    docs.repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_queries_of_token_operators_are_brute_force(spark, docs, tmp_path):
+    """op4, op5 and op9 over a table with a null id, repeats, long texts and columns of clashing names."""
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    folder = table_of(spark, tmp_path, docs)
+    library = Tokenizer.from_file(vocabulary_path())
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS))
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    word, byte = {t: library.encode(t, add_special_tokens=False).ids for _, t in rows}, {t: tik.encode_ordinary(t) for _, t in rows}
+    key = lambda r: tuple((v is None, v) for v in r)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    want = [(i, len(word[t]) + 1, zlib.crc32(pack([*word[t], 2]))) for i, t in rows]
+    got = token_files.op4_token_files(spark, folder).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
+    assert [r.start for r in sorted(got, key=lambda r: r.start)] == [sum(r.n_tokens for r in sorted(got, key=lambda r: r.start)[:k]) for k in range(len(got))]
+    want = [(i, len(byte[t]), sha(pack(byte[t])), sha(t.encode())) for i, t in rows]
+    assert sorted(map(tuple, byte_bpe.op5_byte_bpe(spark, folder).collect()), key=key) == sorted(want, key=key)
+    want = [(i, len(t.encode()), len(word[t]), len(word[t]) > 2048) for i, t in rows]
+    assert sorted(map(tuple, token_counts.op9_token_counts(spark, folder).collect()), key=key) == sorted(want, key=key)
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    folder = table_of(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string"))
+    for query in (token_files.op4_token_files, byte_bpe.op5_byte_bpe, token_counts.op9_token_counts):
+        assert query(spark, folder).count() == 0
+
+
+def test_columns_of_clashing_names_are_kept(spark):
+    given = spark.createDataFrame([(1, "ab", "x", "y")], "doc_id long, text string, n_tokens string, bpe string")
+    counted = token_counts.token_counts(given)
+    assert counted.columns == ["doc_id", "text", "n_tokens_", "bpe", "n_tokens"] and counted.first().n_tokens_ == "x"
+    coded = byte_bpe.encode_documents(given)
+    assert coded.columns == ["doc_id", "text", "n_tokens", "bpe_", "bpe"] and coded.first().bpe_ == "y"
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     manifest = token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), folder)
