@@ -1,8 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, and a decoding that respects the tree.
 
 A page is cut into tags and texts in one pass, and a node is kept for every block-level element. A node's features are
-its tag's kind, the tokens of its class, id and role, densities of its subtree (words, links, sentences, form fields),
-its depth, its place among its siblings, and the kinds and tokens of its ancestors. Boosted trees give each node the log-odds
+its tag's kind, the tokens of its class, id and role (hashed into TOKEN_BITS flags, and counts of known words), densities of its
+subtree (words, links, sentences, form fields), its depth, its place among its siblings, and the kinds and tokens of its ancestors. Boosted trees give each node the log-odds
 that it holds main text. Decoding then picks the best set of nodes in which no kept node has a dropped ancestor: a
 node is worth its log-odds plus what its children are worth, or nothing if it is dropped with all below it.
 
@@ -17,7 +17,8 @@ Elements that hold no text of the page are skipped up to their end tag; a self-c
 style reach to the end of the page, as in HTML; a title, form field or option reaches to the next tag; others hold nothing.
 
 Defined results: a null, empty or text-free page gives an empty text of 0 characters; repeated pages are extracted row by row;
-without pages nothing is trained and nothing returned; extra columns are kept by ``extract_text``. Pages are never cut. White space is
+without pages nothing is trained and nothing returned; extra columns are kept by ``extract_text``, one
+named like its own under another name. Pages are never cut. White space is
 any Unicode white space; a line break element counts as white space inside its block.
 """
 
@@ -27,7 +28,9 @@ import html
 import random
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import or_
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import table
+from .common import set_aside, table
 
 #: Expected number of pages trained on, at most; made-up layouts of each.
 TRAIN_PAGES, LAYOUTS = 300, 5
@@ -62,6 +65,7 @@ KIND = {t: k for k, tags in enumerate(KINDS) for t in tags}
 GOOD = frozenset("article content main post entry story body text prose blog page".split())
 BAD = frozenset("ad ads advert advertisement banner nav menu navbar sidebar side footer header masthead comment comments reply replies cookie cookies notice consent gdpr alert promo promotion share social related recommended subscribe newsletter widget breadcrumb breadcrumbs pager pagination modal popup login signin search sponsor sponsored disclaimer copyright toolbar topbar rail teaser tags meta form signup overlay disqus respond dialog".split())
 INHERITED = 6  # kinds from 0 to 5 that are handed down
+TOKEN_BITS = 32
 
 
 def _ends(source: str, at: int) -> dict[int, int]:
@@ -83,10 +87,10 @@ def _ends(source: str, at: int) -> dict[int, int]:
 class Page:
     """Block-level nodes of a page in document order, and its runs of text, each in one node."""
 
-    __slots__ = ("parent", "kind", "tag", "good", "bad", "truth", "runs", "links", "fields", "depth")
+    __slots__ = ("parent", "kind", "tag", "good", "bad", "truth", "runs", "links", "fields", "depth", "tokens")
 
     def __init__(self, source: str):
-        self.parent, self.kind, self.tag, self.good, self.bad, self.truth, self.depth = [-1], [len(KINDS)], ["#"], [0], [0], [0], [0]
+        self.parent, self.kind, self.tag, self.good, self.bad, self.truth, self.depth, self.tokens = [-1], [len(KINDS)], ["#"], [0], [0], [0], [0], [0]
         self.runs: list[tuple[int, str]] = []
         self.links, self.fields = [0], [0]
         self._read(source)
@@ -98,7 +102,7 @@ class Page:
         ends: dict[int, int] | None = None
         unclosed: set[str] = set()  # tags without an end tag in the rest of the page
 
-        def add(tag: str, parent: int, good: int = 0, bad: int = 0, truth: int = 0, links: int = 0, fields: int = 0) -> int:
+        def add(tag: str, parent: int, good: int = 0, bad: int = 0, truth: int = 0, links: int = 0, fields: int = 0, tokens: int = 0) -> int:
             self.parent.append(parent)
             self.depth.append(self.depth[parent] + 1)
             self.tag.append(tag)
@@ -108,6 +112,7 @@ class Page:
             self.truth.append(truth)
             self.links.append(links)
             self.fields.append(fields)
+            self.tokens.append(tokens)
             return len(self.parent) - 1
 
         def flush() -> None:
@@ -195,7 +200,8 @@ class Page:
                 continue
             tokens = [t.lower() for a in ATTRIBUTE.finditer(m[3]) for t in TOKEN.findall(a[2] or a[3] or a[4] or "")]
             good, bad = sum(t in GOOD for t in tokens), sum(t in BAD for t in tokens)
-            stack.append((tag, add(tag, stack[-1][1], good, bad, int('data-truth="1"' in m[3]))))
+            flags = reduce(or_, (1 << crc32(t.encode()) % TOKEN_BITS for t in tokens), 0)
+            stack.append((tag, add(tag, stack[-1][1], good, bad, int('data-truth="1"' in m[3]), tokens=flags)))
         flush()
 
     @staticmethod
@@ -230,6 +236,7 @@ def node_features(page: Page) -> np.ndarray:
     handed = np.zeros((n, INHERITED))
     good, bad = np.array(page.good, float), np.array(page.bad, float)
     up_good, up_bad, read, words_before = np.zeros(n), np.zeros(n), 0.0, np.zeros(n)
+    tokens, up_tokens = np.array(page.tokens, np.uint32), np.zeros(n, np.uint32)
     for i in range(1, n):
         p = parent[i]
         place[i], count[p] = count[p], count[p] + 1
@@ -237,6 +244,7 @@ def node_features(page: Page) -> np.ndarray:
         if kind[p] < INHERITED:
             handed[i, kind[p]] = 1
         up_good[i], up_bad[i] = up_good[p] + good[p], up_bad[p] + bad[p]
+        up_tokens[i] = up_tokens[p] | tokens[p]
         words_before[i] = read
         read += own[i]
     total, one = max(1.0, words[0]), np.maximum(words, 1)
@@ -250,7 +258,8 @@ def node_features(page: Page) -> np.ndarray:
         links / one, words / np.maximum(runs, 1), words / below, fields, np.log1p(paragraphs), np.array(page.depth), place, siblings,
         place / np.maximum(siblings, 1), words / np.maximum(1, words[np.maximum(parent, 0)]), words / total, before, children,
     ]
-    return np.column_stack([*columns, kinds, handed]).astype(np.float32)
+    flags = [v[:, None] >> np.arange(TOKEN_BITS, dtype=np.uint32) & np.uint32(1) for v in (tokens, up_tokens)]
+    return np.column_stack([*columns, kinds, handed, *flags]).astype(np.float32)
 
 
 class Trees:
@@ -259,11 +268,15 @@ class Trees:
     def __init__(self, cuts: np.ndarray, features: np.ndarray, bins: np.ndarray, values: np.ndarray, base: float):
         self.cuts, self.features, self.bins, self.values, self.base = cuts, features, bins, values, base
 
-    def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(self.cuts[j], x[:, j], side="left") for j in range(x.shape[1])]).astype(np.int16)
+    def binned(self, x: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+        """The bin of every value; of the ``used`` features only, if given."""
+        out = np.zeros(x.shape, np.int16)
+        for j in range(x.shape[1]) if used is None else used:
+            out[:, j] = np.searchsorted(self.cuts[j], x[:, j], side="left")
+        return out
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        b, out = self.binned(x), np.full(len(x), self.base)
+        b, out = self.binned(x, np.unique(self.features[self.bins < BINS])), np.full(len(x), self.base)
         rows = np.arange(len(x))
         for f, c, v in zip(self.features, self.bins, self.values, strict=True):
             at = np.zeros(len(x), np.int64)
@@ -476,7 +489,7 @@ def extract_text(pages: DataFrame, trees: Trees | None, source: str = "html", co
             yield pd.Series([main_text(p, o) for p, o in zip(parsed, odds, strict=True)], dtype=object)
 
     python_workers(pages.sparkSession, 500)
-    return pages.withColumn(column, extract(F.coalesce(F.col(source), F.lit(""))))
+    return set_aside(pages, column).withColumn(column, extract(F.coalesce(F.col(source), F.lit(""))))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
