@@ -8,7 +8,7 @@ library has it, and only the others are merged. Ids are decoded by the inverse m
 Encoding is one scan without a shuffle. Pre-tokens repeat, so a worker keeps what it has encoded, within a bound.
 
 Defined results: null and empty texts have no ids (the digest of no bytes); repeated rows are encoded one by one; extra
-columns are left out. Texts are never cut. A lone surrogate cannot occur in Spark's strings.
+columns are kept by ``encode_documents``, one named ``bpe`` under another name. Texts are never cut. A lone surrogate cannot occur in Spark's strings.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import table
+from .common import set_aside, table
 from .word_tokens import Kept, byte_characters
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -120,7 +120,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
 
     python_workers(docs.sparkSession)
-    return docs.withColumn("bpe", encode(F.coalesce(F.col(text), F.lit(""))))
+    return set_aside(docs, "bpe").withColumn("bpe", encode(F.coalesce(F.col(text), F.lit(""))))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ array of 2**BITS numbers, whatever the input. Scoring is one scan without a shuf
 
 Defined results: null, empty and blank texts have no features and score by the bias; rows with a null doc_id are in fold 0 of a
 null id's hash (held out) and never train; several labels for an id count as the greatest; null labels are ignored; with no
-labels every score is 0.5; an empty table gives no rows; extra columns are kept by ``score_texts``.
+labels every score is 0.5; an empty table gives no rows; extra columns are kept by ``score_texts``, one named like the
+score under another name; repeated rows are scored one by one. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import table
+from .common import set_aside, table
 
 BITS = 18
 #: Expected number of labelled rows that are trained on, at most.
@@ -140,7 +141,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, text: str = "text", column
             yield pd.Series([one(t) for t in batch], dtype="float64")
 
     python_workers(docs.sparkSession)
-    return docs.withColumn(column, of(F.coalesce(F.col(text), F.lit(""))))
+    return set_aside(docs, column).withColumn(column, of(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

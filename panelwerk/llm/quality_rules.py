@@ -5,7 +5,8 @@ document that loses too large a share of its word characters is rejected. Everyt
 there is no shuffle, so neither a hot source nor a long text needs special care.
 
 Defined results: a null text counts as no words and fails the base rule, as do empty and blank texts; repeated rows are
-judged one by one; extra columns pass through ``line_quality`` untouched (its own columns start with ``lq_``).
+judged one by one; an empty table gives no rows; extra columns pass through ``line_quality`` untouched (its own columns start
+with ``lq_``; an input's of these names are kept under other names).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, words
+from .common import WORD, free_name, let, set_aside, table, words
 
 #: Marks that count as symbols, and the class that deletes them.
 SYMBOLS = "#*$%&|<>"
@@ -41,7 +42,10 @@ BOILERPLATE = [
     "cookie consent", "accept cookies", "accept all cookies", "enable javascript", "javascript is disabled",
     "javascript is required", "sign in to", "log in to", "click here to", "subscribe to our", "skip to content",
     "skip to main content", "lorem ipsum", "back to top", "tous droits réservés", "alle rechte vorbehalten",
-    "todos los derechos reservados",
+    "todos los derechos reservados", "politique de confidentialité", "conditions d'utilisation", "mentions légales",
+    "accepter les cookies", "cliquez ici pour", "aller au contenu", "datenschutzerklärung", "nutzungsbedingungen",
+    "cookies akzeptieren", "zum inhalt springen", "klicken sie hier", "política de privacidad", "términos de uso", "aviso legal",
+    "aceptar cookies", "haga clic aquí", "ir al contenido",
 ]
 
 #: Up to so many different repeated windows are looked up one by one.
@@ -122,6 +126,7 @@ def _any(tests: Iterable[Column]) -> Column:
 
 def line_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its counts, its cleaned text and its verdict in ``lq_`` columns."""
+    docs = set_aside(docs, *(c for c in docs.columns if c.lower().startswith("lq_")))
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
     judged = docs.withColumn("lq_lines", F.transform(lines, lambda x: F.struct(x.alias("line"), words(x).alias("parts"))))
@@ -153,11 +158,13 @@ def cleaned_documents(docs: DataFrame) -> DataFrame:
 
     Rejected rows leave by a generator: a filter would be pushed below the projections and repeat all their expressions.
     """
+    given = docs.columns
+    docs = docs.withColumnsRenamed({c: free_name(docs, "in_" + c) for c in given if c.lower().startswith("lq_")})
     judged = line_quality(docs)
     cleaned = judged.withColumn("text", F.when(F.col("lq_n_lines_removed") > 0, F.col("lq_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(F.inline(F.when(F.col("lq_kept"), F.array(F.struct(*docs.columns))))).select(*docs.columns)
+    return cleaned.select(F.inline(F.when(F.col("lq_kept"), F.array(F.struct(*docs.columns))))).toDF(*given)
 
 
 def op3_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +194,7 @@ lcounts AS (SELECT *, len(ps) AS n, len(list_filter(ps, lambda x: x LIKE '%!!' O
 ljudged AS (SELECT rid, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
   (n >= {MIN_LINE_WORDS} AND syms - seps > {MAX_SYMBOLS_PER_WORD} * n) OR (n >= {MIN_LINE_WORDS} AND ex > {MAX_EXCLAIMED} * n)
   OR (seps >= 2 AND seps > {MAX_SEPARATORS} * n)
-  OR (n <= {MAX_BOILERPLATE_WORDS} AND ({" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)})) AS fails FROM lcounts),
+  OR (n <= {MAX_BOILERPLATE_WORDS} AND ({" OR ".join(f"contains(lower(line), '{p.replace(chr(39), chr(39) * 2)}')" for p in BOILERPLATE)})) AS fails FROM lcounts),
 lsum AS (SELECT rid, CAST(sum(CASE WHEN fails THEN 0 ELSE chars END) AS BIGINT) AS kept_chars,
   CAST(sum(CASE WHEN fails THEN 1 ELSE 0 END) AS BIGINT) AS n_lines_removed FROM ljudged GROUP BY rid),
 base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,

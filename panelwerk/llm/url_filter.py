@@ -8,7 +8,8 @@ pattern may be longer than 64. A batch of URLs takes its steps together, one cha
 ``*`` stands for any run of characters other than the separator, ``?`` for one such character.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of the globs on these;
-repeated urls are judged row by row; extra columns are kept by ``judge_urls``. Urls are never cut.
+repeated urls are judged row by row; extra columns are kept by ``judge_urls``, those named like its own under
+another name. Urls are never cut.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import table
+from .common import free_name, set_aside, table
 
 SEPARATOR = "\n"
 #: (verdict, host, path): production rules; they hold for the host and its subdomains, the longest wins.
@@ -115,8 +116,10 @@ def judge_urls(pages: DataFrame, rules: list = RULES, blocked: list = BLOCKED, u
 
     python_workers(pages.sparkSession)
     host, path = host_and_path(F.col(url))
-    judged = pages.withColumns({"host": host, "path": path}).withColumn("judged", judge("host", "path"))
-    return judged.withColumns({"rule": F.col("judged.rule"), "verdict": F.col("judged.verdict")}).drop("judged")
+    rows = set_aside(pages, "host", "path", "rule", "verdict")
+    both = free_name(rows, "judged")
+    judged = rows.withColumns({"host": host, "path": path}).withColumn(both, judge("host", "path"))
+    return judged.withColumns({"rule": F.col(both)["rule"], "verdict": F.col(both)["verdict"]}).drop(both)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

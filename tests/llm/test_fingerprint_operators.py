@@ -323,7 +323,7 @@ def test_op7_query(spark, tmp_path):
         taken[r.source_size, r.target] += r.taken
     for (size, target), n in sizes.items():
         assert n == size and abs(taken[size, target] - target) <= 1
-    assert sorted(got) == sorted(mixing.op7_mix_sources(spark, str(tmp_path)).collect())
+    assert sorted(map(str, got)) == sorted(map(str, mixing.op7_mix_sources(spark, str(tmp_path)).collect()))
 
 
 def brute_glob(glob, text):
@@ -350,3 +350,27 @@ def test_url_verdicts(spark):
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("org", "/fr/1", "org/fr/", "allow"), ("notexample.com", "/de/", None, "allow"),
         ("free-bets.io", "/a", None, "block"), ("fine.io", "/ads/1", None, "block"),
     ]
+
+
+def test_urls_long_repeated_empty_and_of_clashing_names(spark, tmp_path):
+    long = "http://fine.io/" + "a" * 100_000 + "/ads/x"
+    pages = spark.createDataFrame([(1, long, "H", "P", "R", "V", 1), (1, long, "H", "P", "R", "V", 1)], "page_id long, url string, host string, path string, rule string, verdict string, judged int")
+    rows = url_filter.judge_urls(pages)
+    assert rows.columns == ["page_id", "url", "host_", "path_", "rule_", "verdict_", "judged", "host", "path", "rule", "verdict"]
+    for r in rows.collect():
+        assert (r.host, r.verdict, r.host_, r.path_, r.rule_, r.verdict_, r.judged) == ("fine.io", "block", "H", "P", "R", "V", 1) and len(r.path) > 100_000
+    pages.limit(0).write.parquet(f"{tmp_path}/pages.parquet")
+    assert url_filter.op8_url_filter(spark, str(tmp_path)).count() == 0
+
+
+def test_op8_query_is_brute_force(spark):
+    pages = {r.page_id: r.url or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    for r in url_filter.op8_url_filter(spark, "/root/testdata/sf0.01").collect():
+        rest = pages[r.page_id].partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        blocked = any(brute_glob(h, "." + host) and brute_glob(p, path) for h, p in url_filter.BLOCKED)
+        want = max(fits)[1:] if fits else (None, "block" if blocked else "allow")
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, *want)

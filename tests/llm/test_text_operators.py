@@ -133,3 +133,114 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.count() == found.select(F.coalesce("component_id", "fp")).distinct().count()
         before = docs
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def brute_ftrl(samples, passes=quality_classifier.PASSES):
+    """The update rule, a coordinate at a time."""
+    q = quality_classifier
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= q.L1 else -(z[i] - np.sign(z[i]) * q.L1) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+    for _ in range(passes):
+        for found, label in samples:
+            x = {int(i): q.SCALE * c / max(1, len(found)) for i, c in Counter(found.tolist()).items()}
+            x[1 << q.BITS] = 1.0
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / q.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_and_scores_are_brute_force(spark, tmp_path):
+    draw = np.random.default_rng(1)
+    texts = [" ".join(draw.choice(["good", "bad", "the", "Is", "7", "!", "of"], size=int(draw.integers(0, 30)))) for _ in range(60)]
+    found = [quality_classifier.features(t, quality_classifier._Codes()) for t in texts]
+    samples = [(f, int("good" in t)) for f, t in zip(found, texts, strict=True)]
+    weights, want = quality_classifier.train_ftrl(samples), brute_ftrl(samples)
+    assert {int(i) for i in np.flatnonzero(weights)} == {i for i, v in want.items() if v} and all(abs(weights[i] - v) < 1e-9 for i, v in want.items())
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate([*texts, "", None, "bad " * 300_000])], "doc_id long, text string, score double")
+    rows = quality_classifier.score_texts(docs, weights.astype(np.float32)).collect()
+    for r in rows:
+        own = quality_classifier.features(r.text, quality_classifier._Codes())
+        odds = want[1 << quality_classifier.BITS] + quality_classifier.SCALE * sum(want.get(int(i), 0.0) for i in own) / max(1, len(own))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(odds, -35, 35)))) < 1e-4 and r.score_ == 0.5
+
+
+def test_page_columns_of_clashing_names_are_kept(spark, trees):
+    pages = spark.createDataFrame([(1, "<p>x</p>", "a", "b")], "page_id long, html string, text string, n_chars string")
+    row = html_extract.extract_text(pages, trees)
+    assert row.columns == ["page_id", "html", "text_", "n_chars", "text"] and row.first().text_ == "a"
+
+
+def test_long_repeated_and_empty_pages(spark, trees, tmp_path):
+    body = "".join(f"<p>Paragraph {k} of a long story, with a sentence. And one more.</p>" for k in range(30_000))
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Story</h1>{body}</article><footer>&copy; us</footer></body></html>"
+    assert len(page) > 2_000_000
+    pages = spark.createDataFrame([(1, page), (2, page), (3, None)], "page_id long, html string")
+    rows = {r.page_id: r.text for r in html_extract.extract_text(pages, trees).collect()}
+    assert rows[1] == rows[2] and rows[1].count("\n") == 30_000 and rows[1].startswith("Story\nParagraph 0 ") and "Home" not in rows[1] and rows[3] == ""
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert html_extract.op2_html_extraction(spark, str(tmp_path)).count() == 0
+
+
+def test_op2_query_on_known_articles(spark):
+    from html import unescape
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = html_extract.op2_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(pages)
+    wrong = 0
+    for r in rows:
+        page = pages[r.page_id]
+        inner = page[page.index("<article>") : page.index("</article>")].replace("<br>", " ")
+        parts = (" ".join(unescape(x).split()) for x in re.split(r"<(?!/?b>)[^>]*>|</?b>", inner))
+        wrong += r.text != "\n".join(p for p in parts if p)
+        assert r.n_chars == len(r.text)
+    assert wrong == 0
+
+
+def test_pages_of_plain_divisions_are_extracted_alike(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    plain = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit('<div class="content">')), F.lit("</article>"), F.lit("</div>")))
+    want = {r.page_id: r.text for r in html_extract.extract_text(pages, html_extract.train(pages)).collect()}
+    got = {r.page_id: r.text for r in html_extract.extract_text(plain, html_extract.train(plain)).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
+def test_rules_keep_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(80)) + ".", "a", "b")], "doc_id long, text string, lq_text string, lq_kept string")
+    row = quality_rules.line_quality(docs).first()
+    assert (row.lq_text_, row.lq_kept_, row.lq_kept) == ("a", "b", True)
+    cleaned = quality_rules.cleaned_documents(docs)
+    assert cleaned.columns == docs.columns and tuple(cleaned.first())[2:] == ("a", "b")
+
+
+def test_rules_in_four_languages(spark):
+    prose = " ".join(f"word{i}" for i in range(80)) + "."
+    lines = ["Mentions légales et conditions d'utilisation", "Datenschutzerklärung", "Política de privacidad", "All rights reserved"]
+    docs = spark.createDataFrame([(k, f"{prose}\n{x}") for k, x in enumerate(lines)], "doc_id long, text string")
+    assert [r.lq_text for r in quality_rules.line_quality(docs).orderBy("doc_id").collect()] == [prose] * 4
+
+
+def test_op3_query_repeats_and_nulls(spark, tmp_path):
+    texts = [None, "", "one two " * 100, " ".join(str(i) for i in range(70)), " ".join(str(i) for i in range(70))]
+    spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted((r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.op3_line_quality_rules(spark, str(tmp_path)).collect())
+    assert rows == [(0, 0, True, False), (0, 0, True, False), (70, 0, False, True), (70, 0, False, True), (200, 200, True, False)]
+
+
+def test_pipeline_with_nulls_repeats_and_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    odd = docs.limit(40).select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", F.lit(None).cast("string").alias("source"), "n_chars")
+    blank = docs.limit(3).withColumn("text", F.lit(None).cast("string"))
+    some = docs.unionByName(odd).unionByName(blank).unionByName(docs.limit(30))
+    for name, table in (("some", some), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert rows and all(r.n_tokens > 0 for r in rows) and max(Counter(r.doc_id for r in rows if r.doc_id is not None).values()) <= 2
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
