@@ -5,6 +5,10 @@
 3. SimHash near-duplicates: one document of each group stays;
 4. mixing: documents (or parts of them) are taken, some twice, so that sources meet their targets;
 5. byte-level BPE: the ids of every text that is left, with digests of them and of what they decode to.
+
+Defined results: null, empty and blank texts fall at stage 2 at the latest (fewer than 50 words); repeated rows are near-duplicates
+of each other, so one stays; rows with a null doc_id are kept, one of each group; rows with a null source are a source of their
+own; an empty table gives no rows; extra columns go through all stages but the last. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwerk.llm import byte_bpe, mixing, quality_classifier, quality_rules, simhash
-from panelwerk.llm.common import shared_dir, table
+from panelwerk.llm.common import drop_folder, free_name, shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trained on the labelled rows of its own input; keeps what op1 predicts as 1."""
     weights = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score_texts(docs, weights, column="_score")
-    return scored.where(F.col("_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "_score")
+    scored = quality_classifier.score_texts(docs, weights, column=score)
+    return scored.where(F.col(score) >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,4 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # the stage before has been read for the last time
+            drop_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
