@@ -66,6 +66,10 @@ GOOD = frozenset("article content main post entry story body text prose blog pag
 BAD = frozenset("ad ads advert advertisement banner nav menu navbar sidebar side footer header masthead comment comments reply replies cookie cookies notice consent gdpr alert promo promotion share social related recommended subscribe newsletter widget breadcrumb breadcrumbs pager pagination modal popup login signin search sponsor sponsored disclaimer copyright toolbar topbar rail teaser tags meta form signup overlay disqus respond dialog".split())
 INHERITED = 6  # kinds from 0 to 5 that are handed down
 TOKEN_BITS = 32
+#: Share of a page's dense text that its main node holds, where no tag tells.
+HOLDS = 0.85
+#: Share of made-up layouts with text outside all block-level elements.
+BARE = 0.1
 
 
 def _ends(source: str, at: int) -> dict[int, int]:
@@ -287,13 +291,21 @@ class Trees:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Trees:
-        """Second-order boosting of the logistic loss over binned features, level by level."""
+        """Second-order boosting of the logistic loss over binned features, level by level.
+
+        Sums over bins are counted for graded features; for flags, which have one split, they are a product of matrices.
+        """
         grid = np.linspace(0, 1, BINS + 1)[1:-1]
-        cuts = np.stack([np.quantile(x[:, j], grid) for j in range(x.shape[1])])
+        flag = ((x == 0) | (x == 1)).all(axis=0)
+        graded, flags = np.flatnonzero(~flag), np.flatnonzero(flag)
+        cuts = np.full((x.shape[1], BINS - 1), 0.5)
+        for j in graded:
+            cuts[j] = np.quantile(x[:, j], grid)
         rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
         model = cls(cuts, np.zeros((0, 2**DEPTH - 1), np.int64), np.zeros((0, 2**DEPTH - 1), np.int64), np.zeros((0, 2**DEPTH)), float(np.log(rate / (1 - rate))))
         b, width, odds = model.binned(x), x.shape[1], np.full(len(x), model.base)
-        offset = np.arange(width) * BINS
+        shifted, is_set = (np.arange(len(graded)) * BINS + b[:, graded]).astype(np.int64), x[:, flags].astype(np.float64)
+        rows = np.arange(len(x))
         features, bins, values = [], [], []
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-odds))
@@ -302,16 +314,24 @@ class Trees:
             at = np.zeros(len(x), np.int64)
             for level in range(DEPTH):
                 nodes, low = 2**level, 2**level - 1
-                cell = ((at - low)[:, None] * (width * BINS) + offset + b).ravel()
-                size = nodes * width * BINS
-                sums = [np.bincount(cell, np.repeat(v, width), size).reshape(nodes, width, BINS).cumsum(axis=2) for v in (g, h, np.ones(len(x)))]
-                (gl, hl, nl), (gt, ht, nt) = sums, [s[:, :, -1:] for s in sums]
+                cell = ((at - low)[:, None] * (len(graded) * BINS) + shifted).ravel()
+                size = nodes * len(graded) * BINS
+                left, total = [], []
+                for v in (g, h, np.ones(len(x))):
+                    inside = np.zeros((len(x), nodes))
+                    inside[rows, at - low] = v
+                    all_ = inside.sum(axis=0)[:, None, None]
+                    below = np.zeros((nodes, width, BINS))
+                    below[:, graded] = np.bincount(cell, np.repeat(v, len(graded)), size).reshape(nodes, len(graded), BINS).cumsum(axis=2)
+                    below[:, flags, 0] = all_[:, :, 0] - inside.T @ is_set
+                    left.append(below), total.append(all_)
+                (gl, hl, nl), (gt, ht, nt) = left, total
                 gain = gl**2 / (hl + LEAF_L2) + (gt - gl) ** 2 / (ht - hl + LEAF_L2) - gt**2 / (ht + LEAF_L2)
                 gain = np.where((nl >= LEAF_MIN) & (nt - nl >= LEAF_MIN), gain, 0).reshape(nodes, -1)
                 best = gain.argmax(axis=1)
                 f[low : low + nodes] = best // BINS
                 c[low : low + nodes] = np.where(gain.max(axis=1) > 1e-9, best % BINS, BINS)
-                at = 2 * at + 1 + (b[np.arange(len(x)), f[at]] > c[at])
+                at = 2 * at + 1 + (b[rows, f[at]] > c[at])
             leaf = at - (2**DEPTH - 1)
             v = -RATE * np.bincount(leaf, g, 2**DEPTH) / (np.bincount(leaf, h, 2**DEPTH) + LEAF_L2)
             odds += v[leaf]
@@ -342,15 +362,36 @@ def main_text(page: Page, odds: np.ndarray) -> str:
 
 
 def _dense(page: Page) -> list[bool]:
-    """Which runs look like main text: words in sentences, few links, outside menus and the like; or else the longest."""
-    aside, words = [False] * len(page.parent), [0] * len(page.parent)
-    for i in range(1, len(page.parent)):
+    """Which runs stand for the main text where no tag tells: those of the smallest node that holds nearly all dense runs.
+
+    Dense runs have words in sentences and few links and lie outside menus and the like; without any, the longest run counts as dense. The
+    node's other runs (titles, short lines) count too, but for those in menus and the like.
+    """
+    n = len(page.parent)
+    aside, words = [False] * n, [0] * n
+    for i in range(1, n):
         aside[i] = aside[page.parent[i]] or 0 < page.kind[i] < INHERITED or page.bad[i] > page.good[i]
-    for n, t in page.runs:
-        words[n] += t.count(" ") + 1
-    found = [not aside[n] and t.count(" ") > 6 and any(c in t for c in ".?!。？！") and 4 * page.links[n] <= words[n] for n, t in page.runs]
-    longest = max((len(t) for _, t in page.runs), default=0)
-    return found if any(found) else [len(t) == longest for _, t in page.runs]
+    for at, t in page.runs:
+        words[at] += t.count(" ") + 1
+    linked = [4 * page.links[at] > words[at] for at, _ in page.runs]
+    found = [not aside[at] and t.count(" ") > 6 and any(c in t for c in ".?!。？！") and not far for (at, t), far in zip(page.runs, linked, strict=True)]
+    if not any(found):
+        longest = max((len(t) for _, t in page.runs), default=0)
+        found = [len(t) == longest for _, t in page.runs]
+    held = [0] * n
+    for (at, t), dense in zip(page.runs, found, strict=True):
+        held[at] += len(t) * dense
+    for i in range(n - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    node = 0
+    for i in range(1, n):  # nodes come in the order of the page, so a chain of containers is met from the outside
+        if page.parent[i] == node and held[i] >= HOLDS * held[0] and page.kind[i] != KIND["p"]:
+            node = i
+    inside = [False] * n
+    inside[node] = True
+    for i in range(node + 1, n):
+        inside[i] = inside[page.parent[i]]
+    return [dense or (inside[at] and not aside[at] and not far) for (at, _), far, dense in zip(page.runs, linked, found, strict=True)]
 
 
 def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
@@ -396,6 +437,10 @@ def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
     }
     pick = lambda *names: "".join(parts[n]() for n in names if rng.random() < 0.45)
     mark = ' data-truth="1"'
+    if rng.random() < BARE:  # text outside all blocks, or links there before the blocks
+        text = f" {rng.choice(['<br>', ' '])} ".join(t for _, t in main)
+        menu = " ".join(f'<a href="/x">{some(1, 4)}</a>' for _ in range(rng.randint(2, 6)))
+        return text if rng.random() < 0.5 else menu + "".join(f"<p{mark}>{t}</p>" for _, t in main)
     wraps = rng.choice([["article"], ["main"], ["main", "article"], ["div"], ["div", "div"], ["section", "div"]])
     names = rng.choice(["content", "article-body", "post", "entry-content", "main", "story text", ""])
     body = []
@@ -428,7 +473,11 @@ def _examples(source: str, seed: int, layouts: int = LAYOUTS, dense: bool = Fals
         made = _layout(page, rng, dense)
         if made:
             other = Page(made)
-            truth = np.array(other.truth, np.int8)
+            words = np.zeros(len(other.parent))
+            for node, text in other.runs:
+                words[node] += text.count(" ") + 1
+            bare = np.array([t == "#text" for t in other.tag]) & (2 * np.array(other.links) < words)
+            truth = np.array(other.truth, np.int8) | bare
             for i in range(len(other.parent) - 1, 0, -1):
                 truth[other.parent[i]] |= truth[i]
             yield node_features(other)[1:], truth[1:]
