@@ -203,6 +203,11 @@ def maybe_continues(kind: Column, text: Column, continues_id: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sortable key in which digit runs compare as numbers, case ignored."""
+    """A sortable key in which digit runs of any length compare as numbers, case ignored: by their length without leading zeros, then as text."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.transform(parts, lambda p: F.struct((~p.rlike("^[0-9]")).alias("is_text"), F.when(p.rlike("^[0-9]"), p).cast("decimal(38,0)").alias("number"), p.alias("text")))
+
+    def key(part: Column) -> Column:
+        digits = F.when(part.rlike("^[0-9]"), F.regexp_replace(part, "^0+(?=[0-9])", ""))
+        return F.struct(digits.isNull().alias("is_text"), F.length(digits).alias("size"), digits.alias("digits"), part.alias("text"))
+
+    return F.transform(parts, key)

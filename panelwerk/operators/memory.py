@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .chains import resolve_chains
+from .review import sound_words
 
 
 def relevant_glossary(texts: DataFrame, glossary: DataFrame, key: str) -> DataFrame:
     """(key, source, target): approved terms that occur as whole words in a flattened text of their series.
 
-    ``texts``: (key, series_id, flat). A term can only occur where its first word does, so both sides meet by that word in an
-    equi-join first; the whole term is looked for only in the pairs that are left.
+    ``texts``: (key, series_id, flat), keys unique. A term can only occur where its first word does, so keys and terms meet by that word in
+    an equi-join first; texts come in only for the pairs that are left.
     """
     letters = "A-ZÀ-Ý"
     first = lambda c: F.regexp_extract_all(c, F.lit(f"([{letters}]+|[^{letters} ]+)"), 1)
     terms = glossary.where("status = 'approved'").select("series_id", "source", "target", F.get(first(F.col("source")), F.lit(0)).alias("token"))
-    tokens = texts.select(key, "series_id", "flat", F.explode(F.array_distinct(first(F.col("flat")))).alias("token"))
-    pairs = tokens.join(terms.where("token IS NOT NULL"), ["series_id", "token"])
+    tokens = texts.select(key, "series_id", F.explode(F.array_distinct(first(F.col("flat")))).alias("token"))
+    pairs = tokens.join(terms.where("token IS NOT NULL"), ["series_id", "token"]).select(key, "source", "target")
     pattern = F.concat(F.lit(f"(?<![{letters}])\\Q"), F.col("source"), F.lit(f"\\E(?![{letters}])"))
-    return pairs.where(F.contains("flat", "source") & F.rlike("flat", pattern)).select(key, "source", "target").distinct()
+    return pairs.join(texts.select(key, "flat"), key).where(F.contains("flat", "source") & F.rlike("flat", pattern)).select(key, "source", "target").distinct()
 
 
 def memory_lookup(texts: DataFrame, memory: DataFrame) -> DataFrame:
@@ -119,16 +120,27 @@ def suggest_entries(extracted: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def unknown_words(texts: DataFrame, lexicon: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
-    """(key, word, place): words, in lower case, that neither table of ``word`` has; first spelling and place are kept."""
-    rows = texts.select(key, F.posexplode(T.words(F.col("text"))).alias("place", "spelling")).withColumn("word", F.lower("spelling"))
-    missing = rows.join(lexicon.select("word"), "word", "left_anti").join(allowed.select("word"), "word", "left_anti")
-    return missing.groupBy(key, "word").agg(F.min("place").alias("place"), F.min_by("spelling", "place").alias("spelling"))
+    """(key, word, place, spelling): words, in lower case, that neither table of ``word`` has; the first spelling and place of each.
+
+    Repeats of a word fall inside their text, before anything is joined; AQE splits frequent words.
+    """
+    each = F.transform(T.words(F.col("text")), lambda w, i: F.struct(i.alias("place"), w.alias("spelling"), F.lower(w).alias("word")))
+    first = F.filter(each, lambda w: F.array_position(F.transform(each, lambda o: o["word"]), w["word"]) == w["place"] + 1)
+    rows = texts.select(key, F.inline(first))
+    return rows.join(lexicon.select("word"), "word", "left_anti").join(allowed.select("word"), "word", "left_anti").select(key, "word", "place", "spelling")
 
 
-def missing_sounds(blocks: DataFrame, sfx_glossary: DataFrame) -> DataFrame:
-    """(word, count, suggestion): words of sound blocks that the glossary has neither alone nor in the block's phrase."""
-    keyed = blocks.where("kind = 'sfx'").withColumn("key", T.sound_key(F.col("text"))).where("key <> ''")
+def missing_sounds(blocks: DataFrame, sheets: DataFrame, albums: DataFrame, series: DataFrame, sfx_glossary: DataFrame) -> DataFrame:
+    """(word, count, suggestion), by falling count and word: words of sound blocks that the glossary has neither alone nor in the block's phrase.
+
+    Only original pages of series that are translated (source and target language differ) count. The suggestion is the form that
+    a look-up of the word gives: drawn out from the glossary, or by the rule.
+    """
+    translated = series.where("source_lang <> target_lang").select("series_id")
+    pages = sheets.where("kind = 'original'").select("page_id", "album_id").join(albums.select("album_id", "series_id"), "album_id").join(translated, "series_id", "left_semi")
+    rows = blocks.where("kind = 'sfx'").join(pages.select("page_id"), "page_id", "left_semi").select(T.flatten(F.col("text")).alias("flat")).withColumn("key", T.sound_key(F.col("flat")))
     known = sfx_glossary.select(F.col("source").alias("key")).distinct()
-    rows = keyed.join(known, "key", "left_anti")
-    found = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(T.upper(F.col("text")), F.lit(r"(\p{L}+)"), 1))).alias("word"))
-    return found.join(known.withColumnRenamed("key", "word"), "word", "left_anti").groupBy("word").agg(F.count("*").alias("count")).withColumn("suggestion", T.adapt_sound(F.col("word")))
+    found = rows.join(known, "key", "left_anti").select(F.explode(F.regexp_extract_all("flat", F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    counts = found.groupBy("word").agg(F.count("*").alias("count")).join(known.withColumnRenamed("key", "word"), "word", "left_anti")
+    forms = sound_words(counts.select("word"), sfx_glossary).select("word", F.col("form").alias("suggestion"))
+    return counts.join(forms, "word").orderBy(F.desc("count"), "word")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,17 +15,29 @@ def cer(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("cer", F.when(F.col("length") > 0, F.col("errors") / F.col("length")))
 
 
-def chrf(pairs: DataFrame, keys: list[str], order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Per group the corpus chrF of (id, hypothesis, reference): character n-grams without spaces, clipped by pair."""
-    ids = [*keys, "id"]
+def chrf(pairs: DataFrame, keys: list[str], order: int = 6, beta: float = 2.0, ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Per group the corpus chrF of (ids, hypothesis, reference): character n-grams without spaces, clipped by pair.
 
-    def grams(side: str) -> DataFrame:
-        bare = F.replace(side, F.lit(" "), F.lit(""))
-        rows = pairs.select(*ids, bare.alias("_t"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("_n")).where(F.length("_t") >= F.col("_n"))
-        rows = rows.select(*ids, "_n", "_t", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1)).alias("_i"))
-        return rows.groupBy(*ids, "_n", F.substring("_t", F.col("_i"), F.col("_n")).alias("_g")).agg(F.count("*").alias("_" + side))
+    Grams are hashed inside a text, each from the one shorter by a character. Both sides are counted by one aggregate whose key
+    begins with the pair, so pairs that lie together already (by the first of ``ids``, say) are not shuffled again.
+    """
 
-    both = grams("hypothesis").join(grams("reference"), [*ids, "_n", "_g"], "full").na.fill(0, ["_hypothesis", "_reference"])
+    def grams(side: str) -> Column:
+        chars = F.split(F.replace(F.coalesce(side, F.lit("")), F.lit(" "), F.lit("")), "")
+        none = F.array().cast("array<struct<_n: int, _g: bigint>>")
+
+        def longer(c: Column, shorter: Column, n: int) -> Column:
+            hashed = F.transform(F.slice(shorter, 1, F.greatest(F.size(c) - (n - 1), F.lit(0))), lambda h, i: F.xxhash64(h, F.get(c, i + (n - 1))))
+            named = lambda a: F.transform(a, lambda h: F.struct(F.lit(n).alias("_n"), h.alias("_g")))
+            more = lambda a: F.concat(named(a), longer(c, a, n + 1) if n < order else none)
+            return F.element_at(F.transform(F.array(hashed), more), 1)
+
+        return F.element_at(F.transform(F.array(F.filter(chars, lambda x: x != "")), lambda c: longer(c, F.transform(c, lambda _: F.lit(0).cast("long")), 1)), 1)
+
+    own = [*ids, *keys]
+    sides = pairs.select(*own, F.explode(F.array(*(F.struct(grams(s).alias("grams"), F.lit(s == "hypothesis").alias("own")) for s in ("hypothesis", "reference")))).alias("_s"))
+    rows = sides.select(*own, F.col("_s.own").alias("_own"), F.inline("_s.grams"))
+    both = rows.groupBy(*own, "_n", "_g").agg(F.count_if("_own").alias("_hypothesis"), F.count_if(~F.col("_own")).alias("_reference"))
     found = F.sum(F.least("_hypothesis", "_reference")).alias("_m")
     per_order = both.groupBy(*keys, "_n").agg(found, F.sum("_hypothesis").alias("_h"), F.sum("_reference").alias("_r"))
     mean = lambda side: F.coalesce(F.avg(F.when(F.col(side) > 0, F.col("_m") / F.col(side))), F.lit(0.0))
@@ -42,7 +54,15 @@ def order_correct(matches: DataFrame, key: str) -> DataFrame:
 
 
 def detection_quality(predicted: DataFrame, gold: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: gold and predicted boxes, matched ones, recall and predictions without a match."""
-    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    all_ = count(gold, "gold").join(count(predicted, "predicted"), keys, "full").join(count(matches, "matched"), keys, "left").na.fill(0)
-    return all_.withColumn("recall", F.when(F.col("gold") > 0, F.col("matched") / F.col("gold"))).withColumn("unmatched", F.col("predicted") - F.col("matched"))
+    """Per page and group of gold kinds (``main``, ``sfx``, ``other``): gold boxes, matched ones and recall; and, in the row ``all``, all boxes and the predictions without a match.
+
+    ``gold``: keys, j, kind; ``matches``: keys, i, j.
+    """
+    group = F.when(F.col("kind") == "sfx", "sfx").when(F.col("kind").isin("other", "title"), "other").otherwise("main")
+    hits = gold.select(*keys, "j", group.alias("group")).join(matches.select(*keys, "j", F.lit(1).alias("_hit")), [*keys, "j"], "left")
+    per_group = hits.groupBy(*keys, "group").agg(F.count("*").alias("gold"), F.count("_hit").alias("matched"))
+    total = per_group.groupBy(*keys).agg(F.sum("gold").alias("gold"), F.sum("matched").alias("matched"))
+    total = total.join(predicted.groupBy(*keys).agg(F.count("*").alias("predicted")), keys, "full").na.fill(0)
+    total = total.select(*keys, F.lit("all").alias("group"), "gold", "matched", (F.col("predicted") - F.col("matched")).alias("unmatched"))
+    rows = per_group.withColumn("unmatched", F.lit(None).cast("long")).unionByName(total)
+    return rows.withColumn("recall", F.when(F.col("gold") > 0, F.col("matched") / F.col("gold")))

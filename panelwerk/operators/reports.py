@@ -69,6 +69,17 @@ def glossary_counts(glossary: DataFrame, needle: str) -> DataFrame:
     return glossary.groupBy("series_id", "status").agg(F.count("*").alias("entries"), F.count_if(hit).alias("found"))
 
 
+def glossary_view(glossary: DataFrame, status: str | None = None, needle: str = "") -> DataFrame:
+    """Entries of a status (or all) that hold ``needle`` in source or target, with their ``place`` in the series' list.
+
+    Suggested entries are listed by falling occurrences, all others by source and target.
+    """
+    rows = glossary if status is None else glossary.where(F.col("status") == status)
+    rows = rows.where(F.col("source").contains(needle) | F.col("target").contains(needle))
+    often = -F.coalesce("occurrences", F.lit(0)) if status == "suggested" else F.lit(0)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy(often, "source", "target")))
+
+
 def needs_redraw(blocks: DataFrame) -> DataFrame:
     """Blocks with ``redraw`` (a sign, title or sound whose letters and digits change) and ``lettered``."""
     bare = lambda c: F.regexp_replace(T.upper(F.col(c)), r"[^\p{L}\p{N}]", "")
@@ -133,14 +144,19 @@ def ai_cost(jobs: DataFrame) -> DataFrame:
 
 
 def album_summary(albums: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Pages by kind and the cover (first original page) of every album."""
+    """Pages by kind, the cover (first original page) and its version (12 characters of its file's stem) of every album, newest first by ``place``."""
+    stem = F.regexp_replace(F.regexp_extract("image_path", r"([^/]*)\z", 1), r"(?<=.)\.[^.]*\z", "")
+    sheets = sheets.withColumn("version", F.left(stem, F.lit(12)))
     original = F.col("kind") == "original"
     counts = sheets.groupBy("album_id").agg(
         F.count_if(original).alias("page_count"),
         F.count_if(~original).alias("reference_page_count"),
         F.min_by("page_id", F.when(original, F.col("position"))).alias("cover_page_id"),
+        F.min_by("version", F.when(original, F.col("position"))).alias("cover_version"),
     )
-    return albums.select("album_id", "series_id", "original_title").join(counts, "album_id", "left").na.fill(0, ["page_count", "reference_page_count"])
+    rows = albums.select("album_id", "series_id", "original_title").join(counts, "album_id", "left").na.fill(0, ["page_count", "reference_page_count"])
+    rows = rows.na.fill("", ["cover_version"])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("album_id"))))
 
 
 def readiness(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -173,6 +189,16 @@ def rating_progress(ratings: DataFrame) -> DataFrame:
     return items.groupBy("study").agg(F.count("*").alias("items"), F.count_if("rated").alias("rated"), F.min(F.when(~F.col("rated"), F.col("item"))).alias("first_open"))
 
 
+def rating_items(ratings: DataFrame) -> DataFrame:
+    """(study, item, candidates, rated): the items of each study with their candidates in blind order, without what made them.
+
+    ``ratings``: rating_id, study, item, turn (drawn at random for the study), score; candidates are structs of rating_id and score.
+    """
+    blind = F.struct("turn", "rating_id", "score")
+    listed = F.transform(F.sort_array(F.collect_list(blind)), lambda c: F.struct(c["rating_id"].alias("rating_id"), c["score"].alias("score")))
+    return ratings.groupBy("study", "item").agg(listed.alias("candidates"), F.bool_and(F.col("score").isNotNull()).alias("rated"))
+
+
 def processing_totals(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per album: original pages, skipped ones, blocks and those never read."""
     per_page = blocks.groupBy("page_id").agg(F.count("*").alias("b"), F.count_if(F.col("ocr_model").isNull()).alias("r"))
@@ -181,7 +207,7 @@ def processing_totals(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def page_pitch(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per page the upper median of line pitches of blocks with two lines or more, clamped by the page's height; and each block's."""
+    """Per page the upper median of line pitches of blocks with two lines or more, clamped by the page's height."""
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     rows = blocks.withColumn("lines", lines).withColumn("pitch", F.col("height") / F.greatest(F.col("lines"), F.lit(1)))
     measured = F.sort_array(F.collect_list(F.when((F.col("lines") >= 2) & ~F.col("kind").isin("sfx", "other"), F.col("pitch"))))
@@ -193,6 +219,14 @@ def page_pitch(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
     return per_page.select("page_id", "blocks", clamped.alias("page_pitch"))
 
 
+def block_pitch(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, block_id, page_pitch, pitch): a block's own pitch where it has two lines or more, clamped by its page's, else that."""
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    rows = blocks.select("page_id", "block_id", "height", lines.alias("lines")).join(page_pitch(sheets, blocks).drop("blocks"), "page_id")
+    own = F.least(F.greatest(F.col("height") / F.greatest(F.col("lines"), F.lit(1)), 0.7 * F.col("page_pitch")), 1.4 * F.col("page_pitch"))
+    return rows.select("page_id", "block_id", "page_pitch", F.when(F.col("lines") >= 2, own).otherwise(F.col("page_pitch")).alias("pitch"))
+
+
 def renumber(df: DataFrame, keys: list[str], order: list, column: str = "position") -> DataFrame:
     """Dense positions from 1 in each group."""
     return df.withColumn(column, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
@@ -241,7 +275,18 @@ def job_eta(samples: DataFrame, least_seconds: int = 60) -> DataFrame:
     ends = ends.withColumn("elapsed", seconds).withColumn("done", F.col("p1") - F.col("p0"))
     known = (F.col("elapsed") >= least_seconds) & (F.col("done") > 0)
     left = F.when(known, F.round((F.col("total") - F.col("p1")) * F.col("elapsed") / F.col("done"), 3))
-    return ends.select("job_id", F.col("p1").alias("progress"), "elapsed", left.alias("seconds_left"))
+    return ends.select("job_id", F.col("p1").alias("progress"), "elapsed", "done", "total", left.alias("seconds_left"))
+
+
+def queue_eta(samples: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``job_eta`` of running jobs with ``queued`` jobs of the same type and ``seconds_with_queued``, as each lasts as long as this one.
+
+    ``jobs``: job_id, type, status; ``samples``: of ``job_eta``.
+    """
+    queued = jobs.where("status = 'queued'").groupBy("type").agg(F.count("*").alias("queued"))
+    running = jobs.where("status = 'running'").select("job_id", "type").join(job_eta(samples), "job_id").join(queued, "type", "left").na.fill(0, ["queued"])
+    whole = F.col("total") * F.col("elapsed") / F.col("done")
+    return running.select("job_id", "type", "progress", "elapsed", "seconds_left", "queued", F.round(F.col("seconds_left") + F.col("queued") * whole, 3).alias("seconds_with_queued"))
 
 
 def recent_jobs(jobs: DataFrame, n: int = 10) -> DataFrame:
@@ -249,10 +294,11 @@ def recent_jobs(jobs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def ai_proposals(jobs: DataFrame) -> DataFrame:
-    """Finished proposals, newest first, with the sum paid so far."""
-    paid = jobs.where("type = 'ai_patch' AND status = 'done'")
-    turn = Window.partitionBy("album_id").orderBy(F.desc("job_id"))
-    return paid.select("album_id", "job_id", "cost", F.row_number().over(turn).alias("newest"))
+    """Finished proposals of each block, newest first by ``newest``, with model and cost from their JSON ``result``."""
+    result = lambda name, kind: F.try_variant_get(F.try_parse_json("result"), f"$.{name}", kind)
+    paid = jobs.where("type = 'ai_patch' AND status = 'done'").select("job_id", "updated_at", result("block_id", "long").alias("block_id"), result("model", "string").alias("model"), result("cost", "double").alias("cost"))
+    turn = Window.partitionBy("block_id").orderBy(F.desc("job_id"))
+    return paid.where("block_id IS NOT NULL").select("block_id", "job_id", "model", "cost", F.row_number().over(turn).alias("newest"))
 
 
 def memory_examples(memory: DataFrame, n: int = 8) -> DataFrame:
@@ -263,16 +309,33 @@ def memory_examples(memory: DataFrame, n: int = 8) -> DataFrame:
 
 
 def queue_listing(jobs: DataFrame, drawing: DataFrame, albums: DataFrame) -> DataFrame:
-    """Jobs that wait or run, and exports that are being drawn (negative id), with album titles; ``rank``: drawing first.
+    """Jobs that wait or run, and exports that are being drawn (negative id, not abandoned), with album titles; drawing comes first by ``part``.
 
-    ``drawing``: (export_id, album_id, done, total).
+    ``drawing``: export_id, album_id and, of ``drawing_activity``, abandoned.
     """
+    if "abandoned" in drawing.columns:
+        drawing = drawing.where("NOT abandoned")
     waiting = jobs.where("status IN ('queued', 'running')").select("job_id", "type", "status", "album_id", F.lit(1).alias("part"))
     drawn = drawing.select((-F.col("export_id")).alias("job_id"), F.lit("export_draw").alias("type"), F.lit("running").alias("status"), "album_id", F.lit(0).alias("part"))
     titles = albums.select("album_id", F.col("original_title").alias("title"))
     return drawn.unionByName(waiting).join(titles, "album_id", "left")
 
 
+#: Seconds without a new page after which an export is stale, and abandoned (fixed values).
+STALE_SECONDS, ABANDONED_SECONDS = 90, 3600
+
+
+def drawing_activity(progress: DataFrame, uploads: DataFrame, now: Column) -> DataFrame:
+    """``progress`` (export_id, created_at and others) with the last activity, and whether it is stale or abandoned at ``now``.
+
+    ``uploads``: export_id, ts of each page that came.
+    """
+    latest = uploads.groupBy("export_id").agg(F.max("ts").alias("_ts"))
+    rows = progress.join(latest, "export_id", "left").withColumn("last", F.greatest("created_at", "_ts")).drop("_ts")
+    idle = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
+    return rows.withColumns({"stale": idle > STALE_SECONDS * 1_000_000, "abandoned": idle > ABANDONED_SECONDS * 1_000_000})
+
+
 def drawing_progress(exports: DataFrame) -> DataFrame:
     """Per export: positions to draw (not skipped) and those of them received."""
     to_draw = exports.where("NOT skip").select("export_id", "position").distinct()

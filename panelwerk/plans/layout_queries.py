@@ -9,6 +9,7 @@ from ..operators import chains as C
 from ..operators import geometry as G
 from ..operators import metrics as X
 from .book import Tables, query
+from .text_queries import _flat
 
 WIDTH, HEIGHT = 1801, 2457
 
@@ -23,13 +24,39 @@ def normalize_detections(t: Tables):
     return G.normalize_detections(t.detections, F.lit(WIDTH), F.lit(HEIGHT)).select("det_id", "x", "y", "width", "height")
 
 
+def _crop(margin: str, near: str, far: str, right: str = "width", bottom: str = "height") -> str:
+    return f"""SELECT block_id, greatest(0.0, {near.format(f"x - {margin.format('width')}")}) AS crop_left, greatest(0.0, {near.format(f"y - {margin.format('height')}")}) AS crop_top,
+ least({WIDTH}.0, {far.format(f"x + width + {margin.format('width')}")}) AS crop_right, least({HEIGHT}.0, {far.format(f"y + height + {margin.format('height')}")}) AS crop_bottom FROM blocks"""
+
+
+def _crops(t: Tables, policy: str):
+    return G.crop_boxes(t.blocks, F.lit(WIDTH), F.lit(HEIGHT), policy).select("block_id", "crop_left", "crop_top", "crop_right", "crop_bottom")
+
+
+@query(_crop("greatest(12.0::DOUBLE, {0} * 0.1::DOUBLE)", "round_even({0}, 0)", "round_even({0}, 0)"))
+def crop_boxes(t: Tables):
+    return _crops(t, "read")
+
+
+@query(_crop("{0} * 0.12::DOUBLE", "trunc({0})", "round_even({0}, 0)"))
+def crop_for_redraw(t: Tables):
+    return _crops(t, "redraw")
+
+
+@query(_crop("10.0::DOUBLE", "floor({0} + 0.5)", "floor({0} + 0.5)"))
+def crop_for_patch(t: Tables):
+    return _crops(t, "patch")
+
+
 @query(
-    f"""WITH m AS (SELECT *, greatest(12.0, width * 0.1::DOUBLE) AS mx, greatest(12.0, height * 0.1::DOUBLE) AS my FROM blocks)
-SELECT block_id, greatest(0.0, round_even(x - mx, 0)) AS crop_left, greatest(0.0, round_even(y - my, 0)) AS crop_top,
- least({WIDTH}.0, round_even(x + width + mx, 0)) AS crop_right, least({HEIGHT}.0, round_even(y + height + my, 0)) AS crop_bottom FROM m"""
+    f"""WITH b AS (SELECT block_id, x * 1.4::DOUBLE - 50 AS x, y * 1.4::DOUBLE - 50 AS y, width - 60 AS width, height AS height FROM blocks),
+p AS (SELECT *, least(greatest(x, 0), {WIDTH - 1}) AS l, least(greatest(y, 0), {HEIGHT - 1}) AS t FROM b)
+SELECT block_id, l AS x, t AS y, greatest(1, least(width, {WIDTH} - l)) AS width, greatest(1, least(height, {HEIGHT} - t)) AS height FROM p"""
 )
-def crop_boxes(t: Tables):
-    return G.crop_boxes(t.blocks, F.lit(WIDTH), F.lit(HEIGHT)).select("block_id", "crop_left", "crop_top", "crop_right", "crop_bottom")
+def fit_to_page(t: Tables):
+    """Boxes moved beyond the edges, some of them without width."""
+    moved = t.blocks.select("block_id", (F.col("x") * 1.4 - 50).alias("x"), (F.col("y") * 1.4 - 50).alias("y"), (F.col("width") - 60).alias("width"), "height")
+    return G.fit_to_page(moved, F.lit(WIDTH), F.lit(HEIGHT))
 
 
 _SHARED = "greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
@@ -63,7 +90,19 @@ def new_regions(t: Tables):
     return G.new_regions(t.detections.where("label = 'text_free'"), t.detections.where("label <> 'text_free'"), WIDTH * HEIGHT).select("det_id")
 
 
-@query()
+#: Fixed points of folds, as recursion over ranked rows: the state is a list.
+_IOU = f"({_SHARED}) / (a.width * a.height + b.width * b.height - ({_SHARED}))"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT *, CASE label WHEN 'bubble' THEN 'bubble' ELSE 'text' END AS class FROM detections),
+c AS (SELECT a.page_id, a.class, a.det_id, a.score, list(b.det_id) AS rivals FROM d a JOIN d b ON a.page_id = b.page_id AND a.class = b.class AND a.det_id <> b.det_id AND {_IOU} > 0.5 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, class ORDER BY score DESC, det_id) AS n FROM c),
+f AS (SELECT page_id, class, n, [det_id] AS kept FROM r WHERE n = 1
+ UNION ALL SELECT r.page_id, r.class, r.n, CASE WHEN list_has_any(f.kept, r.rivals) THEN f.kept ELSE list_append(f.kept, r.det_id) END FROM f JOIN r ON r.page_id = f.page_id AND r.class = f.class AND r.n = f.n + 1),
+k AS (SELECT page_id, class, arg_max(kept, n) AS kept FROM f GROUP BY page_id, class)
+SELECT d.page_id, d.det_id FROM d LEFT JOIN c ON c.det_id = d.det_id LEFT JOIN k ON k.page_id = d.page_id AND k.class = d.class WHERE c.det_id IS NULL OR list_contains(k.kept, d.det_id)"""
+)
 def suppress(t: Tables):
     return G.suppress(t.detections).select("page_id", "det_id")
 
@@ -73,35 +112,90 @@ def merge_near(t: Tables):
     return G.merge_near(t.detections.where("label = 'text_free'"))
 
 
-@query()
+def _reading(rows: str, keys: str) -> str:
+    """Common table expressions for the reading order of ``rows`` within ``keys``: ``o`` has (keys, block_id, place)."""
+    on = " AND ".join(f"r.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
+    fits = "least(r.y + r.height, s.foot) - greatest(r.y, s.head) >= 0.1::DOUBLE * least(r.height, s.foot - s.head)"
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY y, position) AS n FROM {rows}),
+f AS (SELECT {keys}, n, [{{'head': y, 'foot': y + height}}] AS bands, [1] AS bands_of, [block_id] AS ids FROM r WHERE n = 1
+ UNION ALL SELECT {', '.join('r.' + k.strip() for k in keys.split(','))}, r.n,
+ CASE WHEN g.at IS NULL THEN list_append(f.bands, {{'head': r.y, 'foot': r.y + r.height}})
+  ELSE list_transform(f.bands, lambda s, i: CASE WHEN i = g.at THEN {{'head': least(s.head, r.y), 'foot': greatest(s.foot, r.y + r.height)}} ELSE s END) END,
+ list_append(f.bands_of, coalesce(g.at, len(f.bands) + 1)), list_append(f.ids, r.block_id)
+ FROM f JOIN r ON {on} AND r.n = f.n + 1, LATERAL (SELECT list_position(list_transform(f.bands, lambda s: {fits}), TRUE) AS at) g),
+l AS (SELECT {keys}, arg_max(bands_of, n) AS bands_of, arg_max(ids, n) AS ids FROM f GROUP BY {keys}),
+u AS (SELECT {keys}, unnest(ids) AS block_id, unnest(bands_of) AS band FROM l),
+o AS (SELECT {', '.join('u.' + k.strip() for k in keys.split(','))}, u.block_id, CAST(row_number() OVER (PARTITION BY {', '.join('u.' + k.strip() for k in keys.split(','))} ORDER BY band, x, y, position) AS INT) AS place FROM u JOIN {rows} b ON b.block_id = u.block_id)"""
+
+
+@query(f"WITH RECURSIVE {_reading('blocks', 'page_id')} SELECT * FROM o")
 def reading_order(t: Tables):
     return G.reading_order(t.blocks, ["page_id"])
 
 
-@query()
+_PANEL = f"""pp AS (SELECT a.block_id, b.panel, {_SHARED} AS shared, (b.x + b.width / 2 - a.x - a.width / 2) ** 2 + (b.y + b.height / 2 - a.y - a.height / 2) ** 2 AS d
+ FROM blocks a JOIN panels b ON a.page_id = b.page_id),
+pa AS (SELECT block_id, arg_min(panel, (-shared, d, panel)) AS panel FROM pp GROUP BY block_id),
+pb AS (SELECT b.*, pa.panel FROM blocks b JOIN pa ON pa.block_id = b.block_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PANEL}, {_reading('pb', 'page_id, panel')}
+SELECT page_id, block_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY panel, place) AS INT) AS position FROM o"""
+)
 def order_by_panels(t: Tables):
     return G.order_by_panels(t.blocks, t.panels)
 
 
 def _matched(t: Tables):
     box = ["x", "y", "width", "height"]
-    gold = t.blocks.select("page_id", F.col("block_id").alias("j"), *box)
+    gold = t.blocks.select("page_id", F.col("block_id").alias("j"), "kind", *box)
     predicted = t.blocks.where("block_id % 7 <> 0").select("page_id", F.col("block_id").alias("i"), (F.col("x") + 3).alias("x"), (F.col("y") + 2).alias("y"), "width", "height")
-    return predicted, gold, G.match_boxes(predicted, gold, ["page_id"])
+    return predicted, gold, G.match_boxes(predicted, gold.drop("kind"), ["page_id"])
 
 
-@query()
+def _greedy(name: str, candidates: str, keys: str, order: str) -> str:
+    """Common table expressions of a greedy matching of ``candidates`` (keys, i, j and what ``order`` names): ``name`` has (keys, i, j)."""
+    r, f, own = f"{name}_r", f"{name}_f", [k.strip() for k in keys.split(",")]
+    free = f"NOT list_contains({f}.li, {r}.i) AND NOT list_contains({f}.lj, {r}.j)"
+    return f"""{r} AS (SELECT {keys}, i, j, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS n FROM {candidates}),
+{f} AS (SELECT {keys}, n, [i] AS li, [j] AS lj FROM {r} WHERE n = 1
+ UNION ALL SELECT {', '.join(f'{r}.{k}' for k in own)}, {r}.n, CASE WHEN {free} THEN list_append({f}.li, {r}.i) ELSE {f}.li END, CASE WHEN {free} THEN list_append({f}.lj, {r}.j) ELSE {f}.lj END
+ FROM {f} JOIN {r} ON {' AND '.join(f'{r}.{k} = {f}.{k}' for k in own)} AND {r}.n = {f}.n + 1),
+{name} AS (SELECT {keys}, unnest(arg_max(li, n)) AS i, unnest(arg_max(lj, n)) AS j FROM {f} GROUP BY {keys})"""
+
+
+_OVERLAP = f"CASE WHEN least(a.width * a.height, b.width * b.height) > 0 THEN {_SHARED} / least(a.width * a.height, b.width * b.height) ELSE 0 END"
+_MATCHED = f"""WITH RECURSIVE p AS (SELECT page_id, block_id AS i, x + 3 AS x, y + 2 AS y, width, height FROM blocks WHERE block_id % 7 <> 0),
+c AS (SELECT * FROM (SELECT a.page_id, a.i, b.block_id AS j, {_OVERLAP} AS score FROM p a JOIN blocks b ON a.page_id = b.page_id) WHERE score >= 0.5),
+{_greedy("m", "c", "page_id", "score DESC, i DESC, j DESC")}
+"""
+
+
+@query(_MATCHED + "SELECT * FROM m")
 def match_boxes(t: Tables):
     return _matched(t)[2]
 
 
-@query()
+@query(
+    _MATCHED
+    + """, g AS (SELECT b.page_id, CASE WHEN kind = 'sfx' THEN 'sfx' WHEN kind IN ('other', 'title') THEN 'other' ELSE 'main' END AS grp, m.j IS NOT NULL AS hit FROM blocks b LEFT JOIN m ON m.page_id = b.page_id AND m.j = b.block_id),
+k AS (SELECT page_id, grp, count(*) AS gold, count(*) FILTER (WHERE hit) AS matched FROM g GROUP BY page_id, grp),
+n AS (SELECT page_id, count(*) AS predicted FROM p GROUP BY page_id),
+a AS (SELECT *, CAST(NULL AS BIGINT) AS unmatched FROM k UNION ALL
+ SELECT k.page_id, 'all', CAST(sum(gold) AS BIGINT), CAST(sum(matched) AS BIGINT), coalesce(any_value(predicted), 0) - CAST(sum(matched) AS BIGINT) FROM k LEFT JOIN n ON n.page_id = k.page_id GROUP BY k.page_id)
+SELECT page_id, grp AS "group", gold, matched, unmatched, CASE WHEN gold > 0 THEN matched / gold END AS recall FROM a"""
+)
 def detection_quality(t: Tables):
     predicted, gold, matches = _matched(t)
     return X.detection_quality(predicted, gold, matches, ["page_id"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_reading('blocks', 'page_id')},
+g AS (SELECT o.page_id, b.position, lag(b.position) OVER (PARTITION BY o.page_id ORDER BY place) AS last FROM o JOIN blocks b ON b.block_id = o.block_id)
+SELECT page_id, bool_and(position >= coalesce(last, position)) AS correct FROM g GROUP BY page_id"""
+)
 def order_correct(t: Tables):
     order = G.reading_order(t.blocks, ["page_id"])
     gold = t.blocks.select("page_id", "block_id", F.col("position").alias("gold"))
@@ -116,14 +210,43 @@ def _editions(t: Tables):
     return source, t.edition_b.select("album_id", "position", F.col("block_id").alias("j"), "kind", *half)
 
 
-@query()
+_EDITIONS = """es AS (SELECT s.album_id, s.position, b.block_id AS i, b.kind, b.x, b.y, b.width, b.height FROM blocks b JOIN sheets s ON s.page_id = b.page_id WHERE s.kind = 'original'),
+et AS (SELECT album_id, position, block_id AS j, kind, x / 2 AS x, y / 2 AS y, width / 2 AS width, height / 2 AS height FROM edition_b)"""
+_OFFSETS = f"""{_EDITIONS},
+oc AS (SELECT * FROM (SELECT a.album_id, b.position - a.position AS shift, a.position AS pg, b.j AS i, a.i AS j, {_OVERLAP} AS score FROM es a JOIN et b ON a.album_id = b.album_id AND b.position - a.position BETWEEN -8 AND 8) WHERE score >= 0.3),
+{_greedy("om", "oc", "album_id, shift, pg", "score DESC, i DESC, j DESC")},
+ok AS (SELECT album_id, shift, pg, count(*) AS k FROM om GROUP BY ALL),
+sn AS (SELECT album_id, position, count(*) AS n FROM es GROUP BY ALL), tn AS (SELECT album_id, position, count(*) AS n FROM et GROUP BY ALL),
+oz AS (SELECT sn.album_id, tn.position - sn.position AS shift, sum(coalesce(k, 0) / greatest(sn.n, tn.n)) AS score FROM sn JOIN tn ON tn.album_id = sn.album_id AND tn.position - sn.position BETWEEN -8 AND 8
+ LEFT JOIN ok ON ok.album_id = sn.album_id AND ok.shift = tn.position - sn.position AND ok.pg = sn.position GROUP BY ALL),
+ob AS (SELECT album_id, max((round(score, 9), -abs(shift), -shift)) AS best FROM oz GROUP BY album_id),
+oo AS (SELECT album_id, -best[3] AS "offset", best[1] AS score FROM ob)"""
+
+
+@query(f"WITH RECURSIVE {_OFFSETS} SELECT * FROM oo")
 def page_offset(t: Tables):
     """Which page of the second edition each album's pages answer to (2 by the way the fixture is made)."""
     source, target = _editions(t)
     return G.page_offset(source.drop("kind").withColumnRenamed("i", "j"), target.drop("kind").withColumnRenamed("j", "i"), ["album_id"])
 
 
-@query()
+def _aligned(target: str) -> str:
+    """Common table expressions: ``m2`` has (album_id, position, i, j) of aligned boxes of ``es`` and ``target``."""
+    center = lambda t, c, s: f"({t}.{c} + {t}.{s} / 2)"
+    near = "sqrt((a.x + a.width / 2 - b.x - b.width / 2) ** 2 + (a.y + a.height / 2 - b.y - b.height / 2) ** 2) / greatest(sqrt(a.width ** 2 + a.height ** 2), sqrt(b.width ** 2 + b.height ** 2))"
+    return f"""c1 AS (SELECT * FROM (SELECT a.album_id, a.position, b.j AS i, a.i AS j, {_OVERLAP} AS score FROM es a JOIN {target} b ON a.album_id = b.album_id AND a.position = b.position) WHERE score >= 0.3),
+{_greedy("m1", "c1", "album_id, position", "score DESC, i DESC, j DESC")},
+sh AS (SELECT m1.album_id, m1.position, quantile_cont({center('s', 'x', 'width')} - {center('t', 'x', 'width')}, 0.5) AS dx, quantile_cont({center('s', 'y', 'height')} - {center('t', 'y', 'height')}, 0.5) AS dy
+ FROM m1 JOIN es s ON s.i = m1.j JOIN {target} t ON t.j = m1.i AND t.position = m1.position GROUP BY ALL),
+mt AS (SELECT t.album_id, t.position, t.j, t.kind, t.x + coalesce(dx, 0) AS x, t.y + coalesce(dy, 0) AS y, t.width, t.height FROM {target} t LEFT JOIN sh ON sh.album_id = t.album_id AND sh.position = t.position),
+c2 AS (SELECT * FROM (SELECT a.album_id, a.position, a.i, b.j, {near} AS score, {_OVERLAP} AS o FROM es a JOIN mt b ON a.album_id = b.album_id AND a.position = b.position AND (a.kind = 'sfx') = (b.kind = 'sfx')) WHERE o >= 0.3 OR score <= 1),
+{_greedy("m2", "c2", "album_id, position", "score, i, j")}"""
+
+
+_ALIGNED = f"WITH RECURSIVE {_EDITIONS}, ea AS (SELECT * REPLACE (position - 2 AS position) FROM et), {_aligned('ea')}\n"
+
+
+@query(_ALIGNED + "SELECT * FROM m2")
 def align_boxes(t: Tables):
     source, target = _editions(t)
     return G.align_boxes(source, target.withColumn("position", F.col("position") - 2), ["album_id", "position"])
@@ -153,15 +276,18 @@ def chain_texts(t: Tables):
 
 
 @query(
-    """WITH r AS (SELECT l.block_id, l.continues_id, l.page_id, p.page_id AS target_page, row_number() OVER (PARTITION BY l.continues_id ORDER BY l.block_id) AS turn
- FROM (SELECT block_id, page_id, CASE WHEN block_id % 5 = 0 THEN block_id WHEN block_id % 7 = 0 THEN block_id + 100 ELSE continues_id END AS continues_id FROM links) l
- LEFT JOIN links p ON p.block_id = l.continues_id WHERE l.continues_id IS NOT NULL),
-s AS (SELECT block_id, CASE WHEN continues_id = block_id THEN 'self' WHEN coalesce(target_page <> page_id, TRUE) THEN 'other page' WHEN turn > 1 THEN 'taken' END AS reason FROM r)
-SELECT * FROM s WHERE reason IS NOT NULL"""
+    """WITH RECURSIVE x AS (SELECT block_id, page_id, CASE WHEN block_id % 5 = 0 THEN block_id WHEN block_id % 7 = 0 THEN block_id + 100 WHEN position % 3 = 2 AND page_id % 2 = 0 THEN block_id - 1 ELSE continues_id END AS continues_id FROM links),
+r AS (SELECT l.block_id, l.continues_id, l.page_id, p.page_id AS target_page, row_number() OVER (PARTITION BY l.continues_id ORDER BY l.block_id) AS turn
+ FROM x l LEFT JOIN links p ON p.block_id = l.continues_id WHERE l.continues_id IS NOT NULL),
+s AS (SELECT block_id, continues_id, CASE WHEN continues_id = block_id THEN 'self' WHEN coalesce(target_page <> page_id, TRUE) THEN 'other page' WHEN turn > 1 THEN 'taken' END AS reason FROM r),
+w AS (SELECT block_id AS start, continues_id AS node FROM s WHERE reason IS NULL UNION SELECT w.start, s.continues_id FROM w JOIN s ON s.block_id = w.node AND s.reason IS NULL)
+SELECT block_id, reason FROM s WHERE reason IS NOT NULL UNION ALL SELECT start, 'cycle' FROM w WHERE start = node"""
 )
 def invalid_links(t: Tables):
-    broken = F.when(F.col("block_id") % 5 == 0, F.col("block_id")).when(F.col("block_id") % 7 == 0, F.col("block_id") + 100).otherwise(F.col("continues_id"))
-    return C.invalid_links(t.links.withColumn("continues_id", broken))
+    """Links of which some go to the block itself, to another page, or back (a ring)."""
+    back = (F.col("position") % 3 == 2) & (F.col("page_id") % 2 == 0)
+    own = F.when(F.col("block_id") % 5 == 0, F.col("block_id")).when(F.col("block_id") % 7 == 0, F.col("block_id") + 100).when(back, F.col("block_id") - 1)
+    return C.invalid_links(t.links.withColumn("continues_id", own.otherwise(F.col("continues_id"))))
 
 
 _CYR = "translate({0}, '" + T.CYRILLIC[0] + "', '" + T.CYRILLIC[1] + "')"
@@ -174,42 +300,26 @@ def _latin(x: str) -> str:
     return x
 
 
-@query(
-    rf"""WITH j AS (SELECT request_id, CASE WHEN json_valid(response) AND json_type(response, '$.translations') = 'ARRAY' THEN response::JSON END AS r FROM responses),
+_ANSWERS = rf"""WITH j AS (SELECT request_id, CASE WHEN json_valid(response) AND json_type(response, '$.translations') = 'ARRAY' THEN response::JSON END AS r FROM responses),
 e AS (SELECT request_id, unnest(from_json(r->'$.translations', '["JSON"]')) AS item, unnest(range(CAST(json_array_length(r, '$.translations') AS BIGINT))) AS k FROM j WHERE r IS NOT NULL),
 f AS (SELECT request_id, k, TRY_CAST(item->>'number' AS INT) AS number,
  regexp_replace(replace({_latin(r"upper(trim(regexp_replace(regexp_replace(coalesce(item->>'text', ''), '^\s*[\[(][^\]\n)]{0,40}[\])]\s*', ''), '\s+', ' ', 'g')))")}, 'TISUĆ', 'HILJAD'), '^TKO\b', 'KO') AS text,
- {_latin(r"trim(regexp_replace(coalesce(item->>'note', ''), '\s+', ' ', 'g'))")} AS note FROM e)
-SELECT request_id, number, arg_min(text, k) AS text, arg_min(note, k) AS note FROM f WHERE text <> '' AND number BETWEEN 1 AND 3 GROUP BY request_id, number"""
-)
+ {_latin(r"trim(regexp_replace(coalesce(item->>'note', ''), '\s+', ' ', 'g'))")} AS note FROM e),
+a AS (SELECT request_id, number, arg_min(text, k) AS text, arg_min(note, k) AS note FROM f WHERE text <> '' AND number BETWEEN 1 AND 3 GROUP BY request_id, number)
+"""
+
+
+@query(_ANSWERS + "SELECT * FROM a")
 def parse_responses(t: Tables):
     return C.parse_responses(t.responses, "request_id", 3)
 
 
-@query()
+@query(_ANSWERS + "SELECT r.request_id, n.number FROM responses r, (SELECT unnest([1, 2, 3]) AS number) n WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.request_id = r.request_id AND a.number = n.number)")
 def missing_responses(t: Tables):
     asked = t.responses.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number"))
     return C.missing_responses(asked, C.parse_responses(t.responses, "request_id", 3), "request_id")
 
 
-_RULES = "Translate every numbered block."
-
-
-@query(
-    rf"""WITH b AS (SELECT page_id, string_agg(position || '. [' || CASE kind WHEN 'sfx' THEN 'sound effect' WHEN 'other' THEN 'sign or title' WHEN 'title' THEN 'story title' ELSE kind END
- || '] ' || text, chr(10) ORDER BY position) AS page, count(*) AS numbers FROM blocks WHERE translation_status = 'none' GROUP BY page_id),
-g AS (SELECT page_id, string_agg('- ' || text || ' → ' || translation, chr(10) ORDER BY text, translation) AS terms FROM (SELECT DISTINCT page_id, text, translation FROM blocks WHERE kind = 'title' AND translation <> '') GROUP BY page_id),
-c AS (SELECT page_id, string_agg('- ' || text || ' → ' || translation, chr(10) ORDER BY position) AS before FROM blocks WHERE translation_status = 'approved' GROUP BY page_id)
-SELECT b.page_id, numbers, concat_ws(chr(10) || chr(10), '{_RULES}', 'Glossary:' || chr(10) || terms, 'Previous page:' || chr(10) || before, 'Page to translate:' || chr(10) || page) AS prompt
-FROM b LEFT JOIN g ON g.page_id = b.page_id LEFT JOIN c ON c.page_id = b.page_id"""
-)
-def build_requests(t: Tables):
-    asked = t.blocks.where("translation_status = 'none'").select("page_id", F.col("position").alias("number"), "kind", "text")
-    terms = t.blocks.where("kind = 'title' AND translation <> ''").select("page_id", F.col("text").alias("source"), F.col("translation").alias("target")).distinct()
-    before = t.blocks.where("translation_status = 'approved'").select("page_id", (-F.col("position")).alias("back"), F.col("text").alias("source"), F.col("translation").alias("target"))
-    return C.build_requests(asked, terms, before, _RULES)
-
-
 @query(
     """SELECT s.album_id, s.position, s.page_id, r.page_id AS reference_page FROM sheets s JOIN sheets r ON r.album_id = s.album_id AND s.kind = 'original' AND r.kind = 'reference'
  AND r.position = s.position + s.album_id % 3 - 1"""
@@ -219,18 +329,66 @@ def paired_pages(t: Tables):
     return G.paired_pages(t.sheets.where("kind = 'original'"), t.sheets.where("kind = 'reference'"), offsets, ["album_id"])
 
 
-@query()
-def edition_pairs(t: Tables):
-    """Texts of aligned blocks, with what is left on either side."""
+def _exported(t: Tables):
     keys = ["album_id", "position"]
     source, target = _editions(t)
     target = target.withColumn("position", F.col("position") - 2)
     texts = t.blocks.select(F.col("block_id").alias("i"), "text")
-    left = source.select(*keys, "i").join(texts, "i")
-    right = target.select(*keys, "j").join(texts.withColumnRenamed("i", "j"), "j")
+    left = source.join(texts, "i")
+    right = target.join(texts.withColumnRenamed("i", "j"), "j")
     pairs = G.edition_pairs(G.align_boxes(source, target, keys), left, right, keys)
-    nested = G.export_pairs(pairs, left, right, keys)
-    return nested.select(*keys, *(F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("pairs", "source_only", "target_only")))
+    return left, right, pairs, G.export_pairs(pairs, left.select(*keys, "i", "text"), right.select(*keys, "j", "text"), keys)
+
+
+_PAIRS = (
+    _ALIGNED
+    + f""", fl AS (SELECT block_id, {_flat('text')} AS flat FROM blocks),
+pr AS (SELECT m2.album_id, m2.position, m2.i, m2.j, a.flat AS source, b.flat AS target FROM m2 JOIN fl a ON a.block_id = m2.i JOIN fl b ON b.block_id = m2.j WHERE a.flat <> '' AND b.flat <> '')
+"""
+)
+
+
+@query(
+    _PAIRS
+    + """, n AS (SELECT album_id, position, count(*) AS pairs FROM pr GROUP BY ALL),
+so AS (SELECT es.album_id, es.position, count(*) AS k FROM es WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.i = es.i) GROUP BY ALL),
+ta AS (SELECT ea.album_id, ea.position, count(*) AS k FROM ea WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.j = ea.j AND pr.position = ea.position) GROUP BY ALL),
+ks AS (SELECT album_id, position FROM n UNION SELECT album_id, position FROM so UNION SELECT album_id, position FROM ta)
+SELECT ks.album_id, ks.position, CAST(coalesce(pairs, 0) AS INT) AS pairs, CAST(coalesce(so.k, 0) AS INT) AS source_only, CAST(coalesce(ta.k, 0) AS INT) AS target_only FROM ks
+LEFT JOIN n ON n.album_id = ks.album_id AND n.position = ks.position LEFT JOIN so ON so.album_id = ks.album_id AND so.position = ks.position LEFT JOIN ta ON ta.album_id = ks.album_id AND ta.position = ks.position"""
+)
+def edition_pairs(t: Tables):
+    """Texts of aligned blocks, with what is left on either side."""
+    nested = _exported(t)[3]
+    return nested.select("album_id", "position", *(F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("pairs", "source_only", "target_only")))
+
+
+@query(
+    _PAIRS
+    + """SELECT pr.album_id, pr.position AS page, CAST(row_number() OVER (PARTITION BY pr.album_id, pr.position ORDER BY pr.i) AS INT) AS position, kind, x * 2 AS x, y * 2 AS y, width * 2 AS width, height * 2 AS height, target AS text
+FROM pr JOIN es ON es.i = pr.i"""
+)
+def restore_pairs(t: Tables):
+    """The second edition's blocks from exported pairs; its pages are twice as large."""
+    left, _, _, nested = _exported(t)
+    keys = ["album_id", "page"]
+    scales = nested.select("album_id", F.col("position").alias("page"), F.lit(2.0).alias("sx"), F.lit(2.0).alias("sy"))
+    return G.restore_pairs(nested.withColumnRenamed("position", "page"), left.withColumnRenamed("position", "page"), scales, keys)
+
+
+@query(
+    f"""WITH RECURSIVE {_OFFSETS}, ea AS (SELECT et.* REPLACE (et.position - o."offset" AS position) FROM et JOIN oo o ON o.album_id = et.album_id
+ WHERE EXISTS (SELECT 1 FROM es WHERE es.album_id = et.album_id AND es.position = et.position - o."offset")),
+{_aligned('ea')}, fl AS (SELECT block_id, {_flat('text')} AS flat FROM blocks)
+SELECT m2.album_id, m2.position, m2.i, m2.j, a.flat AS source, b.flat AS target FROM m2 JOIN fl a ON a.block_id = m2.i JOIN fl b ON b.block_id = m2.j WHERE a.flat <> '' AND b.flat <> ''"""
+)
+def reference_pairs(t: Tables):
+    """Text pairs of two editions whose offset of pages is found first."""
+    source, target = _editions(t)
+    texts = t.blocks.select(F.col("block_id").alias("i"), "text")
+    page = lambda df: df.select("album_id", "position").distinct().withColumn("page_id", F.col("position"))
+    left, right = source.join(texts, "i"), target.join(texts.withColumnRenamed("i", "j"), "j")
+    return G.reference_pairs(page(source), left, page(target), right, ["album_id"])
 
 
 @query()

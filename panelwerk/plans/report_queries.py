@@ -47,20 +47,23 @@ def glossary_counts(t: Tables):
 
 
 @query(
-    r"""WITH b AS (SELECT *, regexp_replace(upper(text), '[^\p{L}\p{N}]', '', 'g') AS bt, regexp_replace(upper(translation), '[^\p{L}\p{N}]', '', 'g') AS bx FROM blocks
- WHERE NOT contains(text || translation, 'ß')),
+    """SELECT series_id, source, target, CAST(row_number() OVER (PARTITION BY series_id ORDER BY source, target) AS INT) AS place FROM glossary
+WHERE status = 'approved' AND (contains(source, 'E') OR contains(target, 'E'))"""
+)
+def glossary_view(t: Tables):
+    return R.glossary_view(t.glossary, "approved", "E").select("series_id", "source", "target", "place")
+
+
+_BARE = r"regexp_replace(upper(replace({0}, 'ß', 'ss')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_REDRAW = f"""WITH b AS (SELECT *, {_BARE.format('text')} AS bt, {_BARE.format('translation')} AS bx FROM blocks),
 r AS (SELECT block_id, kind, kind IN ('title', 'other', 'sfx') AND trim(text) <> '' AND trim(translation) <> '' AND bt <> bx AS redraw FROM b)
 SELECT block_id, redraw, kind IN ('speech', 'thought', 'caption') OR redraw AS lettered FROM r"""
-)
-def needs_redraw(t: Tables):
-    """Rows without ß, the part that SQL can check: the other engine keeps ß in upper case. ``needs_redraw_all`` has all rows."""
-    plain = t.blocks.where(~F.concat("text", "translation").contains("ß"))
-    return R.needs_redraw(plain).select("block_id", "redraw", "lettered")
 
 
-@query()
-def needs_redraw_all(t: Tables):
-    """The verdict on every block."""
+@query(_REDRAW, name="needs_redraw_all")
+@query(_REDRAW)
+def needs_redraw(t: Tables):
+    """The verdict on every block; ß is folded on both sides."""
     return R.needs_redraw(t.blocks).select("block_id", "redraw", "lettered")
 
 
@@ -124,8 +127,10 @@ def ai_cost(t: Tables):
 
 @query(
     """WITH c AS (SELECT album_id, count(*) FILTER (WHERE kind = 'original') AS page_count, count(*) FILTER (WHERE kind <> 'original') AS reference_page_count,
- min_by(page_id, position) FILTER (WHERE kind = 'original') AS cover_page_id FROM sheets GROUP BY album_id)
-SELECT a.album_id, series_id, original_title, coalesce(page_count, 0) AS page_count, coalesce(reference_page_count, 0) AS reference_page_count, cover_page_id
+ min_by(page_id, position) FILTER (WHERE kind = 'original') AS cover_page_id,
+ min_by(substr(regexp_extract(image_path, '([^/]*)\\.[^./]*$', 1), 1, 12), position) FILTER (WHERE kind = 'original') AS cover_version FROM sheets GROUP BY album_id)
+SELECT a.album_id, series_id, original_title, coalesce(page_count, 0) AS page_count, coalesce(reference_page_count, 0) AS reference_page_count, cover_page_id,
+ coalesce(cover_version, '') AS cover_version, CAST(row_number() OVER (PARTITION BY series_id ORDER BY a.album_id DESC) AS INT) AS place
 FROM albums a LEFT JOIN c ON c.album_id = a.album_id"""
 )
 def album_summary(t: Tables):
@@ -170,6 +175,14 @@ def rating_progress(t: Tables):
     return R.rating_progress(t.ratings)
 
 
+@query(
+    """SELECT study, item, array_to_string(list(rating_id ORDER BY turn, rating_id), ' ') AS candidates, bool_and(score IS NOT NULL) AS rated FROM ratings GROUP BY study, item"""
+)
+def rating_items(t: Tables):
+    rows = R.rating_items(t.ratings)
+    return rows.select("study", "item", F.array_join(F.transform("candidates", lambda c: c["rating_id"].cast("string")), " ").alias("candidates"), "rated")
+
+
 @query(
     """WITH p AS (SELECT page_id, count(*) AS b, count(*) FILTER (WHERE ocr_model IS NULL) AS r FROM blocks GROUP BY page_id)
 SELECT album_id, count(*) AS pages, count(*) FILTER (WHERE skip) AS skipped, CAST(coalesce(sum(b), 0) AS BIGINT) AS blocks, CAST(coalesce(sum(r), 0) AS BIGINT) AS needs_review
@@ -179,14 +192,30 @@ def processing_totals(t: Tables):
     return R.processing_totals(t.sheets, t.blocks)
 
 
+_PITCH = """WITH l AS (SELECT page_id, block_id, kind, height, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM (SELECT * REPLACE (replace(text, '. ', '.' || chr(10)) AS text) FROM blocks)),
+m AS (SELECT page_id, list_sort(list(height / n) FILTER (WHERE n >= 2 AND kind NOT IN ('sfx', 'other'))) AS ps, count(*) AS blocks FROM l GROUP BY page_id),
+pp AS (SELECT m.page_id, blocks, greatest(least(coalesce(ps[len(ps) // 2 + 1], s.height / 64), 1.5 * (s.height / 64)), 0.7 * (s.height / 64)) AS page_pitch
+ FROM m JOIN sheets s ON s.page_id = m.page_id)
+"""
+
+
+def _in_lines(t: Tables):
+    return t.blocks.withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n")))
+
+
+@query(_PITCH + "SELECT * FROM pp")
+def page_pitch(t: Tables):
+    """Blocks have a line for each sentence."""
+    return R.page_pitch(t.sheets, _in_lines(t))
+
+
 @query(
-    r"""WITH l AS (SELECT page_id, kind, height, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM blocks),
-m AS (SELECT page_id, list_sort(list(height / n) FILTER (WHERE n >= 2 AND kind NOT IN ('sfx', 'other'))) AS ps, count(*) AS blocks FROM l GROUP BY page_id)
-SELECT m.page_id, blocks, greatest(least(coalesce(ps[len(ps) // 2 + 1], s.height / 64), 1.5 * (s.height / 64)), 0.7 * (s.height / 64)) AS page_pitch
-FROM m JOIN sheets s ON s.page_id = m.page_id"""
+    _PITCH
+    + """SELECT l.page_id, block_id, page_pitch, CASE WHEN n >= 2 THEN least(greatest(l.height / n, 0.7 * page_pitch), 1.4 * page_pitch) ELSE page_pitch END AS pitch
+FROM l JOIN pp ON pp.page_id = l.page_id"""
 )
-def page_pitch(t: Tables):
-    return R.page_pitch(t.sheets, t.blocks)
+def block_pitch(t: Tables):
+    return R.block_pitch(t.sheets, _in_lines(t))
 
 
 @query("SELECT block_id, page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) AS BIGINT) AS position FROM blocks WHERE kind <> 'sfx'")
@@ -241,7 +270,19 @@ d AS (SELECT job_id, p1, total, p1 - p0 AS done, CAST(floor(epoch(l)) - floor(ep
 SELECT job_id, p1 AS progress, elapsed, CASE WHEN elapsed >= 60 AND done > 0 THEN round((total - p1) * elapsed / done, 3) END AS seconds_left FROM d"""
 )
 def job_eta(t: Tables):
-    return R.job_eta(t.job_samples)
+    return R.job_eta(t.job_samples).select("job_id", "progress", "elapsed", "seconds_left")
+
+
+@query(
+    """WITH e AS (SELECT job_id, min(ts) AS s, max(ts) AS l, min_by(progress, ts) AS p0, max_by(progress, ts) AS p1, max(total) AS total FROM job_samples GROUP BY job_id),
+d AS (SELECT job_id, p1, total, p1 - p0 AS done, CAST(floor(epoch(l)) - floor(epoch(s)) AS BIGINT) AS elapsed FROM e),
+q AS (SELECT type, count(*) AS queued FROM jobs WHERE status = 'queued' GROUP BY type)
+SELECT d.job_id, j.type, p1 AS progress, elapsed, CASE WHEN elapsed >= 60 AND done > 0 THEN round((total - p1) * elapsed / done, 3) END AS seconds_left, coalesce(queued, 0) AS queued,
+ CASE WHEN elapsed >= 60 AND done > 0 THEN round(round((total - p1) * elapsed / done, 3) + coalesce(queued, 0) * (total * elapsed / done), 3) END AS seconds_with_queued
+FROM jobs j JOIN d ON d.job_id = j.job_id LEFT JOIN q ON q.type = j.type WHERE j.status = 'running'"""
+)
+def queue_eta(t: Tables):
+    return R.queue_eta(t.job_samples, t.jobs)
 
 
 @query("SELECT album_id, job_id, type, status FROM jobs QUALIFY row_number() OVER (PARTITION BY album_id ORDER BY job_id DESC) <= 10")
@@ -250,8 +291,9 @@ def recent_jobs(t: Tables):
 
 
 @query(
-    """SELECT album_id, job_id, cost, row_number() OVER (PARTITION BY album_id ORDER BY job_id DESC) AS newest FROM jobs
-WHERE type = 'ai_patch' AND status = 'done'"""
+    """WITH r AS (SELECT job_id, CAST(result::JSON->>'block_id' AS BIGINT) AS block_id, result::JSON->>'model' AS model, CAST(result::JSON->>'cost' AS DOUBLE) AS cost FROM jobs
+ WHERE type = 'ai_patch' AND status = 'done')
+SELECT *, CAST(row_number() OVER (PARTITION BY block_id ORDER BY job_id DESC) AS INT) AS newest FROM r"""
 )
 def ai_proposals(t: Tables):
     return R.ai_proposals(t.jobs)
@@ -263,15 +305,35 @@ def memory_examples(t: Tables):
     return found.select("series_id", "e.source", "e.target", (F.col("place") + 1).alias("place"))
 
 
+_NOW = "2024-01-30 23:30:00"
+_ACTIVITY = f"""WITH p AS (SELECT export_id, count(*) FILTER (WHERE got) AS done, count(*) AS total, TIMESTAMP '2024-01-29 00:00:00' + to_hours(CAST(export_id % 60 AS INT)) AS created_at FROM
+ (SELECT export_id, position, bool_or(received) AS got FROM exports WHERE NOT skip GROUP BY export_id, position) GROUP BY export_id),
+l AS (SELECT export_id, max(ts) AS ts FROM uploads GROUP BY export_id),
+m AS (SELECT p.*, greatest(created_at, ts) AS last FROM p LEFT JOIN l ON l.export_id = p.export_id),
+a AS (SELECT *, epoch_us(TIMESTAMP '{_NOW}') - epoch_us(last) > 90000000 AS stale, epoch_us(TIMESTAMP '{_NOW}') - epoch_us(last) > 3600000000 AS abandoned FROM m)
+"""
+
+
+def _activity(t: Tables):
+    created = F.expr("timestamp_ntz'2024-01-29 00:00:00' + make_dt_interval(0, CAST(export_id % 60 AS INT))")
+    return R.drawing_activity(R.drawing_progress(t.exports).withColumn("created_at", created), t.uploads, F.expr(f"timestamp_ntz'{_NOW}'"))
+
+
 @query(
-    """WITH d AS (SELECT export_id, export_id AS album_id FROM exports GROUP BY export_id HAVING bool_or(NOT received)),
+    _ACTIVITY
+    + """, d AS (SELECT export_id, export_id AS album_id FROM a WHERE done < total AND NOT abandoned),
 q AS (SELECT -export_id AS job_id, 'export_draw' AS type, 'running' AS status, album_id, 0 AS part FROM d
  UNION ALL SELECT job_id, type, status, album_id, 1 FROM jobs WHERE status IN ('queued', 'running'))
 SELECT q.*, original_title AS title FROM q LEFT JOIN albums a ON a.album_id = q.album_id"""
 )
 def queue_listing(t: Tables):
-    open_exports = t.exports.groupBy("export_id").agg(F.bool_or(~F.col("received")).alias("open")).where("open")
-    return R.queue_listing(t.jobs, open_exports.withColumn("album_id", F.col("export_id")), t.albums)
+    open_exports = _activity(t).where("done < total").withColumn("album_id", F.col("export_id"))
+    return R.queue_listing(t.jobs, open_exports, t.albums)
+
+
+@query(_ACTIVITY + "SELECT * FROM a")
+def drawing_activity(t: Tables):
+    return _activity(t)
 
 
 @query(

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import history as H
 from ..operators import memory as M
 from ..sources import manifest as S
+from ..sources import tables as TB
 from ..streaming import activity as A
 from .book import Tables, query
+from .session import shared_dir
 
 
 @query(
     """SELECT block_id, CASE WHEN block_id % 3 = 0 THEN CASE WHEN block_id % 9 = 0 THEN '' ELSE upper(replace(substr(text, 1, 12), 'ß', 'ss')) END ELSE translation END AS translation,
- CASE WHEN block_id % 9 = 0 THEN 'none' WHEN block_id % 3 = 0 THEN 'edited' ELSE translation_status END AS translation_status FROM blocks WHERE trim(substr(text, 1, 12)) <> ''"""
+ CASE WHEN block_id % 9 = 0 OR block_id % 3 = 0 AND trim(substr(text, 1, 12)) = '' THEN 'none' WHEN block_id % 3 = 0 THEN 'edited' ELSE translation_status END AS translation_status FROM blocks"""
 )
 def edit_translations(t: Tables):
-    rows = t.blocks.where("trim(substr(text, 1, 12)) <> ''")
+    rows = t.blocks
     edits = rows.where("block_id % 3 = 0").select("block_id", F.when(F.col("block_id") % 9 == 0, "").otherwise(F.substring("text", 1, 12)).alias("new_text"))
     return H.edit_translations(rows, edits).select("block_id", "translation", "translation_status")
 
@@ -40,12 +43,56 @@ _GROUPS = "SELECT block_id, page_id * 10 + position % 3 AS group_id FROM blocks
 @query(
     f"""WITH g AS ({_GROUPS}), r AS (SELECT b.*, coalesce(g.group_id, -b.block_id) AS key FROM blocks b LEFT JOIN g ON g.block_id = b.block_id),
 m AS (SELECT page_id, key, arg_min(block_id, (position, block_id)) AS block_id, min(position) AS p, arg_min(kind, (position, block_id)) AS kind, min(x) AS x, min(y) AS y,
- max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (WHERE trim(text) <> ''), '') AS text FROM r GROUP BY page_id, key)
-SELECT page_id, block_id, kind, x, y, width, height, text, row_number() OVER (PARTITION BY page_id ORDER BY p, block_id) AS position FROM m"""
+ max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (WHERE trim(text) <> ''), '') AS text,
+ bool_or(ocr_model IS NULL) AS needs_review FROM r GROUP BY page_id, key)
+SELECT page_id, block_id, kind, x, y, width, height, text, needs_review, row_number() OVER (PARTITION BY page_id ORDER BY p, block_id) AS position FROM m"""
 )
 def merge_blocks(t: Tables):
     groups = t.blocks.where("position % 3 <> 0").select("block_id", (F.col("page_id") * 10 + F.col("position") % 3).alias("group_id"))
-    return H.merge_blocks(t.blocks, groups)
+    return H.merge_blocks(t.blocks.withColumn("needs_review", F.col("ocr_model").isNull()), groups)
+
+
+@query("""SELECT series_id, lower(source) AS word FROM glossary UNION SELECT series_id, lower(trim(w)) FROM (SELECT series_id, unnest([' ' || source || ' ', target, '  ']) AS w FROM glossary) WHERE trim(w) <> ''""")
+def upsert_lexicon(t: Tables):
+    """Words that are there already, new ones, and blanks."""
+    known = t.glossary.select("series_id", F.lower("source").alias("word"))
+    sent = F.array(F.concat(F.lit(" "), "source", F.lit(" ")), "target", F.lit("  "))
+    return H.upsert_lexicon(known, t.glossary.select("series_id", F.explode(sent).alias("word")))
+
+
+_SENT = r"""k AS (SELECT *, array_to_string(regexp_extract_all(upper(source), '\p{L}+|\p{N}+'), ' ') AS key FROM (SELECT source || '!' AS source, lower(target) AS target, series_id * 10 AS ord FROM glossary
+ UNION ALL SELECT source, target, id + 1000 FROM sfx_glossary UNION ALL SELECT '...', 'x', series_id FROM series)),
+j AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS turn FROM k)
+"""
+
+
+def _sent_sounds(t: Tables):
+    words = t.glossary.select(F.concat("source", F.lit("!")).alias("source"), F.lower("target").alias("target"), (F.col("series_id") * 10).alias("ord"))
+    again = t.sfx_glossary.select("source", "target", F.col("id") + 1000)
+    blank = t.series.select(F.lit("...").alias("source"), F.lit("x").alias("target"), F.col("series_id").alias("ord"))
+    return H.upsert_sounds(t.sfx_glossary, words.union(again).unionByName(blank))
+
+
+@query(f"WITH {_SENT} SELECT source, target FROM sfx_glossary UNION ALL SELECT key, trim(regexp_replace(upper(target), '\\s+', ' ', 'g')) FROM j WHERE key <> '' AND turn = 1 AND key NOT IN (SELECT source FROM sfx_glossary)")
+def upsert_sounds(t: Tables):
+    return _sent_sounds(t)[0]
+
+
+@query(f"WITH {_SENT} SELECT key = '' AS blank, key IN (SELECT source FROM sfx_glossary) AS known, count(*) AS n FROM j WHERE key = '' OR turn > 1 OR key IN (SELECT source FROM sfx_glossary) GROUP BY ALL")
+def rejected_sounds(t: Tables):
+    """How many entries are refused, blank ones and known ones."""
+    key = T.sound_key(F.col("source"))
+    known = t.sfx_glossary.select(F.col("source").alias("key"), F.lit(True).alias("known")).distinct()
+    rows = _sent_sounds(t)[1].withColumn("key", key).join(known, "key", "left")
+    return rows.groupBy((F.col("key") == "").alias("blank"), F.col("known").isNotNull().alias("known")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT patch_id, page_id, block_id, x, y, width, height FROM patches")
+def restore_patches(t: Tables):
+    """Every third page is snapshot with its patches, emptied of them, and put back."""
+    pages = t.sheets.where("page_id % 3 = 0").select("page_id")
+    after = H.snapshot_pages(t.blocks, t.history.select("page_id", "kind", "position", "action"), pages, "clear", t.patches)
+    return H.restore_patches(after, t.patches.where("page_id % 3 <> 0")).select("patch_id", "page_id", "block_id", "x", "y", "width", "height")
 
 
 @query(
@@ -86,14 +133,15 @@ def suggest_entries(t: Tables):
     return M.suggest_entries(extracted, old)
 
 
-@query("SELECT page_id, block_id, position, text FROM blocks")
+@query("SELECT page_id, block_id, position, text, translation, source, ocr_model, updated_at FROM blocks")
 def restore_pages(t: Tables):
     """Every third page is snapshot, emptied, and put back."""
     pages = t.sheets.where("page_id % 3 = 0").select("page_id")
     past = t.history.select("page_id", "kind", "position", "action")
     after = H.snapshot_pages(t.blocks, past, pages, "clear")
     damaged = t.blocks.where("page_id % 3 <> 0 OR position > 1").withColumn("text", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("text")))
-    return H.restore_pages(after, damaged).select("page_id", "block_id", "position", "text")
+    damaged = damaged.withColumn("ocr_model", F.when(F.col("page_id") % 3 == 0, "other").otherwise(F.col("ocr_model")))
+    return H.restore_pages(after, damaged).select("page_id", "block_id", "position", "text", "translation", "source", "ocr_model", "updated_at")
 
 
 @query(
@@ -158,6 +206,39 @@ def album_manifest(t: Tables):
     return S.album_manifest(shown, shown.where("received"))
 
 
+@query(
+    """WITH p AS (SELECT export_id, count(*) AS n FROM exports WHERE NOT skip GROUP BY export_id)
+SELECT a.album_id, '{' || '"Series":"' || s.name || '"' || CASE WHEN a.album_id % 3 <> 0 THEN ',"Number":"' || a.album_id || '"' ELSE '' END || CASE WHEN a.album_id % 4 <> 0 THEN ',"Title":"' || original_title || '"' ELSE '' END
+ || ',"LanguageISO":"' || target_lang || '","PageCount":"' || n || '","Notes":"Localised"}' AS metadata
+FROM albums a JOIN series s ON s.series_id = a.series_id JOIN p ON p.export_id = a.album_id"""
+)
+def album_metadata(t: Tables):
+    """Every third album has no number, every fourth no title."""
+    pages = t.exports.where("NOT skip").groupBy(F.col("export_id").alias("album_id")).agg(F.count("*").alias("page_count"))
+    rows = t.albums.join(t.series.select("series_id", F.col("name").alias("series"), "target_lang"), "series_id").join(pages, "album_id")
+    number = F.when(F.col("album_id") % 3 != 0, F.col("album_id").cast("string")).otherwise("")
+    title = F.when(F.col("album_id") % 4 != 0, F.col("original_title"))
+    rows = rows.withColumns({"issue_number": number, "translated_title": F.lit(""), "original_title": title})
+    return S.album_metadata(rows, "Localised")
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {v}" for n, v in [("series", "series"), ("albums", "albums"), ("sheets", "sheets"), ("blocks", "linked_blocks"), ("patches", "patches"), ("glossary", "glossary"), ("sound_glossary", "sfx_glossary"), ("memory", "memory"), ("history", "history"), ("jobs", "jobs"), ("ratings", "ratings")])
+)
+def load_tables(t: Tables):
+    """Rows of each table after it was written in its schema and loaded again."""
+    import uuid
+    from functools import reduce
+
+    views = {"series": "series", "albums": "albums", "sheets": "sheets", "blocks": "linked_blocks", "patches": "patches", "glossary": "glossary", "sound_glossary": "sfx_glossary", "memory": "memory", "history": "history", "jobs": "jobs", "ratings": "ratings"}
+    folder = f"{shared_dir(t.spark)}/tables-{uuid.uuid4().hex}"
+    for name, view in views.items():
+        TB.conform(getattr(t, view), name).write.parquet(f"{folder}/{name}.parquet")
+    loaded = TB.load_tables(t.spark, folder, list(views))
+    counts = [df.groupBy().agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in loaded.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
 def _sessions(key: str, table: str, seconds: int) -> str:
     return f"""WITH g AS (SELECT {key}, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {key} ORDER BY ts)) < {seconds * 1_000_000} THEN 0 ELSE 1 END AS new FROM {table}),
 s AS (SELECT {key}, ts, sum(new) OVER (PARTITION BY {key} ORDER BY ts RANGE UNBOUNDED PRECEDING) AS span FROM g)
@@ -186,9 +267,24 @@ def job_progress(t: Tables):
     return A.job_progress(t.job_samples)
 
 
-@query("SELECT DISTINCT album_id AS job_id FROM jobs")
+@query("SELECT user_id AS job_id, min(ts) AS ts, arg_min('w' || CAST(event_id % 7 AS VARCHAR), (ts, 'w' || CAST(event_id % 7 AS VARCHAR))) AS worker_id FROM events GROUP BY user_id")
 def claim_jobs(t: Tables):
-    return A.claim_jobs(t.jobs.select(F.col("album_id").alias("job_id")))
+    """Who claimed each job first."""
+    return A.claim_jobs(t.events.select(F.col("user_id").alias("job_id"), "ts", F.concat(F.lit("w"), (F.col("event_id") % 7).cast("string")).alias("worker_id")))
+
+
+@query(_sessions("1 AS one", "heartbeats", 1800).replace("SELECT 1 AS one,", "SELECT").replace("PARTITION BY 1 AS one ", "").replace("GROUP BY 1 AS one, span", "GROUP BY span"))
+def overall_liveness(t: Tables):
+    return _plain(A.overall_liveness(t.heartbeats.withColumn("ts", F.col("ts").cast("timestamp")), 1800))
+
+
+_LAST = "epoch_us(TIMESTAMP '2024-01-30 23:30:00') - epoch_us(\"end\") + 1800000000"
+
+
+@query(f"SELECT *, CASE WHEN {_LAST} > 36000000000 THEN 'abandoned' WHEN {_LAST} > 1800000000 THEN 'stale' ELSE 'active' END AS state FROM ({_sessions('export_id', 'uploads', 1800)})")
+def upload_states(t: Tables):
+    found = A.sessions_by_gaps(t.uploads, "export_id", 1800)
+    return _plain(A.upload_states(found, F.expr("timestamp_ntz'2024-01-30 23:30:00'"), 1800, 36_000))
 
 
 @query()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chains as C
 from ..operators import memory as M
 from ..operators import metrics as X
+from ..operators import reports as R
 from .book import Tables, query
 
 _UP = "upper(replace({0}, 'ß', 'ss'))"
@@ -82,9 +84,9 @@ _FLAT_BLOCKS = f"""f AS (SELECT b.block_id, b.page_id, b.position, b.kind, b.tra
  FROM blocks b JOIN sheets s ON s.page_id = b.page_id JOIN albums a ON a.album_id = s.album_id)"""
 
 
-def _with_series(t: Tables):
+def _with_series(t: Tables, blocks=None):
     pages = t.sheets.select("page_id", "album_id").join(t.albums.select("album_id", "series_id"), "album_id")
-    return t.blocks.join(pages, "page_id")
+    return (t.blocks if blocks is None else blocks).join(pages, "page_id")
 
 
 _MEMORY = """m AS (SELECT series_id, flat AS source, arg_max(translation, (updated_at, block_id)) AS target FROM f
@@ -136,9 +138,8 @@ def translation_totals(t: Tables):
 
 
 def _chained_plan(t: Tables):
-    """The plan of blocks of which every third one of a page continues in the next."""
-    linked = _with_series(t).withColumn("continues_id", F.when(F.col("position") % 3 == 1, F.col("block_id") + 1))
-    return M.translation_plan(linked, M.latest_memory(_approved(t)))
+    """The plan of blocks with links, some of them rings."""
+    return M.translation_plan(_with_series(t, t.linked_blocks), M.latest_memory(_approved(t)))
 
 
 @query()
@@ -200,15 +201,94 @@ def _adapt(x: str) -> str:
     return x
 
 
+_COLLAPSED = "list_reduce(list_prepend('', string_split({0}, '')), lambda a, c: CASE WHEN right(a, 1) = c THEN a ELSE a || c END)"
+
+
 @query(
-    rf"""WITH s AS (SELECT upper(replace(text, 'ß', 'ss')) AS u FROM blocks WHERE kind = 'sfx'),
+    rf"""WITH s AS (SELECT {_flat('text')} AS u FROM blocks b JOIN sheets p ON p.page_id = b.page_id AND p.kind = 'original' JOIN albums a ON a.album_id = p.album_id JOIN series e ON e.series_id = a.series_id
+ WHERE b.kind = 'sfx' AND e.source_lang <> e.target_lang),
 k AS (SELECT u, array_to_string(regexp_extract_all(u, '\p{{L}}+|\p{{N}}+'), ' ') AS key FROM s),
-w AS (SELECT unnest(list_distinct(regexp_extract_all(u, '\p{{L}}+'))) AS word FROM k WHERE key <> '' AND key NOT IN (SELECT source FROM sfx_glossary))
-SELECT word, count(*) AS count, CASE WHEN contains(word, 'SH') OR contains(word, 'W') THEN {_adapt('word')} ELSE word END AS suggestion FROM w
-WHERE word NOT IN (SELECT source FROM sfx_glossary) GROUP BY word"""
+w AS (SELECT unnest(regexp_extract_all(u, '\p{{L}}+')) AS word FROM k WHERE key NOT IN (SELECT source FROM sfx_glossary)),
+c AS (SELECT word, count(*) AS count FROM w WHERE word NOT IN (SELECT source FROM sfx_glossary) GROUP BY word),
+g AS (SELECT source, {_COLLAPSED.format('source')} AS base FROM sfx_glossary WHERE NOT contains(source, ' '))
+SELECT word, count, CASE WHEN contains(word, 'SH') OR contains(word, 'W') THEN {_adapt('word')} ELSE word END AS suggestion FROM c WHERE {_COLLAPSED.format('word')} NOT IN (SELECT base FROM g)"""
 )
 def missing_sounds(t: Tables):
-    return M.missing_sounds(t.blocks, t.sfx_glossary)
+    """Words that are no drawn-out form of a known one; ``missing_drawn_sounds`` has them all."""
+    found = _missing_sounds(t)
+    drawn = t.sfx_glossary.where(~F.col("source").contains(" ")).select(T.collapsed(F.col("source")).alias("base")).distinct()
+    return found.join(drawn, T.collapsed(F.col("word")) == F.col("base"), "left_anti")
+
+
+def _missing_sounds(t: Tables):
+    return M.missing_sounds(t.blocks, t.sheets, t.albums, t.series, t.sfx_glossary)
+
+
+@query()
+def missing_drawn_sounds(t: Tables):
+    return _missing_sounds(t)
+
+
+_RULES, _STYLE = "Translate every numbered block.", "Write as people talk."
+_ASKED = (
+    _PLAN
+    + f""", q AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position, block_id) AS INT) AS number, kind, trim(flat) AS text FROM p WHERE route = 'model'),
+qp AS (SELECT page_id, string_agg(number || '. [' || CASE kind WHEN 'sfx' THEN 'sound effect' WHEN 'other' THEN 'sign or title' WHEN 'title' THEN 'story title' ELSE kind END || '] ' || text, chr(10) ORDER BY number) AS page,
+ string_agg(text, ' ' ORDER BY number) AS flat, count(*) AS numbers FROM q GROUP BY page_id),
+pg AS (SELECT s.page_id, a.series_id, CASE WHEN a.series_id % 3 = 0 THEN 'About ' || e.name || '. ' END AS notes, coalesce(CASE s.album_id % 4 WHEN 0 THEN 'Use plain words.' WHEN 1 THEN '' END, '{_STYLE}') AS style
+ FROM sheets s JOIN albums a ON a.album_id = s.album_id JOIN series e ON e.series_id = a.series_id),
+gt AS (SELECT DISTINCT qp.page_id, g.source, g.target FROM qp JOIN pg ON pg.page_id = qp.page_id JOIN glossary g ON g.series_id = pg.series_id AND contains(qp.flat, g.source)
+ AND regexp_matches(' ' || qp.flat || ' ', '[^A-ZÀ-Ý]' || g.source || '[^A-ZÀ-Ý]')),
+gp AS (SELECT page_id, string_agg('- ' || source || ' → ' || target, chr(10) ORDER BY source, target) AS terms FROM gt GROUP BY page_id),
+ex AS (SELECT series_id, string_agg('- ' || source || ' → ' || target, chr(10) ORDER BY source) AS shown FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY source) <= 8) GROUP BY series_id),
+pc AS (SELECT s.page_id, f.flat AS source, f.translation AS target, row_number() OVER (PARTITION BY s.page_id ORDER BY f.position DESC) AS back FROM sheets s
+ JOIN sheets o ON o.album_id = s.album_id AND o.kind = s.kind AND o.position = s.position - 1 JOIN f ON f.page_id = o.page_id WHERE trim(f.flat) <> '' AND trim(f.translation) <> ''),
+pb AS (SELECT page_id, string_agg('- ' || source || ' → ' || target, chr(10) ORDER BY back DESC) AS before FROM pc WHERE back <= 12 GROUP BY page_id),
+al AS (SELECT pg.page_id, pg.style, pg.notes, gp.terms, ex.shown, pb.before FROM pg LEFT JOIN gp ON gp.page_id = pg.page_id LEFT JOIN ex ON ex.series_id = pg.series_id LEFT JOIN pb ON pb.page_id = pg.page_id)
+"""
+)
+
+
+def _prompt_sql(shown: str, before: str, page: str) -> str:
+    part = lambda title, c: f"CASE WHEN trim(coalesce({c}, '')) <> '' THEN '{title}' || trim({c}) END"
+    titled = [f"'{_RULES}'"]
+    for title, c in (("Translation style:", "style"), ("Notes for this series:", "notes"), ("Glossary:", "terms"), ("Examples:", shown), ("Previous page:", before)):
+        titled.append(part(f"{title}' || chr(10) || '", c))
+    return f"concat_ws(chr(10) || chr(10), {', '.join(titled)}, 'Page to translate:' || chr(10) || {page})"
+
+
+def _request_inputs(t: Tables):
+    asked = C.chain_sources(_plan(t))
+    pages = t.sheets.join(t.albums.select("album_id", "series_id"), "album_id").join(t.series.select("series_id", "name"), "series_id")
+    notes = F.when(F.col("series_id") % 3 == 0, F.concat(F.lit("About "), "name", F.lit(". ")))
+    style = F.when(F.col("album_id") % 4 == 0, "Use plain words.").when(F.col("album_id") % 4 == 1, "")
+    pages = pages.select("page_id", "series_id", notes.alias("notes"), style.alias("style"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("number", "text"))), lambda r: r["text"])
+    texts = asked.groupBy("page_id").agg(F.array_join(listed, " ").alias("flat")).join(pages.select("page_id", "series_id"), "page_id")
+    memory = M.latest_memory(_approved(t)).withColumn("ord", F.col("source"))
+    shown = R.memory_examples(memory).select("series_id", F.posexplode("examples").alias("ord", "e")).select("series_id", "ord", "e.source", "e.target")
+    return asked, pages, M.relevant_glossary(texts, t.glossary, "page_id"), shown, M.previous_page_context(t.sheets, t.blocks)
+
+
+@query(_ASKED + f"SELECT qp.page_id, numbers, {_prompt_sql('shown', 'before', 'page')} AS prompt FROM qp JOIN al ON al.page_id = qp.page_id")
+def build_requests(t: Tables):
+    """A request for each page that has blocks for the model."""
+    return C.build_requests(*_request_inputs(t), _RULES, _STYLE)
+
+
+_LINE = "number || '. [' || CASE kind WHEN 'sfx' THEN 'sound effect' WHEN 'other' THEN 'sign or title' WHEN 'title' THEN 'story title' ELSE kind END || '] ' || text"
+
+
+@query(
+    _ASKED
+    + f"""SELECT q.page_id, number, attempt, CASE attempt WHEN 1 THEN {_prompt_sql('shown', 'before', _LINE)} ELSE {_prompt_sql('NULL', 'NULL', _LINE)} END AS prompt
+FROM q JOIN al ON al.page_id = q.page_id, (SELECT unnest([1, 2]) AS attempt) WHERE number % 3 = 0"""
+)
+def follow_up_requests(t: Tables):
+    """Every third block of each page counts as skipped by the answers."""
+    asked, *rest = _request_inputs(t)
+    answered = asked.where("number % 3 <> 0").select("page_id", "number")
+    return C.follow_up_requests(C.missing_responses(asked, answered, "page_id"), *rest, _RULES, _STYLE)
 
 
 _TURNS = "SELECT conv_id, turn, role, text AS hypothesis, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations"
@@ -221,19 +301,15 @@ def _turns(t: Tables):
     return t.conversations.select("conv_id", "turn", "role", F.col("text").alias("hypothesis"), following.alias("reference")).where("reference IS NOT NULL")
 
 
-@query(
-    f"""WITH c AS (SELECT role, {_normal('hypothesis')} AS h, {_normal('reference')} AS r FROM ({_TURNS}) WHERE reference IS NOT NULL
- AND length(hypothesis) = strlen(hypothesis) AND length(reference) = strlen(reference))
+#: Letters beyond ASCII that normalised turns hold, and signs that they do not hold: one byte each for an engine that counts edits in bytes.
+_LETTERS = ("ÄÖÜÑÇÊÂÎÔÛËÏ", "abcdefghijkl")
+_CER = f"""WITH c AS (SELECT role, translate({_normal('hypothesis')}, '{_LETTERS[0]}', '{_LETTERS[1]}') AS h, translate({_normal('reference')}, '{_LETTERS[0]}', '{_LETTERS[1]}') AS r FROM ({_TURNS}) WHERE reference IS NOT NULL)
 SELECT role, CAST(sum(levenshtein(h, r)) AS BIGINT) AS errors, CAST(sum(length(r)) AS BIGINT) AS length, CASE WHEN sum(length(r)) > 0 THEN sum(levenshtein(h, r)) / sum(length(r)) END AS cer FROM c GROUP BY role"""
-)
-def cer(t: Tables):
-    """Rows in ASCII, the part that SQL can check: the other engine counts edits in bytes. ``cer_all_turns`` has all rows."""
-    ascii_only = _turns(t).where("length(hypothesis) = octet_length(hypothesis) AND length(reference) = octet_length(reference)")
-    return X.cer(ascii_only, ["role"])
 
 
-@query()
-def cer_all_turns(t: Tables):
+@query(_CER, name="cer_all_turns")
+@query(_CER)
+def cer(t: Tables):
     """Error rates over all turns, accents and all."""
     return X.cer(_turns(t), ["role"])
 
@@ -248,4 +324,4 @@ p AS (SELECT role, avg(CASE WHEN h > 0 THEN m / h END) AS p, avg(CASE WHEN r > 0
 SELECT role, CASE WHEN p + q > 0 THEN 100 * 5 * p * q / (4 * p + q) ELSE 0 END AS chrf FROM p"""
 )
 def chrf(t: Tables):
-    return X.chrf(_turns(t).withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), ["role"])
+    return X.chrf(_turns(t), ["role"], ids=("conv_id", "turn"))

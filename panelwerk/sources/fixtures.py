@@ -28,13 +28,14 @@ SELECT o_orderkey AS page_id, o_custkey AS album_id,
  CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey, CASE WHEN o_orderkey % 4 = 3 THEN 'reference' ELSE 'original' END ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS position,
  CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey, CASE WHEN o_orderkey % 4 = 3 THEN 'reference' ELSE 'original' END ORDER BY o_orderkey) AS BIGINT) AS import_order,
  1801 AS width, 2457 AS height, (o_orderstatus = 'P' AND o_orderkey % 3 = 0) AS skip, o_orderstatus = 'F' AS translation_reviewed,
- CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS cleaned_at FROM orders
+ CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS cleaned_at,
+ 'albums/' || CAST(o_custkey AS VARCHAR(20)) || '/scan-' || CAST(o_orderkey AS VARCHAR(20)) || '.v2.jpg' AS image_path FROM orders
 """,
-    # Text blocks with boxes, text and translation.
+    # Text blocks with boxes, text and translation: beginnings of documents, cut before they are joined.
     'blocks': """
 SELECT page_id * 100 + position AS block_id, b.page_id, b.position, b.kind, b.x, b.y, b.width, b.height, b.translation_status, b.source, b.ocr_model, b.updated_at,
- substr(d1.text, 1, 20 + b.qty) AS text,
- CASE WHEN b.translation_status = 'none' THEN '' ELSE substr(d2.text, 1, 15 + 2 * (b.qty % 20)) END AS translation
+ substr(coalesce(d1.head, ''), 1, 20 + b.qty) AS text,
+ CASE WHEN b.translation_status = 'none' THEN '' ELSE substr(coalesce(d2.head, ''), 1, 15 + 2 * (b.qty % 20)) END AS translation
 FROM (SELECT l_orderkey AS page_id,
   CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS position,
   CASE l_partkey % 6 WHEN 0 THEN 'caption' WHEN 1 THEN 'sfx' WHEN 2 THEN 'other' WHEN 3 THEN 'title' ELSE 'speech' END AS kind,
@@ -43,8 +44,14 @@ FROM (SELECT l_orderkey AS page_id,
   CASE l_returnflag WHEN 'N' THEN 'none' WHEN 'A' THEN 'draft' ELSE CASE l_linestatus WHEN 'O' THEN 'edited' ELSE 'approved' END END AS translation_status,
   CASE WHEN l_partkey % 4 = 0 THEN 'manual' ELSE 'auto' END AS source,
   CASE WHEN l_suppkey % 7 <> 0 THEN 'model-a' END AS ocr_model,
-  l_shipdate AS updated_at, CAST(l_quantity AS INT) AS qty, l_partkey % 200 AS d1, l_suppkey % 200 AS d2 FROM lineitem) b
-JOIN documents d1 ON d1.doc_id = b.d1 JOIN documents d2 ON d2.doc_id = b.d2
+  l_shipdate AS updated_at, CAST(l_quantity AS INT) AS qty,
+  l_partkey % (SELECT max(doc_id) + 1 FROM documents) AS d1, (l_suppkey * 31 + l_partkey) % (SELECT max(doc_id) + 1 FROM documents) AS d2 FROM lineitem) b
+LEFT JOIN (SELECT doc_id, substr(text, 1, 70) AS head FROM documents) d1 ON d1.doc_id = b.d1
+LEFT JOIN (SELECT doc_id, substr(text, 1, 70) AS head FROM documents) d2 ON d2.doc_id = b.d2
+""",
+    # Blocks that continue in the next of their page: every third, and on some pages the next back in it (a ring).
+    'linked_blocks': """
+SELECT *, CASE WHEN position % 3 = 1 THEN block_id + 1 WHEN position % 3 = 2 AND page_id % 5 = 0 THEN block_id - 1 END AS continues_id FROM blocks
 """,
     # Four panels per page.
     'panels': """
@@ -70,11 +77,11 @@ FROM (SELECT *, LEAD(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_tur
 """,
     # Seed memory from whole documents (exact duplicates give hits); K3 over approved `blocks` gives the second memory.
     'memory': """
-SELECT d.doc_id % 25 AS series_id, d.text AS source, b.text AS target, d.doc_id AS ord FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.doc_id % 2 = 0
+SELECT d.doc_id % 25 AS series_id, d.text AS source, b.text AS target, d.doc_id AS ord FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)
 """,
-    # Approved glossary.
+    # Approved glossary: the first word of each benchmark passage, in a fifth of the series.
     'glossary': """
-SELECT DISTINCT n_nationkey AS series_id, upper(w) AS source, substr(upper(w), 1, length(w) - 1) || 'A' AS target, 'approved' AS status FROM nation CROSS JOIN (SELECT DISTINCT split(replace(replace(text, '.', ''), ',', ''), ' ')[1] AS w FROM benchmark) t WHERE length(w) >= 4
+SELECT DISTINCT n_nationkey AS series_id, upper(w) AS source, substr(upper(w), 1, length(w) - 1) || 'A' AS target, 'approved' AS status FROM nation JOIN (SELECT DISTINCT split(replace(replace(text, '.', ''), ',', ''), ' ')[1] AS w FROM benchmark) t ON n_nationkey % 5 = length(w) % 5 WHERE length(w) >= 4
 """,
     # Sound-word glossary.
     'sfx_glossary': """
@@ -82,12 +89,15 @@ SELECT * FROM (VALUES (1, 'BANG', 'BANG'), (2, 'SWACK', 'SCVAK'), (3, 'CRASH', '
 """,
     # Blind study; study 4 is incomplete on purpose.
     'ratings': """
-SELECT l_orderkey % 5 AS study, l_orderkey AS item, l_returnflag AS candidate, CASE WHEN l_orderkey % 5 = 4 AND l_linenumber = 1 THEN NULL ELSE CAST(l_quantity AS INT) % 5 + 1 END AS score FROM lineitem
+SELECT study, item, item * 100 + n AS rating_id, (item + n * 7) % 11 AS turn, candidate, score FROM
+(SELECT l_orderkey % 5 AS study, l_orderkey AS item, l_returnflag AS candidate, CASE WHEN l_orderkey % 5 = 4 AND l_linenumber = 1 THEN NULL ELSE CAST(l_quantity AS INT) % 5 + 1 END AS score,
+ CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS n FROM lineitem) r
 """,
     # Job log (D3, E11–E13, F2).
     'jobs': """
 SELECT event_id AS job_id, user_id AS album_id, CASE event_type WHEN 'view' THEN 'process_project' WHEN 'click' THEN 'translate_project' WHEN 'purchase' THEN 'ai_patch' WHEN 'signup' THEN 'export' ELSE 'clean_project' END AS type,
- CASE WHEN event_id % 10 = 0 THEN 'queued' WHEN event_id % 10 = 1 THEN 'running' WHEN event_id % 10 = 2 THEN 'failed' ELSE 'done' END AS status, value AS cost, ts AS updated_at FROM events
+ CASE WHEN event_id % 10 = 0 THEN 'queued' WHEN event_id % 10 = 1 THEN 'running' WHEN event_id % 10 = 2 THEN 'failed' ELSE 'done' END AS status, value AS cost, ts AS updated_at,
+ '{"block_id":' || CAST(user_id * 100 + event_id % 3 AS VARCHAR(20)) || ',"model":"m' || CAST(event_id % 4 AS VARCHAR(2)) || '","cost":' || CAST(event_id % 9 AS VARCHAR(2)) || '}' AS result FROM events
 """,
     # Worker heartbeats.
     'heartbeats': """

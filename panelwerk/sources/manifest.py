@@ -71,3 +71,20 @@ def album_manifest(exports: DataFrame, drawn: DataFrame) -> DataFrame:
     rows = exports.select("export_id", "position", turn.alias("number")).join(drawn.select("export_id", "position", F.lit(True).alias("drawn")).distinct(), ["export_id", "position"], "left")
     name = F.concat(F.lpad(F.col("number").cast("string"), 3, "0"), F.when(F.col("drawn"), ".png").otherwise(".jpg"))
     return rows.select("export_id", "position", "number", F.coalesce("drawn", F.lit(False)).alias("drawn"), name.alias("file"))
+
+
+def album_metadata(albums: DataFrame, notes: str) -> DataFrame:
+    """(album_id, metadata): what an exported album says of itself, as JSON; empty fields are left out.
+
+    ``albums``: album_id, series, issue_number, translated_title, original_title, target_lang, page_count.
+    """
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    fields = {
+        "Series": filled(F.col("series")),
+        "Number": filled(F.col("issue_number")),
+        "Title": F.coalesce(filled(F.col("translated_title")), filled(F.col("original_title"))),
+        "LanguageISO": F.coalesce(filled(F.col("target_lang")), F.lit("sr")),
+        "PageCount": F.col("page_count").cast("string"),
+        "Notes": F.lit(notes or None),
+    }
+    return albums.select("album_id", F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("metadata"))

@@ -30,10 +30,25 @@ def worker_liveness(heartbeats: DataFrame, seconds: int = HEARTBEAT_SECONDS) ->
     return sessions(heartbeats, "worker_id", seconds)
 
 
+def overall_liveness(heartbeats: DataFrame, seconds: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Intervals in which any worker was up."""
+    return sessions(heartbeats.withColumn("any", F.lit("any")), "any", seconds).drop("any")
+
+
 def upload_sessions(uploads: DataFrame, seconds: int = STALE_SECONDS) -> DataFrame:
     return sessions(uploads, "export_id", seconds)
 
 
+def upload_states(sessions: DataFrame, now, seconds: int = STALE_SECONDS, abandoned: int = ABANDONED_SECONDS) -> DataFrame:
+    """``sessions`` of uploads with ``state`` at ``now``: ``active``, ``stale`` or ``abandoned`` by the time since their last event.
+
+    A session ends ``seconds`` after its last event, so that it is no longer active at its end.
+    """
+    idle = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("end")) + seconds * 1_000_000
+    state = F.when(idle > abandoned * 1_000_000, "abandoned").when(idle > seconds * 1_000_000, "stale").otherwise("active")
+    return sessions.withColumn("state", state)
+
+
 def sessions_by_gaps(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """The batch twin of ``sessions``: a new span starts where the gap to the event before is wide enough."""
     turn = Window.partitionBy(key).orderBy("ts")
@@ -53,8 +68,10 @@ def job_progress(samples: DataFrame) -> DataFrame:
 
 
 def claim_jobs(claims: DataFrame) -> DataFrame:
-    """The first claim of each job within the watermark."""
-    return claims.dropDuplicatesWithinWatermark(["job_id"]) if claims.isStreaming else claims.dropDuplicates(["job_id"])
+    """The first claim of each job; of a stream the first to arrive within the watermark, of a batch that of the least (ts, worker_id)."""
+    if claims.isStreaming:
+        return claims.dropDuplicatesWithinWatermark(["job_id"])
+    return claims.groupBy("job_id").agg(F.min_by(F.struct(*claims.columns), F.struct("ts", "worker_id")).alias("c")).select("c.*")
 
 
 def clean_answers(raw: DataFrame) -> DataFrame:

@@ -39,6 +39,17 @@ def test_progress_and_claims(spark, tmp_path):
     assert drain(claims, "append", "claims").count() == 2
 
 
+def test_first_claims_and_states_of_uploads(spark):
+    rows = [(1, "b", 30), (1, "a", 10), (1, "c", 10), (2, "c", 5)]
+    claims = spark.createDataFrame(rows, "job_id int, worker_id string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    assert {(r.job_id, r.worker_id) for r in A.claim_jobs(claims).collect()} == {(1, "a"), (2, "c")}
+    sent = spark.createDataFrame([(1, 1000), (2, 4910), (3, 4990), (3, 4995)], "export_id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    states = A.upload_states(A.sessions_by_gaps(sent, "export_id", 90), F.timestamp_seconds(F.lit(5001)))
+    assert {r.export_id: r.state for r in states.collect()} == {1: "abandoned", 2: "stale", 3: "active"}
+    beats = spark.createDataFrame([("a", 0), ("b", 100), ("a", 500)], "worker_id string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.events for r in A.overall_liveness(beats, 120).collect()) == [1, 2]
+
+
 def test_answers_stream_as_in_batch(spark, tmp_path):
     rows = [(1, "speech", "```\nCIAO\n```"), (2, "sfx", "una casa nuova"), (3, "sfx", "BANG" * 9), (4, "other", "123")]
     raw = spark.createDataFrame(rows, "block_id int, kind string, answer string")

@@ -68,7 +68,8 @@ def test_lengths_and_terms(spark):
 def test_sound_words(spark):
     assert values(spark, ["SWISH", "SHHH", "BANG", "WHACK", "THWACK"], T.adapt_sound(A)) == ["SVIŠ", "ŠŠŠ", "BANG", "VAK", "TVAK"]
     assert values(spark, ["CRAAASH", "SHHH", ""], T.collapsed(A)) == ["CRASH", "SH", ""]
-    assert V.stretched("CRAAASH", "CRASH", "KRAŠ") == "KRAAAŠ" and V.stretched("CRASHHH", "CRASH", "KRAŠ") == "KRAŠŠŠ" and V.stretched("CRRASH", "CRASH", "KRAŠ") == "KRAŠ"
+    rows = [("CRAAASH", "CRASH", "KRAŠ"), ("CRASHHH", "CRASH", "KRAŠ"), ("CRRASH", "CRASH", "KRAŠ"), ("AHAAAH", "AHAH", "HAHA"), ("NOOO", "NOO", "NE"), ("UAAU", "UAU", ""), ("CLICKKK", "CLICK", "KLIKKO")]
+    assert values(spark, rows, V.stretched(A, B, F.col("c")), "a string, b string, c string") == ["KRAAAŠ", "KRAŠŠŠ", "KRAŠ", "HAHAAA", "NEE", "", "KLIKKOOO"]
     glossary = spark.createDataFrame([(1, "CRASH", "KRAŠ!"), (2, "AH AH AH", "HA-HA-HA!"), (3, "CRAASH", "X")], "id int, source string, target string")
     texts = spark.createDataFrame([(1, "Craaash!! Swish"), (2, "Ah! Ah! Ah!"), (3, "..."), (4, "crash")], "k int, text string")
     found = {r.k: (r.translated, r.proposals) for r in V.sound_translations(texts, glossary, "k").collect()}
@@ -87,9 +88,9 @@ def test_maybe_continues(spark):
 
 
 def test_natural_key(spark):
-    names = ["p10.jpg", "P2.jpg", "p1.jpg", "a", "p2b", "10", "9"]
+    names = ["p10.jpg", "P2.jpg", "p1.jpg", "a", "p2b", "10", "9", "p" + "9" * 50, "p1" + "0" * 60, "p007"]
     df = spark.createDataFrame([(n,) for n in names], "a string")
-    assert [r.a for r in df.orderBy(T.natural_key(A)).collect()] == ["9", "10", "a", "p1.jpg", "P2.jpg", "p2b", "p10.jpg"]
+    assert [r.a for r in df.orderBy(T.natural_key(A)).collect()] == ["9", "10", "a", "p1.jpg", "P2.jpg", "p2b", "p007", "p10.jpg", "p" + "9" * 50, "p1" + "0" * 60]
 
 
 @pytest.mark.parametrize(
@@ -121,6 +122,13 @@ def test_rings_and_shared_tails(spark):
     assert found == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (4, 0, 4), (5, 0, 5), (5, 1, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
 
 
+def test_a_chain_of_a_thousand_links(spark):
+    rows = [(1, k, 5000 - k, k + 1) for k in range(1000)] + [(1, 1000, 1, None), (2, 7, 1, 8), (2, 8, 2, 7)]
+    found = C.resolve_chains(spark.createDataFrame(rows, "page_id int, block_id int, position int, continues_id int")).collect()
+    assert {(r.block_id, r.head, r.part) for r in found if r.page_id == 1} == {(k, 0, k) for k in range(1001)}
+    assert {(r.block_id, r.head, r.part) for r in found if r.page_id == 2} == {(7, 7, 0), (8, 7, 1)}
+
+
 def test_emphasis_mark(spark):
     words = [(0, 0), (0, 1), (1, 1)]
     schema = "a string, b array<struct<row int, `index` int>>"
@@ -133,6 +141,55 @@ def test_names(spark):
     assert values(spark, rows, V.script_filename(A, B), "a string, b string") == ["ramon-12-scenario.csv", "cudo-sest-scenario.csv", "scenario.csv"]
 
 
+def test_limits_and_shorter_answers(spark):
+    assert values(spark, [(60, True), (512, False)], V.retry_limit(A, B), "a int, b boolean") == [240, 512]
+    rows = [("long text", "short"), ("long text", ""), ("same", "size"), ("a", "longer")]
+    assert values(spark, rows, V.accept_shorter(A, B), "a string, b string") == ["short", "long text", "same", "a"]
+
+
+def test_script_is_written_as_csv(spark, tmp_path):
+    from panelwerk.sources.manifest import proofreading_script
+
+    rows = [(1, 2, 3, "sound", "a;b", 'c "d"', "draft", "too long"), (2, 1, 1, "speech", "x", "", "untranslated", "")]
+    proofreading_script(spark.createDataFrame(rows, "album_id int, page int, position int, kind string, text string, translation string, status string, notes string").coalesce(1), f"{tmp_path}/script")
+    files = {p.parent.name: p.read_bytes() for p in tmp_path.glob("script/album_id=*/*.csv")}
+    assert set(files) == {"album_id=1", "album_id=2"}
+    lines = files["album_id=1"].decode("utf-8").split("\r\n")
+    assert lines[0] == "\ufeffpage;block;kind;text;translation;status;notes" and lines[1].startswith('2;3;sound;"a;b";') and lines[1].endswith(";draft;too long")
+
+
+def test_tables_are_loaded_in_their_types(spark, tmp_path):
+    from panelwerk.sources import tables
+
+    spark.createDataFrame([(1, "x", 7)], "album_id int, original_title string, other int").createOrReplaceTempView("some_albums")
+    made = tables.conform(spark.table("some_albums"), "albums")
+    made.write.parquet(f"{tmp_path}/albums.parquet")
+    loaded = tables.load_tables(spark, str(tmp_path), ["albums"])["albums"]
+    assert loaded.schema == tables.schema("albums") and loaded.first().album_id == 1 and loaded.first().series_id is None
+
+
+def test_empty_fields_are_left_out_of_metadata(spark):
+    from panelwerk.sources.manifest import album_metadata
+
+    rows = [(1, "S", "", "", "T", "sr", 3), (2, "S", "9", "P", "T", "", 1)]
+    albums = spark.createDataFrame(rows, "album_id int, series string, issue_number string, translated_title string, original_title string, target_lang string, page_count int")
+    found = [r.metadata for r in album_metadata(albums, "N").orderBy("album_id").collect()]
+    assert found == ['{"Series":"S","Title":"T","LanguageISO":"sr","PageCount":"3","Notes":"N"}', '{"Series":"S","Number":"9","Title":"P","LanguageISO":"sr","PageCount":"1","Notes":"N"}']
+
+
+def test_requests_leave_out_empty_parts(spark):
+    blocks = spark.createDataFrame([(1, 1, "sfx", "BANG"), (1, 2, "speech", "A ‖ B"), (2, 1, "title", "T")], "page_id int, number int, kind string, text string")
+    pages = spark.createDataFrame([(1, 5, "Notes ", None), (2, 6, None, "")], "page_id int, series_id int, notes string, style string")
+    terms = spark.createDataFrame([(1, "X", "Y"), (1, "X", "Y")], "page_id int, source string, target string")
+    shown = spark.createDataFrame([(5, 2, "c", "d"), (5, 1, "a", "b")], "series_id int, ord int, source string, target string")
+    before = spark.createDataFrame([(1, 1, "last", "L"), (1, 2, "first", "F")], "page_id int, back int, source string, target string")
+    found = {r.page_id: (r.numbers, r.prompt) for r in C.build_requests(blocks, pages, terms, shown, before, "Rules.", "Plain.").collect()}
+    parts = ["Rules.", "Translation style:\nPlain.", "Notes for this series:\nNotes", "Glossary:\n- X → Y", "Examples:\n- a → b\n- c → d", "Previous page:\n- first → F\n- last → L", "Page to translate:\n1. [sound effect] BANG\n2. [speech] A ‖ B"]
+    assert found == {1: (2, "\n\n".join(parts)), 2: (1, "Rules.\n\nPage to translate:\n1. [story title] T")}
+    again = {(r.number, r.attempt): r.prompt for r in C.follow_up_requests(blocks.where("number = 2"), pages, terms, shown, before, "Rules.", "Plain.").collect()}
+    assert again == {(2, 1): "\n\n".join([*parts[:-1], "Page to translate:\n2. [speech] A ‖ B"]), (2, 2): "\n\n".join([*parts[:4], "Page to translate:\n2. [speech] A ‖ B"])}
+
+
 def test_outlines(spark):
     good = [[0.0, 0.0], [0.0, 5.0], [0.0, 10.0], [8.0, 10.0], [8.0, 5.0], [8.0, 0.0]]
     rows = [(good,), (good[:4],), (None,), ([*good[:3], *reversed(good[3:])],), ([[0.0, 0.0], [0.0, 5.0], [0.0, 6.0], [8.0, 6.0], [8.0, 5.0], [8.0, 0.0]],)]
