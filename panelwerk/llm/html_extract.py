@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from ..plans.session import python_workers
 from .common import set_aside, table
 
-#: Expected number of pages trained on, at most; made-up layouts of each.
-TRAIN_PAGES, LAYOUTS = 300, 5
+#: Expected number of pages trained on, at most; made-up layouts of each; nodes of a page or layout, drawn at random, at most.
+TRAIN_PAGES, LAYOUTS, TRAIN_NODES = 300, 5, 2000
 #: Made-up layouts of all pages together, at least, where main text is told by density.
 DENSE_LAYOUTS = 300
 TREES, DEPTH, BINS, RATE, LEAF_L2, LEAF_MIN = 40, 4, 32, 0.25, 1.0, 20
@@ -459,7 +459,12 @@ def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
 
 
 def _examples(source: str, seed: int, layouts: int = LAYOUTS, dense: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    page = Page(source)
+    page, rng = Page(source), random.Random(seed)
+
+    def some(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(None) if len(y) <= TRAIN_NODES else sorted(random.Random(seed).sample(range(len(y)), TRAIN_NODES))
+        return x[at], y[at]
+
     if page.runs and 0 in page.kind:
         inside, holds = [False] * len(page.parent), np.zeros(len(page.parent), np.int8)
         for i in range(1, len(page.parent)):
@@ -467,8 +472,7 @@ def _examples(source: str, seed: int, layouts: int = LAYOUTS, dense: bool = Fals
             holds[i] = inside[i]
         for i in range(len(page.parent) - 1, 0, -1):
             holds[page.parent[i]] |= holds[i]
-        yield node_features(page)[1:], holds[1:]
-    rng = random.Random(seed)
+        yield some(node_features(page)[1:], holds[1:])
     for _ in range(layouts):
         made = _layout(page, rng, dense)
         if made:
@@ -480,7 +484,7 @@ def _examples(source: str, seed: int, layouts: int = LAYOUTS, dense: bool = Fals
             truth = np.array(other.truth, np.int8) | bare
             for i in range(len(other.parent) - 1, 0, -1):
                 truth[other.parent[i]] |= truth[i]
-            yield node_features(other)[1:], truth[1:]
+            yield some(node_features(other)[1:], truth[1:])
 
 
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:

@@ -5,7 +5,7 @@ token pairs, and triples of token shapes (case, digits, the character itself for
 one before). A feature's value is its share of all features, so a score is a sparse dot product: the mean weight of a text's
 features, scaled, plus a bias. Only the text is read.
 
-Training takes a bounded sample (TRAIN_ROWS, chosen by a hash of doc_id) of the labelled rows outside the held-out fold:
+Training takes a bounded sample (TRAIN_ROWS and TRAIN_BYTES, chosen by a hash of doc_id) of the labelled rows outside the held-out fold:
 features are made where the rows lie, and one task makes the updates, in an order given by that hash. The weights are one
 array of 2**BITS numbers, whatever the input. Scoring is one scan without a shuffle.
 
@@ -31,8 +31,8 @@ from ..plans.session import python_workers
 from .common import set_aside, table
 
 BITS = 18
-#: Expected number of labelled rows that are trained on, at most.
-TRAIN_ROWS = 6000
+#: Expected number of labelled rows that are trained on, at most, and of bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 256 << 20
 FOLDS, THRESHOLD = 5, 0.3
 #: Follow-the-regularised-leader: rate, offset, L1, L2, passes over the sample, scale of the mean weight.
 ALPHA, BETA, L1, L2, PASSES, SCALE = 0.5, 1.0, 0.002, 0.1, 3, 30.0
@@ -100,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     """Weights from the labelled rows of ``docs`` outside the held-out fold, about ``rows`` of them at most."""
     given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     given = given.where(~held_out(F.col("doc_id")))
-    share = min(1.0, rows / max(1, given.count()))
+    length = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    share = min(1.0, min(rows, TRAIN_BYTES / max(1.0, length)) / max(1, given.count()))
     order = F.xxhash64(F.lit("training order"), "doc_id")
     given = given.withColumn("turn", F.shiftrightunsigned(order, 33)).where(F.col("turn") < F.lit(int(share * (1 << 31))))
     sample = docs.select("doc_id", "text").join(given, "doc_id").select("turn", "doc_id", "quality", "text")

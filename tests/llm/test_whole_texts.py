@@ -73,3 +73,12 @@ def test_pages_without_article_or_main(spark):
         trees = html_extract.train(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
         for i, text in enumerate(extracted(spark, trees, pages)):
             assert all(f"{x} This is page {i}." in text for x in SAID) and "Link" not in text
+
+
+def test_training_takes_a_bounded_number_of_nodes(monkeypatch):
+    monkeypatch.setattr(html_extract, "TRAIN_NODES", 50)
+    body = "".join(f"<p>Paragraph {k} of a long story, with a sentence.</p>" for k in range(500))
+    made = list(html_extract._examples(f"<html><body><article>{body}</article></body></html>", 3))
+    assert len(made) > 3 and all(len(x) == len(y) <= 50 for x, y in made) and max(len(y) for _, y in made) == 50
+    again = list(html_extract._examples(f"<html><body><article>{body}</article></body></html>", 3))
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(made, again, strict=True))
