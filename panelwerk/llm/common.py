@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import json
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpointed, shared_dir  # noqa: F401
+
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,30 +30,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset (tests on one machine) a new folder is made and set.
-    """
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(given)
-        return given
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, which outlive a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder that the library wrote and needs no more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
