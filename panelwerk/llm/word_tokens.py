@@ -9,7 +9,7 @@ change, so they too stay inside one chunk and are matched by the library.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from functools import cache
 from itertools import chain, pairwise
 
@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 #: The default vocabulary file; a path to another of the same kind may be given.
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks that a worker remembers; beyond that it starts anew (a batch's own chunks are held in any case).
-KEPT = 500_000
+KEPT = 700_000
 
 
 def chunks(text: str) -> list[str]:
@@ -70,9 +70,9 @@ def encode_texts(kept: Kept, texts: Iterable[str]) -> list[bytes]:
     return [b"".join(map(kept.get, p)) for p in parts]
 
 
-#: A chunk that is one run of Latin-1 letters and then, perhaps, one of ASCII marks: these are its pre-tokens. (No apostrophe:
-#: it may start a pre-token with letters.)
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@[-`{-~]*)").fullmatch
+#: In lower-cased lines: a chunk that is one run of Latin-1 letters and then, perhaps, one of ASCII marks (these are its pre-tokens; no
+#: apostrophe, as it may start a pre-token with letters), or else any other chunk.
+LINES = re.compile("^(?:([a-zß-öø-ÿ]*)([!-&(-/:-@[-`{-~]*)|(.*))$", re.M).findall
 
 
 class PreTokens:
@@ -93,16 +93,9 @@ class PreTokens:
         return ids, ends
 
 
-def parted(pieces: list[str]) -> tuple[dict[str, tuple[str, str]], list[str]]:
-    """Simple chunks with their two pre-tokens (either may be empty), and the other chunks."""
-    simple, other = {}, []
-    for p in pieces:
-        m = SIMPLE(p)
-        if m:
-            simple[p] = (m[1].lower(), m[2])
-        else:
-            other.append(p)
-    return simple, other
+def parted(pieces: list[str]) -> list[tuple[str, str, str]]:
+    """For each chunk its two pre-tokens (either may be empty) and nothing, if it is a simple one; else the chunk in the third place."""
+    return LINES("\n".join(pieces).lower())
 
 
 @cache
@@ -118,15 +111,17 @@ def chunk_encoder(path: str, kind: str = "<u4") -> Kept:
 
     pres = Kept(lambda new: cut(*encode(new)))
 
-    def make(pieces: list[str]) -> Iterator[bytes]:
-        simple, other = parted(pieces)
-        pres.learn(p for p in chain.from_iterable(simple.values()) if p)
+    def make(pieces: list[str]) -> list[bytes]:
+        parts = parted(pieces)
+        pres.learn(p for a, b, rest in parts if not rest for p in (a, b) if p)
         pres.known[""] = b""
         known = pres.known
-        made = {c: known[a] + known[b] for c, (a, b) in simple.items()}
+        other = [k for k, (_, _, rest) in enumerate(parts) if rest]
+        made = [b"" if rest else known[a] + known[b] for a, b, rest in parts]
         if other:
-            made.update(zip(other, cut(*ids_together(tokenizer, other)), strict=True))
-        return map(made.__getitem__, pieces)
+            for k, ids in zip(other, cut(*ids_together(tokenizer, [pieces[k] for k in other])), strict=True):
+                made[k] = ids
+        return made
 
     return Kept(make)
 
@@ -172,21 +167,22 @@ def chunk_counter(path: str, whole: frozenset[str]) -> Kept:
     latin = Kept(lambda new: np.diff(encode(new)[1], prepend=0).tolist())
     bytewise = Kept(lambda new: [len(tokenizer.model.tokenize(p)) for p in new])
 
-    def make(pieces: list[str]) -> Iterator[int]:
-        simple, other = parted(pieces)
-        is_whole = {p: not p or byte_string(p) in whole for p in set(chain.from_iterable(simple.values()))}
+    def make(pieces: list[str]) -> list[int]:
+        parts = parted(pieces)
+        is_whole = {p: not p or byte_string(p) in whole for p in {p for a, b, rest in parts if not rest for p in (a, b)}}
         latin.learn(p for p, yes in is_whole.items() if not yes)
         size = lambda pre: bool(pre) if is_whole[pre] else latin.known[pre]
-        made = {c: size(a) + size(b) for c, (a, b) in simple.items()}
+        made = [0 if rest else size(a) + size(b) for a, b, rest in parts]
         cut = {}
-        for c in other:
-            if any(s in c for s in special):
-                made[c] = len(tokenizer.encode(c, add_special_tokens=False).ids)
+        for k in (k for k, (_, _, rest) in enumerate(parts) if rest):
+            if any(s in pieces[k] for s in special):
+                made[k] = len(tokenizer.encode(pieces[k], add_special_tokens=False).ids)
             else:
-                cut[c] = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c))]
+                cut[k] = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(pieces[k]))]
         bytewise.learn(p for p in chain.from_iterable(cut.values()) if p not in whole)
-        made.update((c, sum(1 if p in whole else bytewise.known[p] for p in pres)) for c, pres in cut.items())
-        return map(made.__getitem__, pieces)
+        for k, pres in cut.items():
+            made[k] = sum(1 if p in whole else bytewise.known[p] for p in pres)
+        return made
 
     return Kept(make)
 
