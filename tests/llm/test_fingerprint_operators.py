@@ -121,13 +121,11 @@ def chained(*parts):
     return h - 2**64 if h >> 63 else h
 
 
-def brute_winnow(text, third=fingerprints.THIRD, w=fingerprints.WINDOW):
-    k = 3 * third
+def brute_winnow(text, k=fingerprints.K, w=fingerprints.WINDOW):
     if len(text) < k:
         return [(chained(text), 0)] if text else []
-    grams = []
-    for i in range(len(text) - k + 1):
-        grams.append(chained(*(chained(*text[i + j : i + j + third]) for j in range(0, k, third))))
+    halves = lambda part: part if len(part) == 1 else chained(halves(part[: len(part) // 2]), halves(part[len(part) // 2 :]))
+    grams = [halves(text[i : i + k]) for i in range(len(text) - k + 1)]
     chosen = []
     for i in range(max(1, len(grams) - w + 1)):
         best = min(range(i, min(i + w, len(grams))), key=lambda p: (grams[p] >> 31, -p))
@@ -141,10 +139,10 @@ def test_winnowing_is_the_brute_force_one(spark):
     texts = ["", "  ", "a", "12345678", "123456789", "a" * 40, "ab" * 30, "é\t日本\n語 x y z q", "日本語の文章には空白がない" * 9, "\U0001f600b" * 20]
     texts += ["".join(draw.choice("abcdef ") for _ in range(draw.randint(1, 400))) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    for third, w in ((3, 4), (2, 8)):
-        rows = docs.select("text", fingerprints.winnowed(F.col("text"), third, w).alias("s")).collect()
+    for k, w in ((8, 8), (4, 2)):
+        rows = docs.select("text", fingerprints.winnowed(F.col("text"), k, w).alias("s")).collect()
         for r in rows:
-            assert list(zip(r.s.hashes, r.s.positions, strict=True)) == brute_winnow(r.text, third, w), r.text
+            assert list(zip(r.s.hashes, r.s.positions, strict=True)) == brute_winnow(r.text, k, w), r.text
 
 
 def test_changes_at_the_end_are_made_as_if_anew(spark):
@@ -155,16 +153,16 @@ def test_changes_at_the_end_are_made_as_if_anew(spark):
         keep = draw.randint(0, len(text))
         rows.append((text, keep, text[:keep] + "".join(draw.choice("ab ") for _ in range(draw.choice([0, 1, 9, 60])))))
     df = spark.createDataFrame(rows, "a string, keep int, b string")
-    for third, w in ((3, 8), (2, 4)):
-        got = fingerprints.changed_at_end(fingerprints.winnowed(F.col("a"), third, w), F.col("keep"), F.col("b"), third, w)
+    for k, w in ((8, 8), (4, 2)):
+        got = fingerprints.changed_at_end(fingerprints.winnowed(F.col("a"), k, w), F.col("keep"), F.col("b"), k, w)
         for r in df.select("a", "keep", "b", got.alias("got")).collect():
-            assert list(zip(r.got.hashes, r.got.positions, strict=True)) == brute_winnow(r.b, third, w), r
+            assert list(zip(r.got.hashes, r.got.positions, strict=True)) == brute_winnow(r.b, k, w), r
 
 
 def test_shared_runs_are_found_in_long_texts(spark):
     draw = random.Random(3)
     noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
-    run = noise(3 * fingerprints.THIRD + fingerprints.WINDOW - 1)  # the least length that is guaranteed
+    run = noise(fingerprints.K + fingerprints.WINDOW - 1)  # the least length that is guaranteed
     a, b = noise(300_000) + run + noise(50), noise(31) + run + noise(9)
     rows = spark.createDataFrame([(0, a), (1, b)], "i int, text string").select("i", fingerprints.winnowed(F.col("text")).alias("s")).orderBy("i").collect()
     at = [dict(zip(r.s.hashes, r.s.positions, strict=True)) for r in rows]
