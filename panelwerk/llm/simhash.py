@@ -34,7 +34,7 @@ from .common import checkpointed, drop_folder, free_name, settings, shared_dir,
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
 #: Rounds in which the values are dealt (a power of two), entries of a bucket, fewest buckets, and fingerprints expanded at once.
 PASSES, BUCKET_ENTRIES, LEAST_BUCKETS, EXPANDED = 8, 1_000_000, 24, 4096
-#: A fingerprint is hot if more than one row in so many has it.
+#: A key is hot if more than one row in so many has it.
 HOT = 1000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,11 +169,22 @@ def links(fps: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema("a long, b long").parquet(*[f"{folder}/turn={turn}" for turn in range(PASSES)]).distinct()
 
 
+def _joined(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``per_key`` (key, n and others; n: its rows out of ``total``).
+
+    Keys that more than one row in HOT has are few, HOT at most, and so their rows are joined by a broadcast; only the other rows are
+    dealt by key.
+    """
+    hot, cold = per_key.where(F.col("n") * HOT > total).drop("n"), per_key.where(F.col("n") * HOT <= total).drop("n")
+    of_hot = rows.join(F.broadcast(hot), key)
+    return of_hot.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the pairs (a, b); the root is the least node reachable.
 
     Large-star and small-star rounds in turn; each shrinks the distance to the root, and a hub's neighbours meet only in a
-    minimum (combined before the shuffle) and in a join that Spark may split.
+    minimum (combined before the shuffle) and in a join that deals none of them by the hub.
     """
     edges = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
@@ -183,8 +194,8 @@ def components(pairs: DataFrame) -> DataFrame:
     seen = state(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _joined(both, least, "u", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
@@ -197,11 +208,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: list[str] | None = None, text: str = "text") -> DataFrame:
-    """(doc_id, *key, fp, root, component_id) for every row of ``docs``; ``root`` tells components apart.
-
-    Fingerprints that more than one row in HOT has are few, HOT at most, and so their rows find their component by a broadcast;
-    only the other rows are dealt by fingerprint.
-    """
+    """(doc_id, *key, fp, root, component_id) for every row of ``docs``; ``root`` tells components apart."""
     spark, extra = docs.sparkSession, key or []
     rows = checkpointed(fingerprinted(docs.select("doc_id", *extra, text), text).drop(text))
     by_fp = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
@@ -215,11 +222,7 @@ def near_duplicates(docs: DataFrame, key: list[str] | None = None, text: str = "
     of_fp = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least"))
     per_fp = checkpointed(per_fp.select("fp", "n", F.coalesce("root", "fp").alias("root"), of_fp.alias("component_id")))
     total = per_fp.agg(F.sum("n")).first()[0] or 0
-    hot = per_fp.where(F.col("n") * HOT > total).drop("n")
-    cold = per_fp.where(F.col("n") * HOT <= total).drop("n")
-    copies = rows.join(F.broadcast(hot), "fp")  # HOT rows at most
-    others = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")
-    return copies.unionByName(others).select("doc_id", *extra, "fp", "root", "component_id")
+    return _joined(rows, per_fp, "fp", total).select("doc_id", *extra, "fp", "root", "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
