@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, filter_audit, fingerprints, html_extract, mixing, quality_classifier, quality_rules, simhash, token_counts, token_files, url_filter
+from . import byte_bpe, collocations, filter_audit, fingerprints, html_extract, mixing, quality_classifier, quality_rules, simhash, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_winnowing_fingerprints": fingerprints.op10_winnowing_fingerprints,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op3_line_quality_rules": quality_rules.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
+    "op11_phrase_collocations": collocations.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
