@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, collocations, filter_audit, fingerprints, html_extract, mixing, quality_classifier, quality_rules, simhash, token_counts, token_files, url_filter
+from . import byte_bpe, collocations, filter_audit, fingerprints, html_extract, mixing, quality_classifier, quality_rules, simhash, token_counts, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_winnowing_fingerprints": fingerprints.op10_winnowing_fingerprints,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
