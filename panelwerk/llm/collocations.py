@@ -22,6 +22,7 @@ are cut into shards between any two words, each shard reading the words that its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,17 @@ def coded(text: bytes, codes: _Codes) -> Iterator[np.ndarray]:
     yield np.array([-1])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _rows(there: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The place of each of ``place`` (in order, each in ``there``) in ``there``."""
+    head = np.flatnonzero(np.diff(place, prepend=-1) != 0)
+    return np.repeat(np.searchsorted(there, place[head]), np.diff(np.append(head, len(place))))
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a * _MIX) ^ b
     return (x ^ (x >> _TURN)) * _MIX
@@ -130,51 +142,67 @@ class Automaton:
                 parent = self.parent[k + 1][state]
                 spread = crowded[k][parent]
                 keys[k] = np.concatenate([keys[k], below[spread] * size + parent[spread]])
-            keys[k] = np.unique(keys[k])
+            keys[k] = _distinct(keys[k])
         self.own = own
         return [np.divmod(key, max(1, len(o))) for key, o in zip(keys, own, strict=True)]
 
     def packed(self, codes: _Codes, hot: np.ndarray, many: int) -> pa.RecordBatch:
         """A row for each range: its words, and parent steps, labels and weights of its states, level after level."""
         cut = self.ranges(self.hashes(np.array(codes.hashes, np.uint64)), hot, many)
+        there = _distinct(cut[0][0])  # every range has a root
         rows, levels, steps, labels, weights = [], [], [], [], []
         for k, (place, state) in enumerate(cut):
-            first = np.searchsorted(place, place)  # where the row's part of the level begins
+            row, new = _rows(there, place), np.diff(place, prepend=-1) != 0
+            parent = np.zeros(len(state), np.int64)
             if k:
-                above, there = cut[k - 1]
-                size = max(1, len(self.parent[k - 1]))
-                parent = np.searchsorted(above * size + there, place * size + self.parent[k][state]) - np.searchsorted(above, place)
-            else:
-                parent = np.zeros(len(state), np.int64)
+                above, before, at_own, begin = last
+                up = self.parent[k][state]
+                parent = np.where(self.own[k - 1][up] == place, at_own[up], -1)
+                spread = np.flatnonzero(parent < 0)  # below a crowded prefix
+                size = max(1, len(self.own[k - 1]))
+                parent[spread] = np.searchsorted(above * size + before, place[spread] * size + up[spread])
+                parent -= begin[row]
+            at_own = np.zeros(len(self.own[k]), np.int64)
+            mine = np.flatnonzero(self.own[k][state] == place)
+            at_own[state[mine]] = mine
+            count = np.bincount(row, minlength=len(there))
+            last = place, state, at_own, np.cumsum(count) - count
             step = np.diff(parent, prepend=0)
-            at_first = first == np.arange(len(state))
-            step[at_first] = parent[at_first]
-            rows.append(place), levels.append(np.full(len(place), k)), steps.append(step), labels.append(self.label[k][state])
-            weights.append(np.where(self.own[k][state] == place, self.weight[k][state], 0))
-        place, level = np.concatenate(rows), np.concatenate(levels)
-        order = np.argsort(place, kind="stable")
-        place, level = place[order], level[order]
-        there, begin = np.unique(place, return_index=True)
-        at = np.append(begin, len(place)).astype(np.int32)
-        row = np.repeat(np.arange(len(there)), np.diff(at))
+            step[new] = parent[new]
+            rows.append(row), levels.append(np.full(len(place), k)), steps.append(step), labels.append(self.label[k][state])
+            weight = np.zeros(len(state), np.int64)
+            weight[mine] = self.weight[k][state[mine]]
+            weights.append(weight)
+        row, level = np.concatenate(rows), np.concatenate(levels)
+        order = np.argsort(row, kind="stable")
+        row, level = row[order], level[order]
+        at = np.searchsorted(row, np.arange(len(there) + 1)).astype(np.int32)
         sizes = np.bincount(row * (LONGEST + 1) + level, minlength=len(there) * (LONGEST + 1)).astype(np.int32)
         words, label = np.unique(row * len(codes.words) + np.concatenate(labels)[order], return_inverse=True)
         of_row, word = np.divmod(words, max(1, len(codes.words)))
         words_at = np.searchsorted(of_row, np.arange(len(there) + 1)).astype(np.int32)
-        listed = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends), values)
         every = pa.array(codes.words, pa.binary()).cast(pa.string())
-        columns = {
-            "place": pa.array(there, pa.int64()),
-            "words": listed(every.take(pa.array(word)), words_at),
-            "sizes": listed(pa.array(sizes), np.arange(len(there) + 1, dtype=np.int32) * (LONGEST + 1)),
-            "steps": listed(pa.array(np.concatenate(steps)[order].astype(np.int32)), at),
-            "labels": listed(pa.array((label - words_at[:-1][row]).astype(np.int32)), at),
-            "weights": listed(pa.array(np.concatenate(weights)[order].astype(np.int32)), at),
-        }
+        listed = pa.ListArray.from_arrays(pa.array(words_at), every.take(pa.array(word)))
+        columns = {"place": pa.array(there, pa.int64()), "words": pc.binary_join(listed, "\n"), "sizes": _bytes(sizes, np.arange(len(there) + 1) * (LONGEST + 1))}
+        for name, values in (("steps", np.concatenate(steps)[order]), ("labels", label - words_at[:-1][row]), ("weights", np.concatenate(weights)[order])):
+            columns[name] = _bytes(values, at)
         return pa.RecordBatch.from_pydict(columns)
 
 
-PACKED = "place long, words array<string>, sizes array<int>, steps array<int>, labels array<int>, weights array<int>"
+PACKED = "place long, words string, sizes binary, steps binary, labels binary, weights binary"
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of whole numbers as binary values of one width, which is the length over the number of values."""
+    width = next(w for w in (1, 2, 4, 8) if values.max(initial=0) < 1 << 8 * w)
+    data = values.astype(f"<u{width}").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _numbers(column: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``_bytes``, one after another; ``counts``: the length of each."""
+    parts = [np.frombuffer(v.as_buffer(), f"<u{len(v.as_buffer()) // n}") for v, n in zip(column, counts.tolist(), strict=True) if n]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Automaton, _Codes]]:
@@ -195,7 +223,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Automaton, _Code
     for batch in batches:
         for root, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
             for part in coded(text.as_buffer().to_pybytes(), codes):
-                lang.append(np.full(len(part), codes[b"=" + root.encode()]))
+                lang.append(np.full(len(part), codes[quote(root).encode()]))
                 found.append(part)
                 held += len(part)
                 if held >= SHARD + LONGEST:
@@ -210,11 +238,12 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Automaton, _Code
 def united(rows: pa.Table, least: int) -> pa.Table:
     """The union of one range's automata: (lang, phrase, m, a) of its states with a weight of ``least`` at least, and of the languages."""
     column = {c: rows[c].combine_chunks() for c in rows.column_names}
-    sizes = column["sizes"].flatten().to_numpy().reshape(-1, LONGEST + 1).astype(np.int64)
-    words = column["words"].flatten().dictionary_encode()
+    sizes = _numbers(column["sizes"], np.full(len(rows), LONGEST + 1)).reshape(-1, LONGEST + 1)
+    listed = pc.split_pattern(column["words"], "\n")
+    words = listed.flatten().dictionary_encode()
     code, names, many = words.indices.to_numpy().astype(np.int64), words.dictionary, np.int64(max(1, len(words.dictionary)))
-    words_at = np.concatenate([[0], np.cumsum(pc.list_value_length(column["words"]).to_numpy())])[:-1]
-    step, label, weight = (column[c].flatten().to_numpy().astype(np.int64) for c in ("steps", "labels", "weights"))
+    words_at = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy())])[:-1]
+    step, label, weight = (_numbers(column[c], sizes.sum(axis=1)) for c in ("steps", "labels", "weights"))
     n, segment = len(sizes), sizes.ravel()
     level = np.repeat(np.tile(np.arange(LONGEST + 1), n), segment)
     blob = np.repeat(np.arange(n), sizes.sum(axis=1))
@@ -241,8 +270,10 @@ def united(rows: pa.Table, least: int) -> pa.Table:
         paths = np.column_stack([paths[pair // many], pair % many])
         told = total > 0
         parts = [names.take(pa.array(c)) for c in paths[told].T]
+        roots = parts[0].dictionary_encode()
+        lang = pa.array([unquote(r) for r in roots.dictionary.to_pylist()], pa.string()).take(roots.indices)
         phrase = pc.binary_join_element_wise(*parts[1:], " ") if k else pa.array([""] * int(told.sum()), pa.string())
-        out.append(pa.table({"lang": pc.utf8_slice_codeunits(parts[0], 1), "phrase": phrase, "m": pa.array(np.full(int(told.sum()), k, np.int32)), "a": pa.array(total[told])}))
+        out.append(pa.table({"lang": lang, "phrase": phrase, "m": pa.array(np.full(int(told.sum()), k, np.int32)), "a": pa.array(total[told])}))
     return pa.concat_tables(out)
 
 
