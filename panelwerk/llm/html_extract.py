@@ -6,11 +6,14 @@ subtree (words, links, sentences, form fields), its depth, its place among its s
 that it holds main text. Decoding then picks the best set of nodes in which no kept node has a dropped ancestor: a
 node is worth its log-odds plus what its children are worth, or nothing if it is dropped with all below it.
 
-Training takes a bounded sample (TRAIN_PAGES, chosen by a hash) of the pages. Their article elements tell which blocks are
-main text; these blocks are set again into made-up layouts (semantic tags or plain divisions with class names, menus, notices,
-adverts, forms, side columns, related lists, reader comments, footers), whose truth is known. The model is some dozens of
-small trees, whatever the input. Extraction is one scan without a shuffle. Where no article or main element is sampled, dense runs of
-text (long, in sentences, with few links, outside menus and the like) stand for the main text of a page, or else its longest run.
+Training takes a bounded sample (TRAIN_PAGES, chosen by a hash) of the pages. Article and main elements tell which blocks are
+main text, but for menus, side columns, forms, notices, adverts and comments in them; on a page without such elements it is the smallest
+node that holds nearly all dense runs (long, in sentences, with few links, outside menus and the like; or else its longest run). These blocks are
+set again into made-up layouts (semantic tags, divisions with class names or without, menus, notices, adverts, forms, side columns,
+related lists, reader comments, footers, around the article and inside it), whose truth is known. The model is some dozens of small trees, whatever
+the input. Extraction is one scan without a shuffle.
+
+A page is read in time proportional to its length, whatever its markup is (``Tags``).
 
 Text after the end of the body belongs to the body. Text outside all block-level elements gets a node of its own below the root, one for each run, and is kept or dropped by its odds.
 Elements that hold no text of the page are skipped up to their end tag; a self-closed one ends at once. Without an end tag, script and
@@ -28,7 +31,7 @@ import html
 import random
 import re
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import reduce
 from operator import or_
 from zlib import crc32
 
@@ -42,11 +45,12 @@ from .common import set_aside, table
 
 #: Expected number of pages trained on, at most; made-up layouts of each; nodes of a page or layout, drawn at random, at most.
 TRAIN_PAGES, LAYOUTS, TRAIN_NODES = 300, 5, 2000
-#: Made-up layouts of all pages together, at least, where main text is told by density.
-DENSE_LAYOUTS = 300
+#: Made-up layouts of all pages together, at least.
+LEAST_LAYOUTS = 300
 TREES, DEPTH, BINS, RATE, LEAF_L2, LEAF_MIN = 40, 4, 32, 0.25, 1.0, 20
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+QUOTE = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements by kind (fixed values of HTML).
@@ -54,7 +58,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style noscript template textarea title iframe svg select option object canvas".split())
 #: Of these, those with plain text inside, which do not nest, and those whose text goes up to the next tag where the end tag is missing.
 CODE, PLAIN, LABEL = ("script", "style"), frozenset("script style noscript textarea title iframe".split()), ("textarea", "title", "select", "option")
-NESTED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)(template|svg|select|object|canvas)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S | re.I)
+NESTING = frozenset("template svg select object canvas".split())
 CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input picture button output meter progress audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -68,23 +72,67 @@ INHERITED = 6  # kinds from 0 to 5 that are handed down
 TOKEN_BITS = 32
 #: Share of a page's dense text that its main node holds, where no tag tells.
 HOLDS = 0.85
+#: Share of menus, headers and footers of made-up layouts that are divisions without any attribute.
+UNMARKED = 0.2
 #: Share of made-up layouts with text outside all block-level elements.
 BARE = 0.1
 
 
+class Tags:
+    """The tags of a page in turn, in time proportional to its length whatever its quotes are.
+
+    A tag ends at the first ``>`` outside quotes, or, where none follows, at the first ``>``. Where a search for that fails, the places
+    at which it left a quote are noted, and no later search goes on from one of them.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.lost = source, source.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` has its ``>``."""
+        left, place = [], at
+        while (m := QUOTE.search(self.source, place)) and m[0] != ">":
+            place = self.source.find(m[0], m.end()) + 1
+            if not place or place in self.lost:
+                m = None
+                break
+            left.append(place)
+        if m:
+            return m.start()
+        self.lost.update(left)
+        return self.source.find(">", at)
+
+    def following(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether an end tag, name, attributes) of the first tag from ``at`` on; the name is None for comments and the like."""
+        m = OPENING.search(self.source, at)
+        if m and m[0] == "<!--":
+            end = self.source.find("-->", m.end())
+            return m.start(), end + 3 if end >= 0 else len(self.source), False, None, ""
+        if not m or self.last < m.start():
+            return None
+        if m[2] is None:
+            return m.start(), self.source.find(">", m.end()) + 1, False, None, ""
+        end = self.end(m.end())
+        return m.start(), end + 1, bool(m[1]), m[2].lower(), self.source[m.end() : end]
+
+
 def _ends(source: str, at: int) -> dict[int, int]:
     """Where each nesting element without text from ``at`` on ends, by the end of its start tag; those without an end tag are left out."""
     found: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
-    for m in NESTED.finditer(source, at):
-        if m[3] is None:
-            continue
-        held = opened.setdefault(m[3].lower(), [])
-        if not m[2]:
-            if not CLOSED.search(m[4]):
-                held.append(m.end())
-        elif held:
-            found[held.pop()] = m.end()
+    tags = Tags(source)
+    while tag := tags.following(at):
+        _, at, closing, name, attributes = tag
+        if name in CODE and not closing:
+            close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+            at = close.end() if close else len(source)
+        elif name in NESTING:
+            held = opened.setdefault(name, [])
+            if not closing:
+                if not CLOSED.search(attributes):
+                    held.append(at)
+            elif held:
+                found[held.pop()] = at
     return found
 
 
@@ -104,6 +152,9 @@ class Page:
         texts: list[str] = []
         at, end, in_link = 0, len(source), 0
         ends: dict[int, int] | None = None
+        tags = Tags(source)
+        places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+        scopes: list[int] = [0]
         unclosed: set[str] = set()  # tags without an end tag in the rest of the page
 
         def add(tag: str, parent: int, good: int = 0, bad: int = 0, truth: int = 0, links: int = 0, fields: int = 0, tokens: int = 0) -> int:
@@ -144,45 +195,59 @@ class Page:
                     return end
             elif tag != "option":
                 if ends is None:
-                    ends = _ends(source, m.start())
+                    ends = _ends(source, began)
                 if at in ends:
                     return ends[at]
             if tag in LABEL:
-                following = TAG.search(source, at)
-                return following.start() if following else end
+                following = tags.following(at)
+                return following[0] if following else end
             return at
 
+        def push(tag: str, node: int) -> None:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
+            stack.append((tag, node))
+
         def pop_to(k: int) -> None:
             nonlocal in_link
             if any(t not in INLINE for t, _ in stack[k:]):
                 flush()
-            in_link = max(0, in_link - sum(t == "a" for t, _ in stack[k:]))
+            for t, _ in stack[k:]:
+                places[t].pop()
+                in_link -= t == "a"
+            while scopes[-1] >= k:
+                scopes.pop()
             del stack[k:]
 
+        def close(*names: str) -> None:
+            """End the last open one of these elements, unless one that keeps it from this was opened since."""
+            k = max((places[t][-1] for t in names if places.get(t)), default=0)
+            if k and k >= scopes[-1]:
+                pop_to(k)
+
         while at < end:
-            m = TAG.search(source, at)
-            if m is None:
+            found = tags.following(at)
+            if found is None:
                 texts.append(source[at:])
                 break
-            if m.start() > at:
-                texts.append(source[at : m.start()])
+            began, tag_end, closing, tag, attributes = found
+            if began > at:
+                texts.append(source[at:began])
                 if in_link:
-                    self.links[stack[-1][1]] += len(source[at : m.start()].split())
-            at = m.end()
-            if m[2] is None:
+                    self.links[stack[-1][1]] += len(source[at:began].split())
+            at = tag_end
+            if tag is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag in ("html", "body"):  # text after these belongs to the body, as in HTML
-                            flush()
-                            k = k + 1 if tag == "body" else len(stack)
-                        pop_to(k)
-                        break
+            if closing:
+                if places.get(tag):
+                    if tag in ("html", "body"):  # text after these belongs to the body, as in HTML
+                        flush()
+                    if tag != "html":
+                        pop_to(places[tag][-1] + (tag == "body"))
                 continue
             if tag in RAW:
-                at = after(tag, m[3], at)
+                at = after(tag, attributes, at)
                 self.fields[stack[-1][1]] += tag in ("select", "textarea")
                 continue
             if tag == "br":
@@ -191,32 +256,23 @@ class Page:
             if tag in ("input", "button"):
                 self.fields[stack[-1][1]] += 1
             if tag in CLOSES_P:
-                self._close(stack, ("p",), pop_to)
+                close("p")
             if tag in SIBLING:
-                self._close(stack, SIBLING[tag], pop_to)
+                close(*SIBLING[tag])
             if tag in INLINE:
                 if tag not in VOID:
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
                     in_link += tag == "a"
                 continue
             flush()
             if tag in VOID:
                 continue
-            tokens = [t.lower() for a in ATTRIBUTE.finditer(m[3]) for t in TOKEN.findall(a[2] or a[3] or a[4] or "")]
+            tokens = [t.lower() for a in ATTRIBUTE.finditer(attributes) for t in TOKEN.findall(a[2] or a[3] or a[4] or "")]
             good, bad = sum(t in GOOD for t in tokens), sum(t in BAD for t in tokens)
             flags = reduce(or_, (1 << crc32(t.encode()) % TOKEN_BITS for t in tokens), 0)
-            stack.append((tag, add(tag, stack[-1][1], good, bad, int('data-truth="1"' in m[3]), tokens=flags)))
+            push(tag, add(tag, stack[-1][1], good, bad, int('data-truth="1"' in attributes), tokens=flags))
         flush()
 
-    @staticmethod
-    def _close(stack: list, tags: tuple, pop_to) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                pop_to(k)
-                return
-            if stack[k][0] in SCOPE:
-                return
-
 
 def node_features(page: Page) -> np.ndarray:
     """A row of features for each node."""
@@ -262,6 +318,8 @@ def node_features(page: Page) -> np.ndarray:
         links / one, words / np.maximum(runs, 1), words / below, fields, np.log1p(paragraphs), np.array(page.depth), place, siblings,
         place / np.maximum(siblings, 1), words / np.maximum(1, words[np.maximum(parent, 0)]), words / total, before, children,
     ]
+    above = np.maximum(parent, 0)
+    columns += [np.log1p(words[above]), links[above] / one[above], words / np.maximum(1, words[above] - words), np.log1p(total - words_before - words)]
     flags = [v[:, None] >> np.arange(TOKEN_BITS, dtype=np.uint32) & np.uint32(1) for v in (tokens, up_tokens)]
     return np.column_stack([*columns, kinds, handed, *flags]).astype(np.float32)
 
@@ -394,12 +452,23 @@ def _dense(page: Page) -> list[bool]:
     return [dense or (inside[at] and not aside[at] and not far) for (at, _), far, dense in zip(page.runs, linked, found, strict=True)]
 
 
-def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
-    """The page's main blocks (those below an article or main element, or the dense ones) in a made-up layout, marked with the truth."""
+def _inside(page: Page) -> list[bool]:
+    """Which nodes lie in an article or main element, and not in a part of it that is no main text (a menu, footer, side column or form, or one
+    whose tokens tell of a notice, advert or comments)."""
     inside = [False] * len(page.parent)
     for i in range(1, len(page.parent)):
-        inside[i] = inside[page.parent[i]] or page.kind[i] == 0
-    chosen = _dense(page) if dense else [inside[n] for n, _ in page.runs]
+        left_out = page.kind[i] in (KIND["nav"], KIND["footer"], KIND["aside"], KIND["form"]) or page.bad[i] > page.good[i]
+        inside[i] = page.kind[i] == KIND["article"] or (inside[page.parent[i]] and not left_out)
+    return inside
+
+
+def _layout(page: Page, rng: random.Random) -> str | None:
+    """The page's main blocks (those of its article or main element, or else the dense ones) in a made-up layout, marked with the truth."""
+    if KIND["article"] in page.kind:
+        inside = _inside(page)
+        chosen = [inside[n] for n, _ in page.runs]
+    else:
+        chosen = _dense(page)
     main = [(page.tag[n], html.escape(t)) for (n, t), yes in zip(page.runs, chosen, strict=True) if yes]
     other = [html.escape(t) for (_, t), yes in zip(page.runs, chosen, strict=True) if not yes]
     if not main:
@@ -417,8 +486,10 @@ def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
 
     def box(tag: str, names: str, body: str) -> str:
         plain = rng.random()
-        if plain < 0.4:
-            return f"<{tag}>{body}</{tag}>" if tag != "div" else f'<div class="{rng.choice(names.split())}">{body}</div>'
+        if tag in ("nav", "header", "footer") and plain < UNMARKED:
+            return f"<div>{body}</div>"
+        if plain < 0.45 and tag not in ("div", "section"):
+            return f"<{tag}>{body}</{tag}>"
         return f'<div {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "js-", "c-"])}{rng.choice(names.split())}">{body}</div>'
 
     def comment() -> str:
@@ -448,9 +519,9 @@ def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
         tag = tag if tag in ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "td") else rng.choice(["p", "p", "div"])
         tag = "p" if tag in ("li", "td") else tag
         body.append(f"<{tag}{mark}>{text}</{tag}>" if rng.random() < 0.97 else f"<ul{mark}><li{mark}>{text}</li></ul>")
-        if k and rng.random() < 0.06:
-            body.append(parts[rng.choice(["ad", "aside", "share", "form", "notice"])]())
-    inner = "".join(body) + (parts["comments"]() if rng.random() < 0.2 else "")
+    for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):  # what is no main text inside the article, between its blocks or after them
+        body.insert(rng.randint(1, len(body)), parts[rng.choice(["ad", "aside", "aside", "share", "form", "notice", "comments", "nav"])]())
+    inner = "".join(body) + (parts[rng.choice(["comments", "comments", "form", "aside", "share"])]() if rng.random() < 0.35 else "")
     for tag in reversed(wraps):
         inner = f'<{tag}{mark}{f" class={names.split()[0]!r}" if names and rng.random() < 0.7 else ""}>{inner}</{tag}>'
     if rng.random() < 0.4:
@@ -458,23 +529,20 @@ def _layout(page: Page, rng: random.Random, dense: bool = False) -> str | None:
     return f"<html><head><title>x</title></head><body{mark}>{pick('notice', 'header', 'nav', 'ad', 'form')}{inner}{pick('share', 'comments', 'aside', 'ad', 'form', 'notice')}{pick('footer', 'footer')}</body></html>"
 
 
-def _examples(source: str, seed: int, layouts: int = LAYOUTS, dense: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _examples(source: str, seed: int, layouts: int = LAYOUTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     page, rng = Page(source), random.Random(seed)
 
     def some(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = slice(None) if len(y) <= TRAIN_NODES else sorted(random.Random(seed).sample(range(len(y)), TRAIN_NODES))
         return x[at], y[at]
 
-    if page.runs and 0 in page.kind:
-        inside, holds = [False] * len(page.parent), np.zeros(len(page.parent), np.int8)
-        for i in range(1, len(page.parent)):
-            inside[i] = inside[page.parent[i]] or page.kind[i] == 0
-            holds[i] = inside[i]
+    if page.runs and KIND["article"] in page.kind:
+        holds = np.array(_inside(page), np.int8)
         for i in range(len(page.parent) - 1, 0, -1):
             holds[page.parent[i]] |= holds[i]
         yield some(node_features(page)[1:], holds[1:])
     for _ in range(layouts):
-        made = _layout(page, rng, dense)
+        made = _layout(page, rng)
         if made:
             other = Page(made)
             words = np.zeros(len(other.parent))
@@ -495,12 +563,12 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:
     turn = F.shiftrightunsigned(F.xxhash64(F.lit("training pages"), "page_id"), 33)
     sample = pages.where("html IS NOT NULL").withColumn("turn", turn).where(F.col("turn") < F.lit(int(share * (1 << 31))))
 
-    few = -(-DENSE_LAYOUTS // max(1, min(n, rows)))  # layouts of each page where a small sample has to give enough nodes
+    few = -(-LEAST_LAYOUTS // max(1, min(n, rows)))  # layouts of each page where a small sample has to give enough nodes
 
-    def make(batches: Iterator[pd.DataFrame], dense: bool = False) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for turn, source in zip(b.turn, b.html, strict=True):
-                for x, y in _examples(source, int(turn), max(LAYOUTS, few) if dense else LAYOUTS, dense):
+                for x, y in _examples(source, int(turn), max(LAYOUTS, few)):
                     yield pd.DataFrame({"turn": [int(turn)], "x": [x.tobytes()], "y": [y.tobytes()]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -515,12 +583,9 @@ def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees | None:
         yield pd.DataFrame({"part": ["cuts", "features", "bins", "values", "base"], "data": [np.asarray(v, float).tobytes() for v in (t.cuts, t.features, t.bins, t.values, t.base)]})
 
     python_workers(pages.sparkSession)
-    for dense in (False, True):
-        made = sample.select("turn", "html").mapInPandas(partial(make, dense=dense), "turn long, x binary, y binary")
-        got = {r.part: np.frombuffer(r.data) for r in made.repartition(1).mapInPandas(learn, "part string, data binary").collect()}  # of a fixed size
-        if got:
-            break
-    else:
+    made = sample.select("turn", "html").mapInPandas(make, "turn long, x binary, y binary")
+    got = {r.part: np.frombuffer(r.data) for r in made.repartition(1).mapInPandas(learn, "part string, data binary").collect()}  # of a fixed size
+    if not got:
         return None
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     return Trees(got["cuts"].reshape(-1, BINS - 1), got["features"].astype(int).reshape(-1, inner), got["bins"].astype(int).reshape(-1, inner), got["values"].reshape(-1, leaves), float(got["base"][0]))
