@@ -37,13 +37,13 @@ from .common import checkpointed, table
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Positions of a shard; bytes of text for each prefix range, and fewest ranges; bytes of a sample.
-SHARD, RANGE_BYTES, LEAST_RANGES, SAMPLE_BYTES = 500_000, 10 << 20, 24, 24 << 20
+SHARD, RANGE_BYTES, LEAST_RANGES, SAMPLE_BYTES = 250_000, 4 << 20, 24, 24 << 20
 #: A prefix is crowded if more than one position in so many passes it.
 HOT = 1000
 #: Frequent phrases of a range in the look-up of parts.
 LOOKED_UP = 200_000
 #: Bytes of a text that are split at once, and words whose codes a task keeps.
-SLICE, KEPT_WORDS = 4 << 20, 300_000
+SLICE, KEPT_WORDS = 1 << 20, 150_000
 _BREAKS = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + b"\n" * 10)
 _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
