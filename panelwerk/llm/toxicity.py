@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS,
     turn = F.shiftrightunsigned(F.xxhash64(F.lit("training order"), "doc_id"), 33)
     bound = F.when(F.col("toxic") == 1, int(share[1] * (1 << 31))).otherwise(int(share[0] * (1 << 31)))
     given = given.withColumn("turn", turn).where(F.col("turn") < bound)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(given, "doc_id").select("turn", "doc_id", "toxic", "text")
+    # the sample's ids are of a fixed number, so that no text but theirs moves
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(given), "doc_id").select("turn", "doc_id", "toxic", "text")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
