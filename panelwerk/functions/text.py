@@ -39,6 +39,11 @@ def _chained(text: Column, rules: list[tuple[str, str]], step: Callable = F.rege
     return reduce(lambda t, r: step(t, F.lit(r[0]), F.lit(r[1])), rules, text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` made once: a variable of a lambda is bound, an expression is made anew wherever it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeezed(text: Column) -> Column:
     """Single spaces, none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")

@@ -2,48 +2,117 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.patterns import Automaton, whole_words
+from ..plans.session import checkpointed, python_workers
 from .chains import resolve_chains
 from .review import sound_words
 
+#: Letters of a glossary that goes to all tasks as automata, and moves of these; bytes of known words that do, and what a row takes besides its word.
+AUTOMATON_LETTERS, AUTOMATON_MOVES, LEXICON_BYTES, ROW_BYTES = 200_000, 16_000_000, 32 << 20, 40
+
 
-def relevant_glossary(texts: DataFrame, glossary: DataFrame, key: str) -> DataFrame:
+def relevant_glossary(texts: DataFrame, glossary: DataFrame, key: str, most_letters: int = AUTOMATON_LETTERS) -> DataFrame:
     """(key, source, target): approved terms that occur as whole words in a flattened text of their series.
 
-    ``texts``: (key, series_id, flat), keys unique. A term can only occur where its first word does, so keys and terms meet by that word in
-    an equi-join first; texts come in only for the pairs that are left.
+    ``texts``: (key, series_id, flat), keys unique. A glossary of ``most_letters`` at most becomes an automaton for each series, which go to
+    all tasks; the texts are read once and nothing is shuffled. A larger one meets the texts by series and first word of a term.
     """
+    terms = glossary.where("status = 'approved' AND source <> ''").select("series_id", "source", "target").distinct()
+    letters = terms.agg(F.sum(F.length("source") + F.length("target"))).first()[0] or 0
+    if letters > most_letters:
+        return _by_first_word(texts, terms, key)
+    listed: dict = {}
+    for r in terms.collect():  # most_letters at most
+        listed.setdefault(r.series_id, {}).setdefault(r.source, []).append(r.target)
+    moves = sum(sum(map(len, t)) * (1 + len(set("".join(t)))) for t in listed.values())
+    return _by_automaton(texts, listed, key) if moves <= AUTOMATON_MOVES else _by_first_word(texts, terms, key)
+
+
+def _is_letter(points: np.ndarray) -> np.ndarray:
+    """Upper-case letters as the rule has them: A to Z, and U+00C0 to U+00DD."""
+    return ((points >= 0x41) & (points <= 0x5A)) | ((points >= 0xC0) & (points <= 0xDD))
+
+
+def _by_automaton(texts: DataFrame, listed: dict, key: str) -> DataFrame:
+    kind = texts.schema[key].dataType.simpleString()
+    sent = texts.sparkSession.sparkContext.broadcast(listed)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict = {}
+        for batch in batches:
+            for series, rows in batch.groupby("series_id", sort=False):
+                if series not in sent.value:
+                    continue
+                if series not in made:
+                    made[series] = Automaton(sorted(sent.value[series]))
+                text, term = whole_words(made[series], rows.flat.to_list(), _is_letter)
+                found = [(rows[key].iat[i], source, target) for i, k in zip(text.tolist(), term.tolist(), strict=True) for source in [made[series].terms[k]] for target in sent.value[series][source]]
+                yield pd.DataFrame(found, columns=[key, "source", "target"])
+
+    python_workers(texts.sparkSession, 10_000)
+    return texts.where("flat <> '' AND series_id IS NOT NULL").select(key, "series_id", "flat").mapInPandas(find, f"{key} {kind}, source string, target string")
+
+
+def _by_first_word(texts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """A term can only occur where its first word does, so keys and terms meet by that word first; texts come in only for the pairs that are left."""
     letters = "A-ZÀ-Ý"
     first = lambda c: F.regexp_extract_all(c, F.lit(f"([{letters}]+|[^{letters} ]+)"), 1)
-    terms = glossary.where("status = 'approved'").select("series_id", "source", "target", F.get(first(F.col("source")), F.lit(0)).alias("token"))
+    terms = terms.withColumn("token", F.get(first(F.col("source")), F.lit(0)))
     tokens = texts.select(key, "series_id", F.explode(F.array_distinct(first(F.col("flat")))).alias("token"))
     pairs = tokens.join(terms.where("token IS NOT NULL"), ["series_id", "token"]).select(key, "source", "target")
-    pattern = F.concat(F.lit(f"(?<![{letters}])\\Q"), F.col("source"), F.lit(f"\\E(?![{letters}])"))
+    quoted = F.concat(F.lit("\\Q"), F.replace("source", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.lit(f"(?<![{letters}])"), quoted, F.lit(f"(?![{letters}])"))
     return pairs.join(texts.select(key, "flat"), key).where(F.contains("flat", "source") & F.rlike("flat", pattern)).select(key, "source", "target").distinct()
 
 
-def memory_lookup(texts: DataFrame, memory: DataFrame) -> DataFrame:
-    """``texts`` (with series_id and flat) and the ``remembered`` target of an equal source of the series, if any."""
-    known = memory.select("series_id", F.col("source").alias("flat"), F.col("target").alias("remembered"))
-    return texts.join(known, ["series_id", "flat"], "left")
+def _hashed(df: DataFrame, column: str, digest) -> DataFrame:
+    """``df`` with a hash and the length of a text, by which long texts meet."""
+    return df.withColumns({"_hash": digest(column), "_length": F.length(column)})
+
+
+#: What rows of equal texts meet by, beside the texts' length.
+BY_TEXT = ["series_id", "_hash", "_length"]
+
+
+def memory_lookup(texts: DataFrame, memory: DataFrame, digest=F.xxhash64) -> DataFrame:
+    """``texts`` (with series_id and flat) and the ``remembered`` target of an equal source of the series, if any.
+
+    Texts meet by a hash (``digest``) and their length, and are compared then: of one length, one begins with the other only if both are equal.
+    """
+    known = _hashed(memory.select("series_id", F.col("source").alias("_source"), F.col("target").alias("remembered")), "_source", digest)
+    known = known.withColumnsRenamed({c: f"_m{c}" for c in BY_TEXT})
+    rows = _hashed(texts, "flat", digest)
+    same = reduce(and_, [F.col(c) == F.col(f"_m{c}") for c in BY_TEXT]) & F.startswith("flat", "_source")
+    return rows.join(known, same, "left").drop("_source", "_hash", "_length", *(f"_m{c}" for c in BY_TEXT))
 
 
-def latest_memory(approved: DataFrame) -> DataFrame:
+def latest_memory(approved: DataFrame, digest=F.xxhash64) -> DataFrame:
     """(series_id, source, target): the last approval of each flattened source; blank translations do not count.
 
-    ``approved``: (series_id, text, translation, ord).
+    ``approved``: (series_id, text, translation, ord). Rows are sorted by a hash and the length first, so that texts are compared only where these agree.
     """
     rows = approved.where("trim(translation) <> ''").select("series_id", T.flatten(F.col("text")).alias("source"), F.col("translation").alias("target"), "ord")
-    return rows.where("source <> ''").groupBy("series_id", "source").agg(F.max_by("target", "ord").alias("target"))
+    rows = _hashed(rows.where("source <> ''"), "source", digest)
+    return rows.groupBy(*BY_TEXT, "source").agg(F.max_by("target", "ord").alias("target")).select("series_id", "source", "target")
 
 
 def upsert_memory(memory: DataFrame, approved: DataFrame) -> DataFrame:
     """A memory with the approvals on top: a new approval replaces an older entry of its key."""
     new = latest_memory(approved)
-    return memory.select("series_id", "source", "target").join(new.select("series_id", "source"), ["series_id", "source"], "left_anti").unionByName(new)
+    fresh = _hashed(new.select("series_id", F.col("source").alias("_source")), "_source", F.xxhash64).withColumnsRenamed({c: f"_n{c}" for c in BY_TEXT})
+    same = reduce(and_, [F.col(c) == F.col(f"_n{c}") for c in BY_TEXT]) & F.startswith("source", "_source")
+    kept = _hashed(memory.select("series_id", "source", "target"), "source", F.xxhash64).join(fresh, same, "left_anti")
+    return kept.select("series_id", "source", "target").unionByName(new)
 
 
 def previous_page_context(sheets: DataFrame, blocks: DataFrame, n: int = 12) -> DataFrame:
@@ -119,15 +188,22 @@ def suggest_entries(extracted: DataFrame, glossary: DataFrame) -> DataFrame:
     )
 
 
-def unknown_words(texts: DataFrame, lexicon: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+def unknown_words(texts: DataFrame, lexicon: DataFrame, allowed: DataFrame, key: str, most_bytes: int = LEXICON_BYTES) -> DataFrame:
     """(key, word, place, spelling): words, in lower case, that neither table of ``word`` has; the first spelling and place of each.
 
-    Repeats of a word fall inside their text, before anything is joined; AQE splits frequent words.
+    The words of a text are sorted once, so that the first of each stands beside the one before it. Known words of ``most_bytes`` at most go
+    to all tasks, and the texts are read once; of more, the texts' distinct words (counted before they are shuffled) are looked up first, and only
+    rows of unknown ones, which are rare each, meet them.
     """
-    each = F.transform(T.words(F.col("text")), lambda w, i: F.struct(i.alias("place"), w.alias("spelling"), F.lower(w).alias("word")))
-    first = F.filter(each, lambda w: F.array_position(F.transform(each, lambda o: o["word"]), w["word"]) == w["place"] + 1)
-    rows = texts.select(key, F.inline(first))
-    return rows.join(lexicon.select("word"), "word", "left_anti").join(allowed.select("word"), "word", "left_anti").select(key, "word", "place", "spelling")
+    each = F.transform(T.words(F.col("text")), lambda w, i: F.struct(F.lower(w).alias("word"), i.alias("place"), w.alias("spelling")))
+    first = T.let(F.sort_array(each), lambda ws: F.filter(ws, lambda w, i: (i == 0) | (F.get(ws, i - 1)["word"] != w["word"])))
+    rows = texts.select(key, F.inline(first)).select(key, "word", "place", "spelling")
+    known = checkpointed(lexicon.select("word").unionByName(allowed.select("word")).where("word IS NOT NULL").distinct())
+    size = known.agg(F.sum(F.octet_length("word") + F.lit(ROW_BYTES))).first()[0] or 0
+    if size <= most_bytes:
+        return rows.join(F.broadcast(known), "word", "left_anti").select(key, "word", "place", "spelling")
+    unknown = rows.select("word").distinct().join(known, "word", "left_anti")
+    return rows.join(unknown, "word", "left_semi").select(key, "word", "place", "spelling")
 
 
 def missing_sounds(blocks: DataFrame, sheets: DataFrame, albums: DataFrame, series: DataFrame, sfx_glossary: DataFrame) -> DataFrame:

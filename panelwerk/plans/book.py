@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.fixtures import view, with_views
+from ..sources.fixtures import TABLES, VIEWS, view, with_views
+from .session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -14,13 +15,27 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The driver tables and views of a folder, by attribute."""
+    """The driver tables and views of a folder, by attribute; each is built once for a query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.built: dict[str, DataFrame] = {}
+        self.made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        if name not in VIEWS and name not in TABLES:
+            raise AttributeError(name)
+        if name not in self.built:
+            self.built[name] = view(self.spark, self.sf_dir, name, self.made)
+        return self.built[name]
+
+    def share(self, *names: str) -> Tables:
+        """Views that are made once for all their uses in the query, also those below other views."""
+        for name in names:
+            if name not in self.made:
+                self.made[name] = checkpointed(getattr(self, name))
+                self.built = dict(self.made)
+        return self
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

@@ -9,6 +9,7 @@ from ..operators import chains as C
 from ..operators import geometry as G
 from ..operators import metrics as X
 from .book import Tables, query
+from .session import checkpointed
 from .text_queries import _flat
 
 WIDTH, HEIGHT = 1801, 2457
@@ -203,6 +204,8 @@ def order_correct(t: Tables):
 
 
 def _editions(t: Tables):
+    """Both editions' boxes; blocks and pages are made once."""
+    t.share("blocks", "sheets")
     box = ["x", "y", "width", "height"]
     pages = t.sheets.where("kind = 'original'").select("page_id", "album_id", F.col("position").alias("page"))
     source = t.blocks.join(pages, "page_id").select("album_id", F.col("page").alias("position"), F.col("block_id").alias("i"), "kind", *box)
@@ -331,7 +334,7 @@ def paired_pages(t: Tables):
 
 def _exported(t: Tables):
     keys = ["album_id", "position"]
-    source, target = _editions(t)
+    source, target = map(checkpointed, _editions(t))
     target = target.withColumn("position", F.col("position") - 2)
     texts = t.blocks.select(F.col("block_id").alias("i"), "text")
     left = source.join(texts, "i")

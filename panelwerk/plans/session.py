@@ -18,6 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it on a cluster. Where it is unset (tests on one machine) a new folder is made and set.
     """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # read when a checkpoint is made
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         if sc.getCheckpointDir() is None:
@@ -31,7 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, which outlive a lost executor."""
+    """``df`` made once: its rows are written to the shared folder, where they outlive a lost executor, and its lineage ends there.
+
+    The files go when no DataFrame, and no query made from one, refers to them any more. Inputs that an operator or a query reads several
+    times are shared in this way; select the columns that are needed before.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -10,6 +10,7 @@ from ..operators import memory as M
 from ..operators import metrics as X
 from ..operators import reports as R
 from .book import Tables, query
+from .session import checkpointed
 
 _UP = "upper(replace({0}, 'ß', 'ss'))"
 
@@ -118,6 +119,7 @@ p AS (SELECT f.*, m.target AS remembered, CASE WHEN translation_status <> 'none'
 
 
 def _plan(t: Tables):
+    t.share("blocks", "sheets")
     return M.translation_plan(_with_series(t), M.latest_memory(_approved(t)))
 
 
@@ -139,6 +141,7 @@ def translation_totals(t: Tables):
 
 def _chained_plan(t: Tables):
     """The plan of blocks with links, some of them rings."""
+    t.share("blocks", "sheets")
     return M.translation_plan(_with_series(t, t.linked_blocks), M.latest_memory(_approved(t)))
 
 
@@ -258,14 +261,17 @@ def _prompt_sql(shown: str, before: str, page: str) -> str:
 
 
 def _request_inputs(t: Tables):
-    asked = C.chain_sources(_plan(t))
+    """What requests are built from; blocks and pages, the memory and what the model is asked are made once."""
+    t.share("blocks", "sheets")
+    known = checkpointed(M.latest_memory(_approved(t)))
+    asked = checkpointed(C.chain_sources(M.translation_plan(_with_series(t), known)))
     pages = t.sheets.join(t.albums.select("album_id", "series_id"), "album_id").join(t.series.select("series_id", "name"), "series_id")
     notes = F.when(F.col("series_id") % 3 == 0, F.concat(F.lit("About "), "name", F.lit(". ")))
     style = F.when(F.col("album_id") % 4 == 0, "Use plain words.").when(F.col("album_id") % 4 == 1, "")
     pages = pages.select("page_id", "series_id", notes.alias("notes"), style.alias("style"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("number", "text"))), lambda r: r["text"])
     texts = asked.groupBy("page_id").agg(F.array_join(listed, " ").alias("flat")).join(pages.select("page_id", "series_id"), "page_id")
-    memory = M.latest_memory(_approved(t)).withColumn("ord", F.col("source"))
+    memory = known.withColumn("ord", F.col("source"))
     shown = R.memory_examples(memory).select("series_id", F.posexplode("examples").alias("ord", "e")).select("series_id", "ord", "e.source", "e.target")
     return asked, pages, M.relevant_glossary(texts, t.glossary, "page_id"), shown, M.previous_page_context(t.sheets, t.blocks)
 
@@ -287,6 +293,7 @@ FROM q JOIN al ON al.page_id = q.page_id, (SELECT unnest([1, 2]) AS attempt) WHE
 def follow_up_requests(t: Tables):
     """Every third block of each page counts as skipped by the answers."""
     asked, *rest = _request_inputs(t)
+    rest = [checkpointed(r) for r in rest]
     answered = asked.where("number % 3 <> 0").select("page_id", "number")
     return C.follow_up_requests(C.missing_responses(asked, answered, "page_id"), *rest, _RULES, _STYLE)
 

@@ -126,14 +126,15 @@ SELECT album_id AS export_id, position, position % 3 <> 0 AS received, skip FROM
 }
 
 
-def _needed(sql: str) -> list[str]:
-    """Views that a text names, those that they name first."""
+def _needed(sql: str, made: tuple[str, ...] = ()) -> list[str]:
+    """Views that a text names, those that they name first; those in ``made`` need none."""
     found: list[str] = []
 
     def add(text: str) -> None:
         for name in VIEWS:
             if name not in found and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
-                add(VIEWS[name])
+                if name not in made:
+                    add(VIEWS[name])
                 if name not in found:
                     found.append(name)
 
@@ -153,13 +154,20 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes} {body}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a view over the driver tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A driver table or a view over the driver tables in ``sf_dir``; views in ``made`` are taken from there, also below others."""
+    made = made or {}
+    if name in made:
+        return made[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    names = [*_needed(VIEWS[name]), name]
-    texts = {n: re.sub(r"\)\[1\]", ")[0]", VIEWS[n].strip()) for n in names}  # array subscripts start at 0 in Spark
+    names = [*_needed(VIEWS[name], tuple(made)), name]
+    texts = {n: re.sub(r"\)\[1\]", ")[0]", VIEWS[n].strip()) for n in names if n not in made}  # array subscripts start at 0 in Spark
     used = [t for t in TABLES if any(re.search(rf"\b{t}\b", x) for x in texts.values())]
     ctes = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used]
+    given = {n: made[n] for n in names if n in made}
+    if given:  # their names stand in braces, so those of the texts are doubled
+        texts = {n: x.replace("{", "{{").replace("}", "}}") for n, x in texts.items()}
+    ctes += [f"{n} AS (SELECT * FROM {{{n}}})" for n in given]
     ctes += [f"{n} AS ({x})" for n, x in texts.items()]
-    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
+    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}", **given)
