@@ -14,6 +14,7 @@ from ..functions import text as T
 #: Codes and their labels (fixed values).
 DIALOGUE = ("speech", "thought", "caption")
 REDRAWN = ("title", "other", "sfx")
+LONG_JOBS = ("process_project", "translate_project", "clean_project", "prepare_project", "export_draw")
 STATUS_LABELS = {"none": "untranslated", "draft": "draft", "edited": "edited", "approved": "approved"}
 KIND_LABELS = {"speech": "speech", "thought": "thought", "caption": "caption", "sfx": "sound", "other": "sign", "title": "title"}
 
@@ -41,11 +42,11 @@ def album_pages(sheets: DataFrame, skipped: bool = True, first: int | None = Non
 
 
 def script_rows(sheets: DataFrame, blocks: DataFrame, skipped: bool = False) -> DataFrame:
-    """Blocks with text of an album's pages, with labels and notes."""
+    """Blocks of an album's pages with a text or a translation, both trimmed, with labels and the notes that the block's flags give."""
     pages = album_pages(sheets, skipped).select("page_id", "album_id", F.col("position").alias("page"))
-    rows = blocks.where("text <> ''").join(pages, "page_id")
-    long = F.length(F.replace("translation", F.lit("*"), F.lit(""))) > 1.3 * F.greatest(F.length(F.replace("text", F.lit("*"), F.lit(""))), F.lit(10))
-    notes = F.concat_ws(", ", F.when(long, "too long"), F.when(F.col("ocr_model").isNull(), "needs review"))
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+\z", "")
+    rows = blocks.withColumns({"text": bare("text"), "translation": bare("translation")}).where("text <> '' OR translation <> ''").join(pages, "page_id")
+    notes = F.concat_ws(", ", F.when(F.col("translation_too_long"), "too long"), F.when(F.col("needs_review"), "needs review"))
     return rows.select(
         "album_id",
         "page",
@@ -175,12 +176,17 @@ def readiness_totals(pages: DataFrame) -> DataFrame:
 
 
 def rating_summary(ratings: DataFrame) -> DataFrame:
-    """Per study and candidate: average, share of 4 and 5, count; studies with an open row are left out."""
+    """Per study and candidate: average, share of 4 and 5, count, and the ``place`` in the study, best average first; studies with an open row are left out.
+
+    Candidates of equal average keep the order in which the study (by item and turn) first shows them.
+    """
     open_studies = ratings.where("score IS NULL").select("study").distinct()
     rows = ratings.join(open_studies, "study", "left_anti")
-    return rows.groupBy("study", "candidate").agg(
-        F.avg("score").alias("average"), F.avg((F.col("score") >= 4).cast("double")).alias("good_share"), F.count("*").alias("ratings")
+    found = rows.groupBy("study", "candidate").agg(
+        F.avg("score").alias("average"), F.avg((F.col("score") >= 4).cast("double")).alias("good_share"), F.count("*").alias("ratings"), F.min(F.struct("item", "turn", "rating_id")).alias("_first")
     )
+    best = Window.partitionBy("study").orderBy(F.desc("average"), "_first")
+    return found.withColumn("place", F.row_number().over(best)).drop("_first")
 
 
 def rating_progress(ratings: DataFrame) -> DataFrame:
@@ -200,10 +206,11 @@ def rating_items(ratings: DataFrame) -> DataFrame:
 
 
 def processing_totals(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per album: original pages, skipped ones, blocks and those never read."""
-    per_page = blocks.groupBy("page_id").agg(F.count("*").alias("b"), F.count_if(F.col("ocr_model").isNull()).alias("r"))
+    """Per album: original pages that were processed and those that were skipped, and of the former the blocks and how many are flagged for review."""
+    per_page = blocks.groupBy("page_id").agg(F.count("*").alias("b"), F.count_if("needs_review").alias("r"))
     rows = sheets.where("kind = 'original'").join(per_page, "page_id", "left").na.fill(0, ["b", "r"])
-    return rows.groupBy("album_id").agg(F.count("*").alias("pages"), F.count_if("skip").alias("skipped"), F.sum("b").alias("blocks"), F.sum("r").alias("needs_review"))
+    of_processed = lambda c: F.sum(F.when(~F.col("skip"), F.col(c)).otherwise(0))
+    return rows.groupBy("album_id").agg(F.count_if(~F.col("skip")).alias("pages"), F.count_if("skip").alias("skipped"), of_processed("b").alias("blocks"), of_processed("r").alias("needs_review"))
 
 
 def page_pitch(sheets: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -281,11 +288,13 @@ def job_eta(samples: DataFrame, least_seconds: int = 60) -> DataFrame:
 def queue_eta(samples: DataFrame, jobs: DataFrame) -> DataFrame:
     """``job_eta`` of running jobs with ``queued`` jobs of the same type and ``seconds_with_queued``, as each lasts as long as this one.
 
-    ``jobs``: job_id, type, status; ``samples``: of ``job_eta``.
+    Only long jobs (LONG_JOBS) with a total have an estimate. ``jobs``: job_id, type, status; ``samples``: of ``job_eta``.
     """
     queued = jobs.where("status = 'queued'").groupBy("type").agg(F.count("*").alias("queued"))
     running = jobs.where("status = 'running'").select("job_id", "type").join(job_eta(samples), "job_id").join(queued, "type", "left").na.fill(0, ["queued"])
-    whole = F.col("total") * F.col("elapsed") / F.col("done")
+    told = F.col("type").isin(*LONG_JOBS) & (F.col("total") > 0)
+    running = running.withColumn("seconds_left", F.when(told, F.col("seconds_left")))
+    whole = F.col("total") * F.col("elapsed") / F.nullif("done", F.lit(0))
     return running.select("job_id", "type", "progress", "elapsed", "seconds_left", "queued", F.round(F.col("seconds_left") + F.col("queued") * whole, 3).alias("seconds_with_queued"))
 
 

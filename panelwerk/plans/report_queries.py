@@ -18,13 +18,13 @@ def album_pages(t: Tables):
     return R.album_pages(t.sheets, False, 2, 6).select("album_id", "page_id", "position", "skip")
 
 
-_SCRIPT = """
-WITH rows AS (SELECT s.album_id, s.position AS page, b.position, b.block_id,
- CASE b.kind WHEN 'sfx' THEN 'sound' WHEN 'other' THEN 'sign' ELSE b.kind END AS kind, b.text, b.translation,
+_SCRIPT = r"""
+WITH bare AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said, regexp_replace(translation, '^\s+|\s+$', '', 'g') AS told FROM blocks),
+rows AS (SELECT s.album_id, s.position AS page, b.position, b.block_id,
+ CASE b.kind WHEN 'sfx' THEN 'sound' WHEN 'other' THEN 'sign' ELSE b.kind END AS kind, said AS text, told AS translation,
  CASE b.translation_status WHEN 'none' THEN 'untranslated' ELSE b.translation_status END AS status,
- concat_ws(', ', CASE WHEN length(replace(translation, '*', '')) > 1.3 * greatest(length(replace(text, '*', '')), 10) THEN 'too long' END,
-  CASE WHEN ocr_model IS NULL THEN 'needs review' END) AS notes
- FROM blocks b JOIN sheets s ON s.page_id = b.page_id WHERE b.text <> '' AND s.kind = 'original' AND NOT s.skip)
+ concat_ws(', ', CASE WHEN translation_too_long THEN 'too long' END, CASE WHEN needs_review THEN 'needs review' END) AS notes
+ FROM bare b JOIN sheets s ON s.page_id = b.page_id WHERE (said <> '' OR told <> '') AND s.kind = 'original' AND NOT s.skip)
 """
 
 
@@ -60,7 +60,6 @@ r AS (SELECT block_id, kind, kind IN ('title', 'other', 'sfx') AND trim(text) <>
 SELECT block_id, redraw, kind IN ('speech', 'thought', 'caption') OR redraw AS lettered FROM r"""
 
 
-@query(_REDRAW, name="needs_redraw_all")
 @query(_REDRAW)
 def needs_redraw(t: Tables):
     """The verdict on every block; ß is folded on both sides."""
@@ -160,8 +159,9 @@ def readiness_totals(t: Tables):
 
 
 @query(
-    """SELECT study, candidate, avg(score) AS average, avg(CASE WHEN score >= 4 THEN 1.0 ELSE 0.0 END) AS good_share, count(*) AS ratings FROM ratings
-WHERE study NOT IN (SELECT study FROM ratings WHERE score IS NULL) GROUP BY study, candidate"""
+    """WITH r AS (SELECT study, candidate, avg(score) AS average, avg(CASE WHEN score >= 4 THEN 1.0 ELSE 0.0 END) AS good_share, count(*) AS ratings, min((item, turn, rating_id)) AS first FROM ratings
+WHERE study NOT IN (SELECT study FROM ratings WHERE score IS NULL) GROUP BY study, candidate)
+SELECT study, candidate, average, good_share, ratings, CAST(row_number() OVER (PARTITION BY study ORDER BY average DESC, first) AS INT) AS place FROM r"""
 )
 def rating_summary(t: Tables):
     return R.rating_summary(t.ratings)
@@ -184,9 +184,9 @@ def rating_items(t: Tables):
 
 
 @query(
-    """WITH p AS (SELECT page_id, count(*) AS b, count(*) FILTER (WHERE ocr_model IS NULL) AS r FROM blocks GROUP BY page_id)
-SELECT album_id, count(*) AS pages, count(*) FILTER (WHERE skip) AS skipped, CAST(coalesce(sum(b), 0) AS BIGINT) AS blocks, CAST(coalesce(sum(r), 0) AS BIGINT) AS needs_review
-FROM sheets LEFT JOIN p USING (page_id) WHERE kind = 'original' GROUP BY album_id"""
+    """WITH p AS (SELECT page_id, count(*) AS b, count(*) FILTER (WHERE needs_review) AS r FROM blocks GROUP BY page_id)
+SELECT album_id, count(*) FILTER (WHERE NOT skip) AS pages, count(*) FILTER (WHERE skip) AS skipped, CAST(coalesce(sum(b) FILTER (WHERE NOT skip), 0) AS BIGINT) AS blocks,
+ CAST(coalesce(sum(r) FILTER (WHERE NOT skip), 0) AS BIGINT) AS needs_review FROM sheets LEFT JOIN p USING (page_id) WHERE kind = 'original' GROUP BY album_id"""
 )
 def processing_totals(t: Tables):
     return R.processing_totals(t.sheets, t.blocks)
@@ -277,8 +277,8 @@ def job_eta(t: Tables):
     """WITH e AS (SELECT job_id, min(ts) AS s, max(ts) AS l, min_by(progress, ts) AS p0, max_by(progress, ts) AS p1, max(total) AS total FROM job_samples GROUP BY job_id),
 d AS (SELECT job_id, p1, total, p1 - p0 AS done, CAST(floor(epoch(l)) - floor(epoch(s)) AS BIGINT) AS elapsed FROM e),
 q AS (SELECT type, count(*) AS queued FROM jobs WHERE status = 'queued' GROUP BY type)
-SELECT d.job_id, j.type, p1 AS progress, elapsed, CASE WHEN elapsed >= 60 AND done > 0 THEN round((total - p1) * elapsed / done, 3) END AS seconds_left, coalesce(queued, 0) AS queued,
- CASE WHEN elapsed >= 60 AND done > 0 THEN round(round((total - p1) * elapsed / done, 3) + coalesce(queued, 0) * (total * elapsed / done), 3) END AS seconds_with_queued
+SELECT d.job_id, j.type, p1 AS progress, elapsed, CASE WHEN elapsed >= 60 AND done > 0 AND j.type IN ('process_project', 'translate_project', 'clean_project', 'prepare_project', 'export_draw') THEN round((total - p1) * elapsed / done, 3) END AS seconds_left, coalesce(queued, 0) AS queued,
+ CASE WHEN elapsed >= 60 AND done > 0 AND j.type IN ('process_project', 'translate_project', 'clean_project', 'prepare_project', 'export_draw') THEN round(round((total - p1) * elapsed / done, 3) + coalesce(queued, 0) * (total * elapsed / done), 3) END AS seconds_with_queued
 FROM jobs j JOIN d ON d.job_id = j.job_id LEFT JOIN q ON q.type = j.type WHERE j.status = 'running'"""
 )
 def queue_eta(t: Tables):

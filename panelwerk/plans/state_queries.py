@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,8 +12,11 @@ from ..operators import memory as M
 from ..sources import manifest as S
 from ..sources import tables as TB
 from ..streaming import activity as A
+from ..streaming import idle as I
+from ..streaming import memory_store as MS
 from .book import Tables, query
-from .session import shared_dir
+from .session import checkpointed, drop_folder, shared_dir
+from .text_queries import _FLAT_BLOCKS, _MEMORY, _approved
 
 
 @query(
@@ -291,3 +296,44 @@ def upload_states(t: Tables):
 def clean_answers(t: Tables):
     answer = F.concat(F.lit("Text: "), F.upper("text"), F.repeat(F.lit("!"), (F.col("block_id") % 15).cast("int")))
     return A.clean_answers(t.blocks.withColumn("answer", answer))
+
+
+def _changes(key: str, table: str, steps: list[tuple[int, str]], active: str) -> str:
+    """Changes of state of each key up to a fixed time."""
+    told = [f"SELECT {key}, '{active}' AS state, ts AS since FROM g WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > {steps[0][0] * 1_000_000}"]
+    told += [f"SELECT {key}, '{s}', ts + INTERVAL {n} SECOND FROM g WHERE epoch_us(until) - epoch_us(ts) > {n * 1_000_000}" for n, s in steps]
+    return f"""WITH d AS (SELECT DISTINCT {key}, ts FROM {table}),
+g AS (SELECT {key}, ts, lag(ts) OVER w AS before, coalesce(lead(ts) OVER w, TIMESTAMP '2024-01-30 23:30:00') AS until FROM d WINDOW w AS (PARTITION BY {key} ORDER BY ts))
+{' UNION ALL '.join(told)}"""
+
+
+_STEPS, _DOWN = [(1800, "stale"), (36_000, "abandoned")], [(600, "down")]
+
+
+def _until(events, key: str, steps: list[tuple[int, str]], active: str):
+    found = I.idle_states_until(events, key, steps, F.expr("timestamp_ntz'2024-01-30 23:30:00'"), active)
+    return found.withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+@query(_changes("export_id", "uploads", _STEPS, "active"))
+def upload_changes(t: Tables):
+    return _until(t.uploads, "export_id", _STEPS, "active")
+
+
+@query(_changes("worker_id", "heartbeats", _DOWN, "up"))
+def worker_changes(t: Tables):
+    return _until(t.heartbeats, "worker_id", _DOWN, "up")
+
+
+@query(f"WITH {_FLAT_BLOCKS}, {_MEMORY} SELECT * FROM m")
+def memory_store(t: Tables):
+    """Approvals in seven batches by year, written into a store of runs and read back."""
+    t.share("blocks", "sheets")
+    rows = _approved(t).select("series_id", "text", "translation", "ord", F.year("updated_at").alias("year"))
+    folder = f"{shared_dir(t.spark)}/memory-{uuid.uuid4().hex}"
+    write = MS.memory_writer(folder)
+    for n in range(7):
+        write(rows.where(F.least(F.greatest(F.col("year") - 1995, F.lit(0)), F.lit(6)) == n), n)
+    found = checkpointed(MS.read_memory(t.spark, folder))
+    drop_folder(t.spark, folder)
+    return found

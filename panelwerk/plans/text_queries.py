@@ -314,7 +314,6 @@ _CER = f"""WITH c AS (SELECT role, translate({_normal('hypothesis')}, '{_LETTERS
 SELECT role, CAST(sum(levenshtein(h, r)) AS BIGINT) AS errors, CAST(sum(length(r)) AS BIGINT) AS length, CASE WHEN sum(length(r)) > 0 THEN sum(levenshtein(h, r)) / sum(length(r)) END AS cer FROM c GROUP BY role"""
 
 
-@query(_CER, name="cer_all_turns")
 @query(_CER)
 def cer(t: Tables):
     """Error rates over all turns, accents and all."""

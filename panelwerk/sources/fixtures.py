@@ -31,23 +31,25 @@ SELECT o_orderkey AS page_id, o_custkey AS album_id,
  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS cleaned_at,
  'albums/' || CAST(o_custkey AS VARCHAR(20)) || '/scan-' || CAST(o_orderkey AS VARCHAR(20)) || '.v2.jpg' AS image_path FROM orders
 """,
-    # Text blocks with boxes, text and translation: beginnings of documents, cut before they are joined.
+    # Text blocks with boxes, text and translation. Lettering is short: a block's text is the beginning of a document, cut before others are joined; one block in
+    # fifty holds the whole of it, and some hold nothing but spaces.
     'blocks': """
-SELECT page_id * 100 + position AS block_id, b.page_id, b.position, b.kind, b.x, b.y, b.width, b.height, b.translation_status, b.source, b.ocr_model, b.updated_at,
- substr(coalesce(d1.head, ''), 1, 20 + b.qty) AS text,
- CASE WHEN b.translation_status = 'none' THEN '' ELSE substr(coalesce(d2.head, ''), 1, 15 + 2 * (b.qty % 20)) END AS translation
-FROM (SELECT l_orderkey AS page_id,
+SELECT page_id * 100 + position AS block_id, c.page_id, c.position, c.kind, c.x, c.y, c.width, c.height, c.translation_status, c.source, c.ocr_model, c.updated_at, c.needs_review, c.translation_too_long, c.text,
+ CASE WHEN c.translation_status = 'none' THEN '' WHEN c.whole THEN coalesce(d2.text, '') ELSE substr(coalesce(d2.text, ''), 1, 15 + 2 * (c.qty % 20)) END AS translation
+FROM (SELECT b.*, CASE WHEN b.blank THEN '  ' WHEN b.whole THEN coalesce(d1.text, '') ELSE substr(coalesce(d1.text, ''), 1, 20 + b.qty) END AS text
+ FROM (SELECT l_orderkey AS page_id,
   CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS position,
   CASE l_partkey % 6 WHEN 0 THEN 'caption' WHEN 1 THEN 'sfx' WHEN 2 THEN 'other' WHEN 3 THEN 'title' ELSE 'speech' END AS kind,
   CAST((l_partkey * 37) % 1600 AS DOUBLE) AS x, CAST((l_suppkey * 211 + l_linenumber * 331) % 2200 AS DOUBLE) AS y,
   60 + l_quantity * 4 AS width, 30 + 10 * round(l_discount * 100) AS height,
   CASE l_returnflag WHEN 'N' THEN 'none' WHEN 'A' THEN 'draft' ELSE CASE l_linestatus WHEN 'O' THEN 'edited' ELSE 'approved' END END AS translation_status,
   CASE WHEN l_partkey % 4 = 0 THEN 'manual' ELSE 'auto' END AS source,
-  CASE WHEN l_suppkey % 7 <> 0 THEN 'model-a' END AS ocr_model,
+  CASE WHEN l_suppkey % 7 <> 0 THEN 'model-a' END AS ocr_model, l_partkey % 9 = 0 AS needs_review, (l_partkey + l_suppkey) % 11 = 0 AS translation_too_long,
+  (l_partkey * 7 + l_suppkey) % 23 = 0 AS blank, (l_partkey + l_suppkey * 3) % 50 = 0 AS whole,
   l_shipdate AS updated_at, CAST(l_quantity AS INT) AS qty,
   l_partkey % (SELECT max(doc_id) + 1 FROM documents) AS d1, (l_suppkey * 31 + l_partkey) % (SELECT max(doc_id) + 1 FROM documents) AS d2 FROM lineitem) b
-LEFT JOIN (SELECT doc_id, substr(text, 1, 70) AS head FROM documents) d1 ON d1.doc_id = b.d1
-LEFT JOIN (SELECT doc_id, substr(text, 1, 70) AS head FROM documents) d2 ON d2.doc_id = b.d2
+ LEFT JOIN (SELECT doc_id, text FROM documents) d1 ON d1.doc_id = b.d1) c
+LEFT JOIN (SELECT doc_id, text FROM documents) d2 ON d2.doc_id = c.d2
 """,
     # Blocks that continue in the next of their page: every third, and on some pages the next back in it (a ring).
     'linked_blocks': """
@@ -79,9 +81,9 @@ FROM (SELECT *, LEAD(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_tur
     'memory': """
 SELECT d.doc_id % 25 AS series_id, d.text AS source, b.text AS target, d.doc_id AS ord FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)
 """,
-    # Approved glossary: the first word of each benchmark passage, in a fifth of the series.
+    # Approved glossary: the first word of each benchmark passage, in one of the series.
     'glossary': """
-SELECT DISTINCT n_nationkey AS series_id, upper(w) AS source, substr(upper(w), 1, length(w) - 1) || 'A' AS target, 'approved' AS status FROM nation JOIN (SELECT DISTINCT split(replace(replace(text, '.', ''), ',', ''), ' ')[1] AS w FROM benchmark) t ON n_nationkey % 5 = length(w) % 5 WHERE length(w) >= 4
+SELECT DISTINCT n_nationkey AS series_id, upper(w) AS source, substr(upper(w), 1, length(w) - 1) || 'A' AS target, 'approved' AS status FROM nation JOIN (SELECT DISTINCT split(replace(replace(text, '.', ''), ',', ''), ' ')[1] AS w FROM benchmark) t ON n_nationkey = (ascii(w) * 7 + ascii(substr(w, 2, 1)) * 31 + ascii(substr(w, 3, 1)) + length(w)) % 25 WHERE length(w) >= 4
 """,
     # Sound-word glossary.
     'sfx_glossary': """

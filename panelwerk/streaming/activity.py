@@ -1,4 +1,6 @@
-"""Time rules over events, as streams and as batches: worker liveness, upload sessions, job progress, single claims, memory.
+"""Time rules over events, as streams and as batches: worker liveness, upload sessions, job progress, single claims.
+
+States that begin because nothing happens are in ``idle``, the memory is in ``memory_store``.
 
 Each function takes a DataFrame that may be a stream. Streams need a watermark on a TIMESTAMP column; ``timed`` casts and sets it.
 """
@@ -81,18 +83,3 @@ def clean_answers(raw: DataFrame) -> DataFrame:
     review = F.col("looped") | ((F.col("text") != "") & T.needs_review(F.col("text")))
     sign = (kind == "sfx") & T.not_a_sound(F.col("text"))
     return rows.select("block_id", F.when(sign, "other").otherwise(kind).alias("kind"), "text", review.alias("needs_review"))
-
-
-def memory_sink(folder: str, merge):
-    """A ``foreachBatch`` sink: each batch of approvals gives a new snapshot of the memory in ``folder``, named by its batch id.
-
-    A batch that runs again overwrites its own snapshot, made from the one before it.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "series_id long, source string, target string")
-        before = spark.read.parquet(f"{folder}/batch={batch_id - 1}") if batch_id else empty
-        merge(before, batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    return write

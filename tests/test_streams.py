@@ -1,9 +1,12 @@
 """Streams over files against their batch twins."""
 
+import time
+
 from pyspark.sql import functions as F
 
-from panelwerk.operators import memory as M
 from panelwerk.streaming import activity as A
+from panelwerk.streaming import idle as I
+from panelwerk.streaming import memory_store as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,11 +62,70 @@ def test_answers_stream_as_in_batch(spark, tmp_path):
     assert (2, "other", "una casa nuova", True) in live and (4, "other", "", False) in live
 
 
-def test_memory_sink(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a b", "X", 1), (1, "A  B", "Y", 2), (1, "c", " ", 3)], "series_id long, text string, translation string, ord int")
-    write = A.memory_sink(f"{tmp_path}/m", M.upsert_memory)
-    write(rows, 0)
-    write(spark.createDataFrame([(1, "a b", "Z", 9), (2, "a b", "Q", 1)], rows.schema), 1)
-    write(spark.createDataFrame([(1, "a b", "Z", 9), (2, "a b", "Q", 1)], rows.schema), 1)  # again
-    found = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/m/batch=1").collect()}
-    assert found == {(1, "A B", "Z"), (2, "A B", "Q")}
+def approvals(spark, rows):
+    return spark.createDataFrame(rows, "series_id long, text string, translation string, ord int")
+
+
+def test_memory_store(spark, tmp_path):
+    folder = f"{tmp_path}/m"
+    write = S.memory_writer(folder)
+    assert S.read_memory(spark, folder).count() == 0
+    want, written = {}, []
+    for n in range(22):
+        rows = [(1, "a b", f"A{n}", 1), (1, "A  B", f"B{n}", 2), (2, f"t {n % 7}", f"C{n}", 1), (3, f"u {n}", " ", 1), (None, "x", f"D{n}", 1)]
+        write(approvals(spark, rows), n)
+        if n in (0, 3, 15, 16):
+            write(approvals(spark, rows), n)  # again: nothing changes
+        want |= {(1, "A B"): f"B{n}", (2, f"T {n % 7}"): f"C{n}", (None, "X"): f"D{n}"}
+        assert {(r.series_id, r.source): r.target for r in S.read_memory(spark, folder).collect()} == want
+        written.append(sorted(p.name for p in (tmp_path / "m").iterdir() if p.is_dir()))
+    assert S.runs_after(21) == [(0, 15), (16, 19), (20, 20), (21, 21)] and len(written[-1]) <= 8
+    assert [len(S.merges_of(n)) for n in (2, 3, 14, 15, 63)] == [0, 1, 0, 2, 3]
+    (tmp_path / "m" / "run=000000000021-000000000021" / "_SUCCESS").unlink()  # a batch that was not finished is not read
+    found = {(r.series_id, r.source): r.target for r in S.read_memory(spark, folder).collect()}
+    assert found[1, "A B"] == "B20"
+
+
+def test_a_stream_of_approvals_ends_like_one_batch(spark, tmp_path):
+    rows = [(1, f"w {k % 5}", f"T{k}", k) for k in range(30)]
+    for k in range(6):
+        approvals(spark, rows[5 * k : 5 * k + 5]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = stream(spark, f"{tmp_path}/in", approvals(spark, []).schema)
+    live.writeStream.foreachBatch(S.memory_writer(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert S.read_memory(spark, f"{tmp_path}/out").count() == 5
+
+
+def test_stale_and_abandoned_are_told_without_further_events(spark, tmp_path):
+    """The clock alone: one file, then nothing."""
+    now = int(time.time())
+    sent = [(1, now - 2), (2, now - 5000), (3, now - 1), (3, now)]
+    events = spark.createDataFrame(sent, "export_id int, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.coalesce(1).write.parquet(f"{tmp_path}/e")
+    states = I.idle_states(stream(spark, f"{tmp_path}/e", events.schema), "export_id", [(4, "stale"), (9, "abandoned")])
+    query = states.writeStream.outputMode("update").format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        want = {(i, s) for i in (1, 2, 3) for s in ("active", "stale", "abandoned")}
+        until = time.time() + 90
+        while time.time() < until and {(r.export_id, r.state) for r in spark.table("idle").collect()} != want:
+            time.sleep(0.5)
+        rows = spark.table("idle").collect()
+    finally:
+        query.stop()
+    assert {(r.export_id, r.state) for r in rows} == want and len(rows) == len(want)
+    since = {(r.export_id, r.state): r.since.timestamp() for r in rows}
+    assert since[3, "stale"] - since[3, "active"] == 5 and since[2, "abandoned"] - since[2, "active"] == 9  # after the last event of 3
+
+
+def test_event_time_states_are_those_of_the_batch(spark, tmp_path):
+    rows = [(w, 1000 + s) for w, s in (("a", 0), ("b", 10), ("a", 60), ("a", 181), ("c", 200), ("b", 500), ("c", 900), ("z", 5000))]
+    beats = spark.createDataFrame(rows, "worker_id string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for k in range(len(rows)):
+        beats.where(F.col("ts") == F.timestamp_seconds(F.lit(rows[k][1]))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    live = I.idle_states(A.timed(stream(spark, f"{tmp_path}/e", beats.schema), delay="0 seconds"), "worker_id", I.WORKERS, "up", by_clock=False)
+    query = live.writeStream.outputMode("update").format("memory").queryName("beats").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted((r.worker_id, r.state, r.since.timestamp()) for r in spark.table("beats").collect())
+    batch = I.idle_states_until(beats, "worker_id", I.WORKERS, F.timestamp_seconds(F.lit(6000)), "up")
+    want = sorted((r.worker_id, r.state, r.since.timestamp()) for r in batch.collect())
+    assert found == want
+    assert [(w, s, t) for w, s, t in want if w == "a"] == [("a", "down", 1180.0), ("a", "down", 1301.0), ("a", "up", 1000.0), ("a", "up", 1181.0)]
