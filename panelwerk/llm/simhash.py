@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, key: list[str] | None = None, text: str = "
     folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     found = components(links(by_fp, folder)).withColumnRenamed("node", "fp")
     drop_folder(spark, folder)
-    linked = found.join(by_fp, "fp")
-    per_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(per_root, "root")
+    linked = found.join(by_fp.select("fp", "least"), "fp")
+    per_root = checkpointed(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    named = _joined(found, per_root, "root", per_root.agg(F.sum("n")).first()[0] or 0)
     per_fp = by_fp.join(named, "fp", "left")
     of_fp = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least"))
     per_fp = checkpointed(per_fp.select("fp", "n", F.coalesce("root", "fp").alias("root"), of_fp.alias("component_id")))
