@@ -11,9 +11,9 @@ for every SAMPLE-th value: the bit where it stands in the upper part. ``select``
 SAMPLE values, word by word, so a boundary is found in near-minimal space without a table of 64-bit offsets. Reading takes
 every boundary by ``select``.
 
-Texts are dealt to shards of neighbouring ids by one shuffle and encoded by the task that writes their shard. Files are
-written under a new name and then moved, so that a task that runs again (or twice) after an executor is lost leaves one whole
-file. Defined results: null texts are written as the end id alone; documents with equal ids follow each other in the order
+Texts are dealt to shards of neighbouring ids by one shuffle (by ranges that Spark draws a sample for) and encoded by the task that writes their
+shard. A task that runs again (or twice) after an executor is lost writes files of other names; the manifest, which Spark commits, names one whole
+file of each part. Defined results: null texts are written as the end id alone; documents with equal ids follow each other in the order
 of a hash of their text; a null doc_id comes first; repeated rows are written one by one; an empty table makes no file and no
 rows; extra columns are left out. Texts are never cut.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import python_workers
-from .common import buckets_in_order, shared_dir, table
+from .common import shared_dir, table
 from .word_tokens import chunk_encoder, encode_texts, library, vocabulary_path
 
 END_ID = 2
@@ -136,12 +136,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         shard, part, held, ids, lengths, blobs = None, 0, 0, [], [], []
 
         def close() -> pd.DataFrame:
-            name = f"{root}/shard-{shard:07d}-{part:05d}.eftk"
-            new = f"{root}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(new) as out:
+            # a name of its own for each attempt: the manifest, which Spark commits, names those that count
+            name = f"{root}/shard-{shard:07d}-{part:05d}-{uuid.uuid4().hex}.eftk"
+            with system.open_output_stream(name) as out:
                 for piece in shard_bytes(ids, lengths, blobs, width):
                     out.write(piece)
-            system.move(new, name)
             return pd.DataFrame({"shard": [shard], "part": [part], "file": [name], "n_docs": [len(ids)], "n_tokens": [sum(lengths)]})
 
         for batch in batches:
@@ -160,8 +159,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     python_workers(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, shards = buckets_in_order(base.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", "text", SHARD_BYTES, SHARDS_A_CORE)
-    dealt = rows.repartitionById(shards, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "tie")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(-(-size // SHARD_BYTES), SHARDS_A_CORE * spark.sparkContext.defaultParallelism)
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    dealt = base.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("bucket", F.spark_partition_id())
     manifest = dealt.select("bucket", "doc_id", "text").mapInPandas(write, "shard int, part int, file string, n_docs long, n_tokens long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")

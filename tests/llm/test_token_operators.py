@@ -145,3 +145,14 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     manifest = token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), folder)
     assert token_files.read_token_files(manifest, folder).count() == 0
+
+
+def test_files_of_an_attempt_that_failed_are_not_read(spark, docs, tmp_path):
+    """Each writing makes files of its own; what is read are those of the manifest."""
+    folder = f"{tmp_path}/t"
+    first = token_files.write_token_files(docs, folder)
+    names = {r.file for r in first.collect()}
+    want = sorted(map(tuple, token_files.read_token_files(first, folder).collect()), key=str)
+    again = token_files.write_token_files(docs, folder)
+    assert not names & {r.file for r in again.collect()}
+    assert sorted(map(tuple, token_files.read_token_files(again, folder).collect()), key=str) == want
