@@ -337,3 +337,37 @@ def memory_store(t: Tables):
     found = checkpointed(MS.read_memory(t.spark, folder))
     drop_folder(t.spark, folder)
     return found
+
+
+_FAULTS = """WITH al AS (SELECT * FROM albums UNION ALL SELECT * FROM albums WHERE album_id % 13 = 0),
+sh AS (SELECT page_id, CASE WHEN page_id % 37 = 0 THEN -album_id ELSE album_id END AS album_id, CASE WHEN page_id % 17 = 0 THEN 'cover' ELSE kind END AS kind, CASE WHEN page_id % 19 <> 0 THEN position END AS position FROM sheets),
+bl AS (SELECT block_id, CASE WHEN block_id % 23 = 0 THEN -page_id ELSE page_id END AS page_id, kind, CASE WHEN block_id % 29 = 0 THEN 'lost' ELSE translation_status END AS translation_status, continues_id FROM linked_blocks),
+ra AS (SELECT rating_id, CASE WHEN rating_id % 31 = 0 THEN 9 ELSE score END AS score FROM ratings),
+r AS (
+ SELECT 'albums' AS "table", CAST(album_id AS VARCHAR) AS key, [CASE WHEN n > 1 THEN 'repeated album_id' END] AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY album_id) AS n FROM al)
+ UNION ALL SELECT 'sheets', CAST(page_id AS VARCHAR), [CASE WHEN position IS NULL THEN 'position missing' END, CASE WHEN kind = 'cover' THEN 'kind cover' END, CASE WHEN album_id NOT IN (SELECT album_id FROM albums) THEN 'no albums for album_id' END] FROM sh
+ UNION ALL SELECT 'blocks', CAST(block_id AS VARCHAR), [CASE WHEN translation_status = 'lost' THEN 'translation_status lost' END, CASE WHEN page_id NOT IN (SELECT page_id FROM sheets) THEN 'no sheets for page_id' END,
+  CASE WHEN continues_id IS NOT NULL AND continues_id NOT IN (SELECT block_id FROM blocks) THEN 'no blocks for continues_id' END] FROM bl
+ UNION ALL SELECT 'ratings', CAST(rating_id AS VARCHAR), [CASE WHEN score NOT BETWEEN 1 AND 5 THEN 'score 9' END] FROM ra)
+SELECT "table", key, array_to_string(list_filter(reasons, lambda x: x IS NOT NULL), ', ') AS reasons FROM r WHERE len(list_filter(reasons, lambda x: x IS NOT NULL)) > 0"""
+
+
+@query(_FAULTS)
+def rejected_rows(t: Tables):
+    """Tables into which faults were brought: repeated albums, pages of no kind, place or album, blocks of no page or status, scores beyond five."""
+    t.share("blocks", "sheets")
+    faulty = {
+        "series": t.series,
+        "albums": t.albums.unionByName(t.albums.where("album_id % 13 = 0")),
+        "sheets": t.sheets.withColumns(
+            {
+                "album_id": F.expr("CASE WHEN page_id % 37 = 0 THEN -album_id ELSE album_id END"),
+                "kind": F.expr("CASE WHEN page_id % 17 = 0 THEN 'cover' ELSE kind END"),
+                "position": F.expr("CASE WHEN page_id % 19 <> 0 THEN position END"),
+            }
+        ),
+        "blocks": t.linked_blocks.withColumns({"page_id": F.expr("CASE WHEN block_id % 23 = 0 THEN -page_id ELSE page_id END"), "translation_status": F.expr("CASE WHEN block_id % 29 = 0 THEN 'lost' ELSE translation_status END")}),
+        "ratings": t.ratings.withColumn("score", F.expr("CASE WHEN rating_id % 31 = 0 THEN 9 ELSE score END")),
+    }
+    _, rejected = TB.checked_tables({name: TB.conform(rows, name) for name, rows in faulty.items()})
+    return rejected.withColumn("reasons", F.array_join("reasons", ", "))

@@ -1,8 +1,10 @@
-"""Schemas of the corpus tables, and loading them typed."""
+"""Schemas and rules of the corpus tables, loading them typed, and the rows that break a rule."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,3 +41,80 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """The tables of a folder (NAME.parquet each), typed: all known ones or those of ``names``."""
     return {n: spark.read.schema(schema(n)).parquet(f"{folder}/{n}.parquet") for n in names or SCHEMAS}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What every row of a table must keep to. ``key`` identifies a row; ``unique`` lists other columns that are so together; ``given`` may not be
+    null; ``refers`` names the table and column that a value (if any) must occur in; ``among`` lists the values that a column may have, if any."""
+
+    key: tuple[str, ...]
+    unique: tuple[tuple[str, ...], ...] = ()
+    given: tuple[str, ...] = ()
+    refers: dict[str, tuple[str, str]] = field(default_factory=dict)
+    among: dict[str, tuple] = field(default_factory=dict)
+
+
+_SERIES = {"series_id": ("series", "series_id")}
+_PAGE = {"page_id": ("sheets", "page_id")}
+#: Rules of the tables (fixed values).
+RULES = {
+    "series": Rules(("series_id",), (("name",),), ("name", "source_lang", "target_lang")),
+    "glossary": Rules(("series_id", "source", "target"), (), (), _SERIES, {"kind": ("name", "place", "phrase"), "status": ("suggested", "approved"), "origin": ("manual", "reference")}),
+    "sound_glossary": Rules(("id",), (("source",),), ("source", "target")),
+    "allowed_words": Rules(("series_id", "word"), (), (), _SERIES),
+    "albums": Rules(("album_id",), (), ("series_id",), _SERIES),
+    "sheets": Rules(("page_id",), (), ("album_id", "kind", "position", "import_order", "width", "height"), {"album_id": ("albums", "album_id")}, {"kind": ("original", "reference")}),
+    "blocks": Rules(
+        ("block_id",), (), ("page_id", "kind", "position", "x", "y", "width", "height"), _PAGE | {"continues_id": ("blocks", "block_id")},
+        {"kind": ("speech", "thought", "caption", "sfx", "other", "title"), "translation_status": ("none", "draft", "edited", "approved"), "source": ("auto", "manual")},
+    ),
+    "patches": Rules(("patch_id",), (), ("page_id",), _PAGE | {"block_id": ("blocks", "block_id")}),
+    "memory": Rules(("series_id", "source"), (), ("target",), _SERIES),
+    "history": Rules(("page_id", "kind", "position"), (), ("action",), _PAGE, {"kind": ("undo", "redo")}),
+    "exports": Rules(("export_id",), (), ("album_id",), {"album_id": ("albums", "album_id")}),
+    "jobs": Rules(("job_id",), (), ("type", "status"), {"album_id": ("albums", "album_id")}, {"status": ("queued", "running", "done", "failed", "cancelled")}),
+    "ratings": Rules(("rating_id",), (), ("study", "item", "candidate"), {}, {"score": (1, 2, 3, 4, 5)}),
+    "styles": Rules(("style_id",), (("name",),), ("name",)),
+}
+
+
+def _judged(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A table's rows with ``_reasons``: the rules that each breaks, in the order of the rules; none for a sound row.
+
+    The row's own values are judged by expressions; repeats of a key by a window over its hash and values (all but the first are told, in the order of a
+    hash of the row); references by a join with the distinct values referred to.
+    """
+    rules, rows = RULES[name], tables[name]
+    reasons: list[Column] = [F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in dict.fromkeys([*rules.key, *rules.given])]
+    reasons += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), F.concat(F.lit(f"{c} "), F.col(c).cast("string"))) for c, values in rules.among.items()]
+    order = F.xxhash64(*[F.to_json(F.struct(*rows.columns))])
+    for k, columns in enumerate([rules.key, *rules.unique]):
+        # null keys are told above; their rows are spread by their own hash
+        whole = ~F.concat_ws("", *[F.when(F.col(c).isNull(), "x") for c in columns]).contains("x")
+        spread = F.when(whole, F.xxhash64(*columns)).otherwise(order)
+        rows = rows.withColumn(f"_turn{k}", F.row_number().over(Window.partitionBy(spread, *columns).orderBy(order)))
+        reasons.append(F.when(whole & (F.col(f"_turn{k}") > 1), F.lit(f"repeated {', '.join(columns)}")))
+    for k, (column, (other, there)) in enumerate(rules.refers.items()):
+        if other in tables:
+            known = tables[other].select(F.col(there).alias(f"_known{k}")).where(F.col(f"_known{k}").isNotNull()).distinct()
+            rows = rows.join(known, F.col(column) == F.col(f"_known{k}"), "left")
+            reasons.append(F.when(F.col(column).isNotNull() & F.col(f"_known{k}").isNull(), F.lit(f"no {other} for {column}")))
+    return rows.select(*tables[name].columns, F.array_compact(F.array(*reasons)).alias("_reasons"))
+
+
+def checked_tables(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the sound rows of each table, the others as (table, key, reasons)).
+
+    References are looked up in the tables as they are given; those to tables that are not given are not judged.
+    """
+    sound, broken = {}, []
+    for name in tables:
+        judged = _judged(name, tables)
+        sound[name] = judged.where(F.size("_reasons") == 0).drop("_reasons")
+        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RULES[name].key])
+        broken.append(judged.where(F.size("_reasons") > 0).select(F.lit(name).alias("table"), key.alias("key"), F.col("_reasons").alias("reasons")))
+    rejected = broken[0]
+    for more in broken[1:]:
+        rejected = rejected.unionByName(more)
+    return sound, rejected
