@@ -214,3 +214,36 @@ def iou(a, b):
     shared = np.clip(high - low, 0, None).prod()
     union = a[0, 2:].prod() + b[0, 2:].prod() - shared
     return shared / union if union > 0 else 0.0
+
+
+def first_pair_first(boxes):
+    """Merging as the rule is said: look for the first near pair, merge it into the first of both, begin again."""
+    boxes = [tuple(b) for b in boxes]
+    while True:
+        near = [
+            (i, j)
+            for i, a in enumerate(boxes)
+            for j, b in enumerate(boxes)
+            if i < j and min(a[3], b[3]) - max(a[1], b[1]) >= 0.25 * min(a[3] - a[1], b[3] - b[1]) and max(a[0], b[0]) - min(a[2], b[2]) <= 0.75 * min(a[3] - a[1], b[3] - b[1])
+        ]
+        if not near:
+            return sorted(boxes)
+        i, j = near[0]
+        a, b = boxes[i], boxes.pop(j)
+        boxes[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+
+
+def test_merging_takes_the_first_pair_first():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        corners = rng.integers(0, 60, (rng.integers(1, 25), 2))
+        boxes = np.hstack([corners, corners + rng.integers(0, 14, corners.shape)]).astype(float)
+        assert sorted(map(tuple, G._joined(boxes, 0.25, 0.75))) == first_pair_first(boxes)
+
+
+def test_merging_many_boxes_takes_seconds():
+    boxes = made_boxes(4, 8000, 60_000, 60_000, 40)
+    boxes[:, 2:] += boxes[:, :2]
+    began = time.process_time()
+    assert 100 < len(G._joined(boxes, 0.25, 0.75)) < 8000
+    assert time.process_time() - began < 30
