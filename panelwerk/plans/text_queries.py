@@ -214,13 +214,14 @@ k AS (SELECT u, array_to_string(regexp_extract_all(u, '\p{{L}}+|\p{{N}}+'), ' ')
 w AS (SELECT unnest(regexp_extract_all(u, '\p{{L}}+')) AS word FROM k WHERE key NOT IN (SELECT source FROM sfx_glossary)),
 c AS (SELECT word, count(*) AS count FROM w WHERE word NOT IN (SELECT source FROM sfx_glossary) GROUP BY word),
 g AS (SELECT source, {_COLLAPSED.format('source')} AS base FROM sfx_glossary WHERE NOT contains(source, ' '))
-SELECT word, count, CASE WHEN contains(word, 'SH') OR contains(word, 'W') THEN {_adapt('word')} ELSE word END AS suggestion FROM c WHERE {_COLLAPSED.format('word')} NOT IN (SELECT base FROM g)"""
+SELECT word, count, CASE WHEN {_COLLAPSED.format('word')} IN (SELECT base FROM g) THEN NULL WHEN contains(word, 'SH') OR contains(word, 'W') THEN {_adapt('word')} ELSE word END AS suggestion FROM c"""
 )
 def missing_sounds(t: Tables):
-    """Words that are no drawn-out form of a known one; ``missing_drawn_sounds`` has them all."""
+    """All words; the forms of those that are drawn out from a known one are left to ``missing_drawn_sounds``."""
     found = _missing_sounds(t)
     drawn = t.sfx_glossary.where(~F.col("source").contains(" ")).select(T.collapsed(F.col("source")).alias("base")).distinct()
-    return found.join(drawn, T.collapsed(F.col("word")) == F.col("base"), "left_anti")
+    told = found.join(drawn, T.collapsed(F.col("word")) == F.col("base"), "left")
+    return told.select("word", "count", F.when(F.col("base").isNull(), F.col("suggestion")).alias("suggestion"))
 
 
 def _missing_sounds(t: Tables):
