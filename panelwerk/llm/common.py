@@ -81,8 +81,8 @@ def buckets_in_order(rows: DataFrame, key: str, tie: str, text: str, bucket_byte
 
     Buckets 0, 1, ... are ranges of (key, tie) in ascending order, null keys first. Each begins with a row of the table, so
     none is empty; ``first`` marks rows equal to that. Their number follows from the bytes of ``text`` and the cluster's cores
-    (``a_core`` for each, at least). A run of equal keys is cut by ``tie`` (a long). Only bounds reach the driver and the tasks: about DRAWN rows, and
-    one, for every ``bucket_bytes``.
+    (``a_core`` for each, at least). A run of equal keys is cut by ``tie`` (a long); rows equal in both are one bucket. Only bounds reach the driver and
+    the tasks: about DRAWN rows, and one, for every ``bucket_bytes``, so they grow with the input (choose ``bucket_bytes`` with it).
     """
     keyed = rows.withColumn("_at", F.struct(F.col(key).isNotNull().alias("a"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("b"), F.col(tie).alias("c")))
     size = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"), F.min("_at").alias("least")).first()

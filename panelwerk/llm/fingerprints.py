@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing, DataFrame functions only.
 
-k-gram hashes are rolled over a text's characters (code points): a gram's hash combines those of its two halves, and each half
-serves two grams, down to single characters. The minimum of every window of w grams is chosen in the same way, the rightmost
+Every k-gram of a text's characters (code points) has a hash. Hashes are not rolled one from the one before, but doubled: a gram's hash combines those of
+its two halves, and each half serves two grams, down to single characters. Which hash function is taken makes no difference to
+winnowing, so the guarantees are those of rolled hashes; a rolled update would be a fold with a state of one interpreted step for each character, where doubling
+takes three passes of whole arrays. The minimum of every window of w grams is chosen in the same way, the rightmost
 where several are equal, and its position is kept. Any run of w + k - 1 characters that two texts share is found in both
 fingerprints, whatever the script.
 
 Windows compare grams by the upper 33 bits of their hashes with the position in the lower 31 bits of the same number, which
-hold any position of a Spark string; equal grams have equal hashes, so the guarantee holds. The fingerprint then keeps the
+hold any position of a Spark string; equal grams have equal hashes, so the guarantee holds. Two grams that agree in these 33 bits
+count as a tie, and the right one is taken. The fingerprint then keeps the
 whole 64-bit hash of each chosen gram and its position.
 
 Defined results: a text of fewer than k characters is one gram of all of it; null and empty texts have an empty fingerprint,
