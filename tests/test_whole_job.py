@@ -54,7 +54,7 @@ def test_error_rates_count_every_turn(spark):
         turns[r.conv_id].append((r.turn, r.role, r.text))
     pairs = [(a[1], a[2], b[2]) for rows in turns.values() for a, b in zip(sorted(rows), sorted(rows)[1:])]
     assert any(not (h + r).isascii() for _, h, r in pairs)
-    found = registry.QUERIES["cer_all_turns"](spark, SF).collect()
+    found = registry.QUERIES["cer"](spark, SF).collect()
     assert {r.role: (r.errors, r.length, r.cer) for r in found} == by_role(pairs)
 
 
@@ -72,7 +72,7 @@ def test_redraw_of_sharp_s(spark):
 
 def test_redraw_of_every_block(spark):
     want = {r.block_id: drawn(r.kind, r.text, r.translation) for r in Tables(spark, SF).blocks.collect()}
-    found = registry.QUERIES["needs_redraw_all"](spark, SF).collect()
+    found = registry.QUERIES["needs_redraw"](spark, SF).collect()
     assert len(found) == len(want) and {r.block_id: (r.redraw, r.lettered) for r in found} == want
 
 
