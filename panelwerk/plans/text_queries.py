@@ -128,13 +128,13 @@ def translation_plan(t: Tables):
     return _plan(t).select("block_id", "route", "remembered")
 
 
-@query(
-    _PLAN
-    + """SELECT s.album_id, count(DISTINCT s.page_id) AS pages, count(*) FILTER (WHERE route IN ('glossary', 'memory', 'model')) AS translated,
+_TOTALS = """SELECT s.album_id, count(DISTINCT s.page_id) AS pages, count(*) FILTER (WHERE route IN ('glossary', 'memory', 'model')) AS translated,
  count(*) FILTER (WHERE route = 'memory') AS from_memory, count(*) FILTER (WHERE route = 'glossary') AS by_glossary, count(*) FILTER (WHERE route = 'model') AS by_model,
  count(*) FILTER (WHERE route = 'memory' AND length(replace(remembered, '*', '')) > 1.3 * greatest(length(replace(flat, '*', '')), 10)) AS too_long
-FROM sheets s LEFT JOIN p ON p.page_id = s.page_id WHERE s.kind = 'original' AND NOT s.skip GROUP BY s.album_id"""
-)
+FROM sheets s LEFT JOIN p ON p.page_id = s.page_id {parts} WHERE s.kind = 'original' AND NOT s.skip GROUP BY s.album_id"""
+
+
+@query(_PLAN + _TOTALS.format(parts=""))
 def translation_totals(t: Tables):
     return M.translation_totals(_plan(t), t.sheets)
 
@@ -145,12 +145,31 @@ def _chained_plan(t: Tables):
     return M.translation_plan(_with_series(t, t.linked_blocks), M.latest_memory(_approved(t)))
 
 
-@query()
+def _walk(name: str, starts: str) -> str:
+    """A recursive table of (head, block_id, part): the blocks that the links of each start lead to, 20 steps at most (the fixture's chains are of two)."""
+    return f"""{name} AS (SELECT block_id AS head, block_id, 0 AS part FROM lb WHERE {starts}
+ UNION ALL SELECT o.head, n.block_id, o.part + 1 FROM {name} o JOIN lb c ON c.block_id = o.block_id JOIN lb n ON n.page_id = c.page_id AND n.block_id = c.continues_id WHERE o.part < 20)"""
+
+
+_CHAINED = f"""WITH RECURSIVE {_FLAT_BLOCKS}, {_MEMORY},
+lb AS (SELECT f.*, l.continues_id FROM f JOIN linked_blocks l ON l.block_id = f.block_id WHERE flat <> ''),
+{_walk('wk', 'NOT EXISTS (SELECT 1 FROM lb p WHERE p.page_id = lb.page_id AND p.continues_id = lb.block_id)')},
+{_walk('rg', 'block_id NOT IN (SELECT block_id FROM wk)')},
+hd AS (SELECT block_id, min((head, part)) AS hp FROM (SELECT * FROM wk UNION ALL SELECT * FROM rg) GROUP BY block_id),
+q AS (SELECT lb.*, hp[1] AS head, hp[2] AS part, bool_or(translation_status = 'none') OVER c AS eligible, count(*) OVER c > 1 AS chained
+ FROM lb JOIN hd ON hd.block_id = lb.block_id WINDOW c AS (PARTITION BY page_id, hp[1])),
+p AS (SELECT q.*, CASE WHEN NOT chained THEN m.target END AS remembered,
+ CASE WHEN NOT eligible THEN 'kept' WHEN chained THEN 'model' WHEN kind = 'sfx' THEN 'glossary' WHEN m.target IS NOT NULL THEN 'memory' ELSE 'model' END AS route
+ FROM q LEFT JOIN m ON m.series_id = q.series_id AND m.source = q.flat)
+"""
+
+
+@query(_CHAINED + "SELECT block_id, head, part, route, remembered FROM p")
 def translation_plan_of_chains(t: Tables):
     return _chained_plan(t).select("block_id", "head", "part", "route", "remembered")
 
 
-@query()
+@query(_CHAINED + _TOTALS.format(parts="AND p.part = 0"))
 def translation_totals_of_chains(t: Tables):
     return M.translation_totals(_chained_plan(t), t.sheets)
 
