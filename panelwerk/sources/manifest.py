@@ -11,9 +11,9 @@ from ..functions.text import natural_key
 MAX_FILES, MAX_BYTES = 2000, 1 << 30
 
 
-def natural_sort(df: DataFrame, column: str, keys: list[str], rank: str = "place") -> DataFrame:
-    """Rows numbered in each group by a name in which digit runs compare as numbers, case ignored."""
-    turn = Window.partitionBy(*keys).orderBy(natural_key(F.col(column)), column)
+def natural_sort(df: DataFrame, column: str, keys: list[str], rank: str = "place", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows numbered in each group by a name in which digit runs compare as numbers, case ignored; those of one name by the columns ``ties``."""
+    turn = Window.partitionBy(*keys).orderBy(natural_key(F.col(column)), column, *ties)
     return df.withColumn(rank, F.row_number().over(turn))
 
 

@@ -49,3 +49,11 @@ def sharp(tmp_path_factory):
 def test_terms_with_sharp_s(spark, sharp, name):
     found, told = both(spark, sharp, name)
     assert found == told and found
+
+
+def test_names_of_several_pages(spark, tmp_path):
+    folder = changed(tmp_path, pages="SELECT * FROM old UNION ALL SELECT * REPLACE (page_id + 1000000 AS page_id) FROM old ORDER BY page_id % 7, page_id DESC")
+    found, told = both(spark, folder, "natural_sort")
+    assert found == told and found
+    place = {int(page): int(at) for _, page, at in found}
+    assert all(place[page] < place[page + 1000000] for page in place if page < 1000000)
