@@ -57,3 +57,15 @@ def test_names_of_several_pages(spark, tmp_path):
     assert found == told and found
     place = {int(page): int(at) for _, page, at in found}
     assert all(place[page] < place[page + 1000000] for page in place if page < 1000000)
+
+
+def test_editions_lie_together_and_hold_only_boxes(spark):
+    from panelwerk.plans import layout_queries as L
+    from panelwerk.plans.book import Tables
+
+    t = Tables(spark, SF)
+    for side in L._editions(t):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "text" not in plan and "image_path" not in plan
+    assert t.block_boxes.count() == t.blocks.count() == t.block_texts.count()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
