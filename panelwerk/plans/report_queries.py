@@ -40,18 +40,18 @@ def script_summary(t: Tables):
 
 @query(
     """SELECT series_id, status, count(*) AS entries, count(*) FILTER (WHERE contains(source, 'TH') OR contains(target, 'TH')) AS found
-FROM glossary GROUP BY ALL"""
+FROM every_glossary GROUP BY ALL"""
 )
 def glossary_counts(t: Tables):
-    return R.glossary_counts(t.glossary, "TH")
+    return R.glossary_counts(t.every_glossary, "TH")
 
 
 @query(
-    """SELECT series_id, source, target, CAST(row_number() OVER (PARTITION BY series_id ORDER BY source, target) AS INT) AS place FROM glossary
+    """SELECT series_id, source, target, CAST(row_number() OVER (PARTITION BY series_id ORDER BY source, target) AS INT) AS place FROM every_glossary
 WHERE status = 'approved' AND (contains(source, 'E') OR contains(target, 'E'))"""
 )
 def glossary_view(t: Tables):
-    return R.glossary_view(t.glossary, "approved", "E").select("series_id", "source", "target", "place")
+    return R.glossary_view(t.every_glossary, "approved", "E").select("series_id", "source", "target", "place")
 
 
 _BARE = r"regexp_replace(upper(replace({0}, 'ß', 'ss')), '[^\p{{L}}\p{{N}}]', '', 'g')"

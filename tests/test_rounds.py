@@ -69,3 +69,10 @@ def test_editions_lie_together_and_hold_only_boxes(spark):
         assert "Exchange" not in plan and "text" not in plan and "image_path" not in plan
     assert t.block_boxes.count() == t.blocks.count() == t.block_texts.count()
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_reports_show_every_series_terms(spark):
+    terms = duckdb.sql(f"SELECT count(DISTINCT upper(replace(w, 'ß', 'ss'))) FROM (SELECT string_split(replace(replace(text, '.', ''), ',', ''), ' ')[1] AS w FROM '{SF}/benchmark.parquet') WHERE length(w) >= 4").fetchall()[0][0]
+    counts = registry.QUERIES["glossary_counts"](spark, SF).collect()
+    assert len(counts) == 25 and {r.entries for r in counts} == {terms}
+    assert len({r.series_id for r in registry.QUERIES["glossary_view"](spark, SF).collect()}) == 25
