@@ -71,6 +71,15 @@ def test_editions_lie_together_and_hold_only_boxes(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_plans_keep_only_what_they_read(spark):
+    from panelwerk.plans import text_queries as X
+    from panelwerk.plans.book import Tables
+
+    t = Tables(spark, SF)
+    X._plan(t)
+    assert t.blocks.columns == X._PLANNED and t.sheets.columns == X._PAGES
+
+
 def test_reports_show_every_series_terms(spark):
     terms = duckdb.sql(f"SELECT count(DISTINCT upper(replace(w, 'ß', 'ss'))) FROM (SELECT string_split(replace(replace(text, '.', ''), ',', ''), ' ')[1] AS w FROM '{SF}/benchmark.parquet') WHERE length(w) >= 4").fetchall()[0][0]
     counts = registry.QUERIES["glossary_counts"](spark, SF).collect()
