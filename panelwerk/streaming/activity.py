@@ -79,7 +79,7 @@ def claim_jobs(claims: DataFrame) -> DataFrame:
 def clean_answers(raw: DataFrame) -> DataFrame:
     """Arriving answers (block_id, kind, answer) as texts with flags; stateless."""
     kind, answer = F.col("kind"), F.col("answer")
-    rows = raw.withColumns({"text": T.ocr_text(answer, kind), "looped": T.ocr_looped(answer)})
+    rows = raw.select("block_id", "kind", T.ocr_read(answer, kind).alias("read")).select("block_id", "kind", "read.text", "read.looped")
     review = F.col("looped") | ((F.col("text") != "") & T.needs_review(F.col("text")))
     sign = (kind == "sfx") & T.not_a_sound(F.col("text"))
     return rows.select("block_id", F.when(sign, "other").otherwise(kind).alias("kind"), "text", review.alias("needs_review"))

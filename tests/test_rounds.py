@@ -98,3 +98,17 @@ def odd(tmp_path_factory):
 def test_odd_terms(spark, odd, name):
     found, told = both(spark, odd, name)
     assert found == told and found
+
+
+def test_answers_are_cleaned_once(spark):
+    """Each rule of an answer's text stands once in the plan: an expression named twice is run twice."""
+    from pyspark.sql import functions as F
+
+    from panelwerk.functions import text as T
+    from panelwerk.streaming import activity as A
+
+    rows = spark.createDataFrame([(1, "speech", "Text: una CASA nuova")], "block_id long, kind string, answer string")
+    plan = A.clean_answers(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transcription") == 1 and plan.count("{8,}") == 1
+    read = rows.select(T.ocr_text(F.col("answer"), F.col("kind")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("transcription") == 1 and read.count("{8,}") == 1
