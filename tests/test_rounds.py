@@ -112,3 +112,17 @@ def test_answers_are_cleaned_once(spark):
     assert plan.count("transcription") == 1 and plan.count("{8,}") == 1
     read = rows.select(T.ocr_text(F.col("answer"), F.col("kind")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert read.count("transcription") == 1 and read.count("{8,}") == 1
+
+
+def test_blocks_shuffle_raw_rows_once(spark):
+    """The two parts of blocks read one shuffle by page, which carries no column made of others; untranslated blocks meet no document of translations."""
+    from panelwerk.plans.book import Tables
+
+    t = Tables(spark, SF)
+    found = t.blocks.select("block_id", "text", "translation", "translation_status")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    by_page = [x for x in plan.splitlines() if "hashpartitioning(l_orderkey" in x]
+    assert by_page and not [x for x in plan.splitlines() if "Project" in x and " AS d2#" in x and "l_linenumber" in x]
+    assert t.blocks.where("translation_status = 'none' AND translation <> ''").count() == 0
+    assert sorted(t.blocks.columns) == sorted(t.linked_blocks.drop("continues_id").columns)
+    assert t.blocks.count() == t.lineitem.count()
