@@ -126,3 +126,15 @@ def test_blocks_shuffle_raw_rows_once(spark):
     assert t.blocks.where("translation_status = 'none' AND translation <> ''").count() == 0
     assert sorted(t.blocks.columns) == sorted(t.linked_blocks.drop("continues_id").columns)
     assert t.blocks.count() == t.lineitem.count()
+
+
+def test_sound_words_meet_no_other_words(spark):
+    """A frequent sound word gathers in no task: the texts' words are shuffled by their text alone."""
+    from panelwerk.operators import review as V
+
+    texts = spark.createDataFrame([(1, "BANG BANG! CRAAASH"), (2, "AH AH AH"), (3, ""), (4, None), (5, "12 SHH")], "id long, text string")
+    glossary = spark.createDataFrame([(1, "BANG", "BUM"), (2, "CRASH", "KRAŠ"), (3, "AH AH AH", "HA-HA-HA!")], "id int, source string, target string")
+    found = V.sound_translations(texts, glossary, "id")
+    assert sorted(map(tuple, found.collect())) == [(1, "BUM BUM! KRAAAŠ", ["CRAAASH=KRAAAŠ"]), (2, "HA-HA-HA!", []), (3, "", []), (4, "", []), (5, "12 ŠŠ", ["SHH=ŠŠ"])]
+    plan = V.sound_translations(texts, spark.sql("SELECT * FROM VALUES (1, 'BANG', 'BUM') AS t(id, source, target)"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(word" in x]
