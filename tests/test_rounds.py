@@ -138,3 +138,16 @@ def test_sound_words_meet_no_other_words(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "BUM BUM! KRAAAŠ", ["CRAAASH=KRAAAŠ"]), (2, "HA-HA-HA!", []), (3, "", []), (4, "", []), (5, "12 ŠŠ", ["SHH=ŠŠ"])]
     plan = V.sound_translations(texts, spark.sql("SELECT * FROM VALUES (1, 'BANG', 'BUM') AS t(id, source, target)"), "id")._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "hashpartitioning(word" in x]
+
+
+@pytest.fixture(scope="module")
+def spaced(tmp_path_factory):
+    """Passages whose first words begin with, end with and hold white space beyond ASCII's (and its vertical tab)."""
+    words = "CASE item_id % 5 WHEN 0 THEN chr(160) || 'Begun ' WHEN 1 THEN 'Ended' || chr(12288) || chr(11) || ' ' WHEN 2 THEN 'Two' || chr(8199) || chr(133) || 'parts ' WHEN 3 THEN chr(8232) || 'All' || chr(11) || 'of' || chr(160) || 'it' || chr(5760) || ' ' ELSE '' END"
+    return changed(tmp_path_factory.mktemp("spaced"), benchmark=f"SELECT * REPLACE ({words} || text AS text) FROM old")
+
+
+@pytest.mark.parametrize("name", ["upsert_lexicon"])
+def test_white_space_of_all_kinds(spark, spaced, name):
+    found, told = both(spark, spaced, name)
+    assert found == told and found
