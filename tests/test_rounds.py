@@ -147,7 +147,7 @@ def spaced(tmp_path_factory):
     return changed(tmp_path_factory.mktemp("spaced"), benchmark=f"SELECT * REPLACE ({words} || text AS text) FROM old")
 
 
-@pytest.mark.parametrize("name", ["upsert_lexicon"])
+@pytest.mark.parametrize("name", ["upsert_lexicon", "upsert_sounds"])
 def test_white_space_of_all_kinds(spark, spaced, name):
     found, told = both(spark, spaced, name)
     assert found == told and found
