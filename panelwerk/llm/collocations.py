@@ -21,6 +21,7 @@ are cut into shards between any two words, each shard reading the words that its
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -54,7 +55,7 @@ class _Codes(dict):
     def __init__(self):
         super().__init__({b"\n": -1, b"": -2})
         self.words: list[bytes] = []
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.words)
@@ -96,7 +97,10 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """States by level in the order of their paths: parent (a state of the level above), arc label (a word's number), weight."""
+    """States by level in the order of their paths: parent (a state of the level above), arc label (a word's number), weight.
+
+    A shard has less than 2^31 of each, so they are kept in four bytes.
+    """
 
     def __init__(self, parent: list[np.ndarray], label: list[np.ndarray], weight: list[np.ndarray]):
         self.parent, self.label, self.weight = parent, label, weight
@@ -106,14 +110,14 @@ class Automaton:
         """Counts of the paths that begin at the first ``starts`` positions; ``lang`` gives each position's root arc."""
         at = np.flatnonzero(codes[:starts] >= 0)
         label, state, weight = np.unique(lang[at], return_inverse=True, return_counts=True)
-        made = cls([np.zeros(len(label), np.int64)], [label], [weight])
+        made = cls([np.zeros(len(label), np.int32)], [label.astype(np.int32)], [weight.astype(np.int32)])
         many = np.int64(max(codes.max(initial=0), 0) + 1)
         for _ in range(LONGEST):
             going = np.flatnonzero(codes[np.minimum(at, len(codes) - 1)] >= 0) if made.label[1:] else np.arange(len(at))
             going = going[at[going] < len(codes)]
             at, state = at[going], state[going]
             pair, state, weight = np.unique(state * many + codes[at], return_inverse=True, return_counts=True)
-            made.parent.append(pair // many), made.label.append(pair % many), made.weight.append(weight)
+            made.parent.append((pair // many).astype(np.int32)), made.label.append((pair % many).astype(np.int32)), made.weight.append(weight.astype(np.int32))
             at = at + 1
         return made
 
@@ -127,65 +131,69 @@ class Automaton:
     def ranges(self, hashes: list[np.ndarray], hot: np.ndarray, many: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each level (range, state) in order: each state in the range of its shortest prefix that is not crowded, and the states
         above it."""
-        place = lambda h: (h >> np.uint64(1)).astype(np.int64) % many
+        place = lambda h: ((h >> np.uint64(1)).astype(np.int64) % many).astype(np.int32)
         own, crowded = [place(hashes[0])], [np.ones(len(hashes[0]), bool)]  # a language is never a range of its own
         for p, h in zip(self.parent[1:], hashes[1:], strict=True):
             above = crowded[-1][p]
             own.append(np.where(above, place(h), own[-1][p]))
             crowded.append(above & np.isin(h, hot))
-        keys: list[np.ndarray] = [np.zeros(0, np.int64)] * len(own)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(len(own) - 1, -1, -1):
-            size = max(1, len(own[k]))
-            keys[k] = own[k] * size + np.arange(len(own[k]))
-            if k + 1 < len(own) and len(keys[k + 1]):
-                below, state = np.divmod(keys[k + 1], len(own[k + 1]))
+            size = np.int64(max(1, len(own[k])))
+            key = own[k] * size + np.arange(len(own[k]))
+            if found:
+                below, state = found[-1]
                 parent = self.parent[k + 1][state]
                 spread = crowded[k][parent]
-                keys[k] = np.concatenate([keys[k], below[spread] * size + parent[spread]])
-            keys[k] = _distinct(keys[k])
+                key = np.concatenate([key, below[spread] * size + parent[spread]])
+            key = _distinct(key)
+            found.append(((key // size).astype(np.int32), (key % size).astype(np.int32)))
         self.own = own
-        return [np.divmod(key, max(1, len(o))) for key, o in zip(keys, own, strict=True)]
+        return found[::-1]
 
     def packed(self, codes: _Codes, hot: np.ndarray, many: int) -> pa.RecordBatch:
         """A row for each range: its words, and parent steps, labels and weights of its states, level after level."""
         cut = self.ranges(self.hashes(np.array(codes.hashes, np.uint64)), hot, many)
         there = _distinct(cut[0][0])  # every range has a root
-        rows, levels, steps, labels, weights = [], [], [], [], []
+        rows, steps, labels, weights = [], [], [], []
         for k, (place, state) in enumerate(cut):
-            row, new = _rows(there, place), np.diff(place, prepend=-1) != 0
-            parent = np.zeros(len(state), np.int64)
+            row, new = _rows(there, place).astype(np.int32), np.diff(place, prepend=-1) != 0
+            parent = np.zeros(len(state), np.int32)
             if k:
                 above, before, at_own, begin = last
                 up = self.parent[k][state]
                 parent = np.where(self.own[k - 1][up] == place, at_own[up], -1)
                 spread = np.flatnonzero(parent < 0)  # below a crowded prefix
-                size = max(1, len(self.own[k - 1]))
-                parent[spread] = np.searchsorted(above * size + before, place[spread] * size + up[spread])
+                size = np.int64(max(1, len(self.own[k - 1])))
+                if len(spread):
+                    parent[spread] = np.searchsorted(above * size + before, place[spread] * size + up[spread])
                 parent -= begin[row]
-            at_own = np.zeros(len(self.own[k]), np.int64)
+            at_own = np.zeros(len(self.own[k]), np.int32)
             mine = np.flatnonzero(self.own[k][state] == place)
             at_own[state[mine]] = mine
             count = np.bincount(row, minlength=len(there))
-            last = place, state, at_own, np.cumsum(count) - count
-            step = np.diff(parent, prepend=0)
+            last = place, state, at_own, (np.cumsum(count) - count).astype(np.int32)
+            step = np.diff(parent, prepend=np.int32(0))
             step[new] = parent[new]
-            rows.append(row), levels.append(np.full(len(place), k)), steps.append(step), labels.append(self.label[k][state])
-            weight = np.zeros(len(state), np.int64)
+            rows.append(row), steps.append(step), labels.append(self.label[k][state])
+            weight = np.zeros(len(state), np.int32)
             weight[mine] = self.weight[k][state[mine]]
             weights.append(weight)
-        row, level = np.concatenate(rows), np.concatenate(levels)
+        level = np.repeat(np.arange(len(rows), dtype=np.int8), [len(row) for row in rows])
+        row, steps, labels, weights = (np.concatenate(x) for x in (rows, steps, labels, weights))
+        del cut, rows, last, place, state, parent, at_own, mine, step, weight
         order = np.argsort(row, kind="stable")
         row, level = row[order], level[order]
         at = np.searchsorted(row, np.arange(len(there) + 1)).astype(np.int32)
-        sizes = np.bincount(row * (LONGEST + 1) + level, minlength=len(there) * (LONGEST + 1)).astype(np.int32)
-        words, label = np.unique(row * len(codes.words) + np.concatenate(labels)[order], return_inverse=True)
+        sizes = np.bincount(row * np.int64(LONGEST + 1) + level, minlength=len(there) * (LONGEST + 1)).astype(np.int32)
+        words, label = np.unique(row * np.int64(len(codes.words)) + labels[order], return_inverse=True)
         of_row, word = np.divmod(words, max(1, len(codes.words)))
         words_at = np.searchsorted(of_row, np.arange(len(there) + 1)).astype(np.int32)
         every = pa.array(codes.words, pa.binary()).cast(pa.string())
         listed = pa.ListArray.from_arrays(pa.array(words_at), every.take(pa.array(word)))
         columns = {"place": pa.array(there, pa.int64()), "words": pc.binary_join(listed, "\n"), "sizes": _bytes(sizes, np.arange(len(there) + 1) * (LONGEST + 1))}
-        for name, values in (("steps", np.concatenate(steps)[order]), ("labels", label - words_at[:-1][row]), ("weights", np.concatenate(weights)[order])):
-            columns[name] = _bytes(values, at)
+        for name, values in (("steps", steps), ("labels", None), ("weights", weights)):
+            columns[name] = _bytes(label - words_at[:-1][row] if values is None else values[order], at)
         return pa.RecordBatch.from_pydict(columns)
 
 
@@ -200,9 +208,9 @@ def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _numbers(column: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """The runs of ``_bytes``, one after another; ``counts``: the length of each."""
+    """The runs of ``_bytes``, one after another; ``counts``: the length of each. All are numbers of a shard (see ``Automaton``)."""
     parts = [np.frombuffer(v.as_buffer(), f"<u{len(v.as_buffer()) // n}") for v, n in zip(column, counts.tolist(), strict=True) if n]
-    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts, dtype=np.int32, casting="unsafe") if parts else np.zeros(0, np.int32)
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Automaton, _Codes]]:
@@ -241,16 +249,19 @@ def united(rows: pa.Table, least: int) -> pa.Table:
     sizes = _numbers(column["sizes"], np.full(len(rows), LONGEST + 1)).reshape(-1, LONGEST + 1)
     listed = pc.split_pattern(column["words"], "\n")
     words = listed.flatten().dictionary_encode()
-    code, names, many = words.indices.to_numpy().astype(np.int64), words.dictionary, np.int64(max(1, len(words.dictionary)))
+    code, names, many = words.indices.to_numpy(), words.dictionary, np.int64(max(1, len(words.dictionary)))
     words_at = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy())])[:-1]
-    step, label, weight = (_numbers(column[c], sizes.sum(axis=1)) for c in ("steps", "labels", "weights"))
+    counts = sizes.sum(axis=1)
+    step, label, weight = (_numbers(column[c], counts) for c in ("steps", "labels", "weights"))
+    del rows, column, listed
     n, segment = len(sizes), sizes.ravel()
-    level = np.repeat(np.tile(np.arange(LONGEST + 1), n), segment)
-    blob = np.repeat(np.arange(n), sizes.sum(axis=1))
+    level = np.repeat(np.tile(np.arange(LONGEST + 1, dtype=np.int8), n), segment)
+    blob = np.repeat(np.arange(n, dtype=np.int32), counts)
     label = code[words_at[blob] + label]
-    begin = np.cumsum(segment) - segment
-    run = np.cumsum(step)
-    parent = run - np.repeat(np.where(segment > 0, run[np.minimum(begin, len(run) - 1)] - step[np.minimum(begin, len(run) - 1)], 0), segment)
+    begin = np.cumsum(segment, dtype=np.int64) - segment
+    run = np.cumsum(step, dtype=np.int64)
+    parent = (run - np.repeat(np.where(segment > 0, run[np.minimum(begin, len(run) - 1)] - step[np.minimum(begin, len(run) - 1)], 0), segment)).astype(np.int32)
+    del step, run, code
     paths: np.ndarray = np.zeros((1, 0), np.int64)
     merged, base = np.zeros(n, np.int64), np.arange(n)
     out = []
@@ -265,7 +276,7 @@ def united(rows: pa.Table, least: int) -> pa.Table:
         number = np.where(kept, np.cumsum(kept) - 1, -1)
         merged = np.full(len(at), -1)
         merged[going] = number[state]
-        base = np.cumsum(sizes[:, k]) - sizes[:, k]
+        base = np.cumsum(sizes[:, k], dtype=np.int64) - sizes[:, k]
         pair, total = pair[kept], total[kept]
         paths = np.column_stack([paths[pair // many], pair % many])
         told = total > 0

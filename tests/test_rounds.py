@@ -151,3 +151,30 @@ def spaced(tmp_path_factory):
 def test_white_space_of_all_kinds(spark, spaced, name):
     found, told = both(spark, spaced, name)
     assert found == told and found
+
+
+def test_automata_are_kept_in_four_bytes():
+    """States of a shard take four bytes a number, and building and uniting them holds few copies: the memory of a task's worker."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from panelwerk.llm import collocations as C
+
+    draw = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(3000)]
+    text = " ".join(words[k] for k in draw.zipf(1.3, 200_000) % 3000)
+    rows = pa.RecordBatch.from_pydict({"lang": pa.array(["en"]), "text": pa.array([text])})
+    ((made, codes),) = C.shards(iter([rows]))
+    assert {a.dtype.itemsize for part in (made.parent, made.label, made.weight) for a in part} == {4}
+    states = sum(map(len, made.label))
+    tracemalloc.start()
+    packed = made.packed(codes, np.array([], np.uint64), 1)
+    assert tracemalloc.get_traced_memory()[1] < 90 * states
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found = C.united(pa.Table.from_batches([packed]), 100)
+    assert tracemalloc.get_traced_memory()[1] - before < 55 * states
+    tracemalloc.stop()
+    assert found["a"].to_pylist()[0] == 200_000
