@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Letters of both sides of the pairs whose grams a task counts at once, about; a letter has six grams.
+PAIR_LETTERS = 1 << 20
+
 
 def cer(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per group the edit distance of all (hypothesis, reference) pairs, the references' length and their quotient."""
@@ -19,7 +22,7 @@ def chrf(pairs: DataFrame, keys: list[str], order: int = 6, beta: float = 2.0, i
     """Per group the corpus chrF of (ids, hypothesis, reference): character n-grams without spaces, clipped by pair.
 
     Grams are hashed inside a text, each from the one shorter by a character. Both sides are counted by one aggregate whose key
-    begins with the pair, so pairs that lie together already (by the first of ``ids``, say) are not shuffled again.
+    begins with the pair; pairs are dealt to tasks by PAIR_LETTERS of text, as a task holds all grams of its pairs.
     """
 
     def grams(side: str) -> Column:
@@ -35,6 +38,9 @@ def chrf(pairs: DataFrame, keys: list[str], order: int = 6, beta: float = 2.0, i
         return F.element_at(F.transform(F.array(F.filter(chars, lambda x: x != "")), lambda c: longer(c, F.transform(c, lambda _: F.lit(0).cast("long")), 1)), 1)
 
     own = [*ids, *keys]
+    pairs = pairs.select(*own, "hypothesis", "reference")
+    size = pairs.agg(F.sum(sum(F.coalesce(F.length(s), F.lit(0)) for s in ("hypothesis", "reference")))).first()[0] or 0
+    pairs = pairs.repartition(-(-size // PAIR_LETTERS) or 1, *ids)
     sides = pairs.select(*own, F.explode(F.array(*(F.struct(grams(s).alias("grams"), F.lit(s == "hypothesis").alias("own")) for s in ("hypothesis", "reference")))).alias("_s"))
     rows = sides.select(*own, F.col("_s.own").alias("_own"), F.inline("_s.grams"))
     both = rows.groupBy(*own, "_n", "_g").agg(F.count_if("_own").alias("_hypothesis"), F.count_if(~F.col("_own")).alias("_reference"))

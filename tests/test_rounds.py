@@ -178,3 +178,15 @@ def test_automata_are_kept_in_four_bytes():
     assert tracemalloc.get_traced_memory()[1] - before < 55 * states
     tracemalloc.stop()
     assert found["a"].to_pylist()[0] == 200_000
+
+
+def test_grams_are_counted_by_so_much_text_a_task(spark, monkeypatch):
+    """A task holds the grams of a bounded amount of text, however few partitions the pairs lie in; the score stays."""
+    from panelwerk.operators import metrics as X
+
+    pairs = spark.range(40).selectExpr("id", "'m' AS g", "repeat('una casa ', 20) AS hypothesis", "repeat('una cosa ', 20) AS reference").coalesce(1)
+    whole = X.chrf(pairs, ["g"]).first().chrf
+    monkeypatch.setattr(X, "PAIR_LETTERS", 1000)
+    dealt = X.chrf(pairs, ["g"])
+    assert "REPARTITION_BY_NUM, [plan_id" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 15)" in plan
+    assert dealt.first().chrf == pytest.approx(whole) and 0 < whole < 100
