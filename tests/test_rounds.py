@@ -190,3 +190,9 @@ def test_grams_are_counted_by_so_much_text_a_task(spark, monkeypatch):
     dealt = X.chrf(pairs, ["g"])
     assert "REPARTITION_BY_NUM, [plan_id" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 15)" in plan
     assert dealt.first().chrf == pytest.approx(whole) and 0 < whole < 100
+
+
+def test_restored_pages_hold_what_is_shown(spark):
+    """Snapshots of the query hold the columns that it shows, no boxes."""
+    plan = registry.QUERIES["restore_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "l_discount" not in plan and "translation_status" not in plan
