@@ -43,9 +43,18 @@ def album_pages(sheets: DataFrame, skipped: bool = True, first: int | None = Non
 
 def script_rows(sheets: DataFrame, blocks: DataFrame, skipped: bool = False) -> DataFrame:
     """Blocks of an album's pages with a text or a translation, both trimmed, with labels and the notes that the block's flags give."""
-    pages = album_pages(sheets, skipped).select("page_id", "album_id", F.col("position").alias("page"))
+    return script_of(blocks.join(script_pages(sheets, skipped), "page_id"))
+
+
+def script_pages(sheets: DataFrame, skipped: bool = False) -> DataFrame:
+    """(page_id, album_id, page): the pages that a script is of."""
+    return album_pages(sheets, skipped).select("page_id", "album_id", F.col("position").alias("page"))
+
+
+def script_of(blocks: DataFrame) -> DataFrame:
+    """``script_rows`` of blocks that have the columns of ``script_pages``."""
     bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+\z", "")
-    rows = blocks.withColumns({"text": bare("text"), "translation": bare("translation")}).where("text <> '' OR translation <> ''").join(pages, "page_id")
+    rows = blocks.withColumns({"text": bare("text"), "translation": bare("translation")}).where("text <> '' OR translation <> ''")
     notes = F.concat_ws(", ", F.when(F.col("translation_too_long"), "too long"), F.when(F.col("needs_review"), "needs review"))
     return rows.select(
         "album_id",

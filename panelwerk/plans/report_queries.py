@@ -30,12 +30,12 @@ rows AS (SELECT s.album_id, s.position AS page, b.position, b.block_id,
 
 @query(_SCRIPT + "SELECT * FROM rows")
 def script_rows(t: Tables):
-    return R.script_rows(t.sheets, t.blocks)
+    return R.script_of(t.blocks_of(R.script_pages(t.sheets)))
 
 
 @query(_SCRIPT + "SELECT album_id, status, count(*) AS blocks FROM rows GROUP BY ALL")
 def script_summary(t: Tables):
-    return R.script_summary(R.script_rows(t.sheets, t.blocks))
+    return R.script_summary(R.script_of(t.blocks_of(R.script_pages(t.sheets))))
 
 
 @query(
