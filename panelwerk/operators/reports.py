@@ -189,13 +189,13 @@ def rating_summary(ratings: DataFrame) -> DataFrame:
 
     Candidates of equal average keep the order in which the study (by item and turn) first shows them.
     """
-    open_studies = ratings.where("score IS NULL").select("study").distinct()
-    rows = ratings.join(open_studies, "study", "left_anti")
-    found = rows.groupBy("study", "candidate").agg(
+    found = ratings.groupBy("study", "candidate").agg(
+        F.bool_or(F.col("score").isNull()).alias("_open"),
         F.avg("score").alias("average"), F.avg((F.col("score") >= 4).cast("double")).alias("good_share"), F.count("*").alias("ratings"), F.min(F.struct("item", "turn", "rating_id")).alias("_first")
     )
+    found = found.withColumn("_open", F.bool_or("_open").over(Window.partitionBy("study"))).where("NOT _open")
     best = Window.partitionBy("study").orderBy(F.desc("average"), "_first")
-    return found.withColumn("place", F.row_number().over(best)).drop("_first")
+    return found.withColumn("place", F.row_number().over(best)).drop("_first", "_open")
 
 
 def rating_progress(ratings: DataFrame) -> DataFrame:

@@ -36,3 +36,11 @@ def test_script_meets_pages_before_texts(spark):
         assert shuffles(registry.QUERIES["script_rows"](spark, SF)) < shuffles(R.script_rows(t.sheets, t.blocks))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rating_summary_gathers_no_study(spark):
+    rows = [(1, 1, 1, 1, "a", 5), (1, 1, 2, 2, "b", 4), (2, 1, 1, 3, "a", None), (2, 1, 2, 4, "b", 3)]
+    ratings = spark.createDataFrame(rows, "study int, item long, turn long, rating_id long, candidate string, score int")
+    found = R.rating_summary(ratings)
+    assert {(r.study, r.candidate, r.average, r.place) for r in found.collect()} == {(1, "a", 5.0, 1), (1, "b", 4.0, 2)}
+    assert "Join" not in plan_of(found)
