@@ -44,3 +44,25 @@ def test_rating_summary_gathers_no_study(spark):
     found = R.rating_summary(ratings)
     assert {(r.study, r.candidate, r.average, r.place) for r in found.collect()} == {(1, "a", 5.0, 1), (1, "b", 4.0, 2)}
     assert "Join" not in plan_of(found)
+
+
+def test_totals_plan_only_what_is_asked(spark):
+    rows = [(1, 1, 1, 1, "speech", "A", "", "none"), (2, 1, 2, 1, "speech", "B", "x", "draft"), (3, 2, 1, 1, "sfx", "C", "", "none"), (4, 2, 2, 1, "speech", "M*O*", "", "none"), (5, 2, 3, 1, "speech", " ", "", "none")]
+    blocks = spark.createDataFrame(rows, "block_id long, page_id long, position long, series_id int, kind string, text string, translation string, translation_status string")
+    memory = spark.createDataFrame([(1, "MO", "longer than thirteen letters")], "series_id int, source string, target string")
+    sheets = spark.createDataFrame([(1, 7, "original", False), (2, 7, "original", False), (3, 8, "original", False), (4, 8, "original", True)], "page_id long, album_id long, kind string, skip boolean")
+    asked = M.translation_plan(blocks, memory, asked_only=True)
+    assert {r.block_id: r.route for r in asked.collect()} == {1: "model", 3: "glossary", 4: "memory"}
+    want = {7: (2, 3, 1, 1, 1, 1), 8: (1, 0, 0, 0, 0, 0)}
+    for plan in (asked, M.translation_plan(blocks, memory)):
+        assert {r.album_id: tuple(r)[1:] for r in M.translation_totals(plan, sheets).collect()} == want
+    assert "Scan ExistingRDD" not in plan_of(registry.QUERIES["translation_totals"](spark, SF))  # nothing is written on the way
+
+
+def test_plan_of_chains_writes_nothing_on_the_way(spark):
+    assert "Scan ExistingRDD" not in plan_of(registry.QUERIES["translation_plan_of_chains"](spark, SF))
+    blocks = spark.createDataFrame([(1, 1, 1, 1, "speech", "A", "none", 2), (2, 1, 2, 1, "speech", "B", "approved", None), (3, 1, 3, 1, "speech", "C", "approved", None)], "block_id long, page_id long, position long, series_id int, kind string, text string, translation_status string, continues_id long")
+    memory = spark.createDataFrame([(1, "C", "c")], "series_id int, source string, target string")
+    found = {r.block_id: (r.head, r.part, r.route, r.remembered) for r in M.translation_plan(blocks, memory).collect()}
+    assert found == {1: (1, 0, "model", None), 2: (1, 1, "model", None), 3: (3, 0, "kept", "c")}
+    assert {r.block_id for r in M.translation_plan(blocks, memory, asked_only=True).collect()} == {1, 2}
