@@ -66,3 +66,20 @@ def test_plan_of_chains_writes_nothing_on_the_way(spark):
     found = {r.block_id: (r.head, r.part, r.route, r.remembered) for r in M.translation_plan(blocks, memory).collect()}
     assert found == {1: (1, 0, "model", None), 2: (1, 1, "model", None), 3: (3, 0, "kept", "c")}
     assert {r.block_id for r in M.translation_plan(blocks, memory, asked_only=True).collect()} == {1, 2}
+
+
+def test_rows_without_a_reference_are_spread(spark):
+    from panelwerk.sources import tables as TB
+
+    rows = [(k, 1, None if k > 3 else k - 1) for k in range(1, 4001)] + [(9, 1, None)]
+    blocks = TB.conform(spark.createDataFrame(rows, "block_id long, page_id long, continues_id long").selectExpr("*", "'speech' AS kind", "1L AS position", "0D AS x", "0D AS y", "1D AS width", "1D AS height"), "blocks")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sound, broken = TB.checked_tables({"blocks": blocks})
+        assert sorted(tuple(r) for r in broken.collect()) == [("blocks", "1", ["no blocks for continues_id"]), ("blocks", "9", ["repeated block_id"])]
+        assert sound["blocks"].columns == blocks.columns and sound["blocks"].count() == 3999
+        plan = plan_of(broken)
+        assert not re.search(r"(Sort|Window) .*to_json", plan)  # the row is not carried to be sorted by
+        assert not re.search(r"hashpartitioning\(continues_id", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
