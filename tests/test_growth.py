@@ -83,3 +83,17 @@ def test_rows_without_a_reference_are_spread(spark):
         assert not re.search(r"hashpartitioning\(continues_id", plan)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_store_reads_each_batch_alone(spark, monkeypatch):
+    from panelwerk.plans import state_queries as S
+
+    plans, make = [], S.MS.memory_writer
+
+    def writer(folder):
+        write = make(folder)
+        return lambda rows, n: (plans.append(plan_of(rows)), write(rows, n))
+
+    monkeypatch.setattr(S.MS, "memory_writer", writer)
+    assert same(registry.QUERIES["memory_store"](spark, SF), registry.QUERIES["latest_memory"](spark, SF))
+    assert len(plans) == 7 and not any("Join" in p for p in plans) and all("PartitionFilters: [isnotnull(batch" in p for p in plans)
