@@ -97,3 +97,9 @@ def test_store_reads_each_batch_alone(spark, monkeypatch):
     monkeypatch.setattr(S.MS, "memory_writer", writer)
     assert same(registry.QUERIES["memory_store"](spark, SF), registry.QUERIES["latest_memory"](spark, SF))
     assert len(plans) == 7 and not any("Join" in p for p in plans) and all("PartitionFilters: [isnotnull(batch" in p for p in plans)
+
+
+def test_tables_are_written_compressed_and_patches_need_no_texts(spark):
+    files = registry.QUERIES["load_tables"](spark, SF).inputFiles()
+    assert files and all(".zstd." in f for f in files)
+    assert "text" not in plan_of(Tables(spark, SF).patches)
