@@ -103,3 +103,11 @@ def test_tables_are_written_compressed_and_patches_need_no_texts(spark):
     files = registry.QUERIES["load_tables"](spark, SF).inputFiles()
     assert files and all(".zstd." in f for f in files)
     assert "text" not in plan_of(Tables(spark, SF).patches)
+
+
+def test_upsert_meets_in_one_aggregate(spark):
+    memory = spark.createDataFrame([(1, "A", "old", 1), (1, "A", "last", 2), (1, "B", "b", 1), (2, "C", "c", 5)], "series_id long, source string, target string, ord long")
+    approved = spark.createDataFrame([(1, "b", "new", 1), (1, "b", "newest", 2), (2, "d", " ", 3), (2, "*d*", "d", 4)], "series_id int, text string, translation string, ord int")
+    found = M.upsert_memory(memory, approved)
+    assert sorted(map(tuple, found.collect())) == [(1, "A", "last"), (1, "B", "newest"), (2, "C", "c"), (2, "D", "d")]
+    assert "Join" not in plan_of(found) and shuffles(found) == 1
