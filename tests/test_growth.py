@@ -111,3 +111,10 @@ def test_upsert_meets_in_one_aggregate(spark):
     found = M.upsert_memory(memory, approved)
     assert sorted(map(tuple, found.collect())) == [(1, "A", "last"), (1, "B", "newest"), (2, "C", "c"), (2, "D", "d")]
     assert "Join" not in plan_of(found) and shuffles(found) == 1
+
+
+def test_unknown_words_read_no_texts_of_blocks(spark):
+    t = Tables(spark, SF)
+    assert same(t.block_translations.select("block_id", "translation"), t.blocks.select("block_id", "translation"))
+    plan = plan_of(registry.QUERIES["unknown_words"](spark, SF))
+    assert len(re.findall(r"FileScan parquet \[doc_id[^,\]]*,text", plan)) == 1
