@@ -118,3 +118,8 @@ def test_unknown_words_read_no_texts_of_blocks(spark):
     assert same(t.block_translations.select("block_id", "translation"), t.blocks.select("block_id", "translation"))
     plan = plan_of(registry.QUERIES["unknown_words"](spark, SF))
     assert len(re.findall(r"FileScan parquet \[doc_id[^,\]]*,text", plan)) == 1
+
+
+def test_glossary_requests_flatten_once(spark):
+    plan = plan_of(registry.QUERIES["glossary_requests"](spark, SF))
+    assert plan.count("(?U)\\s+") == 1
