@@ -123,3 +123,20 @@ def test_unknown_words_read_no_texts_of_blocks(spark):
 def test_glossary_requests_flatten_once(spark):
     plan = plan_of(registry.QUERIES["glossary_requests"](spark, SF))
     assert plan.count("(?U)\\s+") == 1
+
+
+def test_review_summary_meets_series_before_texts(spark):
+    from panelwerk.operators import review as V
+    from panelwerk.plans import review_queries as Q
+
+    t = Tables(spark, SF)
+    blocks = t.linked_blocks.select(*Q._REVIEWED)
+    assert same(registry.QUERIES["review_summary"](spark, SF), V.review_summary(Q._report(t, blocks), blocks, t.sheets, True))
+    rows = spark.createDataFrame([(1, "speech", "A", "a", "draft", None)], "block_id long, kind string, text string, translation string, translation_status string, continues_id long")
+    none = spark.createDataFrame([], "block_id long, source string, target string, place int, spelling string, proposals array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(V.review_report(rows, none, none.select("block_id", "source", "target"), none.select("block_id", "place", "spelling"), none.select("block_id", "proposals")))
+        assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*\btext#", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
