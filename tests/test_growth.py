@@ -33,7 +33,8 @@ def test_script_meets_pages_before_texts(spark):
     assert same(met, t.blocks.join(pages, "page_id"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert shuffles(registry.QUERIES["script_rows"](spark, SF)) < shuffles(R.script_rows(t.sheets, t.blocks))
+        last = re.search(r"SortMergeJoin \[(\w+)#", plan_of(registry.QUERIES["script_rows"](spark, SF)))
+        assert last[1] in ("d1", "d2")  # not page_id: texts are not shuffled again
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -109,8 +110,8 @@ def test_upsert_meets_in_one_aggregate(spark):
     memory = spark.createDataFrame([(1, "A", "old", 1), (1, "A", "last", 2), (1, "B", "b", 1), (2, "C", "c", 5)], "series_id long, source string, target string, ord long")
     approved = spark.createDataFrame([(1, "b", "new", 1), (1, "b", "newest", 2), (2, "d", " ", 3), (2, "*d*", "d", 4)], "series_id int, text string, translation string, ord int")
     found = M.upsert_memory(memory, approved)
-    assert sorted(map(tuple, found.collect())) == [(1, "A", "last"), (1, "B", "newest"), (2, "C", "c"), (2, "D", "d")]
     assert "Join" not in plan_of(found) and shuffles(found) == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "A", "last"), (1, "B", "newest"), (2, "C", "c"), (2, "D", "d")]
 
 
 def test_unknown_words_read_no_texts_of_blocks(spark):
@@ -137,6 +138,6 @@ def test_review_summary_meets_series_before_texts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = plan_of(V.review_report(rows, none, none.select("block_id", "source", "target"), none.select("block_id", "place", "spelling"), none.select("block_id", "proposals")))
-        assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*\btext#", plan)
+        assert "text#" not in plan.split("SortMergeJoin")[0]  # all that texts tell stands below the joins
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
