@@ -62,3 +62,29 @@ def test_told_report_keeps_blocks_without_a_page(spark):
     found = V.review_told(told.drop("page_id"), unknown, sounds)
     assert found.columns == want.columns and same(found, want)
     assert {r.block_id: (r.unknown, r.glossary_missing, r.sfx_unconfirmed, r.emphasis_missing) for r in found.collect()} == {1: ("x", "MACKA", "", True), 2: ("", "", "WHAM=VHAM", False), 3: ("", "", "", False)}
+
+
+def test_chains_are_shuffled_once_and_plans_meet_the_memory_by_tags(spark):
+    from panelwerk.operators import chains as C
+
+    long = "WORD " * 60
+    rows = [(1, 7, 1, 1, "speech", long + "A", "none", None), (2, 7, 2, 1, "speech", long + "B", "none", 99), (3, 7, 3, 1, "speech", "SHORT", "none", 4), (4, 7, 4, 1, "speech", "END", "edited", 3), (5, 7, 5, 1, "sfx", "SHORT", "none", None), (6, 7, 6, 2, "speech", "SHORT", "none", None), (7, 7, 7, 1, "speech", " ", "none", 1), (8, 7, 8, 1, "speech", "SHORT", "draft", None)]
+    blocks = spark.createDataFrame(rows, "block_id long, page_id long, position long, series_id int, kind string, text string, translation_status string, continues_id long")
+    memory = spark.createDataFrame([(1, long + "B", "x" * 400), (1, "SHORT", "s"), (2, "SHOR", "t")], "series_id int, source string, target string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(re.findall(r"Exchange hashpartitioning", plan_of(C.resolve_chains(blocks)))) == 1
+        for shown in (None, ["page_id"]):
+            plan = M.translation_plan(blocks, memory, shown=shown)
+            assert ("flat" in plan.columns) == (shown is None)
+            found = {r.block_id: (r.head, r.part, r.route, r.remembered and r.remembered[0], r.memory_too_long) for r in plan.collect()}
+            assert found == {
+                1: (1, 0, "model", None, None), 2: (2, 0, "memory", "x", True), 3: (3, 0, "model", None, False), 4: (3, 1, "model", None, None),
+                5: (5, 0, "glossary", "s", False), 6: (6, 0, "model", None, None), 8: (8, 0, "kept", "s", False),
+            }
+        asked = M.translation_plan(blocks, memory, asked_only=True, shown=["page_id"])
+        assert {r.block_id: r.route for r in asked.collect()} == {1: "model", 2: "memory", 3: "model", 4: "model", 5: "glossary", 6: "model"}
+        plan = plan_of(registry.QUERIES["translation_plan_of_chains"](spark, SF))
+        assert not re.search(r"(Window|collect_list)[^\n]*(flat|text)#", plan)  # chains are resolved without texts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
