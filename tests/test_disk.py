@@ -46,7 +46,7 @@ def test_terms_of_rows_by_either_way(spark):
     rows = spark.createDataFrame(texts, "block_id long, series_id int, flat string")
     terms = spark.createDataFrame(glossary, "series_id int, source string, target string, status string")
     for most in (M.AUTOMATON_LETTERS, 1):
-        found = {r.block_id: sorted(r.terms or []) for r in M.with_terms(rows, terms, "block_id", most).collect()}
+        found = {r.block_id: sorted(target for _, target in r.terms or []) for r in M.with_terms(rows, terms, "block_id", most).collect()}
         assert found == {1: ["GOLEM", "MACA", "VELIK"], 2: [], 3: ["TIGAR"], 4: [], 5: [], 6: [], 7: []}
 
 
@@ -88,3 +88,27 @@ def test_chains_are_shuffled_once_and_plans_meet_the_memory_by_tags(spark):
         assert not re.search(r"(Window|collect_list)[^\n]*(flat|text)#", plan)  # chains are resolved without texts
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_requests_write_little_on_the_way(spark, monkeypatch):
+    from panelwerk.plans import text_queries as X
+
+    kept = written(monkeypatch, X)
+    plan = plan_of(registry.QUERIES["build_requests"](spark, SF))
+    assert not kept and "Scan ExistingRDD" not in plan
+    registry.QUERIES["follow_up_requests"](spark, SF)
+    assert kept and not any("translation" in columns for columns in kept)
+
+
+def test_context_and_examples_as_before(spark):
+    from panelwerk.operators import reports as R
+    from panelwerk.plans import text_queries as X
+
+    t = Tables(spark, SF)
+    wanted = t.sheets.where("page_id % 3 = 0").select("page_id")
+    assert same(X._context(t, wanted), M.previous_page_context(t.sheets, t.blocks).join(wanted, "page_id"))
+    rows = [(1, k % 11 * "A" + "B", f"t{k}", k) for k in range(60)] + [(2, "Z", "z", 1), (2, "Z", "last", 2), (2, "Y", " ", 3), (2, " ", "y", 4)]
+    approved = spark.createDataFrame(rows, "series_id int, text string, translation string, ord int")
+    memory = M.latest_memory(approved).withColumn("ord", F.col("source"))
+    assert same(R.memory_examples(M.least_memory(approved).withColumn("ord", F.col("source"))), R.memory_examples(memory))
+    assert {r.series_id: r.n for r in M.least_memory(approved).groupBy("series_id").agg(F.count("*").alias("n")).collect()} == {1: 8, 2: 1}
