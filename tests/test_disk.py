@@ -112,3 +112,16 @@ def test_context_and_examples_as_before(spark):
     memory = M.latest_memory(approved).withColumn("ord", F.col("source"))
     assert same(R.memory_examples(M.least_memory(approved).withColumn("ord", F.col("source"))), R.memory_examples(memory))
     assert {r.series_id: r.n for r in M.least_memory(approved).groupBy("series_id").agg(F.count("*").alias("n")).collect()} == {1: 8, 2: 1}
+
+
+def test_restored_pages_leave_out_before_texts(spark):
+    t = Tables(spark, SF)
+    assert same(registry.QUERIES["restore_pages"](spark, SF), t.blocks.select("page_id", "block_id", "position", "text", "translation", "source", "ocr_model", "updated_at"))
+    gone = t.sheets.where("page_id % 2 = 0").select("page_id")
+    assert same(t.blocks_of(gone, how="left_anti"), t.blocks.join(gone, "page_id", "left_anti"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(registry.QUERIES["restore_pages"](spark, SF))
+        assert re.findall(r"SortMergeJoin \[(\w+)#[^\n]*LeftAnti", plan) == ["l_orderkey"] * 2  # for blocks with a translation and without, both before they have texts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
