@@ -125,3 +125,19 @@ def test_restored_pages_leave_out_before_texts(spark):
         assert re.findall(r"SortMergeJoin \[(\w+)#[^\n]*LeftAnti", plan) == ["l_orderkey"] * 2  # for blocks with a translation and without, both before they have texts
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_blocks_are_merged_in_one_shuffle(spark):
+    from panelwerk.operators import history as H
+
+    rows = [(1, 10, 1, "speech", 0.0, 0.0, 2.0, 2.0, "a", False), (1, 11, 2, "sfx", 3.0, 1.0, 2.0, 5.0, "b", True), (1, 12, 3, "speech", 1.0, 1.0, 1.0, 1.0, " ", False), (2, 20, 1, "speech", 0.0, 0.0, 1.0, 1.0, "c", False), (3, 30, 1, "title", 0.0, 0.0, 1.0, 1.0, "d", True)]
+    blocks = spark.createDataFrame(rows, "page_id long, block_id long, position long, kind string, x double, y double, width double, height double, text string, needs_review boolean")
+    groups = spark.createDataFrame([(1, 11, 5), (1, 10, 5), (2, 21, 6), (3, 30, 7), (9, 20, 8)], "page_id long, block_id long, group_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = H.merge_blocks(blocks, groups)
+        assert len(re.findall(r"Exchange hashpartitioning", plan_of(found))) == 2  # blocks and groups, by page
+        assert same(found, H.merge_blocks(blocks, groups.where("block_id <> 20").drop("page_id")))
+        assert {r.block_id: (r.position, r.text, r.width, r.height, r.needs_review) for r in found.collect()} == {10: (1, "a\nb", 5.0, 6.0, True), 12: (2, "", 1.0, 1.0, False), 20: (1, "c", 1.0, 1.0, False), 30: (1, "d", 1.0, 1.0, True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
