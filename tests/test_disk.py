@@ -141,3 +141,21 @@ def test_blocks_are_merged_in_one_shuffle(spark):
         assert {r.block_id: (r.position, r.text, r.width, r.height, r.needs_review) for r in found.collect()} == {10: (1, "a\nb", 5.0, 6.0, True), 12: (2, "", 1.0, 1.0, False), 20: (1, "c", 1.0, 1.0, False), 30: (1, "d", 1.0, 1.0, True)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rejected_rows_read_no_texts_and_agree_with_sound_ones(spark):
+    from panelwerk.sources import tables as TB
+
+    assert not re.search(r"FileScan parquet \[doc_id[^\]]*text", plan_of(registry.QUERIES["rejected_rows"](spark, SF)))
+    rows = [(1, 7, "speech", "a"), (1, 7, "speech", "b"), (1, 7, "shout", "c"), (1, 7, None, "a"), (2, 7, "sfx", "d"), (None, 7, "sfx", "e"), (None, 8, "sfx", "f")]
+    blocks = spark.createDataFrame(rows, "block_id long, page_id long, kind string, text string").selectExpr("*", "1L AS position", "0D AS x", "0D AS y", "1D AS width", "1D AS height")
+    sheets = spark.createDataFrame([(7, 1, "original")], "page_id long, album_id long, kind string").selectExpr("*", "1L AS position", "1L AS import_order", "1 AS width", "1 AS height")
+    given = {"blocks": TB.conform(blocks, "blocks"), "sheets": TB.conform(sheets, "sheets")}
+    sound, broken = TB.checked_tables(given)
+    told = sorted((r.key, tuple(r.reasons)) for r in broken.where("table = 'blocks'").collect())
+    judged = TB._judged("blocks", given)
+    assert judged.columns == [*given["blocks"].columns, "_reasons"]
+    assert told == sorted(("" if r.block_id is None else str(r.block_id), tuple(r._reasons)) for r in judged.where(F.size("_reasons") > 0).collect())
+    assert told[:2] == [("", ("block_id missing",)), ("", ("block_id missing", "no sheets for page_id"))] and sum("repeated block_id" in r for _, r in told) == 3
+    assert sound["blocks"].columns == given["blocks"].columns and sorted(r.block_id for r in sound["blocks"].collect()) in ([2], [1, 2])
+    assert not re.search(r"(Sort|Window) [^\n]*(kind|width|to_json)", plan_of(broken))  # what a row's own values tell is told before it is shuffled
