@@ -159,3 +159,11 @@ def test_rejected_rows_read_no_texts_and_agree_with_sound_ones(spark):
     assert told[:2] == [("", ("block_id missing",)), ("", ("block_id missing", "no sheets for page_id"))] and sum("repeated block_id" in r for _, r in told) == 3
     assert sound["blocks"].columns == given["blocks"].columns and sorted(r.block_id for r in sound["blocks"].collect()) in ([2], [1, 2])
     assert not re.search(r"(Sort|Window) [^\n]*(kind|width|to_json)", plan_of(broken))  # what a row's own values tell is told before it is shuffled
+
+
+def test_plans_meet_no_translations_that_they_do_not_read(spark):
+    t = Tables(spark, SF)
+    pages = t.sheets.select("page_id")
+    assert same(t.blocks_of(pages, linked=True, translations=False), t.linked_blocks.join(pages, "page_id").drop("translation"))
+    # texts of blocks, and texts and translations of approved ones (with the documents' largest id, read once for each): no third time
+    assert len(re.findall(r"FileScan parquet \[doc_id[^,\]]*,text", plan_of(registry.QUERIES["translation_plan"](spark, SF)))) == 3
