@@ -167,3 +167,16 @@ def test_plans_meet_no_translations_that_they_do_not_read(spark):
     assert same(t.blocks_of(pages, linked=True, translations=False), t.linked_blocks.join(pages, "page_id").drop("translation"))
     # texts of blocks, and texts and translations of approved ones (with the documents' largest id, read once for each): no third time
     assert len(re.findall(r"FileScan parquet \[doc_id[^,\]]*,text", plan_of(registry.QUERIES["translation_plan"](spark, SF)))) == 3
+
+
+def test_restored_pairs_write_no_texts_on_the_way(spark, monkeypatch):
+    from panelwerk.operators import geometry as G
+    from panelwerk.plans import layout_queries as L
+
+    kept = written(monkeypatch, G)
+    found = registry.QUERIES["restore_pairs"](spark, SF)
+    assert not any({"pairs", "source", "target"} & set(columns) for columns in kept)
+    pairs = L._exported(Tables(spark, SF))[1].select("album_id", F.col("position").alias("page"), F.posexplode("pairs").alias("at", "p"))
+    assert same(found.select("album_id", "page", "position", "text"), pairs.select("album_id", "page", (F.col("at") + 1).alias("position"), F.col("p.target").alias("text")))
+    rows = spark.createDataFrame([(1, 2, 9, "b", "B"), (1, 1, 8, "a", "A"), (2, 3, 7, "c", "C")], "page int, i int, j int, source string, target string")
+    assert {r.page: [tuple(p) for p in r.pairs] for r in G.listed_pairs(rows, ["page"]).collect()} == {1: [(1, 8, "a", "A"), (2, 9, "b", "B")], 2: [(3, 7, "c", "C")]}
